@@ -1,0 +1,8 @@
+"""Streaming.
+
+The re-implemented library has no streaming operator: the original works on
+static data sets only (no watermark, window, state or late data), so nothing
+is built here.  Matrices are ordinary DataFrames, so a user can still feed
+entry files through ``spark.readStream`` and apply the element-wise operators
+(pure projections) to a stream; products and ranks need whole tables.
+"""
