@@ -220,9 +220,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the checkpoint folder and read
+    it back.
+
+    This is a reliable cut: the data lives in the shared folder, so a lost
+    executor does not force recomputation of the history (a local
+    checkpoint would).  It also resets the optimizer's size estimate to the
+    real file size -- an RDD checkpoint keeps the estimate of the plan it
+    replaced, and in iterative algorithms whose iterates feed each other
+    through joins that estimate compounds every step.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tessera-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def as_long(c: str | Column) -> Column:

@@ -270,3 +270,203 @@ SQL: dict[str, str] = {
     "topk_vector": with_(["x"], "SELECT i, v FROM x ORDER BY v DESC, i LIMIT 5"),
     "union": with_(["q", "d"], "SELECT i, j, v FROM q UNION ALL SELECT i, j, v FROM d"),
 }
+
+
+# ---------------------------------------------------------------------------
+# Pipelines: generated SQL (iterations unrolled as a CTE chain)
+# ---------------------------------------------------------------------------
+
+
+def _t(name: str) -> str:
+    return f"(SELECT j AS i, i AS j, v FROM {name})"
+
+
+def _formula(name: str, rows: str, cols: str, a: int, b: int, mod: int, offset: float) -> str:
+    """Dense initialiser offset + (a*i + b*j) mod m over a rows x cols grid."""
+    return f"""{name} AS (
+  SELECT i, j, v FROM (
+    SELECT CAST(r.id % ({rows}) AS BIGINT) AS i, CAST(r.id // ({rows}) AS BIGINT) AS j,
+           CAST({offset} + ({a} * (r.id % ({rows})) + {b} * (r.id // ({rows}))) % {mod} AS DOUBLE) AS v
+    FROM range(0, ({rows}) * ({cols})) AS r(id)) WHERE v <> 0)"""
+
+
+def _pagerank_sql(iterations: int = 10, alpha: float = 0.85, top: int | None = None) -> str:
+    parts = [
+        CTE["dims"],
+        CTE["edges"],
+        """deg AS (SELECT src, count(*) AS c FROM edges GROUP BY src)""",
+        """p AS (SELECT e.dst AS i, e.src AS j, sum(1.0 / d.c) AS v
+                 FROM edges e JOIN deg d USING (src) GROUP BY 1, 2 HAVING sum(1.0 / d.c) <> 0)""",
+        """tele AS (SELECT r.id AS i, 1.0 AS v FROM range(0, (SELECT greatest(nsupp, npart) FROM dims)) r(id))""",
+        """x0 AS (SELECT i, v FROM tele)""",
+    ]
+    for t in range(1, iterations + 1):
+        parts.append(
+            f"""x{t} AS (SELECT i, sum(v) AS v FROM (
+                 SELECT p.i, ({alpha} * p.v) * x.v AS v FROM p JOIN x{t - 1} x ON p.j = x.i
+                 UNION ALL SELECT i, v * {1.0 - alpha} FROM tele) GROUP BY i HAVING sum(v) <> 0)"""
+        )
+    body = f"SELECT i, round(v, 6) AS v FROM x{iterations}"
+    if top:
+        body = f"SELECT i, round(v, 6) AS v FROM x{iterations} ORDER BY v DESC, i LIMIT {top}"
+    return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+_RANKS = """r AS (
+  SELECT i AS gene, j AS sample,
+         rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2.0 AS r
+  FROM em)"""
+
+
+def _kw_stat(k: str) -> str:
+    return f"""round(12.0 / ({k} * ({k} + 1.0)) * (
+        CASE WHEN n0 > 0 THEN s0 * s0 / n0 ELSE 0.0 END +
+        CASE WHEN n1 > 0 THEN s1 * s1 / n1 ELSE 0.0 END +
+        CASE WHEN n2 > 0 THEN s2 * s2 / n2 ELSE 0.0 END) - 3.0 * ({k} + 1.0), 6)"""
+
+
+def _kw_sql() -> str:
+    return with_(
+        ["dims", "em", "gt"],
+        f""", {_RANKS},
+  s AS (SELECT r.gene, gt.snp,
+               coalesce(sum(CASE WHEN gt.g = 1 THEN r.r END), 0.0) AS s1,
+               coalesce(sum(CASE WHEN gt.g = 2 THEN r.r END), 0.0) AS s2
+        FROM r JOIN gt ON r.sample = gt.sample GROUP BY 1, 2),
+  n AS (SELECT snp, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 2) AS n2 FROM gt GROUP BY snp),
+  k AS (SELECT CAST(nvec AS DOUBLE) AS k FROM dims),
+  t AS (SELECT s.gene, s.snp, (SELECT k FROM k) AS kk,
+               (SELECT k FROM k) * ((SELECT k FROM k) + 1) / 2.0 - s1 - s2 AS s0,
+               (SELECT k FROM k) - n1 - n2 AS n0, s1, n1, s2, n2
+        FROM s JOIN n USING (snp))
+SELECT gene, snp, {_kw_stat("kk")} AS stat FROM t""",
+    )
+
+
+def _kw_missing_sql() -> str:
+    return with_(
+        ["em", "gm"],
+        f""", pr AS (
+    SELECT em.i AS gene, gm.snp, em.j AS sample, em.v, gm.g,
+           rank() OVER (PARTITION BY em.i, gm.snp ORDER BY em.v)
+             + (count(*) OVER (PARTITION BY em.i, gm.snp, em.v) - 1) / 2.0 AS r
+    FROM em JOIN gm ON em.j = gm.sample WHERE gm.g IS NOT NULL AND em.v IS NOT NULL),
+  t AS (SELECT gene, snp, CAST(count(*) AS DOUBLE) AS k,
+               coalesce(sum(CASE WHEN g = 0 THEN r END), 0.0) AS s0,
+               coalesce(sum(CASE WHEN g = 1 THEN r END), 0.0) AS s1,
+               coalesce(sum(CASE WHEN g = 2 THEN r END), 0.0) AS s2,
+               count(*) FILTER (WHERE g = 0) AS n0, count(*) FILTER (WHERE g = 1) AS n1,
+               count(*) FILTER (WHERE g = 2) AS n2
+        FROM pr GROUP BY 1, 2)
+SELECT gene, snp, {_kw_stat("k")} AS stat FROM t""",
+    )
+
+
+def _gnmf_sql(iterations: int) -> str:
+    parts = [
+        CTE["dims"],
+        CTE["q"],
+        CTE["ns"],
+        CTE["ps"],
+        f"vq AS ({mm('ns', 'q')})",
+        f"vv AS ({mm('vq', 'ps')})",
+        _formula("w0", "(SELECT nnation FROM dims)", "5", 31, 17, 7, 1.0),
+        _formula("h0", "5", "(SELECT psize FROM dims)", 31, 17, 7, 1.0),
+    ]
+    for t in range(1, iterations + 1):
+        p = t - 1
+        parts += [
+            f"a{t} AS ({mm(_t(f'w{p}'), 'vv')})",
+            f"g{t} AS ({mm(_t(f'w{p}'), f'w{p}')})",
+            f"b{t} AS ({mm(f'g{t}', f'h{p}')})",
+            f"""h{t} AS MATERIALIZED (SELECT i, j, v FROM (
+                  SELECT h.i, h.j, (h.v * a.v) / (b.v + 1e-8) AS v
+                  FROM h{p} h JOIN a{t} a USING (i, j) JOIN b{t} b USING (i, j)) WHERE v <> 0)""",
+            f"c{t} AS ({mm('vv', _t(f'h{t}'))})",
+            f"e{t} AS ({mm(f'h{t}', _t(f'h{t}'))})",
+            f"f{t} AS ({mm(f'w{p}', f'e{t}')})",
+            f"""w{t} AS MATERIALIZED (SELECT i, j, v FROM (
+                  SELECT w.i, w.j, (w.v * c.v) / (f.v + 1e-8) AS v
+                  FROM w{p} w JOIN c{t} c USING (i, j) JOIN f{t} f USING (i, j)) WHERE v <> 0)""",
+        ]
+    n = iterations
+    body = (
+        f"SELECT 'W' AS mat, i, j, round(v, 6) AS v FROM w{n} "
+        f"UNION ALL SELECT 'H' AS mat, i, j, round(v, 6) AS v FROM h{n}"
+    )
+    return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def _gradient_parts(tag: str, a: int, b: int) -> list[str]:
+    """CTEs for the stacked gradient g{tag} with factors from formula (a, b)."""
+    return [
+        _formula(f"w{tag}", "(SELECT nnation FROM dims)", "2", a, b, 3, 0.0),
+        _formula(f"h{tag}", "2", "(SELECT nsupp FROM dims)", a, b, 3, 0.0),
+        f"wh{tag} AS ({mm(f'w{tag}', f'h{tag}')})",
+        f"""r{tag} AS (SELECT i, j, sum(v) AS v FROM (SELECT * FROM ns UNION ALL SELECT i, j, -v FROM wh{tag})
+                  GROUP BY i, j HAVING sum(v) <> 0)""",
+        f"""dw{tag} AS (SELECT i, j, sum(v) AS v FROM (
+                  SELECT i, j, v * -2.0 AS v FROM ({mm(f'r{tag}', _t(f'h{tag}'))})
+                  UNION ALL SELECT i, j, v * 2.0 FROM w{tag}) GROUP BY i, j HAVING sum(v) <> 0)""",
+        f"""dh{tag} AS (SELECT i, j, sum(v) AS v FROM (
+                  SELECT i, j, v * -2.0 AS v FROM ({mm(_t(f'w{tag}'), f'r{tag}')})
+                  UNION ALL SELECT i, j, v * 2.0 FROM h{tag}) GROUP BY i, j HAVING sum(v) <> 0)""",
+        f"""g{tag} AS (SELECT j * (SELECT nnation FROM dims) + i AS i, v FROM dw{tag}
+                  UNION ALL SELECT (SELECT nnation FROM dims) * 2 + j * 2 + i AS i, v FROM dh{tag})""",
+    ]
+
+
+def _gradient_sql() -> str:
+    parts = [CTE["dims"], CTE["ns"]] + _gradient_parts("1", 31, 17)
+    return "WITH " + ",\n".join(parts) + "\nSELECT i, v FROM g1"
+
+
+def _bfgs_sql() -> str:
+    n = "((SELECT nnation FROM dims) * 2 + 2 * (SELECT nsupp FROM dims))"
+    parts = [CTE["dims"], CTE["ns"]] + _gradient_parts("1", 31, 17) + _gradient_parts("2", 13, 29)
+    parts += [
+        _formula("b0", n, n, 7, 3, 11, 1.0),
+        "s AS (SELECT i, -v AS v FROM g1)",
+        """y AS (SELECT i, sum(v) AS v FROM (SELECT * FROM g2 UNION ALL SELECT i, -v FROM g1)
+                GROUP BY i HAVING sum(v) <> 0)""",
+        """bs AS (SELECT b.i, sum(b.v * s.v) AS v FROM b0 b JOIN s ON b.j = s.i GROUP BY b.i HAVING sum(b.v * s.v) <> 0)""",
+        """sb AS (SELECT b.j AS i, sum(b.v * s.v) AS v FROM b0 b JOIN s ON b.i = s.i GROUP BY b.j HAVING sum(b.v * s.v) <> 0)""",
+    ]
+    body = """SELECT i, j, sum(v) AS v FROM (
+        SELECT i, j, v FROM b0
+        UNION ALL SELECT a.i, b.i AS j, (a.v * b.v) * 1.0 FROM y a, y b
+        UNION ALL SELECT a.i, b.i AS j, (a.v * b.v) * -1.0 FROM bs a, sb b)
+      GROUP BY i, j HAVING sum(v) <> 0"""
+    return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def _chain_sql() -> str:
+    return with_(["q", "ns", "ps"], f", nq AS ({mm('ns', 'q')}), nqp AS ({mm('nq', 'ps')})\n" + mm("nqp", _t("ps")))
+
+
+SQL.update(
+    {
+        "transition_matrix": with_(
+            ["edges"],
+            """, deg AS (SELECT src, count(*) AS c FROM edges GROUP BY src)
+               SELECT e.dst AS i, e.src AS j, sum(1.0 / d.c) AS v FROM edges e JOIN deg d USING (src)
+               GROUP BY 1, 2 HAVING sum(1.0 / d.c) <> 0""",
+        ),
+        "pagerank": _pagerank_sql(10),
+        "pagerank_top5": _pagerank_sql(10, top=5),
+        "kruskal_wallis": _kw_sql(),
+        "kruskal_wallis_missing": _kw_missing_sql(),
+        "eqtl_product": with_(
+            ["em", "gt"],
+            """SELECT em.i, gt.snp AS j, round(sum(em.v * gt.g), 6) AS v
+               FROM em JOIN gt ON em.j = gt.sample WHERE gt.g <> 0
+               GROUP BY 1, 2 HAVING sum(em.v * gt.g) <> 0""",
+        ),
+        "gnmf_step": _gnmf_sql(1),
+        "gnmf": _gnmf_sql(10),
+        "factor_gradient": _gradient_sql(),
+        "bfgs_step": _bfgs_sql(),
+        "chain_fixed": _chain_sql(),
+        "chain_cost_ordered": _chain_sql(),
+    }
+)

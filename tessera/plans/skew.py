@@ -271,3 +271,52 @@ def join_by_bound(
     if fits_broadcast(big.sparkSession, small_bound):
         return big.join(F.broadcast(small), keys, "inner")
     return salted_join(big, small, keys, split_right=False)
+
+
+_SALT = "_salt"
+_NS = "_nsplit"
+
+
+def prepare_repeated_join(big: DataFrame, keys: list[str], num_partitions: int | None = None):
+    """Salt a fixed big side once for many joins with a changing small side.
+
+    Returns ``(big_salted, hot)``: ``big_salted`` carries a ``_salt`` column
+    and is hash-partitioned on ``keys + [_salt]`` (persist it), ``hot`` is the
+    hot-key table (or ``None``).  Each later :func:`join_prepared` then
+    shuffles only the small side; the big side's partitioning is reused.
+    """
+    spark = big.sparkSession
+    threshold = conf_int(spark, CONF_HOT_KEY_ROWS)
+    max_hot = conf_int(spark, CONF_MAX_HOT_KEYS)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot, small = _small_table(_hot_counts(big, keys, threshold, _NS), max_hot)
+    if hot is None:
+        salted = big.withColumn(_SALT, F.lit(0).cast("long"))
+    else:
+        h = F.broadcast(hot) if small else hot
+        cols = [F.col(c) for c in big.columns]
+        salted = (
+            big.join(h, keys, "left")
+            .withColumn(_SALT, F.pmod(F.xxhash64(*cols), F.coalesce(F.col(_NS), F.lit(1)).cast("long")))
+            .drop(_NS)
+        )
+    return salted.repartition(n, *keys, _SALT), (hot, small)
+
+
+def join_prepared(big_salted: DataFrame, hot, small_side: DataFrame, keys: list[str]) -> DataFrame:
+    """Join a side prepared by :func:`prepare_repeated_join` with a small side
+    whose keys are unique; the small side is replicated once per split."""
+    table, small = hot
+    if table is None:
+        rep = small_side.withColumn(_SALT, F.lit(0).cast("long"))
+    else:
+        h = F.broadcast(table) if small else table
+        rep = (
+            small_side.join(h, keys, "left")
+            .withColumn(
+                _SALT,
+                F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce(F.col(_NS), F.lit(1)) - 1).cast("long"))),
+            )
+            .drop(_NS)
+        )
+    return big_salted.join(rep, keys + [_SALT], "inner").drop(_SALT)

@@ -156,6 +156,16 @@ def sprand(
     return Mat(canon(e), nrows, ncols)
 
 
+def formula_matrix(
+    spark: SparkSession, nrows: int, ncols: int, a: int, b: int, mod: int, offset: float = 0.0
+) -> Mat:
+    """Deterministic dense initialiser ``offset + pmod(a*i + b*j, mod)``
+    (reproducible factor starts for the iterative plans); zeros dropped."""
+    g = _grid(spark, nrows, ncols)
+    v = (F.lit(float(offset)) + F.pmod(F.col("i") * F.lit(a) + F.col("j") * F.lit(b), F.lit(mod))).cast("double")
+    return Mat(canon(g.withColumn("v", v)), nrows, ncols)
+
+
 def eye(spark: SparkSession, n: int) -> Mat:
     """Identity (dense and sparse forms are the same table)."""
     return Mat(spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")), n, n)

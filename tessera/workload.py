@@ -370,3 +370,140 @@ REGISTRY = {
     "topk_vector": topk_vector,
     "union": union,
 }
+
+
+# --- Pipelines (P1-P10) --------------------------------------------------------
+
+from tessera.plans import chains as C  # noqa: E402
+from tessera.plans import eqtl as Q  # noqa: E402
+from tessera.plans import factorization as FZ  # noqa: E402
+from tessera.plans import pagerank as PR  # noqa: E402
+from tessera.sources.entries import formula_matrix  # noqa: E402
+
+GNMF_RANK = 5
+GRAD_RANK = 2
+
+
+def _round(df: DataFrame, col: str = "v", digits: int = 6) -> DataFrame:
+    return df.withColumn(col, F.round(F.col(col), digits))
+
+
+def transition_matrix(spark, d):
+    e, n = T.edges(spark, d)
+    return _m(PR.transition_matrix(e, n))
+
+
+def pagerank(spark, d):
+    e, n = T.edges(spark, d)
+    x = PR.pagerank(PR.transition_matrix(e, n), alpha=0.85, iterations=10)
+    return _round(_v(x))
+
+
+def pagerank_top5(spark, d):
+    e, n = T.edges(spark, d)
+    x = PR.pagerank(PR.transition_matrix(e, n), alpha=0.85, iterations=10)
+    return _round(W.top_k_vector(x, 5))
+
+
+def _expr(spark, d):
+    return T.em_table(spark, d).select(F.col("i").alias("gene"), F.col("j").alias("sample"), "v")
+
+
+def kruskal_wallis(spark, d):
+    dm = T.dims(spark, d)
+    out = Q.kruskal_wallis(_expr(spark, d), T.genotype_table(spark, d), dm["dim"], T.N_SNPS, dm["vec"])
+    return _round(out, "stat")
+
+
+def kruskal_wallis_missing(spark, d):
+    dm = T.dims(spark, d)
+    out = Q.kruskal_wallis_missing(_expr(spark, d), T.genotype_table(spark, d, with_missing=True), T.N_SNPS, dm["vec"])
+    return _round(out, "stat")
+
+
+def eqtl_product(spark, d):
+    dm = T.dims(spark, d)
+    from tessera.sources.entries import from_entries as fe
+
+    em = fe(T.em_table(spark, d), dm["dim"], dm["vec"])
+    g = T.genotype_table(spark, d).select(F.col("snp").alias("i"), F.col("sample").alias("j"), F.col("g").alias("v"))
+    return _round(_m(Q.eqtl_product(em, fe(g, T.N_SNPS, dm["vec"], unique=True))))
+
+
+def _nmf_inputs(spark, d):
+    dm = T.dims(spark, d)
+    V = J.matmul(J.matmul(T.ns_matrix(spark, d), T.q_matrix(spark, d)), T.ps_matrix(spark, d))
+    W0 = formula_matrix(spark, dm["nation"], GNMF_RANK, 31, 17, 7, 1.0)
+    H0 = formula_matrix(spark, GNMF_RANK, dm["psize"], 31, 17, 7, 1.0)
+    return V, W0, H0
+
+
+def _factors_out(W_: Mat, H_: Mat) -> DataFrame:
+    w = W_.df.select(F.lit("W").alias("mat"), "i", "j", "v")
+    h = H_.df.select(F.lit("H").alias("mat"), "i", "j", "v")
+    return _round(w.unionByName(h))
+
+
+def gnmf_step(spark, d):
+    V, W0, H0 = _nmf_inputs(spark, d)
+    return _factors_out(*FZ.gnmf_step(V, W0, H0, 1e-8))
+
+
+def gnmf(spark, d):
+    V, W0, H0 = _nmf_inputs(spark, d)
+    return _factors_out(*FZ.gnmf(V, W0, H0, iterations=10, eps=1e-8))
+
+
+def _grad_inputs(spark, d):
+    dm = T.dims(spark, d)
+    V = T.ns_matrix(spark, d)
+    W1 = formula_matrix(spark, dm["nation"], GRAD_RANK, 31, 17, 3)
+    H1 = formula_matrix(spark, GRAD_RANK, dm["supp"], 31, 17, 3)
+    W2 = formula_matrix(spark, dm["nation"], GRAD_RANK, 13, 29, 3)
+    H2 = formula_matrix(spark, GRAD_RANK, dm["supp"], 13, 29, 3)
+    return V, W1, H1, W2, H2
+
+
+def factor_gradient(spark, d):
+    V, W1, H1, _, _ = _grad_inputs(spark, d)
+    return _v(FZ.gradient(V, W1, H1))
+
+
+def bfgs_step(spark, d):
+    V, W1, H1, W2, H2 = _grad_inputs(spark, d)
+    g1, g2 = FZ.gradient(V, W1, H1), FZ.gradient(V, W2, H2)
+    n = g1.size
+    B0 = formula_matrix(spark, n, n, 7, 3, 11, 1.0)
+    return _m(FZ.bfgs_step(B0, g1, g2))
+
+
+def _chain(spark, d):
+    ps = T.ps_matrix(spark, d)
+    return [T.ns_matrix(spark, d), T.q_matrix(spark, d), ps, E.transpose(ps)]
+
+
+def chain_fixed(spark, d):
+    return _m(C.chain_multiply(_chain(spark, d), "(AB)(CD)"))
+
+
+def chain_cost_ordered(spark, d):
+    m, _ = C.chain_cost_ordered(_chain(spark, d), block=100, ratio=0.01, product_ratio=0.1)
+    return _m(m)
+
+
+REGISTRY.update(
+    {
+        "transition_matrix": transition_matrix,
+        "pagerank": pagerank,
+        "pagerank_top5": pagerank_top5,
+        "kruskal_wallis": kruskal_wallis,
+        "kruskal_wallis_missing": kruskal_wallis_missing,
+        "eqtl_product": eqtl_product,
+        "gnmf_step": gnmf_step,
+        "gnmf": gnmf,
+        "factor_gradient": factor_gradient,
+        "bfgs_step": bfgs_step,
+        "chain_fixed": chain_fixed,
+        "chain_cost_ordered": chain_cost_ordered,
+    }
+)
