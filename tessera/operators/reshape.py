@@ -195,6 +195,12 @@ def block_cyclic_ids(m: Mat, rows_per_block: int, cols_per_block: int, grid_rows
     return m.df.select("i", "j", "v", pid.alias("part"))
 
 
+def partition_by_expression(m: Mat, n: int, pid) -> Mat:
+    """user partitioner -- ``pid`` is a Column expression over ``i``/``j``
+    giving the target partition in ``[0, n)``."""
+    return Mat(m.df.repartitionById(n, pid), m.nrows, m.ncols, m.dense)
+
+
 def repartition(m: Mat, n: int) -> Mat:
     """X11: round-robin repartition."""
     return Mat(m.df.repartition(n), m.nrows, m.ncols, m.dense)
