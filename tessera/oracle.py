@@ -470,3 +470,69 @@ SQL.update(
         "chain_cost_ordered": _chain_sql(),
     }
 )
+
+
+# S16 schedule as a recursive CTE: line k takes
+# c = least(greatest(least(floor(r * 0.25), width), 1), r), r -= c.
+_SKEW = """RECURSIVE dims AS (
+  SELECT (SELECT max(s_suppkey) + 1 FROM supplier) AS nsupp,
+         (SELECT max(p_partkey) + 1 FROM part) AS npart),
+tot AS (SELECT nsupp AS lines, npart AS width, CAST(ceil(nsupp * npart * 0.125) AS BIGINT) AS total FROM dims),
+s(k, r, c) AS (
+  SELECT 0::BIGINT, total, least(greatest(least(CAST(floor(total * 0.25) AS BIGINT), width), 1), total) FROM tot
+  UNION ALL
+  SELECT k + 1, r - c, least(greatest(least(CAST(floor((r - c) * 0.25) AS BIGINT), width), 1), r - c)
+  FROM s, tot WHERE r - c > 0 AND k + 1 < lines)"""
+
+SQL.update(
+    {
+        "edge_list_text": with_(["d"], "SELECT i, j, v FROM d"),
+        "triplets_text": with_(["q"], "SELECT i, j, v FROM q"),
+        "dense_text": with_(["em"], "SELECT j AS i, i AS j, v FROM em"),
+        "genotype_text": with_(["gm"], "SELECT snp, sample, g FROM gm"),
+        "row_layout": with_(
+            ["q"],
+            "SELECT i, count(*) AS nnz, min(j) AS first_j, max(j) AS last_j, sum(v) AS total FROM q GROUP BY i",
+        ),
+        "zeros_add": with_(["q"], "SELECT i, j, v FROM q"),
+        "ones_product": with_(
+            ["q"],
+            "SELECT q.i, CAST(c.j AS BIGINT) AS j, sum(q.v) AS v FROM q, range(0, 3) c(j) GROUP BY q.i, c.j HAVING sum(q.v) <> 0",
+        ),
+        "ones_index": "SELECT DISTINCT l_suppkey AS i, 1.0::DOUBLE AS v FROM lineitem WHERE l_returnflag = 'R'",
+        "ones_columns": with_(["q"], "SELECT i, sum(v) AS v FROM q GROUP BY i HAVING sum(v) <> 0"),
+        "identity_product": with_(["q"], "SELECT i, j, v FROM q"),
+        "diag_scale": with_(["q", "x"], "SELECT q.i, q.j, x.v * q.v AS v FROM q JOIN x ON q.i = x.i"),
+        "column_major": with_(["em"], "SELECT i, j, v FROM em WHERE v <> 0"),
+        "skewed_lines": f"WITH {_SKEW}\nSELECT k AS line, c AS cnt FROM s",
+        "random_summary": f"""WITH {_SKEW},
+        d2 AS (SELECT nsupp, npart, (SELECT max(p_size) FROM part) AS psize FROM dims),
+        counts AS (
+          SELECT 'rand' AS kind, CAST(nsupp * psize AS BIGINT) AS nnz FROM d2
+          UNION ALL SELECT 'randn', CAST(nsupp * psize AS BIGINT) FROM d2
+          UNION ALL SELECT 'sprand', CAST(ceil(nsupp * npart * 0.125) AS BIGINT) FROM d2
+          UNION ALL SELECT 'sprandn', CAST(ceil(nsupp * npart * 0.125) AS BIGINT) FROM d2
+          UNION ALL SELECT 'skewed', CAST(sum(c) AS BIGINT) FROM s)
+        SELECT kind, nnz, 0::BIGINT AS duplicate_keys, 0::BIGINT AS out_of_shape, nnz AS in_range FROM counts""",
+        "stat": with_(
+            ["dims", "q"],
+            """SELECT CAST(nsupp AS BIGINT) AS nrows, CAST(npart AS BIGINT) AS ncols,
+                      CAST(ceil(nsupp / 10) AS BIGINT) AS row_blocks, CAST(ceil(npart / 500) AS BIGINT) AS col_blocks,
+                      10::BIGINT AS rows_per_block, 500::BIGINT AS cols_per_block,
+                      (SELECT count(*) FROM q) AS nnz,
+                      (SELECT count(*) FROM (SELECT DISTINCT i // 10, j // 500 FROM q)) AS stored_blocks
+               FROM dims""",
+        ),
+        "validate": with_(
+            ["q", "d"],
+            """SELECT (SELECT count(*) FROM q) + (SELECT count(*) FROM d) AS nnz,
+                      (SELECT count(*) FROM q JOIN d USING (i, j)) AS duplicate_keys,
+                      0::BIGINT AS out_of_shape, 0::BIGINT AS zeros, 0::BIGINT AS nulls""",
+        ),
+        "partition_by_axis": with_(
+            ["q"],
+            """SELECT 'row' AS axis, i AS k, count(*) AS nnz, 1::BIGINT AS n_parts FROM q GROUP BY i
+               UNION ALL SELECT 'col' AS axis, j AS k, count(*) AS nnz, 1::BIGINT AS n_parts FROM q GROUP BY j""",
+        ),
+    }
+)

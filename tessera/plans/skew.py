@@ -163,13 +163,22 @@ def prefix_sum(
     G = list(group_cols)
 
     sizes = (df.groupBy(*G) if G else df.groupBy()).agg(F.count(F.lit(1)).alias("_gn"))
-    hot = sizes.filter(F.col("_gn") > F.lit(threshold))
-    table, small = _small_table(hot, max_hot)
+    if G:
+        hot = sizes.filter(F.col("_gn") > F.lit(threshold))
+        table, small = _small_table(hot, max_hot)
+    else:
+        # One global group: always range-split it (a window without a
+        # partition key would run in a single task).
+        gn = sizes.first()[0] or 0
+        table, small = (sizes, True) if gn > 0 else (None, True)
 
     if table is None:
         data = df.withColumn("_b", F.lit(0).cast("int"))
     else:
-        gmax = table.agg(F.max("_gn")).first()[0] if small else hot.agg(F.max("_gn")).first()[0]
+        if G:
+            gmax = table.agg(F.max("_gn")).first()[0] if small else hot.agg(F.max("_gn")).first()[0]
+        else:
+            gmax = gn
         n_buckets = max(2, int(gmax // threshold) + 1) * 4
         n_steps = min(16, max(1, math.ceil(math.log2(n_buckets))))
         width = 1 << n_steps

@@ -115,17 +115,40 @@ def ones_for_columns(m: Mat) -> Vec:
     return ones_vector(m.spark, m.ncols)
 
 
+_TWO53 = float(1 << 53)
+
+
+def uniform_hash(seed: int, *cols: str | Column) -> Column:
+    """Uniform [0, 1) value determined by ``(seed, cols)`` alone.
+
+    A hash of the cell, not ``rand()``: ``rand`` depends on the partition
+    index and row order, so the same generator would give other values on a
+    cluster with another partition count.  Hash values are reproducible on
+    any layout and under task retries.
+    """
+    h = F.xxhash64(F.lit(int(seed)), *cols)
+    return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(_TWO53)
+
+
+def normal_hash(seed: int, *cols: str | Column) -> Column:
+    """Standard normal value from two cell hashes (Box-Muller)."""
+    u1 = F.lit(1.0) - uniform_hash(seed, *cols)  # (0, 1]
+    u2 = uniform_hash(seed + 0x9E3779B9, *cols)
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+
+
 def rand_matrix(
     spark: SparkSession, nrows: int, ncols: int, lo: float = 0.0, hi: float = 1.0, seed: int = 7
 ) -> Mat:
     """Uniform dense random matrix on [lo, hi)."""
-    g = _grid(spark, nrows, ncols).withColumn("v", F.rand(seed) * (hi - lo) + lo)
+    g = _grid(spark, nrows, ncols).withColumn("v", uniform_hash(seed, "i", "j") * (hi - lo) + lo)
     return Mat(canon(g), nrows, ncols, dense=True)
 
 
 def randn_matrix(spark: SparkSession, nrows: int, ncols: int, seed: int = 7) -> Mat:
     """Standard normal dense random matrix."""
-    return Mat(canon(_grid(spark, nrows, ncols).withColumn("v", F.randn(seed))), nrows, ncols, dense=True)
+    g = _grid(spark, nrows, ncols).withColumn("v", normal_hash(seed, "i", "j"))
+    return Mat(canon(g), nrows, ncols, dense=True)
 
 
 def _coprime_multiplier(n: int, seed: int) -> int:
@@ -149,11 +172,11 @@ def sprand(
     a = _coprime_multiplier(n, seed)
     off = (seed * 2654435761) % n if n else 0
     cell = F.pmod(F.col("id") * F.lit(a) + F.lit(off), F.lit(n))
-    vals = F.randn(seed) if normal else F.rand(seed)
     e = spark.range(k).select(
-        (cell % F.lit(nrows)).alias("i"), (cell / F.lit(nrows)).cast("long").alias("j"), vals.alias("v")
+        (cell % F.lit(nrows)).alias("i"), (cell / F.lit(nrows)).cast("long").alias("j")
     )
-    return Mat(canon(e), nrows, ncols)
+    vals = normal_hash(seed, "i", "j") if normal else uniform_hash(seed, "i", "j")
+    return Mat(canon(e.withColumn("v", vals)), nrows, ncols)
 
 
 def formula_matrix(
@@ -188,14 +211,61 @@ def from_column_major(spark: SparkSession, nrows: int, ncols: int, values: list[
     return Mat(canon(e), nrows, ncols)
 
 
-def from_column_major_table(df: DataFrame, nrows: int, ncols: int, col: str = "vals") -> Mat:
-    """S17 over a table of arrays: each row's array is one column-major block."""
-    e = df.select(F.posexplode(col).alias("pos", "v")).select(
+def from_column_major_table(
+    df: DataFrame, nrows: int, ncols: int, col: str = "vals", col_id: str | None = None
+) -> Mat:
+    """S17 over a table of arrays.
+
+    With ``col_id`` each row holds one column (``nrows`` values) of the
+    column-major array, so the whole array is spread over rows and nothing is
+    held in one place.  Without it each row's array is a complete
+    column-major ``nrows x ncols`` matrix and the rows are summed.
+    """
+    j = F.col(col_id).cast("long") if col_id else (F.col("pos") / F.lit(nrows)).cast("long")
+    keep = [col_id] if col_id else []
+    e = df.select(*keep, F.posexplode(col).alias("pos", "v")).select(
         (F.col("pos") % F.lit(nrows)).cast("long").alias("i"),
-        (F.col("pos") / F.lit(nrows)).cast("long").alias("j"),
+        j.alias("j"),
         F.col("v").cast("double").alias("v"),
     )
-    return from_entries(e, nrows, ncols)
+    return from_entries(e, nrows, ncols, unique=col_id is not None)
+
+
+def skew_schedule(lines: int, width: int, total: int, skew: float) -> list[tuple[int, int, int]]:
+    """Per-line entry counts of the skewed generator as segments
+    ``(first_line, end_line, count_per_line)``.
+
+    Line ``k`` takes ``c_k = min(max(min(floor(r_k * skew), width), 1), r_k)``
+    with ``r_0 = total`` and ``r_{k+1} = r_k - c_k``.  Runs of capped lines
+    (``c = width``) and the tail of single-entry lines are closed-form
+    segments, so the driver does O(log(total) / skew) steps, never one per line.
+    """
+    segs: list[tuple[int, int, int]] = []
+    r, k = total, 0
+    while r > 0 and k < lines:
+        c = int(r * skew)
+        if c >= width:
+            # floor((r - t*width) * skew) >= width holds for t = 0..run-1.
+            run = max(int((r - width / skew) // width) + 1, 1) if skew > 0 else 1
+            run = min(run, lines - k, r // width)
+            if run >= 1:
+                while run > 1 and int((r - (run - 1) * width) * skew) < width:
+                    run -= 1
+                segs.append((k, k + run, width))
+                r -= run * width
+                k += run
+                continue
+        if c < 1:
+            run = min(r, lines - k)
+            segs.append((k, k + run, 1))
+            r -= run
+            k += run
+            continue
+        c = min(c, r)
+        segs.append((k, k + 1, c))
+        r -= c
+        k += 1
+    return segs
 
 
 def skewed_sparse(
@@ -210,42 +280,45 @@ def skewed_sparse(
 ) -> Mat:
     """Skewed sparse generator.
 
-    Line ``k`` (a row, or a column with ``by='col'``) receives
-    ``c_k = max(min(int(remaining_k * skew), width), 1)`` entries, where
-    ``remaining_0 = ceil(m*n*sparsity)`` and ``remaining_{k+1} = remaining_k - c_k``,
-    until the total is placed.  The per-line counts are a driver-side schedule
-    (one number per line; the tail of single-entry lines is a range, not a
-    list).  Entries are generated on executors: each line is cut into chunks
-    of at most ``chunk`` positions, ``explode(sequence)`` expands a chunk, and
-    position ``t`` of line ``k`` maps to ``(a*t + off_k) mod width`` with ``a``
-    coprime to ``width`` -- a permutation, so positions are distinct without
-    any sort or window.  The drawn index is modulo its own axis.
+    Per-line counts come from :func:`skew_schedule` (a handful of segments).
+    Entries are generated on executors: each segment's lines are a
+    ``spark.range``, each line is cut into chunks of at most ``chunk``
+    positions, and ``explode(sequence)`` expands a chunk.  Position ``t`` of
+    line ``k`` maps to ``(a*t + off_k) mod width`` with ``a`` coprime to
+    ``width`` -- a permutation, so positions are distinct without any sort or
+    window.  The drawn index is modulo its own axis (R29).  Values are cell
+    hashes in (0, 1].
     """
     lines, width = (nrows, ncols) if by == "row" else (ncols, nrows)
-    remaining = int(math.ceil(nrows * ncols * sparsity))
-    plan = []
-    k = 0
-    while remaining > 0 and k < lines and int(remaining * skew) >= 1:
-        c = min(max(min(int(remaining * skew), width), 1), remaining)
-        for start in range(0, c, chunk):
-            plan.append((k, start, min(chunk, c - start)))
-        remaining -= c
-        k += 1
-    tail = min(remaining, lines - k) if remaining > 0 else 0
+    total = int(math.ceil(nrows * ncols * sparsity))
+    segs = skew_schedule(lines, width, total, skew)
     a = _coprime_multiplier(width, seed)
-    head = spark.createDataFrame(plan, "line LONG, start LONG, len LONG")
-    ones_tail = spark.range(k, k + tail).select(
-        F.col("id").alias("line"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("len")
-    )
-    cells = head.unionByName(ones_tail).select(
+    # Single-line segments form one small table (one row per line); the at
+    # most two multi-line runs (capped lines, single-entry tail) are ranges.
+    singles = [(lo, c) for lo, hi, c in segs if hi - lo == 1]
+    runs = [(lo, hi, c) for lo, hi, c in segs if hi - lo > 1]
+    lines_df = spark.createDataFrame(singles, "line LONG, c LONG")
+    for lo, hi, c in runs:
+        lines_df = lines_df.unionByName(
+            spark.range(lo, hi).select(F.col("id").alias("line"), F.lit(c).cast("long").alias("c"))
+        )
+    nchunks = ((F.col("c") + F.lit(chunk - 1)) / F.lit(chunk)).cast("long")
+    cells = lines_df.select(
+        "line", "c", F.explode(F.sequence(F.lit(0).cast("long"), nchunks - 1)).alias("chunk")
+    ).select(
         "line",
-        F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("t"),
+        F.explode(
+            F.sequence(
+                F.col("chunk") * F.lit(chunk),
+                F.least(F.col("chunk") * F.lit(chunk) + F.lit(chunk), F.col("c")) - F.lit(1),
+            )
+        ).alias("t"),
     )
     off = F.pmod(F.xxhash64("line", F.lit(seed)), F.lit(width))
     pos = F.pmod(F.col("t") * F.lit(a) + off, F.lit(width))
-    val = F.rand(seed) + F.lit(1e-9)
     if by == "row":
-        e = cells.select(F.col("line").alias("i"), pos.alias("j"), val.alias("v"))
+        e = cells.select(F.col("line").alias("i"), pos.alias("j"))
     else:
-        e = cells.select(pos.alias("i"), F.col("line").alias("j"), val.alias("v"))
-    return Mat(canon(e), nrows, ncols)
+        e = cells.select(pos.alias("i"), F.col("line").alias("j"))
+    v = F.lit(1.0) - uniform_hash(seed, "i", "j")
+    return Mat(e.withColumn("v", v), nrows, ncols)

@@ -2,7 +2,10 @@
 
 All readers are ``spark.read.text`` followed by column expressions, so files
 are split across tasks by Spark and nothing passes through the driver; the
-only eager steps are the optional shape checks (one aggregate each).
+only eager steps are the optional shape checks (one aggregate each).  Each
+``read_*`` is a thin ``spark.read.text`` over a ``parse_*_lines`` function
+that takes any DataFrame with a string column ``value`` (one line per row),
+so the same parsing also applies to lines produced by another job.
 """
 
 from __future__ import annotations
@@ -23,7 +26,11 @@ DENSE_SKIP_TOKENS = ("#", "Sample", "HG", "NA")
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     """Whitespace-separated ``src dst`` per line; ``#`` lines dropped;
     returns entries ``(i=src, j=dst, v=1.0)`` (0-based as written)."""
-    lines = spark.read.text(path)
+    return parse_edge_lines(spark.read.text(path))
+
+
+def parse_edge_lines(lines: DataFrame) -> DataFrame:
+    """S1 on a DataFrame of lines (column ``value``)."""
     f = split_ws("value")
     return (
         lines.filter(~F.trim(F.col("value")).startswith("#") & (F.length(F.trim("value")) > 0))
@@ -35,10 +42,15 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_triplets(spark: SparkSession, path: str, one_based: bool = True) -> DataFrame:
     """``row col value`` per line (1-based by default) -> 0-based entries."""
+    return parse_triplet_lines(spark.read.text(path), one_based)
+
+
+def parse_triplet_lines(lines: DataFrame, one_based: bool = True) -> DataFrame:
+    """S2 on a DataFrame of lines (column ``value``)."""
     f = split_ws("value")
     shift = 1 if one_based else 0
     return (
-        spark.read.text(path)
+        lines
         .filter(F.length(F.trim("value")) > 0)
         .select(
             (F.get(f, 0).try_cast("long") - shift).alias("i"),
@@ -65,7 +77,18 @@ def read_dense_table(
     (``ARRAY<STRING>``) to ``ARRAY<DOUBLE>`` (F3).  With ``check`` the
     declared row count and value-field count are verified in one aggregate.
     """
-    lines = spark.read.text(path)
+    return parse_dense_lines(spark.read.text(path), nrows, ncols, parser, skip_tokens, check)
+
+
+def parse_dense_lines(
+    lines: DataFrame,
+    nrows: int | None = None,
+    ncols: int | None = None,
+    parser: Callable[[Column], Column] = parse_doubles,
+    skip_tokens: tuple[str, ...] = DENSE_SKIP_TOKENS,
+    check: bool = True,
+) -> DataFrame:
+    """S3 on a DataFrame of lines (column ``value``)."""
     keep = F.lit(True)
     for tok in skip_tokens:
         keep = keep & ~F.col("value").contains(tok)
@@ -93,7 +116,12 @@ def read_dense(spark: SparkSession, path: str, nrows: int, ncols: int, **kw) ->
 
 def read_genotypes(spark: SparkSession, path: str, nrows: int | None = None, ncols: int | None = None, missing: str = "zero") -> DataFrame:
     """Genotype dense file -> ``(snp, sample, g)``; ``NaN``/``-1`` -> 0 or NULL."""
-    t = read_dense_table(
-        spark, path, nrows, ncols, parser=lambda c: parse_genotypes(c, missing), skip_tokens=("Sample",)
+    return parse_genotype_lines(spark.read.text(path), nrows, ncols, missing)
+
+
+def parse_genotype_lines(lines: DataFrame, nrows: int | None = None, ncols: int | None = None, missing: str = "zero") -> DataFrame:
+    """S4 on a DataFrame of lines (column ``value``)."""
+    t = parse_dense_lines(
+        lines, nrows, ncols, parser=lambda c: parse_genotypes(c, missing), skip_tokens=("Sample",)
     )
     return t.select(F.col("i").alias("snp"), F.col("j").alias("sample"), F.col("v").cast("int").alias("g"))

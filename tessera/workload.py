@@ -507,3 +507,237 @@ REGISTRY.update(
         "chain_cost_ordered": chain_cost_ordered,
     }
 )
+
+
+# --- S1-S4 text parsing, on lines derived from the tables ---------------------
+# The readers are ``spark.read.text`` + the same ``parse_*_lines``; here the
+# lines come from a Spark job over the tables, so the parse runs over whole
+# tables without writing files.
+
+
+def _edge_lines(spark, d):
+    li = T.table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_linenumber")
+    sep = F.when(F.col("l_linenumber") % 2 == 0, F.lit("\t")).otherwise(F.lit("  "))
+    body = li.select(F.concat(F.col("l_suppkey").cast("string"), sep, F.col("l_partkey").cast("string")).alias("value"))
+    comments = T.table(spark, d, "nation", "n_name").select(F.concat(F.lit("# "), "n_name").alias("value"))
+    return body.unionByName(comments)
+
+
+def edge_list_text(spark, d):
+    from tessera.sources.entries import from_entries
+    from tessera.sources.text import parse_edge_lines
+
+    dm = T.dims(spark, d)
+    return _m(from_entries(parse_edge_lines(_edge_lines(spark, d)), dm["supp"], dm["part"]))
+
+
+def triplets_text(spark, d):
+    from tessera.sources.entries import from_entries
+    from tessera.sources.text import parse_triplet_lines
+
+    dm = T.dims(spark, d)
+    li = T.table(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_quantity")
+    lines = li.select(
+        F.concat_ws(" ", (F.col("l_suppkey") + 1).cast("string"), (F.col("l_partkey") + 1).cast("string"),
+                    F.col("l_quantity").cast("string")).alias("value")
+    )
+    return _m(from_entries(parse_triplet_lines(lines, one_based=True), dm["supp"], dm["part"]))
+
+
+def dense_text(spark, d):
+    from tessera.sources.text import parse_dense_lines
+
+    dm = T.dims(spark, d)
+    em = T.table(spark, d, "embeddings", "vec_id", "embedding")
+    vals = F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), "\t")
+    body = em.select(F.concat_ws("\t", (F.col("vec_id") + 1).cast("string"), vals).alias("value"))
+    header = spark.range(1).select(
+        F.concat_ws("\t", F.lit("Sample"), F.array_join(F.sequence(F.lit(1), F.lit(dm["dim"])), "\t")).alias("value")
+    )
+    return parse_dense_lines(body.unionByName(header), dm["vec"], dm["dim"]).select("i", "j", "v")
+
+
+def genotype_text(spark, d):
+    from tessera.sources.text import parse_genotype_lines
+
+    dm = T.dims(spark, d)
+    em = T.table(spark, d, "embeddings", "vec_id", "label", "embedding")
+
+    def call(m):
+        g = F.pmod(F.col("label") * (m + 1) + m, F.lit(3)).cast("string")
+        miss = F.element_at(F.col("embedding"), (m + 1).cast("int")).cast("double") < F.lit(-0.15)
+        code = F.when(F.col("vec_id") % 2 == 0, F.lit("NaN")).otherwise(F.lit("-1"))
+        return F.when(miss, code).otherwise(g)
+
+    snps = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(T.N_SNPS - 1).cast("long")), call)
+    lines = em.select(F.concat_ws("\t", (F.col("vec_id") + 1).cast("string"), F.array_join(snps, "\t")).alias("value"))
+    t = parse_genotype_lines(lines, dm["vec"], T.N_SNPS, missing="null")
+    # One line per sample: rows are samples, columns SNPs.
+    return t.select(F.col("sample").alias("snp"), F.col("snp").alias("sample"), "g")
+
+
+# --- S6-S17 layouts and generators -----------------------------------------------
+
+
+def row_layout(spark, d):
+    from tessera.sources.entries import to_rows
+
+    r = to_rows(T.q_matrix(spark, d))
+    return r.select(
+        "i",
+        F.size("vec").cast("long").alias("nnz"),
+        F.get("vec", 0)["j"].alias("first_j"),
+        F.get("vec", F.size("vec") - 1)["j"].alias("last_j"),
+        F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x["v"]).alias("total"),
+    )
+
+
+def zeros_add(spark, d):
+    from tessera.sources.entries import zeros
+
+    q = T.q_matrix(spark, d)
+    return _m(J.add(q, zeros(spark, q.nrows, q.ncols)))
+
+
+def ones_product(spark, d):
+    from tessera.sources.entries import ones
+
+    q = T.q_matrix(spark, d)
+    return _m(J.matmul(q, ones(spark, q.ncols, 3)))
+
+
+def ones_index(spark, d):
+    from tessera.sources.entries import ones_like_index
+
+    dm = T.dims(spark, d)
+    li = T.table(spark, d, "lineitem", "l_suppkey", "l_returnflag").filter(F.col("l_returnflag") == "R")
+    return _v(ones_like_index(li.select(F.col("l_suppkey").alias("i")), dm["supp"]))
+
+
+def ones_columns(spark, d):
+    from tessera.sources.entries import ones_for_columns
+
+    q = T.q_matrix(spark, d)
+    return _v(J.matvec(q, ones_for_columns(q)))
+
+
+def identity_product(spark, d):
+    from tessera.sources.entries import eye
+
+    q = T.q_matrix(spark, d)
+    return _m(J.matmul(q, eye(spark, q.ncols)))
+
+
+def diag_scale(spark, d):
+    from tessera.sources.entries import diag
+
+    return _m(J.matmul(diag(T.x_vector(spark, d)), T.q_matrix(spark, d)))
+
+
+def column_major(spark, d):
+    from tessera.sources.entries import from_column_major_table
+
+    dm = T.dims(spark, d)
+    em = T.table(spark, d, "embeddings", "vec_id", "embedding")
+    return _m(from_column_major_table(em, dm["dim"], dm["vec"], "embedding", "vec_id"))
+
+
+RANDOM_DENSITY = 0.125
+SKEW = 0.25
+
+
+def _skewed(spark, d):
+    from tessera.sources.entries import skewed_sparse
+
+    dm = T.dims(spark, d)
+    return skewed_sparse(spark, dm["supp"], dm["part"], RANDOM_DENSITY, SKEW, by="row")
+
+
+def skewed_lines(spark, d):
+    """Entries per line of the skewed generator over Q's shape."""
+    return _skewed(spark, d).df.groupBy(F.col("i").alias("line")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def random_summary(spark, d):
+    """S11-S13, S16 checked by what is exact: entry counts, distinct cells,
+    bounds and value ranges (values are cell hashes)."""
+    from tessera.sources.entries import rand_matrix, randn_matrix, sprand
+
+    dm = T.dims(spark, d)
+    m, n = dm["supp"], dm["part"]
+    gens = {
+        "rand": (rand_matrix(spark, m, dm["psize"], 1.0, 2.0, seed=3), (F.col("v") >= 1.0) & (F.col("v") < 2.0)),
+        "randn": (randn_matrix(spark, m, dm["psize"], seed=5), ~F.isnan("v") & (F.abs("v") < 50)),
+        "sprand": (sprand(spark, m, n, RANDOM_DENSITY, seed=9), (F.col("v") >= 0.0) & (F.col("v") < 1.0)),
+        "sprandn": (sprand(spark, m, n, RANDOM_DENSITY, seed=9, normal=True), ~F.isnan("v")),
+        "skewed": (_skewed(spark, d), (F.col("v") > 0.0) & (F.col("v") <= 1.0)),
+    }
+    out = None
+    for kind, (g, ok) in gens.items():
+        oos = (F.col("i") < 0) | (F.col("i") >= g.nrows) | (F.col("j") < 0) | (F.col("j") >= g.ncols)
+        per_key = g.df.groupBy("i", "j").agg(
+            F.count(F.lit(1)).alias("c"),
+            F.sum(oos.cast("long")).alias("oos"),
+            F.sum(ok.cast("long")).alias("ok"),
+        )
+        r = per_key.agg(
+            F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("nnz"),
+            F.coalesce(F.sum((F.col("c") > 1).cast("long")), F.lit(0)).cast("long").alias("duplicate_keys"),
+            F.coalesce(F.sum("oos"), F.lit(0)).cast("long").alias("out_of_shape"),
+            F.coalesce(F.sum("ok"), F.lit(0)).cast("long").alias("in_range"),
+        )
+        r = r.select(F.lit(kind).alias("kind"), "nnz", "duplicate_keys", "out_of_shape", "in_range")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+# --- K3, K5, X7 ------------------------------------------------------------------
+
+
+def stat(spark, d):
+    return A.stat(T.q_matrix(spark, d), 10, 500)
+
+
+def validate(spark, d):
+    from tessera.core import Mat
+    from tessera.operators.sinks import validate as K5
+
+    q, dd = T.q_matrix(spark, d), T.d_matrix(spark, d)
+    bag = Mat(q.df.unionByName(dd.df), q.nrows, q.ncols)
+    return K5(bag)
+
+
+def partition_by_axis(spark, d):
+    q = T.q_matrix(spark, d)
+    out = None
+    for axis, part in (("row", X.partition_by_row(q, 8)), ("col", X.partition_by_column(q, 8))):
+        key = "i" if axis == "row" else "j"
+        t = part.df.withColumn("pid", F.spark_partition_id()).groupBy(F.col(key).alias("k")).agg(
+            F.count(F.lit(1)).alias("nnz"), F.count_distinct("pid").alias("n_parts")
+        )
+        t = t.select(F.lit(axis).alias("axis"), "k", "nnz", "n_parts")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+REGISTRY.update(
+    {
+        "edge_list_text": edge_list_text,
+        "triplets_text": triplets_text,
+        "dense_text": dense_text,
+        "genotype_text": genotype_text,
+        "row_layout": row_layout,
+        "zeros_add": zeros_add,
+        "ones_product": ones_product,
+        "ones_index": ones_index,
+        "ones_columns": ones_columns,
+        "identity_product": identity_product,
+        "diag_scale": diag_scale,
+        "column_major": column_major,
+        "skewed_lines": skewed_lines,
+        "random_summary": random_summary,
+        "stat": stat,
+        "validate": validate,
+        "partition_by_axis": partition_by_axis,
+    }
+)

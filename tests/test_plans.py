@@ -12,6 +12,10 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def formatted_plan(spark, df):
+    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_no_cartesian_product(spark, name):
     df = E.queries()[name](spark, SF)
@@ -24,9 +28,7 @@ def test_flagship_plan_broadcasts_bounded_side_and_prunes(spark):
     df = E.entry(spark)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
-    formatted = df._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.FormattedMode$.MODULE$
-    ) if hasattr(spark._jvm, "org") else ""
+    formatted = formatted_plan(spark, df)
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double>" in formatted
 
 
@@ -52,7 +54,5 @@ def test_lookup_filter_pushed(spark):
     )
     m = from_entries(src, 10, 200, unique=True)
     df = El.lookup(m, 3, 7)
-    formatted = df._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.FormattedMode$.MODULE$
-    )
+    formatted = formatted_plan(spark, df)
     assert "PushedFilters" in formatted and "EqualTo(l_suppkey,3)" in formatted
