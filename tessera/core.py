@@ -177,14 +177,16 @@ def range_checked(df: DataFrame, nrows: int, ncols: int | None = None) -> DataFr
     """Raise at execution time if an index leaves the declared shape.
 
     The check is a projection (``raise_error`` inside ``when``), so it costs no
-    extra job and stays inside whole-stage codegen.
+    extra job and stays inside whole-stage codegen.  It guards the value
+    column and leaves the keys untouched, so filters on ``i``/``j`` still
+    reach the parquet scan.
     """
     bad = (F.col("i") < 0) | (F.col("i") >= F.lit(nrows))
     if ncols is not None:
         bad = bad | (F.col("j") < 0) | (F.col("j") >= F.lit(ncols))
     msg = f"index outside declared shape ({nrows}, {ncols})"
     return df.withColumn(
-        "i", F.when(bad, F.raise_error(F.lit(msg)).cast("long")).otherwise(F.col("i"))
+        "v", F.when(bad, F.raise_error(F.lit(msg)).cast("double")).otherwise(F.col("v"))
     )
 
 

@@ -194,6 +194,6 @@ def test_hash_generators_are_layout_independent(spark):
     a = S2.rand_matrix(spark, 30, 7, seed=4).df
     b = S2.rand_matrix(spark, 30, 7, seed=4).df.repartition(5)
     assert sorted(a.collect()) == sorted(b.collect())
-    sp = S2.sprandn(spark, 40, 40, 0.2, seed=2) if hasattr(S2, "sprandn") else S2.sprand(spark, 40, 40, 0.2, seed=2, normal=True)
+    sp = S2.sprand(spark, 40, 40, 0.2, seed=2, normal=True)
     rows = sp.df.collect()
     assert len(rows) == 320 and len({(r.i, r.j) for r in rows}) == 320
