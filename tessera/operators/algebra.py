@@ -124,6 +124,25 @@ def matmul(a: Mat, b: Mat, strategy: str = "auto") -> Mat:
     return Mat(canon(out), a.nrows, b.ncols)
 
 
+def gram(a: Mat, strategy: str = "auto") -> Mat:
+    """``A Aᵀ`` using symmetry: only pairs with ``i <= i'`` are joined and
+    aggregated (about half the partial products), and the strict upper
+    triangle is mirrored in the same projection (``explode`` of one or two
+    cells per row), so the join is computed once."""
+    t = product_terms(a, transpose_of(a), strategy).filter(F.col("i") <= F.col("j"))
+    up = t.groupBy("i", "j").agg(F.sum("p").alias("v"))
+    cells = F.when(
+        F.col("i") < F.col("j"),
+        F.array(F.struct("i", "j", "v"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "v")),
+    ).otherwise(F.array(F.struct("i", "j", "v")))
+    out = up.select(F.explode(cells).alias("c")).select("c.i", "c.j", "c.v")
+    return Mat(canon(out), a.nrows, a.nrows)
+
+
+def transpose_of(a: Mat) -> Mat:
+    return Mat(a.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), a.ncols, a.nrows, a.dense)
+
+
 def matmul_broadcast(a: Mat, b: Mat) -> Mat:
     """Product with one side replicated (checked against its shape)."""
     return matmul(a, b, strategy="broadcast")

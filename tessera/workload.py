@@ -104,8 +104,7 @@ def divide_vector(spark, d):
 
 
 def matmul_gram(spark, d):
-    q = T.q_matrix(spark, d)
-    return _m(J.matmul(q, q.T))
+    return _m(J.gram(T.q_matrix(spark, d)))
 
 
 def matmul_shuffle(spark, d):
