@@ -197,3 +197,30 @@ def test_hash_generators_are_layout_independent(spark):
     sp = S2.sprand(spark, 40, 40, 0.2, seed=2, normal=True)
     rows = sp.df.collect()
     assert len(rows) == 320 and len({(r.i, r.j) for r in rows}) == 320
+
+
+def test_gram_symmetric_product(spark):
+    a = rand_sparse(9, 6)
+    ma = mat_from_dense(spark, a)
+    np.testing.assert_allclose(dense(J.gram(ma)), a @ a.T)
+
+
+@pytest.mark.usefixtures("skewed")
+def test_gram_under_skew(spark):
+    a = rand_sparse(9, 6, hot_col=2)
+    np.testing.assert_allclose(dense(J.gram(mat_from_dense(spark, a))), a @ a.T)
+
+
+def test_global_prefix_sum_is_split(spark):
+    from tessera.plans.skew import prefix_sum
+
+    spark.conf.set("tessera.skew.hotKeyRows", "5")
+    try:
+        df = spark.range(200).selectExpr("id AS k", "(id % 7) AS w")
+        out = {r["k"]: r["c"] for r in prefix_sum(df, [], "k", "w", "c").collect()}
+        w = np.arange(200) % 7
+        assert [out[k] for k in range(200)] == list(np.cumsum(w))
+        p = prefix_sum(df, [], "k", "w", "c")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in p
+    finally:
+        spark.conf.unset("tessera.skew.hotKeyRows")
