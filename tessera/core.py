@@ -35,6 +35,7 @@ CONF_BROADCAST_ROWS = "tessera.broadcast.maxRows"
 CONF_HOT_KEY_ROWS = "tessera.skew.hotKeyRows"
 CONF_MAX_HOT_KEYS = "tessera.skew.maxHotKeys"
 CONF_DENSE_CELLS = "tessera.dense.maxCells"
+CONF_SEGMENT_COLS = "tessera.layout.segmentCols"
 
 _DEFAULTS = {
     # 4M entries of (long, long, double) ~ 100 MB as a hashed relation.
@@ -45,6 +46,8 @@ _DEFAULTS = {
     CONF_MAX_HOT_KEYS: 100_000,
     # Collect-to-local (K2) refuses larger shapes.
     CONF_DENSE_CELLS: 10_000_000,
+    # Row/column layouts hold at most this many index values per record.
+    CONF_SEGMENT_COLS: 1_000_000,
 }
 
 

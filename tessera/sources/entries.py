@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.core import ENTRY_SCHEMA, VECTOR_SCHEMA, Mat, Vec, canon, range_checked, require
+from tessera.core import CONF_SEGMENT_COLS, ENTRY_SCHEMA, VECTOR_SCHEMA, Mat, Vec, canon, conf_int, range_checked, require
 
 
 def infer_shape(df: DataFrame) -> tuple[int, int]:
@@ -65,18 +65,32 @@ def vector_from_entries(df: DataFrame, size: int | None = None, unique: bool = F
     return Vec(e, int(size))
 
 
-def to_rows(m: Mat) -> DataFrame:
-    """Row layout ``(i, vec ARRAY<STRUCT<j, v>>)`` sorted by j.
+def to_rows(m: Mat, segment: int | None = None) -> DataFrame:
+    """Row layout ``(i, seg, vec ARRAY<STRUCT<j, v>>)``, ``vec`` sorted by j.
 
-    A row holds at most ``ncols`` entries (declared bound); the row layout is a
-    derived view for row-wise consumers, the entry table stays canonical.
+    A record holds the entries of row ``i`` with ``j div segment == seg``, so
+    it has at most ``segment`` entries (``tessera.layout.segmentCols``) even
+    when one row holds a large share of the matrix; a row narrower than the
+    segment width is one record with ``seg = 0``.  Records of a row cover
+    disjoint, ordered column ranges.  The entry table stays canonical.
     """
-    return m.df.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("vec"))
+    w = segment or conf_int(m.spark, CONF_SEGMENT_COLS)
+    seg = (F.col("j") / F.lit(w)).cast("long")
+    return m.df.groupBy("i", seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("vec"))
 
 
-def to_columns(m: Mat) -> DataFrame:
-    """Column layout ``(j, vec ARRAY<STRUCT<i, v>>)`` sorted by i."""
-    return m.df.groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vec"))
+def to_columns(m: Mat, segment: int | None = None) -> DataFrame:
+    """Column layout ``(j, seg, vec ARRAY<STRUCT<i, v>>)`` sorted by i, with
+    the same per-record bound as :func:`to_rows`."""
+    w = segment or conf_int(m.spark, CONF_SEGMENT_COLS)
+    seg = (F.col("i") / F.lit(w)).cast("long")
+    return m.df.groupBy("j", seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vec"))
+
+
+def from_rows(rows: DataFrame, nrows: int, ncols: int) -> Mat:
+    """Inverse of :func:`to_rows`."""
+    e = rows.select("i", F.explode("vec").alias("e")).select("i", "e.j", "e.v")
+    return Mat(e, nrows, ncols)
 
 
 def zeros(spark: SparkSession, nrows: int, ncols: int) -> Mat:

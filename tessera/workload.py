@@ -579,15 +579,23 @@ def genotype_text(spark, d):
 
 
 def row_layout(spark, d):
+    """Row layout, cut into column segments of 500 (Q has 2000+ columns,
+    so rows span several records); reported per row."""
     from tessera.sources.entries import to_rows
 
-    r = to_rows(T.q_matrix(spark, d))
-    return r.select(
+    r = to_rows(T.q_matrix(spark, d), segment=500)
+    per_seg = r.select(
         "i",
-        F.size("vec").cast("long").alias("nnz"),
-        F.get("vec", 0)["j"].alias("first_j"),
-        F.get("vec", F.size("vec") - 1)["j"].alias("last_j"),
-        F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x["v"]).alias("total"),
+        F.size("vec").cast("long").alias("n"),
+        F.get("vec", 0)["j"].alias("lo"),
+        F.get("vec", F.size("vec") - 1)["j"].alias("hi"),
+        F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x["v"]).alias("s"),
+    )
+    return per_seg.groupBy("i").agg(
+        F.sum("n").cast("long").alias("nnz"),
+        F.min("lo").alias("first_j"),
+        F.max("hi").alias("last_j"),
+        F.sum("s").alias("total"),
     )
 
 

@@ -224,3 +224,17 @@ def test_global_prefix_sum_is_split(spark):
         assert "CartesianProduct" not in p
     finally:
         spark.conf.unset("tessera.skew.hotKeyRows")
+
+
+def test_row_layout_segments_are_bounded_and_round_trip(spark):
+    a = rand_sparse(5, 9, density=0.9, hot_col=4)
+    ma = mat_from_dense(spark, a)
+    rows = S.to_rows(ma, segment=3)
+    recs = rows.collect()
+    assert all(len(r["vec"]) <= 3 for r in recs)
+    for r in recs:
+        js = [e["j"] for e in r["vec"]]
+        assert js == sorted(js) and all(j // 3 == r["seg"] for j in js)
+    np.testing.assert_allclose(dense(S.from_rows(rows, 5, 9)), a)
+    cols = S.to_columns(ma, segment=2).collect()
+    assert all(len(r["vec"]) <= 2 for r in cols)
