@@ -93,12 +93,13 @@ def divide_vector(a: Mat, x: Vec) -> Mat:
 # ---------------------------------------------------------------------------
 
 
-def product_terms(a: Mat, b: Mat, strategy: str = "auto") -> DataFrame:
+def product_terms(a: Mat, b: Mat, strategy: str = "auto", transpose_pair: bool = False) -> DataFrame:
     """Joined partial products ``(i, j, p)`` of ``A @ B`` before aggregation.
 
     ``strategy``: ``auto`` (broadcast a side proven small by its shape, else
     skew-split shuffle), ``broadcast`` (J7, requires a side that fits),
-    ``shuffle`` (force the skew-split shuffle join).
+    ``shuffle`` (force the skew-split shuffle join).  ``transpose_pair``
+    states ``b = aᵀ``, so hot inner indices are counted once.
     """
     require(a.ncols == b.nrows, f"inner dimensions differ: {a.shape} @ {b.shape}")
     spark = a.spark
@@ -113,7 +114,7 @@ def product_terms(a: Mat, b: Mat, strategy: str = "auto") -> DataFrame:
         else:
             joined = F.broadcast(A).join(B, "k")
     else:
-        joined = salted_join(A, B, ["k"])
+        joined = salted_join(A, B, ["k"], same_key_counts=transpose_pair)
     return joined.select("i", "j", (F.col("av") * F.col("bv")).alias("p"))
 
 
@@ -129,7 +130,7 @@ def gram(a: Mat, strategy: str = "auto") -> Mat:
     aggregated (about half the partial products), and the strict upper
     triangle is mirrored in the same projection (``explode`` of one or two
     cells per row), so the join is computed once."""
-    t = product_terms(a, transpose_of(a), strategy).filter(F.col("i") <= F.col("j"))
+    t = product_terms(a, transpose_of(a), strategy, transpose_pair=True).filter(F.col("i") <= F.col("j"))
     up = t.groupBy("i", "j").agg(F.sum("p").alias("v"))
     cells = F.when(
         F.col("i") < F.col("j"),

@@ -64,22 +64,29 @@ def salted_join(
     keys: list[str],
     split_left: bool = True,
     split_right: bool = True,
+    same_key_counts: bool = False,
 ) -> DataFrame:
     """Inner equi-join on the shared columns ``keys`` with hot keys split.
 
     Pass ``split_left=False`` / ``split_right=False`` for a side whose keys are
     known to be unique (a vector, a per-group table): its hot-key count is then
-    skipped.
+    skipped.  ``same_key_counts=True`` states that both sides have the same
+    number of rows per key (``A`` against ``Aᵀ`` on the inner index), so
+    the keys are counted once.
     """
     spark = left.sparkSession
     threshold = conf_int(spark, CONF_HOT_KEY_ROWS)
     max_hot = conf_int(spark, CONF_MAX_HOT_KEYS)
 
     parts = []
-    if split_left:
-        parts.append(_hot_counts(left, keys, threshold, _NL))
-    if split_right:
-        parts.append(_hot_counts(right, keys, threshold, _NR))
+    if same_key_counts and split_left and split_right:
+        c = _hot_counts(left, keys, threshold, _NL)
+        parts.append(c.withColumn(_NR, F.col(_NL)))
+    else:
+        if split_left:
+            parts.append(_hot_counts(left, keys, threshold, _NL))
+        if split_right:
+            parts.append(_hot_counts(right, keys, threshold, _NR))
     if not parts:
         return left.join(right, keys, "inner")
     hot = parts[0]
