@@ -198,7 +198,7 @@ def block_cyclic_ids(m: Mat, rows_per_block: int, cols_per_block: int, grid_rows
 def partition_by_expression(m: Mat, n: int, pid) -> Mat:
     """user partitioner -- ``pid`` is a Column expression over ``i``/``j``
     giving the target partition in ``[0, n)``."""
-    return Mat(m.df.repartitionById(n, pid), m.nrows, m.ncols, m.dense)
+    return Mat(m.df.repartitionById(n, pid.cast("int")), m.nrows, m.ncols, m.dense)
 
 
 def repartition(m: Mat, n: int) -> Mat:

@@ -532,7 +532,8 @@ SQL.update(
         "partition_by_axis": with_(
             ["q"],
             """SELECT 'row' AS axis, i AS k, count(*) AS nnz, 1::BIGINT AS n_parts FROM q GROUP BY i
-               UNION ALL SELECT 'col' AS axis, j AS k, count(*) AS nnz, 1::BIGINT AS n_parts FROM q GROUP BY j""",
+               UNION ALL SELECT 'col' AS axis, j AS k, count(*) AS nnz, 1::BIGINT AS n_parts FROM q GROUP BY j
+               UNION ALL SELECT 'expr' AS axis, (i + j) % 8 AS k, count(*) AS nnz, 1::BIGINT AS n_parts FROM q GROUP BY 2""",
         ),
     }
 )

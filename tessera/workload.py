@@ -724,7 +724,14 @@ def partition_by_axis(spark, d):
         )
         t = t.select(F.lit(axis).alias("axis"), "k", "nnz", "n_parts")
         out = t if out is None else out.unionByName(t)
-    return out
+    # user partitioner; every row must land in the partition its
+    # expression names, so grouping by the actual partition id reproduces
+    # grouping by the expression.
+    pid = F.pmod(F.col("i") + F.col("j"), F.lit(8))
+    u = X.partition_by_expression(q, 8, pid).df.select(F.spark_partition_id().alias("k"), pid.alias("want"))
+    t = u.groupBy("k").agg(F.count(F.lit(1)).alias("nnz"), F.count_distinct("want").alias("n_parts"))
+    t = t.select(F.lit("expr").alias("axis"), F.col("k").cast("long").alias("k"), "nnz", "n_parts")
+    return out.unionByName(t)
 
 
 REGISTRY.update(
