@@ -12,17 +12,52 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec, canon, cut_lineage
+from tessera.core import Mat, Vec, canon, cut_lineage, fits_broadcast
 from tessera.operators import algebra as J
 from tessera.operators import elementwise as E
 from tessera.operators.reshape import vec, vec_stack
+from tessera.plans.skew import join_prepared, prepare_repeated_join
 
 
 def _persist(m: Mat) -> Mat:
     return Mat(m.df.persist(StorageLevel.MEMORY_AND_DISK), m.nrows, m.ncols, m.dense)
 
 
-def gnmf_step(V: Mat, W: Mat, H: Mat, eps: float = 1e-8, materialize=None) -> tuple[Mat, Mat]:
+class _PreparedV:
+    """A fixed data matrix prepared for products against changing factors.
+
+    Used when the factors are too large to broadcast: ``V`` is salted on its
+    hot row / column indices and hash-partitioned once by ``i`` and once by
+    ``j`` (both copies persisted), so each iteration shuffles only the
+    factor side and never counts V's keys again.
+    """
+
+    def __init__(self, V: Mat):
+        base = V.df.select("i", "j", "v")
+        by_i, self.hot_i = prepare_repeated_join(base, ["i"])
+        by_j, self.hot_j = prepare_repeated_join(base, ["j"])
+        self.by_i = by_i.persist(StorageLevel.MEMORY_AND_DISK)
+        self.by_j = by_j.persist(StorageLevel.MEMORY_AND_DISK)
+        self.V = V
+
+    def wt_v(self, W: Mat) -> Mat:
+        """``Wᵀ V`` (r x n): join on the row index of V."""
+        ws = W.df.select("i", F.col("j").alias("_a"), F.col("v").alias("_wv"))
+        jn = join_prepared(self.by_i, self.hot_i, ws, ["i"])
+        out = jn.groupBy(F.col("_a").alias("i"), "j").agg(F.sum(F.col("_wv") * F.col("v")).alias("v"))
+        return Mat(canon(out), W.ncols, self.V.ncols)
+
+    def v_ht(self, H: Mat) -> Mat:
+        """``V Hᵀ`` (m x r): join on the column index of V."""
+        hs = H.df.select("j", F.col("i").alias("_a"), F.col("v").alias("_hv"))
+        jn = join_prepared(self.by_j, self.hot_j, hs, ["j"])
+        out = jn.groupBy("i", F.col("_a").alias("j")).agg(F.sum(F.col("v") * F.col("_hv")).alias("v"))
+        return Mat(canon(out), self.V.nrows, H.nrows)
+
+
+def gnmf_step(
+    V: Mat, W: Mat, H: Mat, eps: float = 1e-8, materialize=None, prepared: _PreparedV | None = None
+) -> tuple[Mat, Mat]:
     """P6 one step: ``H <- H * (WᵀV) / ((WᵀW)H + eps)``, then
     ``W <- W * (VHᵀ) / (W(HHᵀ) + eps)``; eps is added to stored entries only.
 
@@ -30,18 +65,17 @@ def gnmf_step(V: Mat, W: Mat, H: Mat, eps: float = 1e-8, materialize=None) -> tu
     formed first (never an m x n intermediate).  The new ``H`` is used three
     times by the ``W`` update, so it is materialised (``materialize``, by
     default a reliable checkpoint) before that: the lazy plan would
-    otherwise repeat its whole computation per use.
+    otherwise repeat its whole computation per use.  With ``prepared`` the
+    two products against V use its pre-partitioned copies.
     """
     mat = materialize or _checkpointed
     Wt = E.transpose(W)
-    H = J.elementwise_divide(
-        J.elementwise_multiply(H, J.matmul(Wt, V)), E.add_scalar(J.matmul(J.matmul(Wt, W), H), eps)
-    )
+    WtV = prepared.wt_v(W) if prepared else J.matmul(Wt, V)
+    H = J.elementwise_divide(J.elementwise_multiply(H, WtV), E.add_scalar(J.matmul(J.matmul(Wt, W), H), eps))
     H = mat(H)
     Ht = E.transpose(H)
-    W = J.elementwise_divide(
-        J.elementwise_multiply(W, J.matmul(V, Ht)), E.add_scalar(J.matmul(W, J.matmul(H, Ht)), eps)
-    )
+    VHt = prepared.v_ht(H) if prepared else J.matmul(V, Ht)
+    W = J.elementwise_divide(J.elementwise_multiply(W, VHt), E.add_scalar(J.matmul(W, J.matmul(H, Ht)), eps))
     return mat(W), H
 
 
@@ -50,14 +84,23 @@ def _checkpointed(m: Mat) -> Mat:
 
 
 def gnmf(V: Mat, W: Mat, H: Mat, iterations: int = 10, eps: float = 1e-8) -> tuple[Mat, Mat]:
-    """``iterations`` multiplicative updates.  The data matrix is
-    persisted once; both factors (``m x r`` and ``r x n``) are cut from their
-    lineage after every update with a reliable checkpoint in
-    ``spark.checkpoint.dir``, so each step plans against two small tables and
-    a lost executor recomputes at most one step."""
-    V = _persist(V)
+    """``iterations`` multiplicative updates.
+
+    Factors that fit the broadcast bound (``m x r`` and ``r x n`` by shape)
+    are broadcast against V, which is persisted once and streamed in place.
+    Otherwise V is prepared once (salted, partitioned by row and by column,
+    persisted) and each iteration shuffles only the factors.  Both factors
+    are cut from their lineage after every update with a reliable checkpoint
+    in ``spark.checkpoint.dir``, so each step plans against two small tables
+    and a lost executor recomputes at most one step."""
+    spark = V.spark
+    prepared = None
+    if fits_broadcast(spark, W.cell_bound) and fits_broadcast(spark, H.cell_bound):
+        V = _persist(V)
+    else:
+        prepared = _PreparedV(V)
     for _ in range(iterations):
-        W, H = gnmf_step(V, W, H, eps)
+        W, H = gnmf_step(V, W, H, eps, prepared=prepared)
     return W, H
 
 

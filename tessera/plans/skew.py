@@ -298,7 +298,8 @@ def prepare_repeated_join(big: DataFrame, keys: list[str], num_partitions: int |
 
     Returns ``(big_salted, hot)``: ``big_salted`` carries a ``_salt`` column
     and is hash-partitioned on ``keys + [_salt]`` (persist it), ``hot`` is the
-    hot-key table (or ``None``).  Each later :func:`join_prepared` then
+    hot-key table (or ``None``; then ``big`` is partitioned on ``keys`` alone
+    and has no salt column).  Each later :func:`join_prepared` then
     shuffles only the small side; the big side's partitioning is reused.
     """
     spark = big.sparkSession
@@ -307,7 +308,9 @@ def prepare_repeated_join(big: DataFrame, keys: list[str], num_partitions: int |
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot, small = _small_table(_hot_counts(big, keys, threshold, _NS), max_hot)
     if hot is None:
-        salted = big.withColumn(_SALT, F.lit(0).cast("long"))
+        # No hot key: partition on the keys alone (a constant salt would be
+        # folded out of the join keys and the partitioning not reused).
+        return big.repartition(n, *keys), (None, True)
     else:
         h = F.broadcast(hot) if small else hot
         cols = [F.col(c) for c in big.columns]
@@ -324,7 +327,7 @@ def join_prepared(big_salted: DataFrame, hot, small_side: DataFrame, keys: list[
     whose keys are unique; the small side is replicated once per split."""
     table, small = hot
     if table is None:
-        rep = small_side.withColumn(_SALT, F.lit(0).cast("long"))
+        return big_salted.join(small_side, keys, "inner")
     else:
         h = F.broadcast(table) if small else table
         rep = (

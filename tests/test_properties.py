@@ -238,3 +238,18 @@ def test_row_layout_segments_are_bounded_and_round_trip(spark):
     np.testing.assert_allclose(dense(S.from_rows(rows, 5, 9)), a)
     cols = S.to_columns(ma, segment=2).collect()
     assert all(len(r["vec"]) <= 2 for r in cols)
+
+
+@pytest.mark.usefixtures("skewed")
+def test_gnmf_prepared_path_matches_numpy(spark):
+    from tessera.plans import factorization as FZ
+
+    v = RNG.integers(1, 9, size=(7, 5)).astype(float)
+    w = RNG.integers(1, 4, size=(7, 2)).astype(float)
+    h = RNG.integers(1, 4, size=(2, 5)).astype(float)
+    Wm, Hm = FZ.gnmf(mat_from_dense(spark, v), mat_from_dense(spark, w), mat_from_dense(spark, h), iterations=3)
+    for _ in range(3):
+        h = h * (w.T @ v) / ((w.T @ w) @ h + 1e-8)
+        w = w * (v @ h.T) / (w @ (h @ h.T) + 1e-8)
+    np.testing.assert_allclose(dense(Hm), h, rtol=1e-9)
+    np.testing.assert_allclose(dense(Wm), w, rtol=1e-9)
