@@ -163,7 +163,25 @@ def test_sinks_roundtrip(spark, tmp_path):
     np.testing.assert_allclose(dense(back), a)
     rep = K.validate(ma).first()
     assert rep["duplicate_keys"] == 0 and rep["out_of_shape"] == 0 and rep["zeros"] == 0
-    assert A.stat(ma, 2, 2).first()["nnz"] == int((a != 0).sum())
+    st = A.stat(ma, 2, 2).first()
+    assert st["nnz"] == int((a != 0).sum())
+    blocks = {(i // 2, j // 2) for i, j in zip(*np.nonzero(a))}
+    assert st["stored_blocks"] == len(blocks) and (st["row_blocks"], st["col_blocks"]) == (3, 2)
+
+
+def test_display_and_local_guard(spark, capsys):
+    from tessera.operators import sinks as K
+
+    ma = mat_from_dense(spark, np.array([[0.0, 2.0], [3.0, 0.0]]))
+    K.display(ma)
+    out = capsys.readouterr().out
+    assert "2.0" in out and "3.0" in out
+    spark.conf.set("tessera.dense.maxCells", "3")
+    try:
+        with pytest.raises(ValueError):
+            K.to_local(ma)
+    finally:
+        spark.conf.unset("tessera.dense.maxCells")
 
 
 def test_skew_schedule_matches_sequential_rule():
