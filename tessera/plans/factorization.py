@@ -101,6 +101,14 @@ def gnmf(V: Mat, W: Mat, H: Mat, iterations: int = 10, eps: float = 1e-8) -> tup
         prepared = _PreparedV(V)
     for _ in range(iterations):
         W, H = gnmf_step(V, W, H, eps, prepared=prepared)
+    if iterations > 0:
+        # The returned factors are read back from the checkpoint folder, so
+        # the cached copies of V can be released.
+        if prepared is not None:
+            prepared.by_i.unpersist()
+            prepared.by_j.unpersist()
+        else:
+            V.df.unpersist()
     return W, H
 
 

@@ -14,8 +14,9 @@ on the source index and one partial-aggregated sum by destination.
   each iteration shuffles only ``x`` (replicated for hot sources).
 
 The iterate is cut from its lineage with a reliable checkpoint every few
-iterations (written to ``spark.checkpoint.dir``), so a lost executor
-recomputes at most that many steps and the plan never grows.
+iterations and after the last one (written to ``spark.checkpoint.dir``), so
+a lost executor recomputes at most that many steps, the plan never grows,
+and the cached transition matrix is released before returning.
 """
 
 from __future__ import annotations
@@ -74,9 +75,12 @@ def pagerank(
             joined = join_prepared(pm, hot, xs, ["j"])
         terms = joined.select("i", (F.col("pv") * F.col("xv")).alias("v")).unionByName(teleport)
         nxt = canon(terms.groupBy("i").agg(F.sum("v").alias("v")))
-        if checkpoint_every and (it + 1) % checkpoint_every == 0 and it + 1 < iterations:
+        last = it + 1 == iterations
+        if last or (checkpoint_every and (it + 1) % checkpoint_every == 0):
             nxt = cut_lineage(nxt)
         x = Vec(nxt, n)
+    # The result is read back from the checkpoint folder: release P's cache.
+    pm.unpersist()
     return x
 
 
