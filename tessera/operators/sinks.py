@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +11,9 @@ from tessera.core import CONF_DENSE_CELLS, Mat, Vec, conf_int, require
 def save(m: Mat | Vec, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """K1: write the entry table (parquet by default, or tab-separated text).
 
-    The shape is written next to the data as ``_shape.json`` by the driver
-    (a few bytes), so :func:`load` restores the declared shape without a job.
+    The declared shape is written next to the data as a one-row JSON table
+    in ``<path>/_shape`` (names starting with ``_`` are skipped by Spark's
+    file readers), so :func:`load` restores the shape without scanning.
     """
     w = m.df.write.mode(mode)
     if fmt == "parquet":
@@ -23,26 +22,18 @@ def save(m: Mat | Vec, path: str, fmt: str = "parquet", mode: str = "overwrite")
         w.option("sep", "\t").csv(path)
     else:
         w.format(fmt).save(path)
-    shape = {"nrows": m.nrows, "ncols": m.ncols} if isinstance(m, Mat) else {"size": m.size}
-    jvm_path = m.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_shape.json")
-    fs = jvm_path.getFileSystem(m.spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(jvm_path, True)
-    out.write(bytearray(json.dumps(shape).encode()))
-    out.close()
+    if isinstance(m, Mat):
+        row, schema = (m.nrows, m.ncols, None), "nrows LONG, ncols LONG, size LONG"
+    else:
+        row, schema = (None, None, m.size), "nrows LONG, ncols LONG, size LONG"
+    m.spark.createDataFrame([row], schema).write.mode("overwrite").json(path + "/_shape")
 
 
 def load(spark, path: str) -> Mat | Vec:
     """Read back a matrix or vector written by :func:`save` (parquet)."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_shape.json")
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.open(jvm_path)
-    reader = spark.sparkContext._jvm.java.io.BufferedReader(
-        spark.sparkContext._jvm.java.io.InputStreamReader(stream)
-    )
-    shape = json.loads(reader.readLine())
-    reader.close()
+    shape = spark.read.schema("nrows LONG, ncols LONG, size LONG").json(path + "/_shape").first()
     df = spark.read.parquet(path)
-    if "size" in shape:
+    if shape["size"] is not None:
         return Vec(df.select("i", "v"), int(shape["size"]))
     return Mat(df.select("i", "j", "v"), int(shape["nrows"]), int(shape["ncols"]))
 
