@@ -9,10 +9,9 @@ sampled block); the products themselves are ordinary J6 plans.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, require
+from tessera.core import Mat, cut_lineage, require
 from tessera.operators.aggregates import _sampled_blocks
 from tessera.operators.algebra import matmul
 
@@ -107,8 +106,11 @@ def chain_cost_ordered(
                 best, best_cost = k, c
         (ma, na, _), (mb, nb, _) = items[best], items[best + 1]
         prod = matmul(ma, mb)
-        # Sampled now and multiplied later: materialise once.
-        prod = Mat(prod.df.persist(StorageLevel.MEMORY_AND_DISK), prod.nrows, prod.ncols)
+        if len(items) > 2:
+            # Sampled now and multiplied later: materialise once, as a table
+            # in the checkpoint folder (survives executor loss, no cache left
+            # behind, real size for the optimizer).
+            prod = Mat(cut_lineage(prod.df), prod.nrows, prod.ncols)
         name = f"({na}{nb})"
         items[best : best + 2] = [(prod, name, product_ratio)]
     m, name = items[0][0], items[0][1]
