@@ -56,3 +56,25 @@ def test_lookup_filter_pushed(spark):
     df = El.lookup(m, 3, 7)
     formatted = formatted_plan(spark, df)
     assert "PushedFilters" in formatted and "EqualTo(l_suppkey,3)" in formatted
+
+
+def test_prepared_data_matrix_is_not_reshuffled(spark):
+    """GNMF with factors too large to broadcast: V's cached copy partitioned
+    by row feeds the join on the row index with no new Exchange."""
+    import numpy as np
+
+    from conftest import mat_from_dense
+    from tessera.plans.factorization import _PreparedV
+
+    spark.conf.set("tessera.broadcast.maxRows", "0")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pv = _PreparedV(mat_from_dense(spark, np.arange(1, 36, dtype=float).reshape(7, 5)))
+        w = mat_from_dense(spark, np.ones((7, 2)))
+        lines = plan_text(pv.wt_v(w).df).splitlines()
+        smj = next(k for k, l in enumerate(lines) if "SortMergeJoin" in l)
+        scan = next(k for k, l in enumerate(lines) if "InMemoryTableScan" in l)
+        assert smj < scan and not any("Exchange" in l for l in lines[smj:scan])
+    finally:
+        spark.conf.unset("tessera.broadcast.maxRows")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
