@@ -240,8 +240,57 @@ def ranks(
     average of the positions they span).  Missing values (NULL) rank last and
     get distinct ranks in ``tiebreak_col`` order, after all present values.
     Both ranks are DOUBLE.
+
+    Groups up to the hot-key threshold are ranked with window functions
+    (one shuffle on the group key; a group is bounded, so it fits a task).
+    Hot groups -- and a single global group -- take the bucketed path
+    (:func:`_ranks_split`), so no group larger than the threshold is ever
+    sorted in one task.
     """
     G = list(group_cols)
+    if not G:
+        return _ranks_split(df, G, value_col, tiebreak_col)
+    spark = df.sparkSession
+    threshold = conf_int(spark, CONF_HOT_KEY_ROWS)
+    max_hot = conf_int(spark, CONF_MAX_HOT_KEYS)
+    sizes = df.groupBy(*G).agg(F.count(F.lit(1)).alias("_gn"))
+    hot, small = _small_table(sizes.filter(F.col("_gn") > F.lit(threshold)).select(*G), max_hot)
+    if hot is None:
+        return _ranks_window(df, G, value_col, tiebreak_col)
+    keyed = F.broadcast(hot) if small else hot
+    cold_rows = df.join(keyed, G, "left_anti")
+    hot_rows = df.join(keyed, G, "left_semi")
+    return _ranks_window(cold_rows, G, value_col, tiebreak_col).unionByName(
+        _ranks_split(hot_rows, G, value_col, tiebreak_col)
+    )
+
+
+def _ranks_window(df: DataFrame, G: list[str], value_col: str, tiebreak_col: str) -> DataFrame:
+    """:func:`ranks` for groups known to be bounded: window functions over a
+    hash partitioning on the group key (which also serves the tie count
+    partitioned by ``group + value``)."""
+    v = F.col(value_col)
+    by_value = Window.partitionBy(*G).orderBy(v.asc_nulls_last())
+    by_position = Window.partitionBy(*G).orderBy(v.asc_nulls_last(), F.col(tiebreak_col))
+    ties = Window.partitionBy(*G, value_col)
+    r = F.rank().over(by_value).cast("double")
+    pos = F.row_number().over(by_position).cast("double")
+    c = F.count(F.lit(1)).over(ties).cast("double")
+    return df.withColumn("rank_min", F.when(v.isNull(), pos).otherwise(r)).withColumn(
+        "rank_avg", F.when(v.isNull(), pos).otherwise(r + (c - 1) / 2.0)
+    )
+
+
+def _ranks_split(
+    df: DataFrame,
+    group_cols: list[str],
+    value_col: str,
+    tiebreak_col: str,
+) -> DataFrame:
+    """:func:`ranks` for hot (or global) groups: ties are pre-aggregated to
+    one row per (group, value), running counts come from the bucketed
+    :func:`prefix_sum`, and ranks are joined back with hot keys split."""
+    G = list(group_cols)
     present = df.filter(F.col(value_col).isNotNull())
     missing = df.filter(F.col(value_col).isNull())
 

@@ -271,3 +271,26 @@ def test_gnmf_prepared_path_matches_numpy(spark):
         w = w * (v @ h.T) / (w @ (h @ h.T) + 1e-8)
     np.testing.assert_allclose(dense(Hm), h, rtol=1e-9)
     np.testing.assert_allclose(dense(Wm), w, rtol=1e-9)
+
+
+def test_ranks_mixed_hot_and_cold_groups(spark):
+    """Group 0 is hot (bucketed path), group 1 is not (window path)."""
+    import pandas as pd
+
+    from tessera.plans.skew import ranks
+
+    vals = [(0, j, float(j % 9)) for j in range(80)] + [(1, j, float(j % 3)) for j in range(7)]
+    vals += [(0, 80, None), (1, 7, None), (1, 8, None)]
+    t = spark.createDataFrame(vals, "g BIGINT, s BIGINT, v DOUBLE")
+    spark.conf.set("tessera.skew.hotKeyRows", "20")
+    try:
+        got = {(r["g"], r["s"]): (r["rank_min"], r["rank_avg"]) for r in ranks(t, ["g"], "v", "s").collect()}
+    finally:
+        spark.conf.unset("tessera.skew.hotKeyRows")
+    pdf = pd.DataFrame(vals, columns=["g", "s", "v"])
+    for g, grp in pdf.groupby("g"):
+        present = grp[grp.v.notna()]
+        for s_, mn, av in zip(present.s, present.v.rank(method="min"), present.v.rank(method="average")):
+            assert got[(g, s_)] == (mn, av)
+        for k, s_ in enumerate(grp[grp.v.isna()].sort_values("s").s):
+            assert got[(g, s_)] == (len(present) + k + 1,) * 2
