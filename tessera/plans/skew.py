@@ -180,7 +180,13 @@ def prefix_sum(
         table, small = (sizes, True) if gn > 0 else (None, True)
 
     if table is None:
-        data = df.withColumn("_b", F.lit(0).cast("int"))
+        # No hot group: one window per group, nothing to offset.
+        w = (
+            (Window.partitionBy(*G) if G else Window.partitionBy())
+            .orderBy(F.col(order_col))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        return df.withColumn(out_col, F.sum(F.col(weight_col)).over(w))
     else:
         if G:
             gmax = table.agg(F.max("_gn")).first()[0] if small else hot.agg(F.max("_gn")).first()[0]
