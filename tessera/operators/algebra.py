@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.core import Mat, Vec, canon, fits_broadcast, require
+from tessera.operators.elementwise import transpose
 from tessera.plans.skew import join_by_bound, salted_join
 
 
@@ -130,7 +131,7 @@ def gram(a: Mat, strategy: str = "auto") -> Mat:
     aggregated (about half the partial products), and the strict upper
     triangle is mirrored in the same projection (``explode`` of one or two
     cells per row), so the join is computed once."""
-    t = product_terms(a, transpose_of(a), strategy, transpose_pair=True).filter(F.col("i") <= F.col("j"))
+    t = product_terms(a, transpose(a), strategy, transpose_pair=True).filter(F.col("i") <= F.col("j"))
     up = t.groupBy("i", "j").agg(F.sum("p").alias("v"))
     cells = F.when(
         F.col("i") < F.col("j"),
@@ -140,10 +141,6 @@ def gram(a: Mat, strategy: str = "auto") -> Mat:
     return Mat(canon(out), a.nrows, a.nrows)
 
 
-def transpose_of(a: Mat) -> Mat:
-    return Mat(a.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), a.ncols, a.nrows, a.dense)
-
-
 def matmul_broadcast(a: Mat, b: Mat) -> Mat:
     """Product with one side replicated (checked against its shape)."""
     return matmul(a, b, strategy="broadcast")
