@@ -40,10 +40,6 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words = {"": b""}
-        if len(self.pre) > CACHE:
-            self.pre = {}
         split: dict[str, list[str]] = {}
         for w in words:
             if _PLAIN.fullmatch(w) and "<|" not in w:
@@ -64,13 +60,13 @@ class WordEncoder:
             self.words[w] = b"".join([self.pre[p] for p in parts])
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.words) > CACHE:
+            self.words = {"": b""}
+        if len(self.pre) > CACHE:
+            self.pre = {}
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        missing = {w for x in split for w in x}.difference(self.words)
-        if missing:
+        if missing := {w for x in split for w in x}.difference(self.words):
             self._learn(missing)
-            missing = {w for x in split for w in x}.difference(self.words)
-            if missing:  # the cache was emptied
-                self._learn(missing)
         known = self.words
         return [b"".join([known[w] for w in x]) for x in split]
 
