@@ -6,9 +6,10 @@ consecutive sentences with at least ``MIN_WORDS`` words is hashed; so is every r
 A global join on the hash finds, for every run, its first occurrence by (doc_id, position); sentences covered by any
 occurrence that is not the first are removed, wherever they stand.
 
-Only the least occurrence of a hash within a task's slice of text has to be compared with the others; later ones in the same
-slice are known to be repeats.  A run that a third of all documents share therefore costs one row per slice, and the
-answer goes back as one row per run that a slice has to remove.
+Most runs occur once.  A first pass marks the hashes that occur more than once in a bitmap of fixed size
+(:mod:`tessera.llm.repeats`), and only runs with a mark become rows of the join.  Of those, only the least occurrence of a hash
+within a task's slice of text has to be compared with the others; later ones in the same slice are known to be repeats.
+A run that a third of all documents share therefore costs one joined row per slice.
 
 Defined cases: null and empty texts have no sentence and come back as the empty text; repeated rows (equal id and text) are
 one document -- each row gets the same result; rows of a null id come first in the order; an empty table gives no row.
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import Scratch, keyed, limit_batches, map_texts, texts_of
+from .common import Scratch, keyed, limit_batches, map_texts, slices, texts_of
+from .repeats import bucket_bits, find_repeats
 
 RUN = 3
 MIN_WORDS = 10
@@ -66,12 +68,25 @@ def runs(parts: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, int]]
 def repeated_sentences(texts: DataFrame) -> DataFrame:
     """``(doc_id, text_hash, covered)``: for each document the sentences (flat array of first and number) covered by runs
     that occurred before.  ``texts``: doc_id, text."""
+    spark = texts.sparkSession
+    limit_batches(spark)
+
+    def keys_of(batch: pa.RecordBatch):
+        for part in slices(batch):
+            found = [key for text in part.column(0).to_pylist() for key, _, _ in runs(sentences(text))]
+            key = np.array(found, np.int64).view(np.uint64)
+            yield key, np.zeros(len(key), np.uint32), np.arange(len(key))  # any two runs count, also of one document
+
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    repeats = spark.sparkContext.broadcast(find_repeats(texts.select("text"), keys_of, bucket_bits(total // 40))[0])
 
     def emit(ids, hashes, texts):
         rows, seen = [], {}
         for doc_id, text_hash, text in zip(ids, hashes, texts):
             for key, i, size in runs(sentences(text)):
                 rows.append((key, doc_id, text_hash, i, size))
+        marked = repeats.value.is_repeated(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+        rows = [r for r, m in zip(rows, marked.tolist()) if m]
         order = sorted(range(len(rows)), key=lambda r: (rows[r][1] is not None, rows[r][1] or 0, rows[r][2], rows[r][3]))
         local = [False] * len(rows)
         for r in order:
@@ -80,7 +95,7 @@ def repeated_sentences(texts: DataFrame) -> DataFrame:
         names = ("key", "doc_id", "text_hash", "at", "size")
         return {n: [x[k] for x in rows] for k, n in enumerate(names)} | {"local": local}
 
-    scratch = Scratch(texts.sparkSession)
+    scratch = Scratch(spark)
     hashed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = scratch.cut(map_texts(hashed, "key long, doc_id long, text_hash long, at int, size int, local boolean", emit))
     known = found.filter("local").select("doc_id", "text_hash", "at", "size")

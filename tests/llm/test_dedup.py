@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import decontam, simhash, spans, suffix
+from tessera.llm import decontam, repeats, simhash, spans, suffix
 
 from . import helpers as H
 
@@ -35,6 +35,7 @@ def test_substrings_on_table(spark):
 def test_substrings_many_flushes_and_buckets(spark, monkeypatch):
     """Small sends and many buckets over many partitions give the same rows."""
     monkeypatch.setattr(suffix, "FLUSH", 500)
+    monkeypatch.setattr(repeats, "FLUSH", 700)
     monkeypatch.setattr(suffix, "BUCKET_ROWS", 300)
     monkeypatch.setattr(suffix, "SAMPLE_DOCS", 5)
     docs = H.read("documents").head(60)
@@ -54,15 +55,19 @@ def test_substrings_empty_table(spark):
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.text("ab \n", max_size=60), min_size=1, max_size=5))
+@given(st.lists(st.text("ab", min_size=20, max_size=140), min_size=1, max_size=5))
 def test_runs_cover_every_window(texts):
-    """Each window of a document lies in one run, and equal windows have equal anchors."""
-    length = 8
+    """Each window of a document lies in one run of either step, and equal windows have equal anchors."""
+    length = 48
     data = [t.encode() for t in texts]
     text = suffix.Text(data, length)
-    doc, first, size, anchor = text.runs()
+    for runs in (text.runs(), text.finer(text.runs())):
+        check_runs(text, runs, data, length)
+
+
+def check_runs(text, runs, data, length):
     seen = {}
-    for d, f, n, a in zip(doc, first, size, anchor):
+    for d, f, n, a in zip(text.document(runs.first), runs.first, runs.size, runs.anchor):
         for k in range(n):
             at = f + k - text.begin[d]
             assert (d, at) not in seen
