@@ -20,7 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Scratch, map_texts
 
 # The rules (host and path) and what each decides.
 RULES = {
@@ -115,9 +115,24 @@ def page_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
     )
 
 
+def most_frequent(counted: DataFrame, wanted: int) -> DataFrame:
+    """Rows of ``counted`` whose ``n`` reaches a bound that at most ``wanted`` rows reach.  The bound comes from a histogram
+    of the logarithms of ``n``, so neither the driver nor a task sees more than ``wanted`` rows or sorts all."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    left, bound = wanted, None
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r.step):
+        left -= r.rows
+        if left < 0:
+            break
+        bound = r.step
+    return counted.filter(step >= bound) if bound is not None else counted.limit(0)
+
+
 def unigrams(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
-    rows = page_words(pages).orderBy(F.desc("n"), "word").limit(max_words).collect()
-    counts = {r.word: r.n for r in rows}
+    scratch = Scratch(pages.sparkSession)
+    words = scratch.cut(page_words(pages))
+    counts = {r.word: r.n for r in most_frequent(words, max_words).collect()}
+    scratch.drop(words)
     floor = 1 + sum(counts.values()) // 100_000
     return counts | {w: max(counts.get(w, 0), floor) for w in SEED_WORDS}
 
@@ -135,15 +150,16 @@ def token_counts(pages: DataFrame, counts, url_col: str, max_tokens: int = MAX_W
                 out.setdefault(w, [0, 0])[k] += 1
         return {"token": list(out), "allow": [x[0] for x in out.values()], "block": [x[1] for x in out.values()]}
 
-    rows = (
+    scratch = Scratch(pages.sparkSession)
+    counted = (
         map_texts(pages.select(F.col(url_col).alias("url")), "token string, allow long, block long", tokens, "url")
         .groupBy("token")
         .agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-        .orderBy(F.desc(F.col("allow") + F.col("block")), "token")
-        .limit(max_tokens)
-        .collect()
     )
-    return {r.token: (r.allow, r.block) for r in rows}
+    counted = scratch.cut(counted.withColumn("n", F.col("allow") + F.col("block")))
+    out = {r.token: (r.allow, r.block) for r in most_frequent(counted, max_tokens).collect()}
+    scratch.drop(counted)
+    return out
 
 
 def log_odds(counts: dict[str, tuple[int, int]]) -> dict[str, float]:

@@ -258,3 +258,11 @@ def test_urls_odd_rows(spark):
     assert len(out) == 4 and {r.verdict for r in out if r.page_id == 1} == {"block"}
     assert {(r.host, r.path, r.verdict) for r in out if r.page_id != 1} == {("", "", "allow")}
     assert urls.judge_urls(df.limit(0)).collect() == []
+
+
+def test_most_frequent_is_bounded(spark):
+    rows = [(k, int(1.3**k) + 1) for k in range(30)] + [(100 + k, 1) for k in range(50)]
+    df = spark.createDataFrame(rows, "word int, n long")
+    kept = {r.word for r in urls.most_frequent(df, 20).collect()}
+    assert 0 < len(kept) <= 20 and min(n for w, n in rows if w in kept) > max(n for w, n in rows if w not in kept)
+    assert urls.most_frequent(df, 1000).count() == len(rows) and urls.most_frequent(df.limit(0), 5).count() == 0
