@@ -120,14 +120,20 @@ def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def hash_share(id_col: str, wanted: int, total: int):
+    """Keeps about ``wanted`` of ``total`` ids, the same ones on any layout; nothing is sorted or gathered."""
+    steps = 1 << 31
+    return F.pmod(F.xxhash64(id_col), F.lit(steps)) < min(steps, steps * wanted // max(1, total))
+
+
 def label_sample(labels: DataFrame, max_rows: int, target: str = "quality") -> DataFrame:
-    """At most ``max_rows`` labelled ids outside the held-out fold: those of least hash, so the sample does not
-    depend on the layout.  ``(doc_id, y)``; null ids and labels are left out, repeated ids keep their least label."""
-    return (
+    """About ``max_rows`` labelled ids outside the held-out fold (all, if there are no more), chosen by hash so that the
+    sample does not depend on the layout.  ``(doc_id, y)``; null ids and labels are left out, repeated ids keep their
+    least label."""
+    known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out())
         .groupBy("doc_id")
         .agg(F.min("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
     )
+    return known.filter(hash_share("doc_id", max_rows, known.count()))

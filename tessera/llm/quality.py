@@ -5,7 +5,7 @@ tokens, a token equal to its predecessor becomes one fixed token, and an n-gram
 fixed n-gram, so repetition has weights of its own.  A document's value at a weight is its count there times
 ``SCALE / n_grams``, so the score is a sparse dot product that does not grow with the text's length.
 
-Training takes at most ``max_rows`` labelled rows (least hash first, outside the held-out fold), dealt to ``shards`` groups
+Training takes about ``max_rows`` labelled rows at most (chosen by hash, outside the held-out fold), dealt to ``shards`` groups
 by hash.  Each group trains a per-coordinate FTRL-proximal model over ``epochs`` passes in its own task; the model is the
 mean of the groups' weights.
 

@@ -190,7 +190,7 @@ def _value(columns, root, x, depth) -> np.ndarray:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Trees:
-    """Trees fitted to the statistics of at most ``max_rows`` labelled documents."""
+    """Trees fitted to the statistics of about ``max_rows`` labelled documents at most."""
     chosen = F.broadcast(label_sample(labels, max_rows))
     sample = texts_of(docs, id_col, text_col).join(chosen, "doc_id").select("y", "text")
 
