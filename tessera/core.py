@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,8 +57,13 @@ def conf_int(spark: SparkSession, key: str) -> int:
 
 
 def canon(df: DataFrame) -> DataFrame:
-    """Drop stored zeros (NULL also fails the predicate)."""
-    return df.filter(F.col("v") != F.lit(0.0))
+    """Drop stored zeros and NaN (NULL also fails the predicate)."""
+    return df.filter((F.col("v") != F.lit(0.0)) & ~F.isnan("v"))
+
+
+def idiv(a: Column, b: Column) -> Column:
+    """Integer division of index columns (``/`` is floating point and rounds above 2**53)."""
+    return F.call_function("div", a, b)
 
 
 @dataclass(frozen=True)
@@ -176,21 +182,23 @@ def require(cond: bool, msg: str) -> None:
         raise ValueError(msg)
 
 
-def range_checked(df: DataFrame, nrows: int, ncols: int | None = None) -> DataFrame:
+def range_checked(df: DataFrame, nrows: int | None, ncols: int | None = None) -> DataFrame:
     """Raise at execution time if an index leaves the declared shape.
 
-    The check is a projection (``raise_error`` inside ``when``), so it costs no
-    extra job and stays inside whole-stage codegen.  It guards the value
-    column and leaves the keys untouched, so filters on ``i``/``j`` still
-    reach the parquet scan.
+    The check is a filter on the keys that keeps every row or raises, so no
+    projection can prune it, and key filters still reach the parquet scan.
+    A side that is ``None`` or not positive is undeclared and only has to be
+    non-negative.
     """
-    bad = (F.col("i") < 0) | (F.col("i") >= F.lit(nrows))
-    if ncols is not None:
-        bad = bad | (F.col("j") < 0) | (F.col("j") >= F.lit(ncols))
+    bad = F.col("i") < 0
+    if nrows is not None and nrows > 0:
+        bad = bad | (F.col("i") >= F.lit(nrows))
+    if "j" in df.columns:
+        bad = bad | (F.col("j") < 0)
+        if ncols is not None and ncols > 0:
+            bad = bad | (F.col("j") >= F.lit(ncols))
     msg = f"index outside declared shape ({nrows}, {ncols})"
-    return df.withColumn(
-        "v", F.when(bad, F.raise_error(F.lit(msg)).cast("double")).otherwise(F.col("v"))
-    )
+    return df.filter(F.when(bad, F.raise_error(F.lit(msg)).cast("boolean")).otherwise(F.lit(True)))
 
 
 # ---------------------------------------------------------------------------
@@ -235,13 +243,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     replaced, and in iterative algorithms whose iterates feed each other
     through joins that estimate compounds every step.
     """
-    import uuid
-
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tessera-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def drop_lineage(df: DataFrame) -> None:
+    """Delete the table behind a superseded :func:`cut_lineage` result; any other
+    DataFrame is left alone."""
+    path = getattr(df, "_tessera_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def as_long(c: str | Column) -> Column:

@@ -7,8 +7,7 @@ whole-stage codegen or as a higher-order function, never as a Python UDF.
   ``sqrt``, ``greatest``, ``least``, ``ceil``, ``round``).
 * F2 -- line parsing: :func:`split_ws`, :func:`to_long`, :func:`to_double`.
 * F3 -- pluggable row parser ``Column(ARRAY<STRING>) -> Column(ARRAY<DOUBLE>)``:
-  :func:`parse_doubles` (default), :func:`parse_genotypes`,
-  :func:`rank_line_average`.
+  :func:`parse_doubles` (default), :func:`parse_genotypes`.
 * F4 -- value maps: :func:`tessera.operators.elementwise.map_values`.
 * F5 -- user partitioner: :func:`tessera.operators.reshape.partition_by_expression`.
 """
@@ -52,26 +51,3 @@ def parse_genotypes(fields: Column, missing: str = "zero") -> Column:
         return F.when(d.isNull() | (d == -1.0), fill).otherwise(d)
 
     return F.transform(fields, one)
-
-
-def rank_line_average(values: Column) -> Column:
-    """F3 example parser: average ranks of one line (ties averaged, NULL last
-    in position order).  Cost is O(width^2) per line in interpreted
-    higher-order functions, bounded by the declared column count but slow
-    (about 80 s for 5,000 lines of 64 values on local[8]); for anything
-    beyond small files rank the parsed table with
-    :func:`tessera.operators.ranking.rank_rows_average` (windows)."""
-    present = F.filter(values, lambda y: y.isNotNull())
-    n_present = F.size(present)
-
-    def one(x, pos):
-        below = F.size(F.filter(values, lambda y: y < x))
-        ties = F.size(F.filter(values, lambda y: y == x))
-        missing_before = F.size(
-            F.filter(F.slice(values, 1, pos + 1), lambda y: y.isNull())
-        )
-        return F.when(x.isNull(), (n_present + missing_before).cast("double")).otherwise(
-            below + (ties + 1) / 2.0
-        )
-
-    return F.transform(values, one)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec, canon, require
+from tessera.core import Mat, Vec, canon, idiv, require
 
 
 def row_sums(m: Mat) -> Vec:
@@ -92,8 +92,8 @@ def stat(m: Mat, rows_per_block: int, cols_per_block: int) -> DataFrame:
     rb = -(-m.nrows // rows_per_block)
     cb = -(-m.ncols // cols_per_block)
     per_block = m.df.groupBy(
-        (F.col("i") / F.lit(rows_per_block)).cast("long").alias("bi"),
-        (F.col("j") / F.lit(cols_per_block)).cast("long").alias("bj"),
+        idiv(F.col("i"), F.lit(rows_per_block)).alias("bi"),
+        idiv(F.col("j"), F.lit(cols_per_block)).alias("bj"),
     ).agg(F.count(F.lit(1)).alias("n"))
     return per_block.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("nnz"),
@@ -128,8 +128,8 @@ def block_nnz_sample(m: Mat, block: int, ratio: float, axis: str = "row") -> Dat
     dim = m.nrows if axis == "row" else m.ncols
     nblk = -(-dim // block)
     n_sampled, step = _sampled_blocks(nblk, ratio)
-    b = (F.col(idx) / F.lit(block)).cast("long")
-    keep = (F.pmod(b, F.lit(step)) == 0) & ((b / F.lit(step)).cast("long") < F.lit(n_sampled))
+    b = idiv(F.col(idx), F.lit(block))
+    keep = (F.pmod(b, F.lit(step)) == 0) & (idiv(b, F.lit(step)) < F.lit(n_sampled))
     return (
         m.df.filter(keep)
         .groupBy(b.alias("block"))
@@ -144,8 +144,8 @@ def product_cost(a: Mat, b: Mat, block: int) -> DataFrame:
     Two small count tables (one row per block) joined on the block id.
     """
     require(a.ncols == b.nrows, "inner dimensions differ")
-    ca = a.df.groupBy((F.col("j") / F.lit(block)).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("na"))
-    cb = b.df.groupBy((F.col("i") / F.lit(block)).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("nb"))
+    ca = a.df.groupBy(idiv(F.col("j"), F.lit(block)).alias("k")).agg(F.count(F.lit(1)).alias("na"))
+    cb = b.df.groupBy(idiv(F.col("i"), F.lit(block)).alias("k")).agg(F.count(F.lit(1)).alias("nb"))
     return ca.join(cb, "k").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).cast("long").alias("cost"))
 
 

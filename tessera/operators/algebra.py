@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec, canon, fits_broadcast, require
+from tessera.core import Mat, Vec, canon, fits_broadcast, idiv, require
 from tessera.operators.elementwise import transpose
 from tessera.plans.skew import join_by_bound, salted_join
 
@@ -94,13 +94,17 @@ def divide_vector(a: Mat, x: Vec) -> Mat:
 # ---------------------------------------------------------------------------
 
 
-def product_terms(a: Mat, b: Mat, strategy: str = "auto", transpose_pair: bool = False) -> DataFrame:
+def product_terms(
+    a: Mat, b: Mat, strategy: str = "auto", transpose_pair: bool = False, bounded: bool = False
+) -> DataFrame:
     """Joined partial products ``(i, j, p)`` of ``A @ B`` before aggregation.
 
     ``strategy``: ``auto`` (broadcast a side proven small by its shape, else
     skew-split shuffle), ``broadcast`` (J7, requires a side that fits),
     ``shuffle`` (force the skew-split shuffle join).  ``transpose_pair``
-    states ``b = aᵀ``, so hot inner indices are counted once.
+    states ``b = aᵀ``, so hot inner indices are counted once.  ``bounded``
+    states that no inner index has many entries on either side (a factor's
+    few columns), so a shuffled join needs no count and no split.
     """
     require(a.ncols == b.nrows, f"inner dimensions differ: {a.shape} @ {b.shape}")
     spark = a.spark
@@ -114,14 +118,16 @@ def product_terms(a: Mat, b: Mat, strategy: str = "auto", transpose_pair: bool =
             joined = A.join(F.broadcast(B), "k")
         else:
             joined = F.broadcast(A).join(B, "k")
+    elif bounded:
+        joined = A.join(B, "k")
     else:
         joined = salted_join(A, B, ["k"], same_key_counts=transpose_pair)
     return joined.select("i", "j", (F.col("av") * F.col("bv")).alias("p"))
 
 
-def matmul(a: Mat, b: Mat, strategy: str = "auto") -> Mat:
+def matmul(a: Mat, b: Mat, strategy: str = "auto", bounded: bool = False) -> Mat:
     """``A @ B`` = join on k, partial-aggregated sum by (i, j)."""
-    t = product_terms(a, b, strategy)
+    t = product_terms(a, b, strategy, bounded=bounded)
     out = t.groupBy("i", "j").agg(F.sum("p").alias("v"))
     return Mat(canon(out), a.nrows, b.ncols)
 
@@ -187,30 +193,27 @@ def vecmat(x: Vec, a: Mat) -> Vec:
 # ---------------------------------------------------------------------------
 
 
+OUTER_BLOCK = 4096  # index values of y per block
+
+
 def outer_product(x: Vec, y: Vec) -> Mat:
     """``x yᵀ`` (an ``x.size x y.size`` result).
 
-    Each stored ``x_i`` is expanded over y's index range and matched to y by
-    an equi-join on ``j``: y (bounded by its size) is broadcast when it fits,
-    otherwise the roles are swapped, and if neither fits the grid is produced
-    by ``spark.range`` (split across tasks) and joined to both vectors with
-    hot keys split.  No cross product is planned.
+    y's stored entries are gathered into blocks of at most ``OUTER_BLOCK``
+    indices; blocks without an entry do not exist.  Every stored ``x_i`` is
+    expanded over block ids, joined to the blocks by id and then over a block's
+    entries, so ``nnz(x) * nnz(y)`` pairs are formed, whatever the sizes.  The
+    blocks are broadcast when y's declared size fits, else the join is
+    shuffled with hot block ids split.  No cross product is planned.
     """
-    spark = x.spark
-    xs = x.df.select("i", F.col("v").alias("xv"))
-    ys = y.df.select(F.col("i").alias("j"), F.col("v").alias("yv"))
-    if fits_broadcast(spark, y.size):
-        gen = xs.select("i", "xv", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(y.size - 1).cast("long"))).alias("j"))
-        j = gen.join(F.broadcast(ys), "j")
-    elif fits_broadcast(spark, x.size):
-        gen = ys.select("j", "yv", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x.size - 1).cast("long"))).alias("i"))
-        j = gen.join(F.broadcast(xs), "i")
-    else:
-        from tessera.operators.reshape import grid
-
-        g = grid(spark, x.size, y.size)
-        j = salted_join(salted_join(g, xs, ["i"], split_right=False), ys, ["j"], split_right=False)
-    return Mat(canon(j.select("i", "j", (F.col("xv") * F.col("yv")).alias("v"))), x.size, y.size)
+    n_blocks = max(1, -(-y.size // OUTER_BLOCK))
+    block = idiv(F.col("i"), F.lit(OUTER_BLOCK))
+    blocks = y.df.groupBy(block.alias("_b")).agg(F.collect_list(F.struct(F.col("i").alias("j"), F.col("v").alias("yv"))).alias("_ys"))
+    ids = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
+    xs = x.df.select("i", F.col("v").alias("xv"), F.explode(ids).alias("_b"))
+    joined = join_by_bound(xs, blocks, ["_b"], y.size)
+    pairs = joined.select("i", "xv", F.explode("_ys").alias("_y"))
+    return Mat(canon(pairs.select("i", "_y.j", (F.col("xv") * F.col("_y.yv")).alias("v"))), x.size, y.size)
 
 
 def outer_product_terms(x: Vec, y: Vec, alpha: float = 1.0) -> DataFrame:

@@ -108,6 +108,26 @@ def lookup(m: Mat, i: int, j: int) -> DataFrame:
     )
 
 
+def lookup_many(m: Mat, cells: list[tuple[int, int]]) -> DataFrame:
+    """E9 for several cells in one scan: a filter on the key set, absent = 0.
+
+    Every cell adds one zero row, so the driver-side list is the only thing
+    that has to be small."""
+    key = F.struct("i", "j")
+    wanted = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in cells]
+    asked = m.spark.createDataFrame([(i, j, 0.0) for i, j in cells], "i LONG, j LONG, v DOUBLE")
+    near = F.col("i").isin([i for i, _ in cells]) & F.col("j").isin([j for _, j in cells])  # reaches the scan
+    hits = m.df.filter(near & key.isin(wanted)).select("i", "j", "v")
+    return hits.unionByName(asked).groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def lookup_vec_many(x: Vec, indices: list[int]) -> DataFrame:
+    """E9 on a vector for several indices in one scan, absent = 0."""
+    asked = x.spark.createDataFrame([(i, 0.0) for i in indices], "i LONG, v DOUBLE")
+    hits = x.df.filter(F.col("i").isin(indices)).select("i", "v")
+    return hits.unionByName(asked).groupBy("i").agg(F.sum("v").alias("v"))
+
+
 def lookup_vec(x: Vec, i: int) -> DataFrame:
     hit = x.df.filter(F.col("i") == F.lit(i))
     return hit.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v")).select(

@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec, canon, require
-from tessera.plans.skew import prefix_sum
+from tessera.core import Mat, Vec, canon, idiv, require
 
 
 def grid(spark: SparkSession, nrows: int, ncols: int) -> DataFrame:
     """Every cell ``(i, j)`` of a shape, generated in parallel by ``spark.range``."""
     return spark.range(nrows * ncols).select(
-        (F.col("id") % F.lit(nrows)).alias("i"), (F.col("id") / F.lit(nrows)).cast("long").alias("j")
+        (F.col("id") % F.lit(nrows)).alias("i"), idiv(F.col("id"), F.lit(nrows)).alias("j")
     )
 
 
@@ -31,54 +30,11 @@ def unvec(x: Vec, nrows: int, ncols: int) -> Mat:
     """Inverse of X1."""
     require(x.size == nrows * ncols, "size must be nrows*ncols")
     df = x.df.select(
-        (F.col("i") % F.lit(nrows)).alias("i"), (F.col("i") / F.lit(nrows)).cast("long").alias("j"), "v"
+        (F.col("i") % F.lit(nrows)).alias("i"), idiv(F.col("i"), F.lit(nrows)).alias("j"), "v"
     )
     return Mat(df, nrows, ncols)
 
 
-def to_blocks(m: Mat, rows_per_block: int, cols_per_block: int) -> DataFrame:
-    """Tile layout ``(bi, bj, nr, nc, vals ARRAY<DOUBLE>)``, column-major.
-
-    One group-by on the tile key; each group holds at most
-    ``rows_per_block * cols_per_block`` entries (declared bound), and the
-    tile is filled by a numpy scatter inside ``applyInPandas`` (Arrow
-    batches), which is O(entries) per tile.
-    """
-    import numpy as np
-    import pandas as pd
-
-    rpb, cpb, nrows, ncols = rows_per_block, cols_per_block, m.nrows, m.ncols
-    e = m.df.select(
-        (F.col("i") / F.lit(rpb)).cast("int").alias("bi"),
-        (F.col("j") / F.lit(cpb)).cast("int").alias("bj"),
-        (F.col("i") % F.lit(rpb)).cast("int").alias("r"),
-        (F.col("j") % F.lit(cpb)).cast("int").alias("c"),
-        "v",
-    )
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["bi"].iat[0]), int(pdf["bj"].iat[0])
-        nr = min(rpb, nrows - bi * rpb)
-        nc = min(cpb, ncols - bj * cpb)
-        tile = np.zeros(nr * nc)
-        np.add.at(tile, pdf["c"].to_numpy() * nr + pdf["r"].to_numpy(), pdf["v"].to_numpy())
-        return pd.DataFrame({"bi": [bi], "bj": [bj], "nr": [nr], "nc": [nc], "vals": [tile]})
-
-    return e.groupBy("bi", "bj").applyInPandas(
-        fill, "bi INT, bj INT, nr INT, nc INT, vals ARRAY<DOUBLE>"
-    )
-
-
-def from_blocks(blocks: DataFrame, rows_per_block: int, cols_per_block: int, nrows: int, ncols: int) -> Mat:
-    """Inverse of X2: explode tiles back to canonical entries."""
-    e = blocks.select("bi", "bj", "nr", F.posexplode("vals").alias("pos", "v")).select(
-        (F.col("bi").cast("long") * rows_per_block + F.col("pos") % F.col("nr")).alias("i"),
-        (F.col("bj").cast("long") * cols_per_block + (F.col("pos") / F.col("nr")).cast("long")).alias("j"),
-        "v",
-    )
-    return Mat(canon(e), nrows, ncols)
-
-
 def densify(m: Mat) -> Mat:
     """Every cell stored; absent cells become explicit 0.0 (dense result).
 
@@ -142,59 +98,13 @@ def partition_by_column(m: Mat, n: int) -> Mat:
 
 
 def range_partition(m: Mat, n: int, by: str = "i") -> Mat:
-    """Range partition on the row (or column) index; sampled bounds split a
-    long run of one index value only by the secondary key, so ``j`` is added."""
+    """Range partition on the row (or column) index, balanced by entry count
+    from Spark's sampled bounds; the other index is a secondary key, so one
+    long row is split too."""
     other = "j" if by == "i" else "i"
     return Mat(m.df.repartitionByRange(n, by, other), m.nrows, m.ncols, m.dense)
 
 
-def greedy_partition_ids(m: Mat, n: int, by: str = "i") -> DataFrame:
-    """Balanced range assignment ``(idx, part)`` by entry count.
-
-    Partition of a row = ``min(floor(entries before the row / cap), n - 1)``,
-    with ``cap = floor(nnz / n)``: each partition is filled up to the average.
-    The running count is a distributed prefix sum (hot-group split), never a
-    driver loop over row sizes.  The rule is the closed form of filling in
-    index order; it differs from a sequential greedy pass only where a row
-    would overflow the cap (the row goes to the partition its first entry
-    falls in).
-    """
-    counts = m.df.groupBy(F.col(by).alias("idx")).agg(F.count(F.lit(1)).alias("cnt"))
-    total = counts.agg(F.sum("cnt")).first()[0] or 0
-    cap = max(1, total // n)
-    run = prefix_sum(counts, [], "idx", "cnt", "_cum")
-    before = F.col("_cum") - F.col("cnt")
-    part = F.least((before / F.lit(cap)).cast("long"), F.lit(n - 1)).cast("int")
-    return run.select("idx", "cnt", part.alias("part"))
-
-
-def greedy_partition(m: Mat, n: int, by: str = "i") -> Mat:
-    """Entries repartitioned so each partition holds about nnz/n entries."""
-    ids = greedy_partition_ids(m, n, by).select(F.col("idx").alias(by), "part")
-    from tessera.plans.skew import join_by_bound
-
-    bound = m.nrows if by == "i" else m.ncols
-    j = join_by_bound(m.df, ids, [by], bound)
-    return Mat(j.repartitionById(n, F.col("part")).select("i", "j", "v"), m.nrows, m.ncols, m.dense)
-
-
-def block_cyclic(m: Mat, rows_per_block: int, cols_per_block: int, grid_rows: int, grid_cols: int) -> Mat:
-    """2-D block-cyclic distribution: block ``(bi, bj)`` goes to task
-    ``(bi mod R) * C + (bj mod C)``."""
-    bi = (F.col("i") / F.lit(rows_per_block)).cast("long")
-    bj = (F.col("j") / F.lit(cols_per_block)).cast("long")
-    pid = (F.pmod(bi, F.lit(grid_rows)) * F.lit(grid_cols) + F.pmod(bj, F.lit(grid_cols))).cast("int")
-    return Mat(m.df.repartitionById(grid_rows * grid_cols, pid), m.nrows, m.ncols, m.dense)
-
-
-def block_cyclic_ids(m: Mat, rows_per_block: int, cols_per_block: int, grid_rows: int, grid_cols: int) -> DataFrame:
-    """Partition id of every entry under X10 (for inspection and tests)."""
-    bi = (F.col("i") / F.lit(rows_per_block)).cast("long")
-    bj = (F.col("j") / F.lit(cols_per_block)).cast("long")
-    pid = (F.pmod(bi, F.lit(grid_rows)) * F.lit(grid_cols) + F.pmod(bj, F.lit(grid_cols))).cast("long")
-    return m.df.select("i", "j", "v", pid.alias("part"))
-
-
 def partition_by_expression(m: Mat, n: int, pid) -> Mat:
     """user partitioner -- ``pid`` is a Column expression over ``i``/``j``
     giving the target partition in ``[0, n)``."""

@@ -7,32 +7,36 @@ from pyspark.sql import functions as F
 
 from tessera.core import CONF_DENSE_CELLS, Mat, Vec, conf_int, require
 
+_SHAPE = "nrows LONG, ncols LONG, size LONG, fmt STRING"
+_TEXT = ("csv", "tsv", "text")  # tab-separated text under any of these names
+
 
 def save(m: Mat | Vec, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """K1: write the entry table (parquet by default, or tab-separated text).
 
-    The declared shape is written next to the data as a one-row JSON table
+    The declared shape and the format are written next to the data as a one-row JSON table
     in ``<path>/_shape`` (names starting with ``_`` are skipped by Spark's
     file readers), so :func:`load` restores the shape without scanning.
     """
     w = m.df.write.mode(mode)
     if fmt == "parquet":
         w.parquet(path)
-    elif fmt in ("csv", "tsv", "text"):
+    elif fmt in _TEXT:
         w.option("sep", "\t").csv(path)
     else:
         w.format(fmt).save(path)
-    if isinstance(m, Mat):
-        row, schema = (m.nrows, m.ncols, None), "nrows LONG, ncols LONG, size LONG"
-    else:
-        row, schema = (None, None, m.size), "nrows LONG, ncols LONG, size LONG"
-    m.spark.createDataFrame([row], schema).write.mode("overwrite").json(path + "/_shape")
+    shape = (m.nrows, m.ncols, None) if isinstance(m, Mat) else (None, None, m.size)
+    m.spark.createDataFrame([(*shape, fmt)], _SHAPE).write.mode("overwrite").json(path + "/_shape")
 
 
 def load(spark, path: str) -> Mat | Vec:
-    """Read back a matrix or vector written by :func:`save` (parquet)."""
-    shape = spark.read.schema("nrows LONG, ncols LONG, size LONG").json(path + "/_shape").first()
-    df = spark.read.parquet(path)
+    """Read back a matrix or vector written by :func:`save`, in the format it was saved in."""
+    shape = spark.read.schema(_SHAPE).json(path + "/_shape").first()
+    fmt, entries = shape["fmt"] or "parquet", "i LONG, j LONG, v DOUBLE" if shape["size"] is None else "i LONG, v DOUBLE"
+    if fmt in _TEXT:
+        df = spark.read.schema(entries).option("sep", "\t").csv(path)
+    else:
+        df = spark.read.format(fmt).load(path)
     if shape["size"] is not None:
         return Vec(df.select("i", "v"), int(shape["size"]))
     return Mat(df.select("i", "j", "v"), int(shape["nrows"]), int(shape["ncols"]))

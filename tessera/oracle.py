@@ -53,11 +53,13 @@ CTE = {
   FROM embeddings, range(0, 10) AS s(snp))""",
     "ev": """ev AS (
   WITH sums AS (
-    SELECT user_id AS i, CAST(day(ts) - 1 AS BIGINT) AS j, round(sum(value), 2) AS v
+    SELECT user_id AS i, CAST(CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS BIGINT) AS j,
+           round(sum(value), 2) AS v
     FROM events GROUP BY 1, 2),
+  span AS (SELECT CAST(max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 1 AS BIGINT) AS days FROM events),
   cells AS (
-    SELECT CAST(r.id // 30 AS BIGINT) AS i, CAST(r.id % 30 AS BIGINT) AS j
-    FROM range(0, (SELECT max(user_id) + 1 FROM events) * 30) AS r(id))
+    SELECT CAST(r.id // (SELECT days FROM span) AS BIGINT) AS i, CAST(r.id % (SELECT days FROM span) AS BIGINT) AS j
+    FROM range(0, (SELECT max(user_id) + 1 FROM events) * (SELECT days FROM span)) AS r(id))
   SELECT c.i, c.j, s.v FROM cells c LEFT JOIN sums s ON c.i = s.i AND c.j = s.j)""",
 }
 
@@ -105,6 +107,14 @@ SQL: dict[str, str] = {
            FROM (VALUES (3::BIGINT, 7::BIGINT), (0::BIGINT, 0::BIGINT), (5::BIGINT, 11::BIGINT)) k(i, j)
            LEFT JOIN q ON q.i = k.i AND q.j = k.j""",
     ),
+    "lookup_vec": with_(
+        ["x"],
+        """SELECT k.i, coalesce(x.v, 0.0) AS v FROM (VALUES (0::BIGINT), (3::BIGINT), (1000000000000::BIGINT)) k(i)
+           LEFT JOIN x ON x.i = k.i""",
+    ),
+    "scale_vec": with_(["x"], "SELECT i, v * 2.5 AS v FROM x"),
+    "divide_vec_scalar": with_(["x"], "SELECT i, v / 4.0 AS v FROM x"),
+    "reciprocal_vec": with_(["x"], "SELECT i, 2.0 / v AS v FROM x"),
     "mat_add": with_(
         ["q", "d"],
         "SELECT i, j, sum(v) AS v FROM (SELECT * FROM q UNION ALL SELECT * FROM d) GROUP BY i, j HAVING sum(v) <> 0",
@@ -218,28 +228,12 @@ SQL: dict[str, str] = {
              FROM range(0, (SELECT nnation * nsupp FROM dims)) AS r(id)) c
            LEFT JOIN ns ON c.i = ns.i AND c.j = ns.j""",
     ),
-    "to_blocks": with_(
-        ["q", "dims"],
-        """SELECT bi, bj, nr, nc, nr * nc AS n_vals, nnz, total, weighted FROM (
-             SELECT i // 32 AS bi, j // 500 AS bj,
-                    least(32, (SELECT nsupp FROM dims) - (i // 32) * 32) AS nr,
-                    least(500, (SELECT npart FROM dims) - (j // 500) * 500) AS nc,
-                    count(*) AS nnz, sum(v) AS total,
-                    sum(v * ((j % 500) * least(32, (SELECT nsupp FROM dims) - (i // 32) * 32) + (i % 32) + 1)) AS weighted
-             FROM q GROUP BY 1, 2, 3, 4)""",
-    ),
-    "greedy_partition": with_(
-        ["q"],
-        """SELECT i, cnt, CAST(least(floor((cum - cnt) / greatest((SELECT count(*) FROM q) // 8, 1)), 7) AS BIGINT) AS part
-           FROM (SELECT i, cnt, sum(cnt) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS cum
-                 FROM (SELECT i, count(*) AS cnt FROM q GROUP BY i))""",
-    ),
     "block_cyclic": with_(
         ["q"],
         """SELECT ((i // 10) % 2) * 3 + (j // 100) % 3 AS part, count(*) AS n, sum(v) AS total
            FROM q GROUP BY 1""",
     ),
-    "range_partition": with_(["q"], "SELECT count(*) AS n, min(i) AS lo, max(i) AS hi FROM q"),
+    "range_partition": with_(["q"], "SELECT count(*) AS n, true AS apart, true AS even FROM q"),
     "rank_avg": with_(
         ["ev"],
         """SELECT i, j, v, CAST(CASE WHEN v IS NULL
@@ -325,15 +319,17 @@ def _kw_stat(k: str) -> str:
         CASE WHEN n2 > 0 THEN s2 * s2 / n2 ELSE 0.0 END) - 3.0 * ({k} + 1.0), 6)"""
 
 
-def _kw_sql() -> str:
+def _kw_sql(genotypes: str = "gt", missing: bool = False) -> str:
+    """P3; with ``missing`` a missing call counts as genotype 0."""
+    geno = "gt0 AS (SELECT snp, sample, coalesce(g, 0) AS g FROM gm)" if missing else "gt0 AS (SELECT * FROM gt)"
     return with_(
-        ["dims", "em", "gt"],
-        f""", {_RANKS},
-  s AS (SELECT r.gene, gt.snp,
-               coalesce(sum(CASE WHEN gt.g = 1 THEN r.r END), 0.0) AS s1,
-               coalesce(sum(CASE WHEN gt.g = 2 THEN r.r END), 0.0) AS s2
-        FROM r JOIN gt ON r.sample = gt.sample GROUP BY 1, 2),
-  n AS (SELECT snp, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 2) AS n2 FROM gt GROUP BY snp),
+        ["dims", "em", genotypes],
+        f""", {geno}, {_RANKS},
+  s AS (SELECT r.gene, gt0.snp,
+               coalesce(sum(CASE WHEN gt0.g = 1 THEN r.r END), 0.0) AS s1,
+               coalesce(sum(CASE WHEN gt0.g = 2 THEN r.r END), 0.0) AS s2
+        FROM r JOIN gt0 ON r.sample = gt0.sample GROUP BY 1, 2),
+  n AS (SELECT snp, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 2) AS n2 FROM gt0 GROUP BY snp),
   k AS (SELECT CAST(nvec AS DOUBLE) AS k FROM dims),
   t AS (SELECT s.gene, s.snp, (SELECT k FROM k) AS kk,
                (SELECT k FROM k) * ((SELECT k FROM k) + 1) / 2.0 - s1 - s2 AS s0,
@@ -343,14 +339,14 @@ SELECT gene, snp, {_kw_stat("kk")} AS stat FROM t""",
     )
 
 
-def _kw_missing_sql() -> str:
+def _kw_missing_sql(expression: str = "em.v IS NOT NULL") -> str:
     return with_(
         ["em", "gm"],
         f""", pr AS (
     SELECT em.i AS gene, gm.snp, em.j AS sample, em.v, gm.g,
            rank() OVER (PARTITION BY em.i, gm.snp ORDER BY em.v)
              + (count(*) OVER (PARTITION BY em.i, gm.snp, em.v) - 1) / 2.0 AS r
-    FROM em JOIN gm ON em.j = gm.sample WHERE gm.g IS NOT NULL AND em.v IS NOT NULL),
+    FROM em JOIN gm ON em.j = gm.sample WHERE gm.g IS NOT NULL AND {expression}),
   t AS (SELECT gene, snp, CAST(count(*) AS DOUBLE) AS k,
                coalesce(sum(CASE WHEN g = 0 THEN r END), 0.0) AS s0,
                coalesce(sum(CASE WHEN g = 1 THEN r END), 0.0) AS s1,
@@ -366,12 +362,9 @@ def _gnmf_sql(iterations: int) -> str:
     parts = [
         CTE["dims"],
         CTE["q"],
-        CTE["ns"],
-        CTE["ps"],
-        f"vq AS ({mm('ns', 'q')})",
-        f"vv AS ({mm('vq', 'ps')})",
-        _formula("w0", "(SELECT nnation FROM dims)", "5", 31, 17, 7, 1.0),
-        _formula("h0", "5", "(SELECT psize FROM dims)", 31, 17, 7, 1.0),
+        "vv AS MATERIALIZED (SELECT i, j, v FROM q)",
+        _formula("w0", "(SELECT nsupp FROM dims)", "5", 31, 17, 7, 1.0),
+        _formula("h0", "5", "(SELECT npart FROM dims)", 31, 17, 7, 1.0),
     ]
     for t in range(1, iterations + 1):
         p = t - 1
@@ -421,9 +414,9 @@ def _gradient_sql() -> str:
     return "WITH " + ",\n".join(parts) + "\nSELECT i, v FROM g1"
 
 
-def _bfgs_sql() -> str:
+def _bfgs_sql(scaled: bool = False) -> str:
     n = "((SELECT nnation FROM dims) * 2 + 2 * (SELECT nsupp FROM dims))"
-    parts = [CTE["dims"], CTE["ns"]] + _gradient_parts("1", 31, 17) + _gradient_parts("2", 13, 29)
+    parts = [CTE["dims"], CTE["ns"]] + _gradient_parts("1", 31, 17) + _gradient_parts("2", 14, 28)
     parts += [
         _formula("b0", n, n, 7, 3, 11, 1.0),
         "s AS (SELECT i, -v AS v FROM g1)",
@@ -432,10 +425,17 @@ def _bfgs_sql() -> str:
         """bs AS (SELECT b.i, sum(b.v * s.v) AS v FROM b0 b JOIN s ON b.j = s.i GROUP BY b.i HAVING sum(b.v * s.v) <> 0)""",
         """sb AS (SELECT b.j AS i, sum(b.v * s.v) AS v FROM b0 b JOIN s ON b.i = s.i GROUP BY b.j HAVING sum(b.v * s.v) <> 0)""",
     ]
-    body = """SELECT i, j, sum(v) AS v FROM (
+    a, b, value = "1.0", "1.0", "sum(v)"
+    if scaled:
+        parts += [
+            "ys AS (SELECT sum(y.v * s.v) AS v FROM y JOIN s USING (i))",
+            "sbs AS (SELECT sum(s.v * bs.v) AS v FROM s JOIN bs USING (i))",
+        ]
+        a, b, value = "(1.0 / (SELECT v FROM ys))", "(1.0 / (SELECT v FROM sbs))", "round(sum(v), 6)"
+    body = f"""SELECT i, j, {value} AS v FROM (
         SELECT i, j, v FROM b0
-        UNION ALL SELECT a.i, b.i AS j, (a.v * b.v) * 1.0 FROM y a, y b
-        UNION ALL SELECT a.i, b.i AS j, (a.v * b.v) * -1.0 FROM bs a, sb b)
+        UNION ALL SELECT a.i, b.i AS j, (a.v * b.v) * {a} FROM y a, y b
+        UNION ALL SELECT a.i, b.i AS j, (a.v * b.v) * -{b} FROM bs a, sb b)
       GROUP BY i, j HAVING sum(v) <> 0"""
     return "WITH " + ",\n".join(parts) + "\n" + body
 
@@ -444,6 +444,39 @@ def _chain_sql() -> str:
     return with_(["q", "ns", "ps"], f", nq AS ({mm('ns', 'q')}), nqp AS ({mm('nq', 'ps')})\n" + mm("nqp", _t("ps")))
 
 
+def _chain_bracket_sql() -> str:
+    """P10's greedy choice over (NS, Q, PS, PSᵀ): sampled costs of the three pairs, then of the two pairs that the first
+    product leaves.  The first of equal costs wins."""
+    ops = {"a": "ns", "b": "q", "c": "ps", "e": _t("ps")}
+    dims_of = {"a": ("nnation", "nsupp"), "b": ("nsupp", "npart"), "c": ("npart", "psize"), "e": ("psize", "npart")}
+    parts = []
+
+    def counts(name: str, source: str, rows: str, cols: str, ratio: float) -> None:
+        for axis, idx, dim in (("r", "i", rows), ("c", "j", cols)):
+            parts.append(
+                f"""{name}_{axis} AS (
+  SELECT {idx} // 100 AS k, count(*) AS n
+  FROM {source}, (SELECT n, greatest(CAST(floor({ratio} * n) AS BIGINT), 1) AS m
+                  FROM (SELECT CAST(({dim} + 99) // 100 AS BIGINT) AS n FROM dims)) s
+  WHERE ({idx} // 100) % greatest(s.n // s.m, 1) = 0 AND ({idx} // 100) // greatest(s.n // s.m, 1) < s.m GROUP BY 1)"""
+            )
+
+    def cost(x: str, y: str) -> str:
+        return f"(SELECT coalesce(sum(l.n * r.n), 0) FROM {x}_c l JOIN {y}_r r USING (k))"
+
+    for name, source in ops.items():
+        counts(name, source, *dims_of[name], 0.01)
+    for x, y in ("ab", "bc", "ce"):
+        parts.append(f"{x}{y} AS ({mm(ops[x], ops[y])})")
+        counts(x + y, x + y, dims_of[x][0], dims_of[y][1], 0.1)
+    parts.append(f"cost AS (SELECT {cost('a', 'b')} AS ab, {cost('b', 'c')} AS bc, {cost('c', 'e')} AS cd)")
+    body = f"""SELECT CASE
+      WHEN ab <= bc AND ab <= cd THEN CASE WHEN {cost('ab', 'c')} <= cd THEN '((AB)C)D' ELSE '(AB)(CD)' END
+      WHEN bc <= cd THEN CASE WHEN {cost('a', 'bc')} <= {cost('bc', 'e')} THEN '(A(BC))D' ELSE 'A((BC)D)' END
+      ELSE CASE WHEN ab <= {cost('b', 'ce')} THEN '(AB)(CD)' ELSE 'A(B(CD))' END END AS bracket FROM cost"""
+    return with_(["dims", "q", "ns", "ps"], ", " + ",\n".join(parts) + "\n" + body)
+
+
 SQL.update(
     {
         "transition_matrix": with_(
@@ -455,7 +488,9 @@ SQL.update(
         "pagerank": _pagerank_sql(10),
         "pagerank_top5": _pagerank_sql(10, top=5),
         "kruskal_wallis": _kw_sql(),
+        "kruskal_wallis_zero_coded": _kw_sql("gm", missing=True),
         "kruskal_wallis_missing": _kw_missing_sql(),
+        "kruskal_wallis_missing_both": _kw_missing_sql("em.v <= 0.2"),
         "eqtl_product": with_(
             ["em", "gt"],
             """SELECT em.i, gt.snp AS j, round(sum(em.v * gt.g), 6) AS v
@@ -466,8 +501,12 @@ SQL.update(
         "gnmf": _gnmf_sql(10),
         "factor_gradient": _gradient_sql(),
         "bfgs_step": _bfgs_sql(),
+        "bfgs_step_scaled": _bfgs_sql(scaled=True),
         "chain_fixed": _chain_sql(),
         "chain_cost_ordered": _chain_sql(),
+        **{name: _chain_sql() for name in ("chain_left", "chain_left_inner", "chain_right_inner", "chain_right")},
+        "chain_three": with_(["q", "ns", "ps"], f", nq AS ({mm('ns', 'q')})\n" + mm("nq", "ps")),
+        "chain_bracket": _chain_bracket_sql(),
     }
 )
 
@@ -477,7 +516,7 @@ SQL.update(
 _SKEW = """RECURSIVE dims AS (
   SELECT (SELECT max(s_suppkey) + 1 FROM supplier) AS nsupp,
          (SELECT max(p_partkey) + 1 FROM part) AS npart),
-tot AS (SELECT nsupp AS lines, npart AS width, CAST(ceil(nsupp * npart * 0.125) AS BIGINT) AS total FROM dims),
+tot AS (SELECT nsupp AS lines, npart AS width, CAST(floor(nsupp * npart * 0.125) AS BIGINT) AS total FROM dims),
 s(k, r, c) AS (
   SELECT 0::BIGINT, total, least(greatest(least(CAST(floor(total * 0.25) AS BIGINT), width), 1), total) FROM tot
   UNION ALL
@@ -494,6 +533,10 @@ SQL.update(
             ["q"],
             "SELECT i, count(*) AS nnz, min(j) AS first_j, max(j) AS last_j, sum(v) AS total FROM q GROUP BY i",
         ),
+        "column_layout": with_(
+            ["q"],
+            "SELECT j, count(*) AS nnz, min(i) AS first_i, max(i) AS last_i, sum(v) AS total FROM q GROUP BY j",
+        ),
         "zeros_add": with_(["q"], "SELECT i, j, v FROM q"),
         "ones_product": with_(
             ["q"],
@@ -504,16 +547,19 @@ SQL.update(
         "identity_product": with_(["q"], "SELECT i, j, v FROM q"),
         "diag_scale": with_(["q", "x"], "SELECT q.i, q.j, x.v * q.v AS v FROM q JOIN x ON q.i = x.i"),
         "column_major": with_(["em"], "SELECT i, j, v FROM em WHERE v <> 0"),
-        "skewed_lines": f"WITH {_SKEW}\nSELECT k AS line, c AS cnt FROM s",
-        "random_summary": f"""WITH {_SKEW},
-        d2 AS (SELECT nsupp, npart, (SELECT max(p_size) FROM part) AS psize FROM dims),
-        counts AS (
-          SELECT 'rand' AS kind, CAST(nsupp * psize AS BIGINT) AS nnz FROM d2
-          UNION ALL SELECT 'randn', CAST(nsupp * psize AS BIGINT) FROM d2
-          UNION ALL SELECT 'sprand', CAST(ceil(nsupp * npart * 0.125) AS BIGINT) FROM d2
-          UNION ALL SELECT 'sprandn', CAST(ceil(nsupp * npart * 0.125) AS BIGINT) FROM d2
-          UNION ALL SELECT 'skewed', CAST(sum(c) AS BIGINT) FROM s)
-        SELECT kind, nnz, 0::BIGINT AS duplicate_keys, 0::BIGINT AS out_of_shape, nnz AS in_range FROM counts""",
+        "skewed_lines": f"""WITH {_SKEW},
+        {CTE["q"]},
+        n AS (SELECT i, count(*) AS n FROM q GROUP BY i)
+        SELECT coalesce(k, i) AS line, coalesce(c, 0) AS cnt, coalesce(n, 0) AS q_nnz, 0::BIGINT AS out_of_range
+        FROM s FULL JOIN n ON s.k = n.i""",
+        "random_scale": with_(["q"], "SELECT i, j, true AS in_range FROM q"),
+        "random_noise": with_(["q"], "SELECT i, j, true AS in_range FROM q"),
+        "random_mask": with_(
+            ["dims", "q"],
+            """SELECT kind, (SELECT CAST(ceil(nsupp * npart * 0.125) AS BIGINT) FROM dims) AS mask,
+                      (SELECT count(*) FROM q) AS q_nnz, 1::BIGINT AS most, true AS split
+               FROM (VALUES ('uniform'), ('normal')) k(kind)""",
+        ),
         "stat": with_(
             ["dims", "q"],
             """SELECT CAST(nsupp AS BIGINT) AS nrows, CAST(npart AS BIGINT) AS ncols,

@@ -9,9 +9,10 @@ sampled block); the products themselves are ordinary J6 plans.
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, cut_lineage, require
+from tessera.core import Mat, cut_lineage, idiv, require
 from tessera.operators.aggregates import _sampled_blocks
 from tessera.operators.algebra import matmul
 
@@ -61,26 +62,32 @@ def chain_multiply(mats: list[Mat], bracket: str) -> Mat:
     return ev(tree)
 
 
-def _block_counts(m: Mat, block: int, ratio: float, axis: str) -> dict[int, int]:
-    """Sampled nnz per column block (``axis='col'``) or row block.
+def _block_counts(m: Mat, block: int, ratio: float) -> DataFrame:
+    """A7 on both axes in one pass: ``(axis, blk, n)``, sampled nnz per row block and per
+    column block, written once to the checkpoint folder."""
 
-    The result has at most ``n_sampled`` rows, so it is a bounded driver pull.
-    """
-    idx = "j" if axis == "col" else "i"
-    dim = m.ncols if axis == "col" else m.nrows
-    nblk = -(-dim // block)
-    n_sampled, step = _sampled_blocks(nblk, ratio)
-    b = (F.col(idx) / F.lit(block)).cast("long")
-    keep = (F.pmod(b, F.lit(step)) == 0) & ((b / F.lit(step)).cast("long") < F.lit(n_sampled))
-    rows = m.df.filter(keep).groupBy(b.alias("blk")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {int(r["blk"]): int(r["n"]) for r in rows}
+    def sampled(axis: str, idx: str, dim: int) -> Column:
+        n_sampled, step = _sampled_blocks(-(-dim // block), ratio)
+        b = idiv(F.col(idx), F.lit(block))
+        keep = (F.pmod(b, F.lit(step)) == 0) & (idiv(b, F.lit(step)) < F.lit(n_sampled))
+        return F.when(keep, F.struct(F.lit(axis).alias("axis"), b.alias("blk")))
+
+    both = F.array_compact(F.array(sampled("row", "i", m.nrows), sampled("col", "j", m.ncols)))
+    cells = m.df.select(F.explode(both).alias("s"))
+    return cut_lineage(cells.groupBy("s.axis", "s.blk").agg(F.count(F.lit(1)).alias("n")))
 
 
-def sampled_cost(a: Mat, b: Mat, block: int, ratio: float) -> int:
-    """A8 on sampled blocks: ``sum_k nnz(A col-block k) * nnz(B row-block k)``."""
-    ca = _block_counts(a, block, ratio, "col")
-    cb = _block_counts(b, block, ratio, "row")
-    return sum(v * cb[k] for k, v in ca.items() if k in cb)
+def _pair_costs(pairs: list[tuple[DataFrame, DataFrame]]) -> list[int]:
+    """A8 on sampled blocks for several pairs: ``sum_k nnz(A col-block k) * nnz(B row-block k)``,
+    summed in Spark; one row per pair reaches the driver."""
+    out = None
+    for k, (a, b) in enumerate(pairs):
+        ca = a.filter("axis = 'col'").select("blk", F.col("n").alias("na"))
+        cb = b.filter("axis = 'row'").select("blk", F.col("n").alias("nb"))
+        cost = F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).cast("long")
+        one = ca.join(cb, "blk").agg(cost.alias("cost")).withColumn("pair", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return [r["cost"] for r in sorted(out.collect(), key=lambda r: r["pair"])]
 
 
 def chain_cost_ordered(
@@ -88,32 +95,30 @@ def chain_cost_ordered(
 ) -> tuple[Mat, str]:
     """P10: greedy bracket: repeatedly multiply the adjacent pair with the
     smallest sampled cost (first one on ties); a formed product is sampled
-    with ``product_ratio``.  Returns the product and the bracket used."""
+    with ``product_ratio``.  Returns the product and the bracket used.
+
+    Inputs and formed products are read several times (both axes' counts, then
+    the product), so each is written once to the checkpoint folder.
+    """
     require(len(mats) >= 1, "empty chain")
-    items = [(m, chr(ord("A") + k), ratio) for k, m in enumerate(mats)]
-    cost_cache: dict[tuple[str, str], int] = {}
-    while len(items) > 1:
-        best, best_cost = 0, None
-        for k in range(len(items) - 1):
-            (ma, na, ra), (mb, nb, rb) = items[k], items[k + 1]
-            key = (na, nb)
-            if key not in cost_cache:
-                ca = _block_counts(ma, block, ra, "col")
-                cb = _block_counts(mb, block, rb, "row")
-                cost_cache[key] = sum(v * cb[kk] for kk, v in ca.items() if kk in cb)
-            c = cost_cache[key]
-            if best_cost is None or c < best_cost:
-                best, best_cost = k, c
-        (ma, na, _), (mb, nb, _) = items[best], items[best + 1]
-        prod = matmul(ma, mb)
-        if len(items) > 2:
-            # Sampled now and multiplied later: materialise once, as a table
-            # in the checkpoint folder (survives executor loss, no cache left
-            # behind, real size for the optimizer).
-            prod = Mat(cut_lineage(prod.df), prod.nrows, prod.ncols)
-        name = f"({na}{nb})"
-        items[best : best + 2] = [(prod, name, product_ratio)]
-    m, name = items[0][0], items[0][1]
-    if name.startswith("(") and name.endswith(")") and len(mats) > 1:
-        name = name[1:-1]
-    return m, name
+
+    def cut(m: Mat) -> Mat:
+        return Mat(cut_lineage(m.df), m.nrows, m.ncols)
+
+    if len(mats) < 3:
+        product = mats[0] if len(mats) == 1 else matmul(mats[0], mats[1])
+        return product, "AB"[: len(mats)]
+    items = [(m, chr(ord("A") + k), _block_counts(m, block, ratio)) for k, m in enumerate(map(cut, mats))]
+    costs = _pair_costs([(a[2], b[2]) for a, b in zip(items, items[1:])])
+    while len(items) > 2:
+        k = costs.index(min(costs))
+        (a, name_a, _), (b, name_b, _) = items[k], items[k + 1]
+        product = cut(matmul(a, b))
+        items[k : k + 2] = [(product, f"({name_a}{name_b})", _block_counts(product, block, product_ratio))]
+        # Only the pairs around the product are new.
+        costs[k : k + 1] = []
+        new = [x for x in (k - 1, k) if 0 <= x < len(costs)]
+        for x, cost in zip(new, _pair_costs([(items[x][2], items[x + 1][2]) for x in new])):
+            costs[x] = cost
+    (a, name_a, _), (b, name_b, _) = items
+    return matmul(a, b), name_a + name_b

@@ -11,10 +11,14 @@ correction.  Results are dense: a statistic of exactly 0 is kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import Mat
+from tessera.core import Mat, idiv, require
 from tessera.operators.algebra import matmul
 from tessera.operators.elementwise import transpose
 from tessera.operators.reshape import grid
@@ -29,16 +33,27 @@ def _stat(k, s0, n0, s1, n1, s2, n2):
     return F.lit(12.0) / (k * (k + 1)) * (term(s0, n0) + term(s1, n1) + term(s2, n2)) - F.lit(3.0) * (k + 1)
 
 
+def _require_complete(table: DataFrame, key: str, n_keys: int, n_samples: int) -> None:
+    """Every one of ``n_keys`` keys has ``n_samples`` rows."""
+    per_key = table.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    r = per_key.agg(F.count(F.lit(1)).alias("keys"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    complete = (r["keys"], r["lo"], r["hi"]) == (n_keys, n_samples, n_samples) or n_keys == 0 == r["keys"]
+    require(complete, f"{r['keys']} of {n_keys} values of {key} with {r['lo']} to {r['hi']} of {n_samples} samples")
+
+
 def kruskal_wallis(
     expr: DataFrame,
     geno: DataFrame,
     n_genes: int,
     n_snps: int,
     n_samples: int,
-    missing_genotype: str = "zero",
 ) -> DataFrame:
     """Complete expression table; a missing genotype is coded 0.
 
+    Every gene needs a value and every SNP a row for each of the ``n_samples``
+    samples (one aggregate each); an incomplete table raises.  P4 takes
+    tables with missing values.
+
     Plan: ranks per gene (skew-safe, W1) -> one sparse product
     ``R @ I12ᵀ`` where ``I12`` holds the genotype-1 and genotype-2
     indicators of every SNP as rows ``2*snp`` and ``2*snp+1`` (bounded by
@@ -48,9 +63,9 @@ def kruskal_wallis(
     (the common case) never enters a join.
     """
     K = n_samples
-    g = geno.select("snp", "sample", F.col("g").cast("int").alias("g"))
-    if missing_genotype == "zero":
-        g = g.withColumn("g", F.coalesce("g", F.lit(0)))
+    _require_complete(expr.filter(F.col("v").isNotNull()), "gene", n_genes, K)
+    _require_complete(geno, "snp", n_snps, K)
+    g = geno.select("snp", "sample", F.coalesce(F.col("g").cast("int"), F.lit(0)).alias("g"))
     r = ranks(expr.select("gene", "sample", "v"), ["gene"], "v", "sample")
     R = Mat(r.select(F.col("gene").alias("i"), F.col("sample").alias("j"), F.col("rank_avg").alias("v")), n_genes, n_samples)
     ind = g.filter(F.col("g").isin(1, 2)).select(
@@ -60,7 +75,7 @@ def kruskal_wallis(
     )
     I12 = Mat(ind, 2 * n_snps, n_samples)
     S = matmul(R, transpose(I12)).df
-    sp = S.groupBy(F.col("i").alias("gene"), (F.col("j") / 2).cast("long").alias("snp")).agg(
+    sp = S.groupBy(F.col("i").alias("gene"), idiv(F.col("j"), F.lit(2)).alias("snp")).agg(
         F.sum(F.when(F.col("j") % 2 == 0, F.col("v"))).alias("s1"),
         F.sum(F.when(F.col("j") % 2 == 1, F.col("v"))).alias("s2"),
     )
@@ -79,21 +94,88 @@ def kruskal_wallis(
     return t.select("gene", "snp", _stat(F.lit(K), s0, n0, s1, n1, s2, n2).alias("stat"))
 
 
+TILE_CELLS = 1_000_000  # expression values of a gene block; genotype calls of an SNP block
+MISSING = 255
+
+
 def kruskal_wallis_missing(
     expr: DataFrame,
     geno: DataFrame,
     n_snps: int,
     n_samples: int,
+    tile_cells: int = TILE_CELLS,
 ) -> DataFrame:
     """Complete-pair test (R17).  For each (gene, SNP) only samples with
     both an expression value and a genotype call count: ranks are taken
-    among them (ties averaged), ``K`` is their number.
+    among them (ties averaged), ``K`` is their number.  Pairs without any
+    complete sample produce no row.
+
+    Plan: genes and SNPs are each gathered into blocks of at most
+    ``tile_cells`` values, and every gene block meets every SNP block by an
+    equi-join on the SNP block's id (gene blocks are expanded over the ids).
+    A tile of two blocks is ranked in numpy (:func:`_tile_stats`), so what is
+    shuffled is the two inputs, never a row per (gene, SNP, sample).  With
+    more samples than a block may hold, pairs are ranked as rows instead
+    (:func:`_kruskal_wallis_rows`), which splits a gene over tasks.
+    """
+    if n_samples > tile_cells:
+        return _kruskal_wallis_rows(expr, geno, n_snps, n_samples)
+    per_block = max(1, tile_cells // max(1, n_samples))
+    n_blocks = max(1, -(-n_snps // per_block))
+    genes = (
+        expr.filter(F.col("v").isNotNull())
+        .groupBy(idiv(F.col("gene"), F.lit(per_block)).alias("_a"))
+        .agg(*[F.collect_list(F.col(c)).alias(c) for c in ("gene", "sample", "v")])
+        .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    )
+    calls = F.struct("snp", F.col("sample").alias("snp_sample"), F.col("g").cast("int").alias("g"))
+    snps = (
+        geno.filter(F.col("g").isNotNull())
+        .groupBy(idiv(F.col("snp"), F.lit(per_block)).alias("_b"))
+        .agg(F.collect_list(calls).alias("calls"))
+        .select("_b", "calls.snp", "calls.snp_sample", "calls.g")
+    )
+    tiles = join_by_bound(genes, snps, ["_b"], n_snps * n_samples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = {c: batch.column(c)[k].values.to_numpy() for c in ("gene", "sample", "v", "snp", "snp_sample", "g")}
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _tile_stats(n_samples, **at)], names=["gene", "snp", "stat"])
+
+    return tiles.select("gene", "sample", "v", "snp", "snp_sample", "g").mapInArrow(run, "gene long, snp long, stat double")
+
+
+def _tile_stats(n_samples, gene, sample, v, snp, snp_sample, g):
+    """``(gene, snp, stat)`` of the pairs of a tile that have a complete sample.
 
-    Plan: expression joined to genotype calls on sample (genotype side
-    bounded by ``n_snps * n_samples``, broadcast when it fits), skew-safe
-    ranks per (gene, SNP), then one group-by.  Pairs without any complete
-    sample produce no row.
+    The samples of a gene in ascending order of value form tie groups; a
+    tie group's rank for an SNP follows from how many of its samples, and
+    of those before it, have a call.
     """
+    snps, column = np.unique(snp, return_inverse=True)
+    codes = np.full((n_samples, len(snps)), MISSING, np.uint8)
+    codes[snp_sample, column] = g
+    found = []
+    for one in np.unique(gene):
+        mine = gene == one
+        order = np.argsort(v[mine], kind="stable")
+        value, called = v[mine][order], codes[sample[mine][order]]
+        start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        per_group = [np.add.reduceat(called == level, start, axis=0, dtype=np.int64) for level in (0, 1, 2)]
+        count = sum(per_group)
+        rank = np.cumsum(count, axis=0) - count + (count + 1) / 2.0
+        n = [x.sum(axis=0) for x in per_group]
+        k = sum(n).astype(float)
+        terms = sum(np.where(m > 0, (rank * x).sum(axis=0) ** 2 / np.maximum(m, 1), 0.0) for x, m in zip(per_group, n))
+        has = np.flatnonzero(k)
+        stat = 12.0 / (k[has] * (k[has] + 1)) * terms[has] - 3.0 * (k[has] + 1)
+        found.append((np.full(len(has), one), snps[has], stat))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def _kruskal_wallis_rows(expr: DataFrame, geno: DataFrame, n_snps: int, n_samples: int) -> DataFrame:
+    """P4 as rows: expression joined to genotype calls on sample, skew-safe ranks per (gene, SNP), one group-by."""
     e = expr.filter(F.col("v").isNotNull()).select("gene", "sample", "v")
     g = geno.filter(F.col("g").isNotNull()).select("snp", "sample", F.col("g").cast("int").alias("g"))
     pairs = join_by_bound(e, g, ["sample"], n_snps * n_samples)

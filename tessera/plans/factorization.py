@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec, canon, cut_lineage, fits_broadcast
+from tessera.core import Mat, Vec, canon, cut_lineage, drop_lineage, fits_broadcast
 from tessera.operators import algebra as J
 from tessera.operators import elementwise as E
 from tessera.operators.reshape import vec, vec_stack
@@ -32,10 +32,10 @@ class _PreparedV:
     factor side and never counts V's keys again.
     """
 
-    def __init__(self, V: Mat):
+    def __init__(self, V: Mat, num_partitions: int | None = None):
         base = V.df.select("i", "j", "v")
-        by_i, self.hot_i = prepare_repeated_join(base, ["i"])
-        by_j, self.hot_j = prepare_repeated_join(base, ["j"])
+        by_i, self.hot_i = prepare_repeated_join(base, ["i"], num_partitions)
+        by_j, self.hot_j = prepare_repeated_join(base, ["j"], num_partitions)
         self.by_i = by_i.persist(StorageLevel.MEMORY_AND_DISK)
         self.by_j = by_j.persist(StorageLevel.MEMORY_AND_DISK)
         self.V = V
@@ -70,12 +70,13 @@ def gnmf_step(
     """
     mat = materialize or _checkpointed
     Wt = E.transpose(W)
+    # WᵀW and HHᵀ join rows of at most r entries per key, so no key is counted or split.
     WtV = prepared.wt_v(W) if prepared else J.matmul(Wt, V)
-    H = J.elementwise_divide(J.elementwise_multiply(H, WtV), E.add_scalar(J.matmul(J.matmul(Wt, W), H), eps))
+    H = J.elementwise_divide(J.elementwise_multiply(H, WtV), E.add_scalar(J.matmul(J.matmul(Wt, W, bounded=True), H), eps))
     H = mat(H)
     Ht = E.transpose(H)
     VHt = prepared.v_ht(H) if prepared else J.matmul(V, Ht)
-    W = J.elementwise_divide(J.elementwise_multiply(W, VHt), E.add_scalar(J.matmul(W, J.matmul(H, Ht)), eps))
+    W = J.elementwise_divide(J.elementwise_multiply(W, VHt), E.add_scalar(J.matmul(W, J.matmul(H, Ht, bounded=True)), eps))
     return mat(W), H
 
 
@@ -83,7 +84,9 @@ def _checkpointed(m: Mat) -> Mat:
     return Mat(cut_lineage(m.df), m.nrows, m.ncols, m.dense)
 
 
-def gnmf(V: Mat, W: Mat, H: Mat, iterations: int = 10, eps: float = 1e-8) -> tuple[Mat, Mat]:
+def gnmf(
+    V: Mat, W: Mat, H: Mat, iterations: int = 10, eps: float = 1e-8, num_partitions: int | None = None
+) -> tuple[Mat, Mat]:
     """``iterations`` multiplicative updates.
 
     Factors that fit the broadcast bound (``m x r`` and ``r x n`` by shape)
@@ -98,9 +101,12 @@ def gnmf(V: Mat, W: Mat, H: Mat, iterations: int = 10, eps: float = 1e-8) -> tup
     if fits_broadcast(spark, W.cell_bound) and fits_broadcast(spark, H.cell_bound):
         V = _persist(V)
     else:
-        prepared = _PreparedV(V)
-    for _ in range(iterations):
+        prepared = _PreparedV(V, num_partitions)
+    for it in range(iterations):
+        before = (W, H) if it else ()
         W, H = gnmf_step(V, W, H, eps, prepared=prepared)
+        for m in before:
+            drop_lineage(m.df)
     if iterations > 0:
         # The returned factors are read back from the checkpoint folder, so
         # the cached copies of V can be released.
@@ -114,24 +120,37 @@ def gnmf(V: Mat, W: Mat, H: Mat, iterations: int = 10, eps: float = 1e-8) -> tup
 
 def gradient(V: Mat, W: Mat, H: Mat) -> Vec:
     """``dW = -2 (V - WH) Hᵀ + 2W``, ``dH = -2 Wᵀ (V - WH) + 2H``,
-    returned as ``[vec dW; vec dH]`` (ruling R14: stacked by size)."""
-    R = J.subtract(V, J.matmul(W, H))
-    dW = J.add(E.scale(J.matmul(R, E.transpose(H)), -2.0), E.scale(W, 2.0))
-    dH = J.add(E.scale(J.matmul(E.transpose(W), R), -2.0), E.scale(H, 2.0))
+    returned as ``[vec dW; vec dH]`` (ruling R14: stacked by size).
+
+    ``WH`` is never formed: ``(V - WH) Hᵀ = V Hᵀ - W (H Hᵀ)`` and
+    ``Wᵀ (V - WH) = Wᵀ V - (Wᵀ W) H``, so the only intermediates are r x r and
+    those of the factors' shapes.
+    """
+    Wt, Ht = E.transpose(W), E.transpose(H)
+    dW = J.add_many([E.scale(J.matmul(V, Ht), -2.0), E.scale(J.matmul(W, J.matmul(H, Ht, bounded=True)), 2.0), E.scale(W, 2.0)])
+    dH = J.add_many([E.scale(J.matmul(Wt, V), -2.0), E.scale(J.matmul(J.matmul(Wt, W, bounded=True), H), 2.0), E.scale(H, 2.0)])
     return vec_stack([vec(dW), vec(dH)])
 
 
+def _cut(x: Vec) -> Vec:
+    return Vec(cut_lineage(x.df), x.size)
+
+
 def bfgs_step(B: Mat, g1: Vec, g2: Vec, scaled: bool = False) -> Mat:
     """``B <- B + y yᵀ - (B s)(sᵀ B)`` with ``s = -g1``, ``y = g2 - g1``.
 
     ``B s`` and ``sᵀ B`` are matrix-vector products (never ``s sᵀ``).  With
     ``scaled=True`` the textbook denominators ``yᵀ s`` and ``sᵀ B s`` are
     applied (ruling R15); the default follows the original as written.
+
+    The gradients and the vectors made of them are used several times, so each
+    is written once to the checkpoint folder.
     """
+    g1, g2 = _cut(g1), _cut(g2)
     s = E.scale_vec(g1, -1.0)
-    y = J.vec_subtract(g2, g1)
-    Bs = J.matvec(B, s)
-    sB = J.vecmat(s, B)
+    y = _cut(J.vec_subtract(g2, g1))
+    Bs = _cut(J.matvec(B, s))
+    sB = _cut(J.vecmat(s, B))
     a, b = 1.0, 1.0
     if scaled:
         ys = J.inner(y, s).first()[0]

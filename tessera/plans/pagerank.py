@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec, canon, cut_lineage, fits_broadcast
+from tessera.core import Mat, Vec, canon, cut_lineage, drop_lineage, fits_broadcast
 from tessera.operators.aggregates import out_degree_weights
 from tessera.plans.skew import join_prepared, prepare_repeated_join
 from tessera.sources.entries import from_entries, ones_vector
@@ -49,6 +49,7 @@ def pagerank(
     x0: Vec | None = None,
     v: Vec | None = None,
     checkpoint_every: int = 3,
+    num_partitions: int | None = None,
 ) -> Vec:
     """Damped power iteration; ``x0 = v = ones`` by default (the
     application form).  Pass ``x0 = v = 1/n`` for the normalised form."""
@@ -63,10 +64,11 @@ def pagerank(
         pm = P.df.select("i", "j", (F.col("v") * F.lit(alpha)).alias("pv")).persist(StorageLevel.MEMORY_AND_DISK)
     else:
         pm, hot = prepare_repeated_join(
-            P.df.select("i", "j", (F.col("v") * F.lit(alpha)).alias("pv")), ["j"]
+            P.df.select("i", "j", (F.col("v") * F.lit(alpha)).alias("pv")), ["j"], num_partitions
         )
         pm = pm.persist(StorageLevel.MEMORY_AND_DISK)
 
+    kept = None
     for it in range(iterations):
         xs = x.df.select(F.col("i").alias("j"), F.col("v").alias("xv"))
         if broadcast_x:
@@ -78,6 +80,9 @@ def pagerank(
         last = it + 1 == iterations
         if last or (checkpoint_every and (it + 1) % checkpoint_every == 0):
             nxt = cut_lineage(nxt)
+            if kept is not None:
+                drop_lineage(kept)
+            kept = nxt
         x = Vec(nxt, n)
     # The result is read back from the checkpoint folder: release P's cache.
     pm.unpersist()

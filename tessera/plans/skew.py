@@ -10,14 +10,20 @@ hot (assume one key may hold a third of all rows):
   split.  Both sides may be split at once (2-D), so a key that is hot on both
   sides is cut into ``sl * sr`` tasks.
 * :func:`prefix_sum` -- an inclusive running sum inside groups, ordered by one
-  column.  Groups larger than the hot-key threshold are cut into quantile
-  buckets (mergeable ``percentile_approx`` sketch, then a binary search written
-  as ``log2(B)`` projections), the running sum is taken per bucket and bucket
-  offsets are added from a table of at most ``B`` rows per group.
-
-Every eager step here is a bounded driver pull (at most ``maxHotKeys + 1``
-rows); above that bound the hot-key table is joined by shuffle instead of
-broadcast, so results never depend on the cap.
+  column.  Groups larger than the bucket size are cut into quantile buckets
+  (mergeable ``percentile_approx`` sketch, then a binary search written as
+  ``log2(B)`` projections), the running sum is taken per bucket and bucket
+  offsets are added from a broadcast table.
+
+What reaches the driver is bounded by ``maxHotKeys`` at any input size: only the
+``maxHotKeys`` largest keys are split, so a key that is left whole has at most
+``max(hotKeyRows, N / maxHotKeys)`` of the ``N`` rows, and buckets are
+``max(hotKeyRows, N / maxHotKeys)`` rows or more, so there are at most
+``maxHotKeys`` of them besides one per split group.  The hot-key table and the
+bucket bounds are therefore always broadcast, never joined by a shuffle on
+the bare key.
+
+Groups are compared null-safely: NULL group values form a group.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.core import CONF_HOT_KEY_ROWS, CONF_MAX_HOT_KEYS, conf_int
 
@@ -44,18 +51,12 @@ def _hot_counts(df: DataFrame, keys: list[str], threshold: int, name: str) -> Da
     )
 
 
-def _small_table(df: DataFrame, max_rows: int) -> tuple[DataFrame | None, bool]:
-    """Materialise ``df`` on the driver if it has at most ``max_rows`` rows.
-
-    Returns ``(table, broadcastable)``; ``table`` is ``None`` when empty.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if not rows:
-        return None, True
-    if len(rows) <= max_rows:
-        spark = df.sparkSession
-        return spark.createDataFrame(rows, df.schema), True
-    return df, False
+def _hottest(hot: DataFrame, sizes: list[str], max_rows: int) -> DataFrame | None:
+    """The ``max_rows`` rows of greatest size as a table for broadcasting; ``None`` if there is none."""
+    order = F.greatest(*sizes) if len(sizes) > 1 else F.col(sizes[0])
+    rest = [F.col(c) for c in hot.columns if c not in sizes]
+    rows = hot.orderBy(order.desc(), *rest).limit(max_rows).collect()
+    return F.broadcast(hot.sparkSession.createDataFrame(rows, hot.schema)) if rows else None
 
 
 def salted_join(
@@ -102,12 +103,10 @@ def salted_join(
         F.coalesce(F.col(_NR), F.lit(1)).alias(_NR),
     )
 
-    table, small = _small_table(hot, max_hot)
+    table = _hottest(hot, [_NL, _NR], max_hot)
     if table is None:
         # No hot key: an ordinary shuffle join is balanced.
         return left.join(right, keys, "inner")
-    if small:
-        table = F.broadcast(table)
 
     nl = F.coalesce(F.col(_NL), F.lit(1))
     nr = F.coalesce(F.col(_NR), F.lit(1))
@@ -132,14 +131,15 @@ def _bucket_column(order_col: str, n_steps: int):
     """Lower-bound binary search of ``order_col`` in the sorted array ``_bnd``.
 
     Returns the list of (name, expression) projections; the result is ``_b``,
-    the number of bounds strictly below the value (0 when ``_bnd`` is NULL).
+    the number of bounds strictly below the value (0 when ``_bnd`` is NULL).  An
+    array may be shorter than ``2 ** n_steps - 1``; what is missing counts as greater.
     """
     steps = []
     width = 1 << n_steps
     steps.append(("_b", F.lit(0).cast("int")))
     s = width // 2
     while s >= 1:
-        probe = F.element_at(F.col("_bnd"), F.col("_b") + F.lit(s))
+        probe = F.get(F.col("_bnd"), F.col("_b") + F.lit(s - 1))  # NULL past a shorter array's end
         steps.append(
             (
                 "_b",
@@ -153,6 +153,33 @@ def _bucket_column(order_col: str, n_steps: int):
     return steps
 
 
+def _size_class(rows: int, bucket_rows: int) -> int:
+    """``c`` such that a group of ``rows`` rows is cut into ``2**c`` buckets of at most about half ``bucket_rows``."""
+    return max(1, math.ceil(math.log2(max(2.0, 2.0 * rows / bucket_rows))))
+
+
+def _bounds(df: DataFrame, hot: list, order_col: str, bucket_rows: int) -> tuple[DataFrame, int]:
+    """Ascending bucket bounds ``_bnd`` per hot group, and the number of binary-search steps.
+
+    Groups of one size class share a list of percentiles (it has to be a constant), so
+    there is one aggregate per class, and classes are logarithms of sizes.
+    """
+    spark = df.sparkSession
+    found = []
+    schema = df.select("_g").schema
+    classes = sorted({_size_class(r["_gn"], bucket_rows) for r in hot})
+    for c in classes:
+        keys = [(r["_g"],) for r in hot if _size_class(r["_gn"], bucket_rows) == c]
+        members = df.join(F.broadcast(spark.createDataFrame(keys, schema)), "_g", "left_semi")
+        width = 1 << c
+        pct = [k / width for k in range(1, width)]
+        value = F.col(order_col).cast("double")
+        found += members.groupBy("_g").agg(F.percentile_approx(value, pct, max(10000, 4 * width)).alias("_bnd")).collect()
+    rows = [(r["_g"], [float(x) for x in r["_bnd"]]) for r in found]
+    bounds = spark.createDataFrame(rows, T.StructType([schema["_g"], T.StructField("_bnd", T.ArrayType(T.DoubleType()))]))
+    return F.broadcast(bounds), classes[-1]
+
+
 def prefix_sum(
     df: DataFrame,
     group_cols: list[str],
@@ -162,76 +189,44 @@ def prefix_sum(
 ) -> DataFrame:
     """Add ``out_col`` = running sum of ``weight_col`` within ``group_cols`` in
     ascending ``order_col`` (inclusive).  ``order_col`` must be non-null,
-    numeric and unique within a group.
+    numeric and unique within a group.  Without group columns the rows are one
+    group.
     """
     spark = df.sparkSession
     threshold = conf_int(spark, CONF_HOT_KEY_ROWS)
     max_hot = conf_int(spark, CONF_MAX_HOT_KEYS)
-    G = list(group_cols)
-
-    sizes = (df.groupBy(*G) if G else df.groupBy()).agg(F.count(F.lit(1)).alias("_gn"))
-    if G:
-        hot = sizes.filter(F.col("_gn") > F.lit(threshold))
-        table, small = _small_table(hot, max_hot)
-    else:
-        # One global group: always range-split it (a window without a
-        # partition key would run in a single task).
-        gn = sizes.first()[0] or 0
-        table, small = (sizes, True) if gn > 0 else (None, True)
+    # A struct is never NULL itself and its NULL fields compare equal.
+    df = df.withColumn("_g", F.struct(*group_cols) if group_cols else F.struct(F.lit(0).alias("all")))
 
-    if table is None:
+    sizes = df.groupBy("_g").agg(F.count(F.lit(1)).alias("_gn"))
+    hot = sizes.filter(F.col("_gn") > threshold).orderBy(F.desc("_gn"), "_g").limit(max_hot).collect()
+    by_group = Window.partitionBy("_g").orderBy(F.col(order_col))
+    if not hot:
         # No hot group: one window per group, nothing to offset.
-        w = (
-            (Window.partitionBy(*G) if G else Window.partitionBy())
-            .orderBy(F.col(order_col))
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.withColumn(out_col, F.sum(F.col(weight_col)).over(w))
-    else:
-        if G:
-            gmax = table.agg(F.max("_gn")).first()[0] if small else hot.agg(F.max("_gn")).first()[0]
-        else:
-            gmax = gn
-        n_buckets = max(2, int(gmax // threshold) + 1) * 4
-        n_steps = min(16, max(1, math.ceil(math.log2(n_buckets))))
-        width = 1 << n_steps
-        pct = [k / width for k in range(1, width)]
-        keyed = F.broadcast(table) if small else table
-        members = df.join(keyed.select(*G), G, "inner") if G else df
-        bounds = (members.groupBy(*G) if G else members.groupBy()).agg(
-            F.percentile_approx(
-                F.col(order_col).cast("double"), pct, max(10000, 4 * width)
-            ).alias("_bnd")
-        )
-        if G:
-            bounds_small = small and (max_hot * width <= 50_000_000)
-            bj = F.broadcast(bounds) if bounds_small else bounds
-            data = df.join(bj, G, "left")
-        else:
-            # One global group: its bound array is a bounded driver value.
-            bnd = bounds.first()[0]
-            data = df.withColumn(
-                "_bnd", F.array(*[F.lit(float(x)) for x in bnd]) if bnd else F.lit(None)
-            )
-        for name, expr in _bucket_column(order_col, n_steps):
-            data = data.withColumn(name, expr)
-        data = data.drop("_bnd")
+        w = by_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out_col, F.sum(F.col(weight_col)).over(w)).drop("_g")
+
+    bucket_rows = max(threshold, math.ceil(sum(r["_gn"] for r in hot) / max_hot))
+    bounds, n_steps = _bounds(df, hot, order_col, bucket_rows)
+    data = df.join(bounds, "_g", "left")
+    for name, expr in _bucket_column(order_col, n_steps):
+        data = data.withColumn(name, expr)
+    data = data.drop("_bnd")
 
     w_local = (
-        Window.partitionBy(*G, "_b")
+        Window.partitionBy("_g", "_b")
         .orderBy(F.col(order_col))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     data = data.withColumn("_local", F.sum(F.col(weight_col)).over(w_local))
-    totals = data.groupBy(*G, "_b").agg(F.sum(F.col(weight_col)).alias("_bt"))
-    w_off = (
-        (Window.partitionBy(*G) if G else Window.partitionBy())
-        .orderBy("_b")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    offsets = totals.withColumn("_off", F.sum("_bt").over(w_off) - F.col("_bt")).drop("_bt")
-    out = data.join(offsets, G + ["_b"], "inner")
-    return out.withColumn(out_col, F.col("_off") + F.col("_local")).drop("_b", "_off", "_local")
+    # Only split groups have a bucket after the first, so the offsets have a row per bucket of those.
+    members = data.join(bounds.select("_g"), "_g", "left_semi")
+    totals = members.groupBy("_g", "_b").agg(F.sum(F.col(weight_col)).alias("_bt"))
+    w_off = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_g", "_b", F.sum("_bt").over(w_off).alias("_off")).filter(F.col("_off").isNotNull())
+    out = data.join(F.broadcast(offsets), ["_g", "_b"], "left")
+    running = F.col("_local") + F.coalesce(F.col("_off"), F.lit(0).cast(totals.schema["_bt"].dataType))
+    return out.withColumn(out_col, running).drop("_g", "_b", "_off", "_local")
 
 
 def ranks(
@@ -259,15 +254,18 @@ def ranks(
     spark = df.sparkSession
     threshold = conf_int(spark, CONF_HOT_KEY_ROWS)
     max_hot = conf_int(spark, CONF_MAX_HOT_KEYS)
-    sizes = df.groupBy(*G).agg(F.count(F.lit(1)).alias("_gn"))
-    hot, small = _small_table(sizes.filter(F.col("_gn") > F.lit(threshold)).select(*G), max_hot)
+    df = df.withColumn("_group", F.struct(*G))  # never NULL, so NULL groups join
+    sizes = df.groupBy("_group").agg(F.count(F.lit(1)).alias("_gn"))
+    hot = _hottest(sizes.filter(F.col("_gn") > F.lit(threshold)), ["_gn"], max_hot)
     if hot is None:
-        return _ranks_window(df, G, value_col, tiebreak_col)
-    keyed = F.broadcast(hot) if small else hot
-    cold_rows = df.join(keyed, G, "left_anti")
-    hot_rows = df.join(keyed, G, "left_semi")
-    return _ranks_window(cold_rows, G, value_col, tiebreak_col).unionByName(
-        _ranks_split(hot_rows, G, value_col, tiebreak_col)
+        return _ranks_window(df, G, value_col, tiebreak_col).drop("_group")
+    keyed = hot.select("_group")
+    cold_rows = df.join(F.broadcast(keyed), "_group", "left_anti")
+    hot_rows = df.join(F.broadcast(keyed), "_group", "left_semi")
+    return (
+        _ranks_window(cold_rows, G, value_col, tiebreak_col)
+        .unionByName(_ranks_split(hot_rows, ["_group"], value_col, tiebreak_col))
+        .drop("_group")
     )
 
 
@@ -361,36 +359,29 @@ def prepare_repeated_join(big: DataFrame, keys: list[str], num_partitions: int |
     threshold = conf_int(spark, CONF_HOT_KEY_ROWS)
     max_hot = conf_int(spark, CONF_MAX_HOT_KEYS)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot, small = _small_table(_hot_counts(big, keys, threshold, _NS), max_hot)
+    hot = _hottest(_hot_counts(big, keys, threshold, _NS), [_NS], max_hot)
     if hot is None:
         # No hot key: partition on the keys alone (a constant salt would be
         # folded out of the join keys and the partitioning not reused).
-        return big.repartition(n, *keys), (None, True)
-    else:
-        h = F.broadcast(hot) if small else hot
-        cols = [F.col(c) for c in big.columns]
-        salted = (
-            big.join(h, keys, "left")
-            .withColumn(_SALT, F.pmod(F.xxhash64(*cols), F.coalesce(F.col(_NS), F.lit(1)).cast("long")))
-            .drop(_NS)
-        )
-    return salted.repartition(n, *keys, _SALT), (hot, small)
+        return big.repartition(n, *keys), None
+    cols = [F.col(c) for c in big.columns]
+    salted = (
+        big.join(hot, keys, "left")
+        .withColumn(_SALT, F.pmod(F.xxhash64(*cols), F.coalesce(F.col(_NS), F.lit(1)).cast("long")))
+        .drop(_NS)
+    )
+    return salted.repartition(n, *keys, _SALT), hot
 
 
 def join_prepared(big_salted: DataFrame, hot, small_side: DataFrame, keys: list[str]) -> DataFrame:
     """Join a side prepared by :func:`prepare_repeated_join` with a small side
     whose keys are unique; the small side is replicated once per split."""
-    table, small = hot
-    if table is None:
+    if hot is None:
         return big_salted.join(small_side, keys, "inner")
-    else:
-        h = F.broadcast(table) if small else table
-        rep = (
-            small_side.join(h, keys, "left")
-            .withColumn(
-                _SALT,
-                F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce(F.col(_NS), F.lit(1)) - 1).cast("long"))),
-            )
-            .drop(_NS)
-        )
+    splits = (F.coalesce(F.col(_NS), F.lit(1)) - 1).cast("long")
+    rep = (
+        small_side.join(hot, keys, "left")
+        .withColumn(_SALT, F.explode(F.sequence(F.lit(0).cast("long"), splits)))
+        .drop(_NS)
+    )
     return big_salted.join(rep, keys + [_SALT], "inner").drop(_SALT)

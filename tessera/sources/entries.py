@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.core import CONF_SEGMENT_COLS, ENTRY_SCHEMA, VECTOR_SCHEMA, Mat, Vec, canon, conf_int, range_checked, require
+from tessera.core import CONF_SEGMENT_COLS, ENTRY_SCHEMA, VECTOR_SCHEMA, Mat, Vec, canon, conf_int, idiv, range_checked, require
 
 
 def infer_shape(df: DataFrame) -> tuple[int, int]:
@@ -29,8 +29,8 @@ def from_entries(
 ) -> Mat:
     """Build a canonical matrix from coordinate entries ``(i, j, v)``.
 
-    Duplicates are summed (map-side combined aggregate), zeros dropped, and
-    indices outside a declared shape raise at execution.  A shape ``<= 0`` or
+    Duplicates are summed (map-side combined aggregate), zeros and NaN dropped,
+    and indices that are negative or outside a declared side raise at execution.  A shape ``<= 0`` or
     ``None`` is inferred (one job).  ``unique=True`` skips the aggregate when
     the caller guarantees unique keys (e.g. the output of a group-by).
     """
@@ -41,13 +41,11 @@ def from_entries(
     )
     if not unique:
         e = e.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    e = canon(e)
+    e = range_checked(canon(e), nrows, ncols)
     if nrows is None or nrows <= 0 or ncols is None or ncols <= 0:
         r, c = infer_shape(e)
         nrows = r if nrows is None or nrows <= 0 else nrows
         ncols = c if ncols is None or ncols <= 0 else ncols
-    else:
-        e = range_checked(e, nrows, ncols)
     return Mat(e, int(nrows), int(ncols))
 
 
@@ -56,12 +54,10 @@ def vector_from_entries(df: DataFrame, size: int | None = None, unique: bool = F
     e = df.select(F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
     if not unique:
         e = e.groupBy("i").agg(F.sum("v").alias("v"))
-    e = canon(e)
+    e = range_checked(canon(e), size)
     if size is None or size <= 0:
         m = e.agg(F.max("i")).first()[0]
         size = 0 if m is None else int(m) + 1
-    else:
-        e = range_checked(e, size)
     return Vec(e, int(size))
 
 
@@ -75,7 +71,7 @@ def to_rows(m: Mat, segment: int | None = None) -> DataFrame:
     disjoint, ordered column ranges.  The entry table stays canonical.
     """
     w = segment or conf_int(m.spark, CONF_SEGMENT_COLS)
-    seg = (F.col("j") / F.lit(w)).cast("long")
+    seg = idiv(F.col("j"), F.lit(w))
     return m.df.groupBy("i", seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("vec"))
 
 
@@ -83,7 +79,7 @@ def to_columns(m: Mat, segment: int | None = None) -> DataFrame:
     """Column layout ``(j, seg, vec ARRAY<STRUCT<i, v>>)`` sorted by i, with
     the same per-record bound as :func:`to_rows`."""
     w = segment or conf_int(m.spark, CONF_SEGMENT_COLS)
-    seg = (F.col("i") / F.lit(w)).cast("long")
+    seg = idiv(F.col("i"), F.lit(w))
     return m.df.groupBy("j", seg.alias("seg")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vec"))
 
 
@@ -105,7 +101,7 @@ def zero_vector(spark: SparkSession, size: int) -> Vec:
 def _grid(spark: SparkSession, nrows: int, ncols: int) -> DataFrame:
     """All cells of an ``nrows x ncols`` grid, generated in parallel."""
     return spark.range(nrows * ncols).select(
-        (F.col("id") % F.lit(nrows)).alias("i"), (F.col("id") / F.lit(nrows)).cast("long").alias("j")
+        (F.col("id") % F.lit(nrows)).alias("i"), idiv(F.col("id"), F.lit(nrows)).alias("j")
     )
 
 
@@ -185,9 +181,11 @@ def sprand(
     k = int(math.ceil(n * density))
     a = _coprime_multiplier(n, seed)
     off = (seed * 2654435761) % n if n else 0
-    cell = F.pmod(F.col("id") * F.lit(a) + F.lit(off), F.lit(n))
+    # The product may pass 2**63, so it is taken in decimal(38, 0).
+    product = F.col("id").cast("decimal(19,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(off).cast("decimal(19,0)")
+    cell = (product % F.lit(n).cast("decimal(19,0)")).cast("long")
     e = spark.range(k).select(
-        (cell % F.lit(nrows)).alias("i"), (cell / F.lit(nrows)).cast("long").alias("j")
+        (cell % F.lit(nrows)).alias("i"), idiv(cell, F.lit(nrows)).alias("j")
     )
     vals = normal_hash(seed, "i", "j") if normal else uniform_hash(seed, "i", "j")
     return Mat(canon(e.withColumn("v", vals)), nrows, ncols)
@@ -219,7 +217,7 @@ def from_column_major(spark: SparkSession, nrows: int, ncols: int, values: list[
     arr = spark.createDataFrame([(list(map(float, values)),)], "vals ARRAY<DOUBLE>")
     e = arr.select(F.posexplode("vals").alias("pos", "v")).select(
         (F.col("pos") % F.lit(nrows)).cast("long").alias("i"),
-        (F.col("pos") / F.lit(nrows)).cast("long").alias("j"),
+        idiv(F.col("pos"), F.lit(nrows)).alias("j"),
         "v",
     )
     return Mat(canon(e), nrows, ncols)
@@ -235,7 +233,7 @@ def from_column_major_table(
     held in one place.  Without it each row's array is a complete
     column-major ``nrows x ncols`` matrix and the rows are summed.
     """
-    j = F.col(col_id).cast("long") if col_id else (F.col("pos") / F.lit(nrows)).cast("long")
+    j = F.col(col_id).cast("long") if col_id else idiv(F.col("pos"), F.lit(nrows))
     keep = [col_id] if col_id else []
     e = df.select(*keep, F.posexplode(col).alias("pos", "v")).select(
         (F.col("pos") % F.lit(nrows)).cast("long").alias("i"),
@@ -279,6 +277,7 @@ def skew_schedule(lines: int, width: int, total: int, skew: float) -> list[tuple
         segs.append((k, k + 1, c))
         r -= c
         k += 1
+    require(r == 0, f"{lines} lines cannot hold the total: {r} entries are left over")
     return segs
 
 
@@ -304,7 +303,7 @@ def skewed_sparse(
     hashes in (0, 1].
     """
     lines, width = (nrows, ncols) if by == "row" else (ncols, nrows)
-    total = int(math.ceil(nrows * ncols * sparsity))
+    total = int(nrows * ncols * sparsity)
     segs = skew_schedule(lines, width, total, skew)
     a = _coprime_multiplier(width, seed)
     # Single-line segments form one small table (one row per line); the at
@@ -316,7 +315,7 @@ def skewed_sparse(
         lines_df = lines_df.unionByName(
             spark.range(lo, hi).select(F.col("id").alias("line"), F.lit(c).cast("long").alias("c"))
         )
-    nchunks = ((F.col("c") + F.lit(chunk - 1)) / F.lit(chunk)).cast("long")
+    nchunks = idiv(F.col("c") + F.lit(chunk - 1), F.lit(chunk))
     cells = lines_df.select(
         "line", "c", F.explode(F.sequence(F.lit(0).cast("long"), nchunks - 1)).alias("chunk")
     ).select(

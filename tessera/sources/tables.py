@@ -2,8 +2,8 @@
 
 Every reader selects only the columns it needs, so the parquet scan's
 ``ReadSchema`` is pruned and filters are pushed into the scan.  Shapes come
-from the key ranges of the dimension tables (one small aggregate each,
-remembered per folder because the tables are read-only).
+from the key ranges of the tables that own the keys (one aggregate over one
+column each, only those a query needs).
 
 | name | definition |
 | --- | --- |
@@ -17,7 +17,7 @@ remembered per folder because the tables are read-only).
 | EM | embedding component ``pos`` of ``vec_id``: genes = positions, samples = vec_id |
 | G | genotype (label*(m+1)+m) mod 3 for SNP m in 0..9, samples = vec_id |
 | GM | G with a missing call where the sample's embedding component m < -0.15 |
-| EV | round(sum(value), 2) by (user_id, day(ts)-1), NULL on days without events |
+| EV | round(sum(value), 2) by (user_id, days since the first event), NULL on days without events |
 """
 
 from __future__ import annotations
@@ -25,13 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec
+from tessera.core import Mat, Vec, idiv
 from tessera.sources.entries import from_entries, vector_from_entries
 
 N_SNPS = 10
-N_DAYS = 30
-
-_dims_cache: dict[str, dict[str, int]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -39,29 +36,34 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def dims(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    if sf_dir not in _dims_cache:
-        s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").agg(
-            F.max("s_suppkey").alias("ms"), F.max("s_nationkey").alias("mn")
-        ).first()
-        p = table(spark, sf_dir, "part", "p_partkey", "p_size").agg(
-            F.max("p_partkey").alias("mp"), F.max("p_size").alias("mz")
-        ).first()
-        e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").agg(
-            F.max("vec_id").alias("mv"), F.max(F.size("embedding")).alias("dim")
-        ).first()
-        u = table(spark, sf_dir, "events", "user_id").agg(F.max("user_id").alias("mu")).first()
-        n = table(spark, sf_dir, "nation", "n_nationkey").agg(F.max("n_nationkey").alias("mn")).first()
-        _dims_cache[sf_dir] = {
-            "supp": int(s["ms"]) + 1,
-            "nation": max(int(s["mn"]), int(n["mn"])) + 1,
-            "part": int(p["mp"]) + 1,
-            "psize": int(p["mz"]),
-            "vec": int(e["mv"]) + 1,
-            "dim": int(e["dim"]),
-            "users": int(u["mu"]) + 1,
-        }
-    return _dims_cache[sf_dir]
+# Dimension -> (table that owns the key, column, expression of the size).
+_DIMS = {
+    "supp": ("supplier", "s_suppkey", lambda c: F.max(c) + 1),
+    "nation": ("nation", "n_nationkey", lambda c: F.max(c) + 1),
+    "part": ("part", "p_partkey", lambda c: F.max(c) + 1),
+    "psize": ("part", "p_size", F.max),
+    "vec": ("embeddings", "vec_id", lambda c: F.max(c) + 1),
+    "dim": ("embeddings", "embedding", lambda c: F.max(F.size(c))),
+    "users": ("events", "user_id", lambda c: F.max(c) + 1),
+}
+
+
+class Dims:
+    """Sizes of the key ranges of a folder, each read when it is asked for: one aggregate over
+    one column of the table that owns the key.  Nothing outlives the query that asks."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.known = spark, sf_dir, {}
+
+    def __getitem__(self, name: str) -> int:
+        if name not in self.known:
+            owner, column, size = _DIMS[name]
+            self.known[name] = int(table(self.spark, self.sf_dir, owner, column).agg(size(column)).first()[0] or 0)
+        return self.known[name]
+
+
+def dims(spark: SparkSession, sf_dir: str) -> Dims:
+    return Dims(spark, sf_dir)
 
 
 def q_matrix(spark: SparkSession, sf_dir: str) -> Mat:
@@ -136,13 +138,15 @@ def genotype_table(spark: SparkSession, sf_dir: str, with_missing: bool = False)
 
 
 def ev_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete users x days table ``(i user, j day, v)`` with NULL when absent."""
-    d = dims(spark, sf_dir)
+    """Complete users x days table ``(i user, j day, v)`` with NULL when absent; days
+    count from the date of the first event to that of the last."""
     ev = table(spark, sf_dir, "events", "user_id", "ts", "value")
-    sums = ev.groupBy(F.col("user_id").alias("i"), (F.dayofmonth("ts") - 1).cast("long").alias("j")).agg(
-        F.round(F.sum("value"), 2).alias("v")
-    )
-    cells = spark.range(d["users"] * N_DAYS).select(
-        (F.col("id") / F.lit(N_DAYS)).cast("long").alias("i"), (F.col("id") % F.lit(N_DAYS)).alias("j")
+    span = ev.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"), F.max("user_id").alias("u")).first()
+    n_days = (span["b"] - span["a"]).days + 1 if span["a"] else 0
+    n_users = 0 if span["u"] is None else int(span["u"]) + 1
+    day = F.datediff(F.to_date("ts"), F.lit(span["a"])).cast("long")
+    sums = ev.groupBy(F.col("user_id").alias("i"), day.alias("j")).agg(F.round(F.sum("value"), 2).alias("v"))
+    cells = spark.range(n_users * n_days).select(
+        idiv(F.col("id"), F.lit(max(1, n_days))).alias("i"), (F.col("id") % F.lit(max(1, n_days))).alias("j")
     )
     return cells.join(sums, ["i", "j"], "left")

@@ -19,13 +19,21 @@ from tessera.core import Mat, canon, require
 from tessera.functions.lines import parse_doubles, parse_genotypes, split_ws, to_double
 from tessera.sources.entries import from_entries
 
+
+
+def _index(field: Column, shift: int = 0) -> Column:
+    """A row or column id of a line; text that is not an integer raises."""
+    bad = F.raise_error(F.concat(F.lit("not an index: "), F.coalesce(field, F.lit("(missing)"))))
+    return F.coalesce(field.try_cast("long"), bad.cast("long")) - F.lit(shift)
+
+
 # Tokens that mark header/comment lines in dense tab files.
 DENSE_SKIP_TOKENS = ("#", "Sample", "HG", "NA")
 
 
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace-separated ``src dst`` per line; ``#`` lines dropped;
-    returns entries ``(i=src, j=dst, v=1.0)`` (0-based as written)."""
+    """Whitespace-separated ``src dst`` per line; ``#`` and blank lines dropped,
+    any other line that does not parse raises; returns entries ``(i=src, j=dst, v=1.0)`` (0-based as written)."""
     return parse_edge_lines(spark.read.text(path))
 
 
@@ -34,14 +42,13 @@ def parse_edge_lines(lines: DataFrame) -> DataFrame:
     f = split_ws("value")
     return (
         lines.filter(~F.trim(F.col("value")).startswith("#") & (F.length(F.trim("value")) > 0))
-        .select(F.get(f, 0).try_cast("long").alias("i"), F.get(f, 1).try_cast("long").alias("j"))
-        .filter(F.col("i").isNotNull() & F.col("j").isNotNull())
-        .select("i", "j", F.lit(1.0).alias("v"))
+        .select(_index(F.get(f, 0)).alias("i"), _index(F.get(f, 1)).alias("j"), F.lit(1.0).alias("v"))
     )
 
 
 def read_triplets(spark: SparkSession, path: str, one_based: bool = True) -> DataFrame:
-    """``row col value`` per line (1-based by default) -> 0-based entries."""
+    """``row col value`` per line (1-based by default) -> 0-based entries; blank
+    lines dropped, any other line that does not parse raises."""
     return parse_triplet_lines(spark.read.text(path), one_based)
 
 
@@ -53,11 +60,10 @@ def parse_triplet_lines(lines: DataFrame, one_based: bool = True) -> DataFrame:
         lines
         .filter(F.length(F.trim("value")) > 0)
         .select(
-            (F.get(f, 0).try_cast("long") - shift).alias("i"),
-            (F.get(f, 1).try_cast("long") - shift).alias("j"),
-            to_double(F.get(f, 2)).alias("v"),
+            _index(F.get(f, 0), shift).alias("i"),
+            _index(F.get(f, 1), shift).alias("j"),
+            F.coalesce(to_double(F.get(f, 2)), F.raise_error(F.concat(F.lit("no value in line: "), "value")).cast("double")).alias("v"),
         )
-        .filter(F.col("i").isNotNull() & F.col("j").isNotNull())
     )
 
 
@@ -94,7 +100,7 @@ def parse_dense_lines(
         keep = keep & ~F.col("value").contains(tok)
     fields = F.split(F.col("value"), "\t")
     rows = lines.filter(keep & (F.length(F.trim("value")) > 0)).select(
-        (F.get(fields, 0).try_cast("long") - 1).alias("i"),
+        _index(F.get(fields, 0), 1).alias("i"),
         parser(F.slice(fields, 2, 1 << 30)).alias("vals"),
     )
     if check and (nrows is not None or ncols is not None):

@@ -7,7 +7,7 @@ matching oracle SQL (:mod:`tessera.oracle`).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.core import Mat, Vec
@@ -75,8 +75,23 @@ def map_values(spark, d):
 
 
 def lookup(spark, d):
-    q = T.q_matrix(spark, d)
-    return E.lookup(q, 3, 7).unionByName(E.lookup(q, 0, 0)).unionByName(E.lookup(q, 5, 11))
+    return E.lookup_many(T.q_matrix(spark, d), [(3, 7), (0, 0), (5, 11)])
+
+
+def lookup_vec(spark, d):
+    return E.lookup_vec_many(T.x_vector(spark, d), [0, 3, 10**12])
+
+
+def scale_vec(spark, d):
+    return _v(E.scale_vec(T.x_vector(spark, d), 2.5))
+
+
+def divide_vec_scalar(spark, d):
+    return _v(E.divide_vec_scalar(T.x_vector(spark, d), 4.0))
+
+
+def reciprocal_vec(spark, d):
+    return _v(E.reciprocal_vec(T.x_vector(spark, d), 2.0))
 
 
 # --- J* ----------------------------------------------------------------------
@@ -229,41 +244,25 @@ def densify(spark, d):
     return _m(X.densify(T.ns_matrix(spark, d)))
 
 
-def to_blocks(spark, d):
-    b = X.to_blocks(T.q_matrix(spark, d), 32, 500)
-    return b.select(
-        F.col("bi").cast("long").alias("bi"),
-        F.col("bj").cast("long").alias("bj"),
-        F.col("nr").cast("long").alias("nr"),
-        F.col("nc").cast("long").alias("nc"),
-        F.size("vals").cast("long").alias("n_vals"),
-        F.size(F.filter("vals", lambda x: x != 0)).cast("long").alias("nnz"),
-        F.aggregate("vals", F.lit(0.0), lambda acc, x: acc + x).alias("total"),
-        F.aggregate(
-            F.transform("vals", lambda x, p: x * (p + 1)), F.lit(0.0), lambda acc, x: acc + x
-        ).alias("weighted"),
-    )
-
-
-def greedy_partition(spark, d):
-    ids = X.greedy_partition_ids(T.q_matrix(spark, d), 8, "i")
-    return ids.select(F.col("idx").alias("i"), F.col("cnt").alias("cnt"), F.col("part").cast("long").alias("part"))
-
-
 def block_cyclic(spark, d):
-    ids = X.block_cyclic_ids(T.q_matrix(spark, d), 10, 100, 2, 3)
-    return ids.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    """X10 as a user partitioner (F5): which task an entry really went to."""
+    i, j = F.call_function("div", F.col("i"), F.lit(10)), F.call_function("div", F.col("j"), F.lit(100))
+    q = X.partition_by_expression(T.q_matrix(spark, d), 6, F.pmod(i, F.lit(2)) * 3 + F.pmod(j, F.lit(3)))
+    part = q.df.withColumn("part", F.spark_partition_id().cast("long"))
+    return part.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
 def range_partition(spark, d):
+    """Ranges are disjoint and ordered, nothing is lost, and no task has over twice its share."""
     q = X.range_partition(T.q_matrix(spark, d), 8, "i")
-    # Ranges are contiguous and ordered: report each task's index span.
-    t = q.df.withColumn("part", F.spark_partition_id())
-    spans = t.groupBy("part").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count(F.lit(1)).alias("n"))
+    key = F.struct("i", "j")
+    spans = q.df.groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part")  # eight rows
+    spans = spans.withColumn("apart", F.coalesce(F.lag("hi").over(before) < F.col("lo"), F.lit(True)))
     return spans.agg(
         F.sum("n").alias("n"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
+        F.min("apart").alias("apart"),
+        (F.max("n") * 8 <= F.sum("n") * 2).alias("even"),
     )
 
 
@@ -325,6 +324,10 @@ REGISTRY = {
     "divide_scalar": divide_scalar,
     "map_values": map_values,
     "lookup": lookup,
+    "lookup_vec": lookup_vec,
+    "scale_vec": scale_vec,
+    "divide_vec_scalar": divide_vec_scalar,
+    "reciprocal_vec": reciprocal_vec,
     "mat_add": mat_add,
     "mat_sub": mat_sub,
     "elem_mul": elem_mul,
@@ -357,8 +360,6 @@ REGISTRY = {
     "hconcat": hconcat,
     "vconcat": vconcat,
     "densify": densify,
-    "to_blocks": to_blocks,
-    "greedy_partition": greedy_partition,
     "block_cyclic": block_cyclic,
     "range_partition": range_partition,
     "rank_avg": rank_avg,
@@ -414,12 +415,27 @@ def kruskal_wallis(spark, d):
     return _round(out, "stat")
 
 
+def kruskal_wallis_zero_coded(spark, d):
+    """P3 on a genotype table with missing calls, which count as genotype 0."""
+    dm = T.dims(spark, d)
+    out = Q.kruskal_wallis(_expr(spark, d), T.genotype_table(spark, d, with_missing=True), dm["dim"], T.N_SNPS, dm["vec"])
+    return _round(out, "stat")
+
+
 def kruskal_wallis_missing(spark, d):
     dm = T.dims(spark, d)
     out = Q.kruskal_wallis_missing(_expr(spark, d), T.genotype_table(spark, d, with_missing=True), T.N_SNPS, dm["vec"])
     return _round(out, "stat")
 
 
+def kruskal_wallis_missing_both(spark, d):
+    """P4 with missing values in both tables: K differs from pair to pair."""
+    dm = T.dims(spark, d)
+    expr = _expr(spark, d).withColumn("v", F.when(F.col("v") <= 0.2, F.col("v")))
+    out = Q.kruskal_wallis_missing(expr, T.genotype_table(spark, d, with_missing=True), T.N_SNPS, dm["vec"])
+    return _round(out, "stat")
+
+
 def eqtl_product(spark, d):
     dm = T.dims(spark, d)
     from tessera.sources.entries import from_entries as fe
@@ -430,10 +446,9 @@ def eqtl_product(spark, d):
 
 
 def _nmf_inputs(spark, d):
-    dm = T.dims(spark, d)
-    V = J.matmul(J.matmul(T.ns_matrix(spark, d), T.q_matrix(spark, d)), T.ps_matrix(spark, d))
-    W0 = formula_matrix(spark, dm["nation"], GNMF_RANK, 31, 17, 7, 1.0)
-    H0 = formula_matrix(spark, GNMF_RANK, dm["psize"], 31, 17, 7, 1.0)
+    V = T.q_matrix(spark, d)
+    W0 = formula_matrix(spark, V.nrows, GNMF_RANK, 31, 17, 7, 1.0)
+    H0 = formula_matrix(spark, GNMF_RANK, V.ncols, 31, 17, 7, 1.0)
     return V, W0, H0
 
 
@@ -458,8 +473,8 @@ def _grad_inputs(spark, d):
     V = T.ns_matrix(spark, d)
     W1 = formula_matrix(spark, dm["nation"], GRAD_RANK, 31, 17, 3)
     H1 = formula_matrix(spark, GRAD_RANK, dm["supp"], 31, 17, 3)
-    W2 = formula_matrix(spark, dm["nation"], GRAD_RANK, 13, 29, 3)
-    H2 = formula_matrix(spark, GRAD_RANK, dm["supp"], 13, 29, 3)
+    W2 = formula_matrix(spark, dm["nation"], GRAD_RANK, 14, 28, 3)
+    H2 = formula_matrix(spark, GRAD_RANK, dm["supp"], 14, 28, 3)
     return V, W1, H1, W2, H2
 
 
@@ -468,12 +483,21 @@ def factor_gradient(spark, d):
     return _v(FZ.gradient(V, W1, H1))
 
 
-def bfgs_step(spark, d):
+def _bfgs(spark, d, scaled: bool):
     V, W1, H1, W2, H2 = _grad_inputs(spark, d)
     g1, g2 = FZ.gradient(V, W1, H1), FZ.gradient(V, W2, H2)
     n = g1.size
     B0 = formula_matrix(spark, n, n, 7, 3, 11, 1.0)
-    return _m(FZ.bfgs_step(B0, g1, g2))
+    return _m(FZ.bfgs_step(B0, g1, g2, scaled))
+
+
+def bfgs_step(spark, d):
+    return _bfgs(spark, d, False)
+
+
+def bfgs_step_scaled(spark, d):
+    """P8 with the denominators of the textbook update."""
+    return _round(_bfgs(spark, d, True))
 
 
 def _chain(spark, d):
@@ -485,6 +509,33 @@ def chain_fixed(spark, d):
     return _m(C.chain_multiply(_chain(spark, d), "(AB)(CD)"))
 
 
+def _chain_by(bracket: str):
+    def query(spark, d):
+        return _m(C.chain_multiply(_chain(spark, d), bracket))
+
+    query.__doc__ = f"P9 in the bracket {bracket}."
+    return query
+
+
+CHAIN_BRACKETS = {
+    "chain_left": "((AB)C)D",
+    "chain_left_inner": "(A(BC))D",
+    "chain_right_inner": "A((BC)D)",
+    "chain_right": "A(B(CD))",
+}
+
+
+def chain_three(spark, d):
+    """P9 on three operands, bracketed to the right."""
+    return _m(C.chain_multiply(_chain(spark, d)[:3], "A(BC)"))
+
+
+def chain_bracket(spark, d):
+    """P10: the bracket that the sampled costs choose."""
+    _, bracket = C.chain_cost_ordered(_chain(spark, d), block=100, ratio=0.01, product_ratio=0.1)
+    return T.table(spark, d, "nation", "n_nationkey").agg(F.count(F.lit(1)).alias("n")).select(F.lit(bracket).alias("bracket"))
+
+
 def chain_cost_ordered(spark, d):
     m, _ = C.chain_cost_ordered(_chain(spark, d), block=100, ratio=0.01, product_ratio=0.1)
     return _m(m)
@@ -496,14 +547,20 @@ REGISTRY.update(
         "pagerank": pagerank,
         "pagerank_top5": pagerank_top5,
         "kruskal_wallis": kruskal_wallis,
+        "kruskal_wallis_zero_coded": kruskal_wallis_zero_coded,
         "kruskal_wallis_missing": kruskal_wallis_missing,
+        "kruskal_wallis_missing_both": kruskal_wallis_missing_both,
         "eqtl_product": eqtl_product,
         "gnmf_step": gnmf_step,
         "gnmf": gnmf,
         "factor_gradient": factor_gradient,
         "bfgs_step": bfgs_step,
+        "bfgs_step_scaled": bfgs_step_scaled,
         "chain_fixed": chain_fixed,
         "chain_cost_ordered": chain_cost_ordered,
+        "chain_three": chain_three,
+        "chain_bracket": chain_bracket,
+        **{name: _chain_by(bracket) for name, bracket in CHAIN_BRACKETS.items()},
     }
 )
 
@@ -599,6 +656,22 @@ def row_layout(spark, d):
     )
 
 
+def column_layout(spark, d):
+    """S6 by columns: suppliers per part, cut into row segments of 40; reported per column."""
+    from tessera.sources.entries import to_columns
+
+    per_seg = to_columns(T.q_matrix(spark, d), segment=40).select(
+        "j",
+        F.size("vec").cast("long").alias("n"),
+        F.get("vec", 0)["i"].alias("lo"),
+        F.get("vec", F.size("vec") - 1)["i"].alias("hi"),
+        F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x["v"]).alias("s"),
+    )
+    return per_seg.groupBy("j").agg(
+        F.sum("n").cast("long").alias("nnz"), F.min("lo").alias("first_i"), F.max("hi").alias("last_i"), F.sum("s").alias("total")
+    )
+
+
 def zeros_add(spark, d):
     from tessera.sources.entries import zeros
 
@@ -661,39 +734,55 @@ def _skewed(spark, d):
 
 
 def skewed_lines(spark, d):
-    """Entries per line of the skewed generator over Q's shape."""
-    return _skewed(spark, d).df.groupBy(F.col("i").alias("line")).agg(F.count(F.lit(1)).alias("cnt"))
+    """S16 against Q: entries per line of the generator and of Q, and the cells they share that hold a value
+    outside (0, q]."""
+    g, q = _skewed(spark, d), T.q_matrix(spark, d)
+    bad = ~((F.col("v") > 0) & (F.col("v") <= F.col("q")))
+    both = g.df.join(q.df.select("i", "j", F.col("v").alias("q")), ["i", "j"]).select("i", (F.col("v") * F.col("q")).alias("v"), "q")
+    rows = (
+        g.df.select("i", F.lit(1).alias("g"), F.lit(0).alias("n"), F.lit(0).alias("b"))
+        .unionByName(q.df.select("i", F.lit(0).alias("g"), F.lit(1).alias("n"), F.lit(0).alias("b")))
+        .unionByName(both.filter(bad).select("i", F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(1).alias("b")))
+    )
+    return rows.groupBy(F.col("i").alias("line")).agg(F.sum("g").alias("cnt"), F.sum("n").alias("q_nnz"), F.sum("b").alias("out_of_range"))
 
 
-def random_summary(spark, d):
-    """S11-S13, S16 checked by what is exact: entry counts, distinct cells,
-    bounds and value ranges (values are cell hashes)."""
-    from tessera.sources.entries import rand_matrix, randn_matrix, sprand
+def random_scale(spark, d):
+    """S11 against Q: Q times uniform factors on [1, 2), cell by cell."""
+    from tessera.sources.entries import rand_matrix
 
-    dm = T.dims(spark, d)
-    m, n = dm["supp"], dm["part"]
-    gens = {
-        "rand": (rand_matrix(spark, m, dm["psize"], 1.0, 2.0, seed=3), (F.col("v") >= 1.0) & (F.col("v") < 2.0)),
-        "randn": (randn_matrix(spark, m, dm["psize"], seed=5), ~F.isnan("v") & (F.abs("v") < 50)),
-        "sprand": (sprand(spark, m, n, RANDOM_DENSITY, seed=9), (F.col("v") >= 0.0) & (F.col("v") < 1.0)),
-        "sprandn": (sprand(spark, m, n, RANDOM_DENSITY, seed=9, normal=True), ~F.isnan("v")),
-        "skewed": (_skewed(spark, d), (F.col("v") > 0.0) & (F.col("v") <= 1.0)),
-    }
+    q = T.q_matrix(spark, d)
+    scaled = J.elementwise_multiply(q, rand_matrix(spark, q.nrows, q.ncols, 1.0, 2.0, seed=3))
+    both = scaled.df.join(q.df.select("i", "j", F.col("v").alias("q")), ["i", "j"])
+    return both.select("i", "j", ((F.col("v") >= F.col("q")) & (F.col("v") < 2 * F.col("q"))).alias("in_range"))
+
+
+def random_noise(spark, d):
+    """S12 against Q: Q plus standard normal noise on every cell has finite noise at every cell of Q."""
+    from tessera.sources.entries import randn_matrix
+
+    q = T.q_matrix(spark, d)
+    noisy = J.add(q, randn_matrix(spark, q.nrows, q.ncols, seed=5))
+    both = noisy.df.join(q.df.select("i", "j", F.col("v").alias("q")), ["i", "j"])
+    return both.select("i", "j", (F.abs(F.col("v") - F.col("q")) < 50).alias("in_range"))
+
+
+def random_mask(spark, d):
+    """S13 against Q: the mask's exact entry count, and that Q splits into the cells under it and the others."""
+    from tessera.sources.entries import sprand
+
+    q = T.q_matrix(spark, d)
     out = None
-    for kind, (g, ok) in gens.items():
-        oos = (F.col("i") < 0) | (F.col("i") >= g.nrows) | (F.col("j") < 0) | (F.col("j") >= g.ncols)
-        per_key = g.df.groupBy("i", "j").agg(
-            F.count(F.lit(1)).alias("c"),
-            F.sum(oos.cast("long")).alias("oos"),
-            F.sum(ok.cast("long")).alias("ok"),
+    for kind, normal in (("uniform", False), ("normal", True)):
+        m = sprand(spark, q.nrows, q.ncols, RANDOM_DENSITY, seed=9, normal=normal)
+        flagged = q.df.select("i", "j", F.lit(1).alias("q"), F.lit(0).alias("m")).unionByName(
+            m.df.select("i", "j", F.lit(0).alias("q"), F.lit(1).alias("m"))
         )
-        r = per_key.agg(
-            F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("nnz"),
-            F.coalesce(F.sum((F.col("c") > 1).cast("long")), F.lit(0)).cast("long").alias("duplicate_keys"),
-            F.coalesce(F.sum("oos"), F.lit(0)).cast("long").alias("out_of_shape"),
-            F.coalesce(F.sum("ok"), F.lit(0)).cast("long").alias("in_range"),
+        cells = flagged.groupBy("i", "j").agg(F.sum("q").alias("q"), F.sum("m").alias("m"))
+        r = cells.agg(
+            F.sum("m").alias("mask"), F.sum("q").alias("q_nnz"), F.max("m").alias("most"), F.count(F.when(F.col("m") * F.col("q") == 1, 1)).alias("under")
         )
-        r = r.select(F.lit(kind).alias("kind"), "nnz", "duplicate_keys", "out_of_shape", "in_range")
+        r = r.select(F.lit(kind).alias("kind"), "mask", "q_nnz", F.col("most").cast("long").alias("most"), ((F.col("under") > 0) & (F.col("under") < F.col("q_nnz"))).alias("split"))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -741,6 +830,7 @@ REGISTRY.update(
         "dense_text": dense_text,
         "genotype_text": genotype_text,
         "row_layout": row_layout,
+        "column_layout": column_layout,
         "zeros_add": zeros_add,
         "ones_product": ones_product,
         "ones_index": ones_index,
@@ -749,7 +839,9 @@ REGISTRY.update(
         "diag_scale": diag_scale,
         "column_major": column_major,
         "skewed_lines": skewed_lines,
-        "random_summary": random_summary,
+        "random_scale": random_scale,
+        "random_noise": random_noise,
+        "random_mask": random_mask,
         "stat": stat,
         "validate": validate,
         "partition_by_axis": partition_by_axis,
