@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer whose pre-tokens never cross white space.
 
-``word_bpe_49k`` drops white space, lower-cases and splits at it, so a text's ids are its words' ids in turn.  Words are
-looked up in a bounded cache; the pre-tokens of unknown words are encoded together, joined by blanks, and told apart by the
-end-of-word mark of their last token.  Words with other characters than printable ASCII and Latin-1 letters go to the
-tokenizer as they are.
+``word_bpe_49k`` drops white space, lower-cases and splits at it, so a text's ids are its words' ids in turn.  Texts are cut
+into pre-tokens by the tokenizer's own pattern, and pre-tokens are looked up in a bounded cache; unknown ones are encoded
+together, joined by blanks, and told apart by the end-of-word mark of their last token.  Words with other characters than
+printable ASCII and Latin-1 letters go to the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -12,14 +12,30 @@ import re
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 1_000_000
 END_ID = 1
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN_TEXT = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
+_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \n]+")
+_ODD = "\0"  # before a word that the tokenizer gets as it is; no pre-token begins with it
 _JOINED = 4000  # pre-tokens encoded in one call
 
 
+def _pieces(text: str | None) -> list[str]:
+    if not text:
+        return []
+    if _PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+        return _PRE.findall(text.lower())
+    out = []
+    for word in text.replace("\n", " ").split(" "):
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            out += _PRE.findall(word.lower())
+        elif word:
+            out.append(_ODD + word)
+    return out
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -33,42 +49,33 @@ class WordEncoder:
         for token, k in vocab.items():
             self.ends[k] = token.endswith("</w>")
             self.stops[k] = token.endswith((".</w>", "!</w>", "?</w>"))
-        self.words: dict[str, bytes] = {"": b""}
-        self.pre: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: set[str]) -> None:
-        split: dict[str, list[str]] = {}
-        for w in words:
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                split[w] = _PRE.findall(w.lower())
-            else:
-                self.words[w] = self._encode(w).tobytes()
-        new = list({p for x in split.values() for p in x} - self.pre.keys())
+    def _learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p[0] != _ODD]
+        for p in pieces.difference(new):
+            self.known[p] = self._encode(p[1:]).tobytes()
         for k in range(0, len(new), _JOINED):
             some = new[k : k + _JOINED]
             ids = self._encode(" ".join(some))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
-                for p, x in zip(some, np.split(ids, cuts[:-1])):
-                    self.pre[p] = x.tobytes()
+                at, data = [0, *(4 * cuts).tolist()], ids.tobytes()
+                self.known |= {p: data[a:b] for p, a, b in zip(some, at, at[1:])}
             else:
-                self.pre |= {p: self._encode(p).tobytes() for p in some}
-        for w, parts in split.items():
-            self.words[w] = b"".join([self.pre[p] for p in parts])
+                self.known |= {p: self._encode(p).tobytes() for p in some}
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > CACHE:
-            self.words = {"": b""}
-        if len(self.pre) > CACHE:
-            self.pre = {}
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if missing := {w for x in split for w in x}.difference(self.words):
+        if len(self.known) > CACHE:
+            self.known = {}
+        split = [_pieces(t) for t in texts]
+        if missing := set().union(*split).difference(self.known):
             self._learn(missing)
-        known = self.words
-        return [b"".join([known[w] for w in x]) for x in split]
+        known = self.known.__getitem__
+        return [b"".join(map(known, x)) for x in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
