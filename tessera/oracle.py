@@ -512,15 +512,15 @@ SQL.update(
 
 
 # S16 schedule as a recursive CTE: line k takes
-# c = least(greatest(least(floor(r * 0.25), width), 1), r), r -= c.
+# c = least(greatest(least(floor(r * 0.5), width), 1), r), r -= c.
 _SKEW = """RECURSIVE dims AS (
   SELECT (SELECT max(s_suppkey) + 1 FROM supplier) AS nsupp,
          (SELECT max(p_partkey) + 1 FROM part) AS npart),
 tot AS (SELECT nsupp AS lines, npart AS width, CAST(floor(nsupp * npart * 0.125) AS BIGINT) AS total FROM dims),
 s(k, r, c) AS (
-  SELECT 0::BIGINT, total, least(greatest(least(CAST(floor(total * 0.25) AS BIGINT), width), 1), total) FROM tot
+  SELECT 0::BIGINT, total, least(greatest(least(CAST(floor(total * 0.5) AS BIGINT), width), 1), total) FROM tot
   UNION ALL
-  SELECT k + 1, r - c, least(greatest(least(CAST(floor((r - c) * 0.25) AS BIGINT), width), 1), r - c)
+  SELECT k + 1, r - c, least(greatest(least(CAST(floor((r - c) * 0.5) AS BIGINT), width), 1), r - c)
   FROM s, tot WHERE r - c > 0 AND k + 1 < lines)"""
 
 SQL.update(

@@ -723,7 +723,7 @@ def column_major(spark, d):
 
 
 RANDOM_DENSITY = 0.125
-SKEW = 0.25
+SKEW = 0.5
 
 
 def _skewed(spark, d):
