@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import Scratch, map_texts
 from .tokens import default_path, encoder
 
 BLOCK = 1024
@@ -34,8 +34,12 @@ def length_histogram(docs: DataFrame, text_col: str = "text", path: str | None =
 
 def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     """Per length: n_docs, docs_from and tokens_from (documents at least that long, and their tokens),
-    truncated_tokens (what is left of all documents at that context limit), share_upto (quantile of the length)."""
-    h = histogram.withColumn("block", F.floor(F.col("length") / block)).withColumn("tokens", F.col("length") * F.col("n_docs"))
+    truncated_tokens (what is left of all documents at that context limit), share_upto (quantile of the length).
+
+    The histogram is read several times, so it is written once to the checkpoint folder."""
+    tokens = F.col("length") * F.col("n_docs")
+    h = Scratch(histogram.sparkSession).cut(histogram).withColumns({"block": F.floor(F.col("length") / block), "tokens": tokens})
+    total = h.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     inner = Window.partitionBy("block").orderBy(F.desc("length"))
     outer = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("tokens").alias("all_tokens"))
@@ -44,18 +48,16 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
         F.coalesce(F.sum("docs").over(outer), F.lit(0)).alias("docs_after"),
         F.coalesce(F.sum("all_tokens").over(outer), F.lit(0)).alias("tokens_after"),
     )
-    total = h.agg(F.sum("n_docs").alias("total_docs"), F.sum("tokens").alias("total_tokens"))
-    total = total.withColumn("one", F.lit(1))
     docs_from: Column = F.sum("n_docs").over(inner) + F.col("docs_after")
     tokens_from: Column = F.sum("tokens").over(inner) + F.col("tokens_after")
-    out = h.join(blocks, "block").withColumns({"docs_from": docs_from, "tokens_from": tokens_from, "one": F.lit(1)})
-    return out.join(F.broadcast(total), "one").select(  # one row
+    out = h.join(blocks, "block").withColumns({"docs_from": docs_from, "tokens_from": tokens_from})
+    return out.select(
         "length",
         "n_docs",
         "docs_from",
         "tokens_from",
-        (F.col("total_tokens") - F.col("tokens_from") + F.col("length") * F.col("docs_from")).alias("truncated_tokens"),
-        ((F.col("total_docs") - F.col("docs_from") + F.col("n_docs")) / F.col("total_docs")).alias("share_upto"),
+        (F.lit(total.tokens) - F.col("tokens_from") + F.col("length") * F.col("docs_from")).alias("truncated_tokens"),
+        ((F.lit(total.docs) - F.col("docs_from") + F.col("n_docs")) / F.lit(total.docs)).alias("share_upto"),
     )
 
 
