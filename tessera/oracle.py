@@ -260,12 +260,19 @@ SQL: dict[str, str] = {
                     OVER (PARTITION BY e.i, gm.snp ORDER BY e.v, e.j ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum
            FROM em e JOIN gm ON e.j = gm.sample""",
     ),
+    "matmul_salted": with_(["q"], mm("q", "(SELECT j AS i, i AS j, v FROM q)")),
+    "running_hot_group": """SELECT g, event_id, CAST(sum(flag) OVER (PARTITION BY g ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum
+        FROM (SELECT CASE WHEN user_id % 3 < 2 THEN user_id % 3 END AS g, event_id, CASE WHEN value > 0.5 THEN 1 ELSE 0 END AS flag
+              FROM events)""",
     "topk_entries": with_(["q"], "SELECT i, j, v FROM q ORDER BY v DESC, i, j LIMIT 10"),
     "topk_vector": with_(["x"], "SELECT i, v FROM x ORDER BY v DESC, i LIMIT 5"),
     "union": with_(["q", "d"], "SELECT i, j, v FROM q UNION ALL SELECT i, j, v FROM d"),
 }
 
 
+SQL["rank_hot_group"] = SQL["rank_avg"]
+
+
 # ---------------------------------------------------------------------------
 # Pipelines: generated SQL (iterations unrolled as a CTE chain)
 # ---------------------------------------------------------------------------

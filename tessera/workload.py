@@ -7,10 +7,12 @@ matching oracle SQL (:mod:`tessera.oracle`).
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec
+from tessera.core import CONF_BROADCAST_ROWS, CONF_HOT_KEY_ROWS, Mat, Vec
 from tessera.operators import aggregates as A
 from tessera.operators import algebra as J
 from tessera.operators import elementwise as E
@@ -299,6 +301,42 @@ def running_missing(spark, d):
     return out.select("g", "snp", "sample", "cum")
 
 
+@contextmanager
+def _lowered(spark: SparkSession, **settings: int):
+    """Settings that make small tables take the paths of large ones; they are read while a plan is built."""
+    names = {"hot": CONF_HOT_KEY_ROWS, "broadcast": CONF_BROADCAST_ROWS}
+    before = {names[k]: spark.conf.get(names[k], None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(names[k], str(v))
+    try:
+        yield
+    finally:
+        for name, old in before.items():
+            spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def matmul_salted(spark, d):
+    """J6 with every inner index hot: both sides salted in two dimensions."""
+    with _lowered(spark, hot=20, broadcast=0):
+        q = T.q_matrix(spark, d)
+        return _m(J.matmul(q, q.T))
+
+
+def rank_hot_group(spark, d):
+    """W1 with every row hot: quantile buckets, offsets, ranks joined back."""
+    with _lowered(spark, hot=8):
+        return W.rank_rows_average(T.ev_table(spark, d))
+
+
+def running_hot_group(spark, d):
+    """W3 over three groups of events, one of them the events of no group (NULL), all split into buckets."""
+    with _lowered(spark, hot=100):
+        ev = T.table(spark, d, "events", "event_id", "user_id", "value")
+        g = F.col("user_id") % 3
+        t = ev.select(F.when(g < 2, g).alias("g"), "event_id", (F.col("value") > 0.5).cast("long").alias("flag"))
+        return W.running_count(t, ["g"], "event_id", "flag").select("g", "event_id", "cum")
+
+
 def topk_entries(spark, d):
     return W.top_k(T.q_matrix(spark, d), 10)
 
@@ -366,6 +404,9 @@ REGISTRY = {
     "rank_min": rank_min,
     "rank_expression": rank_expression,
     "running_missing": running_missing,
+    "matmul_salted": matmul_salted,
+    "rank_hot_group": rank_hot_group,
+    "running_hot_group": running_hot_group,
     "topk_entries": topk_entries,
     "topk_vector": topk_vector,
     "union": union,
