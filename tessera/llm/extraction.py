@@ -50,13 +50,25 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+# Class or id words that make even an article boilerplate: one reader comment, one teaser of another article.
+_ROOT_NOISE = frozenset("comment reply related promo teaser ad advert sponsored".split())
+_STATES = ("has-", "with-", "no-", "is-")  # class words that describe what else the page has
+_CONTENT = re.compile(r"<(?:article|main|h1)\b", re.I)
+
+
 def _is_noise(name: str, attributes: str, in_root: bool) -> bool:
     if name in BOILERPLATE or name == "header" and not in_root:
         return True
     if "=" in attributes and name not in ("body", "html", "main"):
         for key, *values in _ATTRIBUTE.findall(attributes):
-            value = "".join(values)
-            if value.lower() in NOISE_ROLES if key.lower() == "role" else NOISE.search(value):
+            words = "".join(values).lower().split()
+            if key.lower() == "role":
+                noisy = not NOISE_ROLES.isdisjoint(words)
+            elif name in ROOTS:
+                noisy = not _ROOT_NOISE.isdisjoint(words)
+            else:
+                noisy = any(NOISE.search(w) for w in words if not w.startswith(_STATES))
+            if noisy:
                 return True
     return False
 
@@ -67,6 +79,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     stack: list[tuple[str, bool, bool]] = []  # element, noise, root
     parts: list[str] = []
     linked = noise = roots = links = 0
+    lowered = page.lower()
 
     def end_line() -> None:
         nonlocal linked
@@ -123,9 +136,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 if stack[k][0] not in INLINE:
                     break
         noisy, root = _is_noise(name, m[4], roots > 0), name in ROOTS
+        if noisy and name == "form":  # a form around the whole page is no boilerplate
+            close = lowered.find("</form", at)
+            noisy = not _CONTENT.search(page, at, close if close >= 0 else len(page))
         if root and not noisy and noise:  # an unclosed menu does not swallow the article
-            close = page.lower().find
-            while noise and all(close(f"</{x}", at) < 0 for x, is_noise, _ in stack if is_noise):
+            while noise and all(lowered.find(f"</{x}", at) < 0 for x, is_noise, _ in stack if is_noise):
                 pop(max(k for k, x in enumerate(stack) if x[1]))
         if not (name == "a" and "href" not in m[4].lower()):
             stack.append((name, noisy, root and not noisy))

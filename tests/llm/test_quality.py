@@ -166,6 +166,9 @@ PAGES = [
     ("<article>" + "<p>Hetible th.</p>" * 50 + "</article>", " ".join(["Hetible th."] * 50)),
     ("<header><h1>Site</h1></header><main><header><h1>Head</h1></header><p>%s</p></main>" % LONG, f"Head {LONG}"),
     ("<div>" * 3000 + LONG, LONG),
+    ("<form id=aspnet><article><p>%s</p></article></form><form>Search</form>" % LONG, LONG),
+    ("<div class='page has-sidebar with-ads'><p>%s</p></div><div class='sidebar-left'>%s</div>" % (LONG, LONG), LONG),
+    ("<article class='post comments-open'><p>%s</p></article>" % LONG, LONG),
 ]
 
 
