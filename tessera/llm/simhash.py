@@ -180,14 +180,15 @@ def links(distinct: DataFrame, bits: int = BITS, cell_rows: int = CELL) -> DataF
     return cells.mapInArrow(run, "u long, v long")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """One star step: every neighbour larger (large star) or not larger (small star) than a node is linked to the least of the
-    node and these neighbours."""
+    node and these neighbours.  The nodes' least neighbours are written first, so that the join reads two shuffled tables
+    and Spark can split a node with very many neighbours over tasks."""
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = scratch.cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     joined = both.join(least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -203,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch.cut(edges.select("u", "v").distinct())
     mark = now.agg(state).first()[0]
     while mark.n:
-        new = scratch.cut(_star(_star(now, True), False))
+        new = scratch.cut(_star(scratch.cut(_star(now, True, scratch)), False, scratch))
         after = new.agg(state).first()[0]
         scratch.drop(now)
         now, before, mark = new, mark, after
@@ -221,7 +222,8 @@ def near_duplicates(
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), bits, cell_rows))
     placed = distinct.join(roots, distinct.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join can split a component of very many fingerprints (see _star).
+    named = scratch.cut(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = placed.join(named, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
