@@ -13,7 +13,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,6 +264,21 @@ def drop_lineage(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, as
+    ``--py-files`` would: the driver's import path is not the executors'."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tessera-py-")) / f"{package.name}.zip"  # Spark's file server hands it out
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._tessera_shipped = True
+
+
 def as_long(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, idiv, require
+from tessera.core import Mat, idiv, require, ship_package
 from tessera.operators.algebra import matmul
 from tessera.operators.elementwise import transpose
 from tessera.operators.reshape import grid
@@ -120,6 +120,7 @@ def kruskal_wallis_missing(
     """
     if n_samples > tile_cells:
         return _kruskal_wallis_rows(expr, geno, n_snps, n_samples)
+    ship_package(expr.sparkSession)
     per_block = max(1, tile_cells // max(1, n_samples))
     n_blocks = max(1, -(-n_snps // per_block))
     genes = (
