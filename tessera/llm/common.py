@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from tessera.core import ensure_checkpoint_dir
+from tessera.core import ensure_checkpoint_dir, ship_package
 
 # Rows that Spark hands to a Python worker at once, and bytes of text that a worker handles at once.
 BATCH_ROWS = 1000
@@ -46,7 +46,9 @@ def slices(batch: pa.RecordBatch, column: str | int = "text", max_bytes: int = S
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Bound the rows per Arrow batch (long texts in 10,000-row batches would not fit a worker)."""
+    """Bound the rows per Arrow batch (long texts in 10,000-row batches would not fit a worker), and see that the
+    workers have this package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
