@@ -62,19 +62,25 @@ def chain_multiply(mats: list[Mat], bracket: str) -> Mat:
     return ev(tree)
 
 
-def _block_counts(m: Mat, block: int, ratio: float) -> DataFrame:
-    """A7 on both axes in one pass: ``(axis, blk, n)``, sampled nnz per row block and per
-    column block, written once to the checkpoint folder."""
+def _block_counts(mats: list[tuple[Mat, float]], block: int) -> list[DataFrame]:
+    """A7 on both axes in one pass per matrix: ``(axis, blk, n)``, sampled nnz per row block and
+    per column block.  The counts of all ``(matrix, ratio)`` are written as one table to the
+    checkpoint folder."""
 
-    def sampled(axis: str, idx: str, dim: int) -> Column:
+    def sampled(axis: str, idx: str, dim: int, ratio: float) -> Column:
         n_sampled, step = _sampled_blocks(-(-dim // block), ratio)
         b = idiv(F.col(idx), F.lit(block))
         keep = (F.pmod(b, F.lit(step)) == 0) & (idiv(b, F.lit(step)) < F.lit(n_sampled))
         return F.when(keep, F.struct(F.lit(axis).alias("axis"), b.alias("blk")))
 
-    both = F.array_compact(F.array(sampled("row", "i", m.nrows), sampled("col", "j", m.ncols)))
-    cells = m.df.select(F.explode(both).alias("s"))
-    return cut_lineage(cells.groupBy("s.axis", "s.blk").agg(F.count(F.lit(1)).alias("n")))
+    out = None
+    for k, (m, ratio) in enumerate(mats):
+        both = F.array_compact(F.array(sampled("row", "i", m.nrows, ratio), sampled("col", "j", m.ncols, ratio)))
+        cells = m.df.select(F.explode(both).alias("s"))
+        counts = cells.groupBy("s.axis", "s.blk").agg(F.count(F.lit(1)).alias("n")).withColumn("m", F.lit(k))
+        out = counts if out is None else out.unionByName(counts)
+    table = cut_lineage(out)
+    return [table.filter(F.col("m") == k).drop("m") for k in range(len(mats))]
 
 
 def _pair_costs(pairs: list[tuple[DataFrame, DataFrame]]) -> list[int]:
@@ -108,13 +114,15 @@ def chain_cost_ordered(
     if len(mats) < 3:
         product = mats[0] if len(mats) == 1 else matmul(mats[0], mats[1])
         return product, "AB"[: len(mats)]
-    items = [(m, chr(ord("A") + k), _block_counts(m, block, ratio)) for k, m in enumerate(map(cut, mats))]
+    inputs = [cut(m) for m in mats]
+    counts = _block_counts([(m, ratio) for m in inputs], block)
+    items = [(m, chr(ord("A") + k), c) for k, (m, c) in enumerate(zip(inputs, counts))]
     costs = _pair_costs([(a[2], b[2]) for a, b in zip(items, items[1:])])
     while len(items) > 2:
         k = costs.index(min(costs))
         (a, name_a, _), (b, name_b, _) = items[k], items[k + 1]
         product = cut(matmul(a, b))
-        items[k : k + 2] = [(product, f"({name_a}{name_b})", _block_counts(product, block, product_ratio))]
+        items[k : k + 2] = [(product, f"({name_a}{name_b})", *_block_counts([(product, product_ratio)], block))]
         # Only the pairs around the product are new.
         costs[k : k + 1] = []
         new = [x for x in (k - 1, k) if 0 <= x < len(costs)]
