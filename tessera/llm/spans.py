@@ -87,11 +87,9 @@ def repeated_sentences(texts: DataFrame) -> DataFrame:
                 rows.append((key, doc_id, text_hash, i, size))
         marked = repeats.value.is_repeated(np.array([r[0] for r in rows], np.int64).view(np.uint64))
         rows = [r for r, m in zip(rows, marked.tolist()) if m]
-        order = sorted(range(len(rows)), key=lambda r: (rows[r][1] is not None, rows[r][1] or 0, rows[r][2], rows[r][3]))
-        local = [False] * len(rows)
-        for r in order:
-            local[r] = rows[r][0] in seen
-            seen.setdefault(rows[r][0], r)
+        rows = list(dict.fromkeys(rows))  # an equal row has the same places, none of which repeats another
+        rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        local = [seen.setdefault(r[0], r) is not r for r in rows]
         names = ("key", "doc_id", "text_hash", "at", "size")
         return {n: [x[k] for x in rows] for k, n in enumerate(names)} | {"local": local}
 

@@ -210,6 +210,18 @@ def test_spans_odd_rows(spark):
     assert by[3] == {" \n\t "} and by[2] == {""}
 
 
+@pytest.mark.parametrize("partitions", [1, 2])
+def test_spans_of_equal_rows_are_no_repeats_of_each_other(spark, partitions):
+    """Equal rows are one document on any layout; what repeats an earlier place in them still goes."""
+    text, twice = H.passage(61, 80) + ".", H.passage(62, 60) + "."
+    rows = [(7, text), (8, twice + "\n" + twice), (None, H.passage(63, 60) + ".")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows * 2, partitions), "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == partitions
+    want = [(7, text), (8, twice), rows[2]]
+    assert got(spans.dedup_spans(df), "doc_id", "text") == H.sorted_rows(want * 2)
+    assert got(spans.filter_rows(df), "doc_id", "text") == H.sorted_rows(want * 2)
+
+
 def test_spans_filter_keeps_columns(spark):
     df = H.frame(spark, [(1, H.passage(1, 70) + "."), (2, H.passage(1, 70) + "."), (3, None)])
     out = spans.filter_rows(df)
