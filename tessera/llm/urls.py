@@ -7,6 +7,9 @@
   seeds (``farm``, ``win``, ``cheap``) count against a host without a seed.
 * Allow and block rules come first; the longest rule that fits decides.
 
+Both models keep every count as a table.  The distinct URLs' stretches of letters, then their tokens, are joined with the counts,
+so a task holds only what its own URLs need.
+
 Defined cases: a null URL or one without ``://`` has an empty host and path and no token, so the prior decides (allow);
 an empty table gives an empty result; repeated rows each get a row.
 """
@@ -15,12 +18,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts
+from .common import Scratch, limit_batches, map_texts
 
 # The rules (host and path) and what each decides.
 RULES = {
@@ -37,7 +42,10 @@ SEED_WORDS = frozenset(
     "pharmacy ads adserver tracker track malware phishing warez crack torrent loan payday".split()
 )
 
-MAX_WORDS = 50_000  # words of the unigram model and of the Bayes model that are broadcast, most frequent first
+SHORTEST, LONGEST = 2, 24  # letters of a word of the unigram model
+PIECE = 1000  # letters whose stretches are gathered at once
+FLUSH = 100_000  # stretches sent at once
+SALTS = 16  # parts of a word or token that very many URLs have
 UNKNOWN_COST = 12.0  # natural log units per character that no word covers
 _RUN = re.compile(r"[a-z]+")
 
@@ -87,18 +95,27 @@ def segment(label: str, cost: dict[str, float], longest: int) -> list[str]:
     return words + [loose] if loose else words
 
 
+def host_runs(host: str) -> list[str]:
+    return _RUN.findall(".".join(host.split(":")[0].split(".")[:-1]))
+
+
+def runs_of(host: str, path: str) -> list[str]:
+    """The runs of letters that are segmented."""
+    return host_runs(host) + _RUN.findall(path.lower())
+
+
 class Segmenter:
-    """Host and path tokens by a unigram model; results are kept for the hosts seen last."""
+    """Host and path tokens by a unigram model; results are kept for the runs seen last.  ``counts`` needs no more than the
+    words that occur in what is segmented, if ``total`` is the sum over all words."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.longest = max(map(len, self.cost), default=1)
         self.run = lru_cache(100_000)(lambda run: segment(run, self.cost, self.longest))
 
     def host(self, host: str) -> list[str]:
-        labels = host.split(":")[0].split(".")
-        return [w for run in _RUN.findall(".".join(labels[:-1])) for w in self.run(run)] + labels[-1:]
+        return [w for run in host_runs(host) for w in self.run(run)] + host.split(":")[0].split(".")[-1:]
 
     def path(self, path: str) -> list[str]:
         return [w for run in _RUN.findall(path.lower()) for w in self.run(run)]
@@ -109,7 +126,7 @@ def page_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
     text = F.lower(F.regexp_replace(F.col(html_col), r"<[^>]*>", " "))
     return (
         pages.select(F.explode(F.split(text, "[^a-z]+")).alias("word"))
-        .filter(F.length("word").between(2, 24))
+        .filter(F.length("word").between(SHORTEST, LONGEST))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -128,44 +145,87 @@ def most_frequent(counted: DataFrame, wanted: int) -> DataFrame:
     return counted.filter(step >= bound) if bound is not None else counted.limit(0)
 
 
-def unigrams(pages: DataFrame, max_words: int = MAX_WORDS) -> dict[str, int]:
-    scratch = Scratch(pages.sparkSession)
-    words = scratch.cut(page_words(pages))
-    counts = {r.word: r.n for r in most_frequent(words, max_words).collect()}
-    scratch.drop(words)
-    floor = 1 + sum(counts.values()) // 100_000
-    return counts | {w: max(counts.get(w, 0), floor) for w in SEED_WORDS}
+def unigrams(words: DataFrame) -> tuple[DataFrame, int]:
+    """``(word, n)`` with a least count for the seed words, and the sum of all counts.  ``words``: see ``page_words``."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    known = {r.word: r.n for r in words.filter(F.col("word").isin(*SEED_WORDS)).collect()}
+    seeds = {w: max(known.get(w, 0), 1 + total // 100_000) for w in sorted(SEED_WORDS)}
+    rows = words.sparkSession.createDataFrame(list(seeds.items()), "word string, n long")
+    return words.filter(~F.col("word").isin(*SEED_WORDS)).unionByName(rows), total - sum(known.values()) + sum(seeds.values())
+
+
+def url_key(url: str):
+    return F.unhex(F.md5(F.col(url).cast("binary")))
+
+
+def candidates(urls: DataFrame) -> DataFrame:
+    """``(key, word)``: the stretches of letters of each URL that may be words.  ``urls``: key, url."""
+    limit_batches(urls.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, words = [], []
+        for batch in batches:
+            for key, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for letters in set(runs_of(*split_url(url))):
+                    for lo in range(0, len(letters), PIECE):
+                        found = {
+                            letters[a:b]
+                            for a in range(lo, min(lo + PIECE, len(letters)))
+                            for b in range(a + SHORTEST, min(a + LONGEST, len(letters)) + 1)
+                        }
+                        words += found
+                        keys += [key] * len(found)
+                        if len(words) >= FLUSH:
+                            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words)], names=["key", "word"])
+                            keys, words = [], []
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words)], names=["key", "word"])
 
+    return urls.select("key", "url").mapInArrow(run, "key binary, word string")
 
-def token_counts(pages: DataFrame, counts, url_col: str, max_tokens: int = MAX_WORDS) -> dict[str, tuple[int, int]]:
-    """token -> (times in hosts weakly labelled allow, block), over all pages."""
 
-    def tokens(urls):
-        model, out = Segmenter(counts.value), {}
-        for url in urls:
+def look_up(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """``rows`` (key, ...) joined with ``table`` on ``name``; a name that very many rows have is spread over ``SALTS`` parts."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [name, "salt"]).drop("salt")
+
+
+def url_tokens(urls: DataFrame, pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(key, n, block, tokens)`` per row of ``urls`` (key, url, n): its tokens by the unigram model of all page words, and
+    whether a seed word labels its host."""
+    words = scratch.cut(page_words(pages))
+    model, total = unigrams(words)
+    wanted = candidates(urls)
+    needed = scratch.cut(model.join(wanted.select("word").distinct(), "word"))
+    costs = look_up(wanted, needed, "word").groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("words"))
+
+    def cut(keys, urls, n, words):
+        tokens, block = [], []
+        for url, found in zip(urls, words):
+            model = Segmenter({w["word"]: w["n"] for w in found or []}, total)
             host, path = split_url(url)
-            words = model.host(host) if host else []
-            k = int(not SEED_WORDS.isdisjoint(words))
-            for w in words + model.path(path):
-                out.setdefault(w, [0, 0])[k] += 1
-        return {"token": list(out), "allow": [x[0] for x in out.values()], "block": [x[1] for x in out.values()]}
+            in_host = model.host(host) if host else []
+            tokens.append(in_host + model.path(path))
+            block.append(not SEED_WORDS.isdisjoint(in_host))
+        return {"key": keys, "n": n, "block": block, "tokens": tokens}
 
-    scratch = Scratch(pages.sparkSession)
-    counted = (
-        map_texts(pages.select(F.col(url_col).alias("url")), "token string, allow long, block long", tokens, "url")
-        .groupBy("token")
-        .agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    )
-    counted = scratch.cut(counted.withColumn("n", F.col("allow") + F.col("block")))
-    out = {r.token: (r.allow, r.block) for r in most_frequent(counted, max_tokens).collect()}
-    scratch.drop(counted)
+    rows = urls.join(costs, "key", "left").select("key", "url", "n", "words")
+    out = scratch.cut(map_texts(rows, "key binary, n long, block boolean, tokens array<string>", cut, "url"))
+    scratch.drop(words)
+    scratch.drop(needed)
     return out
 
 
-def log_odds(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+def token_counts(tokens: DataFrame) -> DataFrame:
+    """``(token, allow, block)``: how often each token is in URLs weakly labelled so, over all pages."""
+    n = lambda block: F.sum(F.when(F.col("block") == block, F.col("n")).otherwise(0))
+    each = tokens.select("n", "block", F.explode("tokens").alias("token"))
+    return each.groupBy("token").agg(n(False).alias("allow"), n(True).alias("block"))
+
+
+def log_odds(allow: int, block: int, all_allow: int, all_block: int, tokens: int) -> float:
     """Multinomial naive Bayes with add-one smoothing: log P(token | block) - log P(token | allow)."""
-    allow, block = (sum(c[k] for c in counts.values()) + len(counts) + 1 for k in (0, 1))
-    return {w: math.log((b + 1) / block) - math.log((a + 1) / allow) for w, (a, b) in counts.items()}
+    return math.log((block + 1) / (all_block + tokens + 1)) - math.log((allow + 1) / (all_allow + tokens + 1))
 
 
 def judge_urls(
@@ -173,22 +233,31 @@ def judge_urls(
 ) -> DataFrame:
     """Per page: ``page_id, host, path, rule, verdict, score`` (score: log odds of block, null if a rule decides)."""
     rules = RULES if rules is None else rules
-    sc = pages.sparkSession.sparkContext
-    counts = sc.broadcast(unigrams(pages))
-    odds = sc.broadcast(log_odds(token_counts(pages, counts, url_col)))
-
-    def judge(ids, urls):
-        model, weight, rows = Segmenter(counts.value), odds.value, []
-        for page_id, url in zip(ids, urls):
+    scratch = Scratch(pages.sparkSession)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    known = rows.filter("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    distinct = scratch.cut(known.select(url_key("url").alias("key"), "url", "n"))
+    tokens = url_tokens(distinct, pages, scratch)
+    counted = scratch.cut(token_counts(tokens))
+    sums = counted.agg(F.sum("allow"), F.sum("block"), F.count(F.lit(1))).first()
+    totals = (sums[0] or 0, sums[1] or 0, sums[2])
+    each = look_up(tokens.select("key", F.explode("tokens").alias("token")), counted, "token")
+    # One row of counts per token of the URL; their sum does not depend on the order.
+    weighed = scratch.cut(each.groupBy("key").agg(F.collect_list(F.struct("allow", "block")).alias("counts")))
+
+    def judge(ids, urls, counts):
+        rows = []
+        for page_id, url, found in zip(ids, urls, counts):
             host, path = split_url(url)
             rule = rule_for(host, path, rules)
             score = None
             if rule is None:
-                score = sum(weight.get(w, 0.0) for w in (model.host(host) if host else []) + model.path(path))
+                score = math.fsum(log_odds(c["allow"], c["block"], *totals) for c in found or [])
             verdict = rules[rule] if rule else "block" if score > 0 else "allow"
             rows.append((page_id, host, path, rule, verdict, score))
         names = ("page_id", "host", "path", "rule", "verdict", "score")
         return {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    none = F.concat(F.lit("-"), F.col("page_id").cast("string")).cast("binary")  # rows without a URL do not meet in one task
+    rows = rows.withColumn("key", F.coalesce(url_key("url"), none)).join(weighed, "key", "left").select("page_id", "url", "counts")
     return map_texts(rows, "page_id long, host string, path string, rule string, verdict string, score double", judge, "url")

@@ -1,6 +1,8 @@
+import itertools
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -254,6 +256,36 @@ def test_urls_on_table(spark):
             assert r.verdict == ("block" if bad else "allow"), url
 
 
+def brute_scores(rows):
+    """Scores by the whole models in memory; ``rows``: page_id, url, html."""
+    texts = (re.sub("<[^>]*>", " ", h or "").lower() for _, _, h in rows)
+    counts = Counter(w for t in texts for w in re.findall("[a-z]+", t) if 2 <= len(w) <= 24)
+    floor = 1 + sum(counts.values()) // 100_000
+    model = urls.Segmenter(dict(counts) | {w: max(counts[w], floor) for w in urls.SEED_WORDS})
+    tokens, labels, tally = [], [], (Counter(), Counter())
+    for _, url, _ in rows:
+        host, path = urls.split_url(url)
+        in_host = model.host(host) if host else []
+        tokens.append(in_host + model.path(path))
+        labels.append(not urls.SEED_WORDS.isdisjoint(in_host))
+        tally[labels[-1]].update(tokens[-1])
+    known = set(tally[0]) | set(tally[1])
+    size = [sum(t.values()) + len(known) + 1 for t in tally]
+    odds = {w: math.log((tally[1][w] + 1) / size[1]) - math.log((tally[0][w] + 1) / size[0]) for w in known}
+    return [math.fsum(odds[w] for w in t) for t in tokens]
+
+
+def test_urls_use_every_word_and_token(spark):
+    """More words than the former bound of 50,000, each once: the rare ones still cut hosts and weigh in the score."""
+    rare = ["".join(c) for c in itertools.islice(itertools.product("bcdfghjklm", repeat=5), 60_000)]
+    rows = [(k, f"http://{rare[k]}{rare[59_000 + k]}.net/{rare[30_000 + k]}", " ".join(rare[k::300])) for k in range(300)]
+    rows += [(1000 + k, f"http://free-casino{k % 7}.net/{rare[30_000 + k]}/win", "<p>free win") for k in range(40)] + [(2000, None, "x")]
+    rows += [(3000, rows[0][1], None), (3000, rows[0][1], None), (3001, "http://x.net/" + "letters" * 400, "letters")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = H.sorted_rows(urls.judge_urls(df, rules={}).select("page_id", "score").collect())
+    assert found == H.sorted_rows(zip([r[0] for r in rows], brute_scores(rows)))
+
+
 def test_urls_odd_rows(spark):
     rows = [(1, "http://free-casino.com/", None), (2, None, "<p>x"), (None, "q", ""), (1, "http://free-casino.com/", None)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, verdict string")
