@@ -1,11 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (one per block element).  A line's length counts its characters, outside ``<article>`` and
-``<main>`` only those that are not in links.  A line within a menu, header, footer, sidebar, advert, notice, form or comment
-list counts nothing, and so does a line outside ``<article>``/``<main>`` on a page that has one.  The sums over sliding
-windows of ``WINDOW`` lines then show the text: it surges where a window first holds ``SURGE`` characters (or half of the
-page's best window, if that is less), and dives where a whole window is empty.  The lines of the region between are kept
-in page order, but for the boilerplate lines in it.
+Markup is stripped to lines (one per block element).  A line within a menu, header, footer, sidebar, advert, notice, form or
+comment list is boilerplate.  On a page with an ``<article>`` or ``<main>`` that has text, every other line in it is kept,
+however short, and nothing outside.  On other pages a line's length counts its characters that are not in links, and
+boilerplate lines count nothing.  The sums over sliding windows of ``WINDOW`` lines then show the text: it surges where a
+window first holds ``SURGE`` characters (or half of the page's best window, if that is less), and dives where a whole
+window is empty.  The lines of the region between are kept in page order, but for the boilerplate lines in it.
 
 Defined cases: null or empty pages have no text; a page cut off within a tag, element or character reference is read
 as far as it goes; repeated rows each get a row; extra columns are ignored.
@@ -154,10 +154,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """Text between the surge and dive points of the line-block distribution."""
+    """Lines of the article, or else the text between the surge and dive points of the line-block distribution."""
     lines = lines_of(page) if page else []
     if any(size and root for _, size, _, root in lines):
-        lines = [(text, size if root else 0, noise or not root, root) for text, size, noise, root in lines]
+        return " ".join(text for text, _, noise, root in lines if root and not noise)
     size = [x[1] for x in lines]
     sums = [sum(size[max(0, k - window + 1) : k + 1]) for k in range(len(size) + window - 1)]  # ends at line k
     if not any(sums):

@@ -183,6 +183,21 @@ def test_extract_pages(spark):
     assert extraction.extract_text(df.limit(0)).collect() == []
 
 
+SHARE = "<ul class=share><li>One</li><li>Two</li><li>Three</li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><h1>Short title</h1>%s<p>%s</p></article>" % (SHARE, LONG), f"Short title {LONG}"),
+        ("<main><p>%s</p><aside><p>a<p>b<p>c</aside><p>The end.</p></main><p>Outside.</p>" % LONG, f"{LONG} The end."),
+        ("<article><p>%s</p>%s<p>Mid.</p>%s<p>End.</p></article>" % (LONG, SHARE, SHARE), f"{LONG} Mid. End."),
+    ],
+)
+def test_short_article_text_between_boilerplate_is_kept(page, want):
+    assert extraction.main_text(page) == want
+
+
 def test_extract_table_leaves_no_boilerplate(spark):
     pages = H.read("pages")
     out = {r.page_id: r.text for r in extraction.extract_text(spark.read.parquet(f"{H.SF}/pages.parquet")).collect()}
