@@ -7,6 +7,8 @@ boilerplate lines count nothing.  The sums over sliding windows of ``WINDOW`` li
 window first holds ``SURGE`` characters (or half of the page's best window, if that is less), and dives where a whole
 window is empty.  The lines of the region between are kept in page order, but for the boilerplate lines in it.
 
+An element with a noise word in its class or id that wraps the page's content is no boilerplate.
+
 Defined cases: null or empty pages have no text; a page cut off within a tag, element or character reference is read
 as far as it goes; repeated rows each get a row; extra columns are ignored.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ WINDOW = 3
 SURGE = 60
 
 # Elements dropped with all they hold.
-RAW = "script style noscript template svg math iframe object canvas audio video head title textarea select".split()
+RAW = "script style noscript template svg math iframe object canvas audio video title textarea select".split()
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset".split())
 ROOTS = frozenset(["article", "main"])
 INLINE = frozenset(
@@ -59,7 +62,7 @@ _CONTENT = re.compile(r"<(?:article|main|h1)\b", re.I)
 def _is_noise(name: str, attributes: str, in_root: bool) -> bool:
     if name in BOILERPLATE or name == "header" and not in_root:
         return True
-    if "=" in attributes and name not in ("body", "html", "main"):
+    if "=" in attributes and name not in ("body", "html", "head", "main"):
         for key, *values in _ATTRIBUTE.findall(attributes):
             words = "".join(values).lower().split()
             if key.lower() == "role":
@@ -73,6 +76,38 @@ def _is_noise(name: str, attributes: str, in_root: bool) -> bool:
     return False
 
 
+class _Outline:
+    """Where the elements of a page that have a noise word close, and where its content starts."""
+
+    def __init__(self, page: str):
+        self.end = len(page)
+        self.close: dict[int, int] = {}
+        self.starts: dict[str, list[int]] = {"main": [], "article": [], "h1": [], "p": []}
+        opened: dict[str, list[int]] = {}
+        for m in _MARKUP.finditer(page):
+            name = (m[3] or "").lower()
+            if not name or name in VOID:
+                continue
+            if m[2]:
+                if opened.get(name):
+                    self.close[opened[name].pop()] = m.start()
+                continue
+            opened.setdefault(name, []).append(m.start())
+            if name in self.starts and not (name in ROOTS and _is_noise(name, m[4], False)):
+                self.starts[name].append(m.start())
+
+    def holds_content(self, name: str, start: int, in_root: bool) -> bool:
+        """Whether an element with a noise word is a wrapper of the content: of the page's first main, or else first article,
+        or else first heading with a paragraph.  A menu, footer or the like has to hold all of them, and no heading counts."""
+        end = self.close.get(start, self.end)
+        inside = lambda at: start < at < end
+        known = name in BOILERPLATE or name == "header"
+        if not in_root and (roots := self.starts["main"] or self.starts["article"]):
+            return inside(roots[0]) and (not known or inside(roots[-1]))
+        k = bisect_right(self.starts["p"], start)
+        return not known and any(map(inside, self.starts["h1"][:1])) and any(map(inside, self.starts["p"][k : k + 1]))
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """``(text, counted characters, boilerplate, inside a root)`` for each line of the page."""
     lines: list[tuple[str, int, bool, bool]] = []
@@ -80,6 +115,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     parts: list[str] = []
     linked = noise = roots = links = 0
     lowered = page.lower()
+    outline: _Outline | None = None
 
     def end_line() -> None:
         nonlocal linked
@@ -139,6 +175,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if noisy and name == "form":  # a form around the whole page is no boilerplate
             close = lowered.find("</form", at)
             noisy = not _CONTENT.search(page, at, close if close >= 0 else len(page))
+        elif noisy and name not in ROOTS:  # nor is a wrapper of the content
+            outline = outline or _Outline(page)
+            noisy = not outline.holds_content(name, m.start(), roots > 0)
         if root and not noisy and noise:  # an unclosed menu does not swallow the article
             while noise and all(lowered.find(f"</{x}", at) < 0 for x, is_noise, _ in stack if is_noise):
                 pop(max(k for k, x in enumerate(stack) if x[1]))

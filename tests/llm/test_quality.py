@@ -198,6 +198,25 @@ def test_short_article_text_between_boilerplate_is_kept(page, want):
     assert extraction.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='content-sidebar-wrap'><article><p>%s</p></article></div><aside>x</aside>" % LONG, LONG),
+        ("<div id='header-content-footer'><div>Menu</div><main><p>%s</p></main></div>" % LONG, LONG),
+        ("<main><div id='search-page'><h1>Title</h1><p>%s</p></div></main>" % LONG, f"Title {LONG}"),
+        ("<body><div class='search-page'><h1>Title</h1><p>%s</p></div></body>" % LONG, f"Title {LONG}"),
+        ("<html><head><title>t</title><meta charset=u><body><p>%s</p></body></html>" % LONG, LONG),
+        ("<html><head><script>var a='<div>no</div>'</script><p>%s</p></html>" % LONG, LONG),
+        # what stays boilerplate
+        ("<article><p>%s</p></article><div class=related><article><p>Teaser %s</p></article></div>" % (LONG, LONG), LONG),
+        ("<div class=header><h1>Site</h1></div><aside><article>Teaser</article></aside><article><p>%s</p></article>" % LONG, LONG),
+        ("<div class=sidebar><h1>Site</h1></div><div class=sidebar><div><p>%s</p></div></div><p>Text.</p>" % LONG, "Text."),
+    ],
+)
+def test_wrappers_with_noise_words_and_open_heads(page, want):
+    assert extraction.main_text(page) == want
+
+
 def test_extract_table_leaves_no_boilerplate(spark):
     pages = H.read("pages")
     out = {r.page_id: r.text for r in extraction.extract_text(spark.read.parquet(f"{H.SF}/pages.parquet")).collect()}
