@@ -1,8 +1,7 @@
 """Substring de-duplication by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line ends).  Every run of ``RUN``
-consecutive sentences with at least ``MIN_WORDS`` words is hashed; so is every run of two sentences with at least
-``LONG_WORDS`` words, and every sentence that has that many alone, so that a long passage of few sentences is found too.
+A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line ends).  Every run of two to ``RUN``
+consecutive sentences with at least ``MIN_WORDS`` words is hashed, and every sentence that has ``LONG_WORDS`` words alone.
 A global join on the hash finds, for every run, its first occurrence by (doc_id, position); sentences covered by any
 occurrence that is not the first are removed, wherever they stand.
 
@@ -59,7 +58,7 @@ def runs(parts: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, int]]
             if i + size > len(parts):
                 break
             words += parts[i + size - 1][3]
-            if words >= (MIN_WORDS if size == RUN else LONG_WORDS):
+            if words >= (MIN_WORDS if size > 1 else LONG_WORDS):
                 key = xxhash.xxh64_intdigest(b"\n".join([p[2] for p in parts[i : i + size]]), size)
                 found.append((key - (1 << 63), i, size))
     return found

@@ -222,6 +222,16 @@ def test_spans_of_equal_rows_are_no_repeats_of_each_other(spark, partitions):
     assert got(spans.filter_rows(df), "doc_id", "text") == H.sorted_rows(want * 2)
 
 
+def test_spans_catch_two_short_sentences_between_glued_ends(spark):
+    """A shared passage whose ends are glued to other text: its two whole sentences, of 22 words in all, go."""
+    w = H.passage(71, 53).replace(".", "").split()
+    inner = " ".join(w[16:22]) + ". " + " ".join(w[22:38]) + "."
+    shared = " ".join(w[:16]) + ". " + inner + " " + " ".join(w[38:])
+    rows = [(k, f"{H.passage(72 + k, 5)} {shared} {H.passage(75 + k, 6)}.") for k in (1, 2)]
+    kept = {r.doc_id: r.text for r in spans.dedup_spans(H.frame(spark, rows)).collect()}
+    assert kept == {1: rows[0][1], 2: rows[1][1].replace(inner + " ", "")}
+
+
 def test_spans_filter_keeps_columns(spark):
     df = H.frame(spark, [(1, H.passage(1, 70) + "."), (2, H.passage(1, 70) + "."), (3, None)])
     out = spans.filter_rows(df)
