@@ -45,7 +45,7 @@ _DEFAULTS = {
     CONF_BROADCAST_ROWS: 4_000_000,
     # A join key or rank group with more rows than this is split across tasks.
     CONF_HOT_KEY_ROWS: 1_000_000,
-    # Hot-key tables up to this many rows are broadcast, larger ones shuffled.
+    # Only this many of the hottest keys are split; their table is always broadcast.
     CONF_MAX_HOT_KEYS: 100_000,
     # Collect-to-local (K2) refuses larger shapes.
     CONF_DENSE_CELLS: 10_000_000,
@@ -264,6 +264,28 @@ def drop_lineage(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def cut_bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """:func:`cut_lineage` into a table bucketed and sorted by ``column``: read back, it has the partitioning that a
+    shuffle on ``column`` to ``buckets`` partitions would give, so a join or an aggregate on it moves nothing.
+    :func:`drop_lineage` deletes the files."""
+    spark = df.sparkSession
+    name = f"tessera_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    even = df.repartition(buckets, column)  # a task writes one bucket
+    even.write.format("parquet").option("path", path).bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay
+    out._tessera_path = path
+    return out
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle before adaptive execution joins any."""
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    adaptive = all(spark.conf.get(k, "true") == "true" for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled"))
+    return int(first if first and adaptive else spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, as
     ``--py-files`` would: the driver's import path is not the executors'."""

@@ -44,10 +44,11 @@ def parse_genotypes(fields: Column, missing: str = "zero") -> Column:
     """Genotype fields; ``NaN`` or ``-1`` is a missing call, coded 0
     (``missing='zero'``, the original's behaviour, R16) or NULL
     (``missing='null'``)."""
-    fill = F.lit(0.0) if missing == "zero" else F.lit(None).cast("double")
+    return F.transform(fields, lambda x: genotype(x, missing))
 
-    def one(x):
-        d = to_double(x)
-        return F.when(d.isNull() | (d == -1.0), fill).otherwise(d)
 
-    return F.transform(fields, one)
+def genotype(field: Column, missing: str = "zero") -> Column:
+    """One field of :func:`parse_genotypes`."""
+    fill = F.lit(0.0) if missing == "zero" else F.lit(None).cast("double")
+    d = to_double(field)
+    return F.when(d.isNull() | (d == -1.0), fill).otherwise(d)

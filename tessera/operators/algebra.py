@@ -10,17 +10,22 @@ Plans, in entry form:
   partial aggregation.  The join side whose *declared shape* proves it small
   is broadcast (the big side is then streamed in place, never shuffled on
   ``k``); otherwise both sides are shuffled on ``k`` with hot ``k`` values
-  split across tasks in two dimensions (:func:`tessera.plans.skew.salted_join`).
+  split across tasks in two dimensions (:func:`tessera.plans.skew.salted_join`),
+  or, when the counted partial products outweigh it, entries are dealt to blocks
+  of the result and no partial product is shuffled (:func:`matmul_stationary`).
 * matrix-vector: the vector (bounded by its size) is broadcast when it fits,
   else the matrix side's hot keys are split.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec, canon, fits_broadcast, idiv, require
+from tessera.core import CONF_HOT_KEY_ROWS, Mat, Vec, canon, conf_int, fits_broadcast, require
 from tessera.operators.elementwise import transpose
 from tessera.plans.skew import join_by_bound, salted_join
 
@@ -126,12 +131,90 @@ def product_terms(
 
 
 def matmul(a: Mat, b: Mat, strategy: str = "auto", bounded: bool = False) -> Mat:
-    """``A @ B`` = join on k, partial-aggregated sum by (i, j)."""
+    """``A @ B`` = join on k, partial-aggregated sum by (i, j).
+
+    ``strategy="stationary"`` deals both sides to blocks of the result
+    (:func:`matmul_stationary`); ``auto`` does so where neither side fits a broadcast and the
+    counts say that less is shuffled (:class:`ProductCost`)."""
+    if strategy == "stationary":
+        return matmul_stationary(a, b)
+    if strategy == "auto" and not bounded and not any(fits_broadcast(a.spark, m.cell_bound) for m in (a, b)):
+        cost = product_counts(a, b)
+        if cost.prefers_stationary:
+            return matmul_stationary(a, b, cost)
     t = product_terms(a, b, strategy, bounded=bounded)
     out = t.groupBy("i", "j").agg(F.sum("p").alias("v"))
     return Mat(canon(out), a.nrows, b.ncols)
 
 
+PRODUCTS_A_TASK = 1 << 26  # partial products of a block of the result, about
+
+
+@dataclass(frozen=True)
+class ProductCost:
+    """Counts of a product and the grid of result blocks that moves the fewest entries."""
+
+    left: int  # stored entries
+    right: int
+    products: int
+    widest: int  # entries of A's fullest row or B's fullest column
+    hot: int  # a row or column of more entries counts as hot
+    session: int  # shuffle partitions
+
+    @property
+    def tasks(self) -> int:
+        return max(self.session, math.ceil(self.products / PRODUCTS_A_TASK))
+
+    @property
+    def grid(self) -> tuple[int, int]:
+        """Row blocks and column blocks: A is sent once a column block, B once a row block."""
+        cols = min(self.tasks, max(1, round(math.sqrt(self.tasks * max(1, self.right) / max(1, self.left)))))
+        return max(1, round(self.tasks / cols)), cols
+
+    @property
+    def moved(self) -> int:
+        rows, cols = self.grid
+        return self.left * cols + self.right * rows
+
+    @property
+    def prefers_stationary(self) -> bool:
+        """Dealing moves less than half of the products, and no block of rows or columns is mostly one hot row or column."""
+        return self.widest <= self.hot and 2 * self.moved < self.products
+
+
+def product_counts(a: Mat, b: Mat) -> ProductCost:
+    """Counts per inner index, and per row of A and column of B: two aggregates, one row each reaches the driver."""
+    require(a.ncols == b.nrows, f"inner dimensions differ: {a.shape} @ {b.shape}")
+    spark = a.spark
+    count = lambda m, c, name: m.df.groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias(name))
+    both = count(a, "j", "na").join(count(b, "i", "nb"), "k", "full")
+    total = both.agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(n) for n, e in (("l", F.col("na")), ("r", F.col("nb")), ("p", F.col("na") * F.col("nb")))]).first()
+    widest = count(a, "i", "n").select("n").unionByName(count(b, "j", "n").select("n")).agg(F.max("n")).first()[0]
+    return ProductCost(total["l"], total["r"], total["p"], widest or 0, conf_int(spark, CONF_HOT_KEY_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def matmul_stationary(a: Mat, b: Mat, cost: ProductCost | None = None) -> Mat:
+    """J6, output-stationary: rows of A and columns of B are dealt by hash to blocks, every
+    (row block, column block) is one place of the result, A's entries are sent to the places of
+    their row block and B's to those of their column block.  Join and sum then
+    happen where the entries are, so no partial product is shuffled.
+
+    An inner index that a third of all entries share is spread over all places, as its
+    entries lie in all row and column blocks.  A hot row of A or column of B is not, so
+    ``auto`` leaves such products to the salted join.
+    """
+    cost = cost or product_counts(a, b)
+    rows, cols = cost.grid
+    parts = max(1, min(cost.tasks, rows * cols))
+    ids = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    A = a.df.select("i", F.col("j").alias("k"), F.col("v").alias("av"), F.pmod(F.xxhash64("i"), F.lit(rows)).alias("_r"), ids(cols).alias("_c"))
+    B = b.df.select(F.col("i").alias("k"), "j", F.col("v").alias("bv"), F.pmod(F.xxhash64("j"), F.lit(cols)).alias("_c"), ids(rows).alias("_r"))
+    # Both sides have one partitioning on (_r, _c), which serves the join and the sum.
+    joined = A.repartition(parts, "_r", "_c").join(B.repartition(parts, "_r", "_c"), ["_r", "_c", "k"])
+    out = joined.groupBy("_r", "_c", "i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
+    return Mat(canon(out.select("i", "j", "v")), a.nrows, b.ncols)
+
+
 def gram(a: Mat, strategy: str = "auto") -> Mat:
     """``A Aᵀ`` using symmetry: only pairs with ``i <= i'`` are joined and
     aggregated (about half the partial products), and the strict upper
@@ -193,27 +276,36 @@ def vecmat(x: Vec, a: Mat) -> Vec:
 # ---------------------------------------------------------------------------
 
 
-OUTER_BLOCK = 4096  # index values of y per block
+OUTER_BLOCK = 4096  # stored entries of a block, about
+
+
+def _outer_blocks(x: Vec, names: tuple[str, str, str, str]) -> tuple[DataFrame, int, int]:
+    """``(block, entries)``: x's stored entries dealt by hash to blocks of about ``OUTER_BLOCK``; and the numbers of blocks and entries."""
+    block, entries, index, value = names
+    n = x.df.count()
+    blocks = max(1, -(-n // OUTER_BLOCK))
+    dealt = x.df.groupBy(F.pmod(F.xxhash64("i"), F.lit(blocks)).alias(block))
+    return dealt.agg(F.collect_list(F.struct(F.col("i").alias(index), F.col("v").alias(value))).alias(entries)), blocks, n
 
 
 def outer_product(x: Vec, y: Vec) -> Mat:
     """``x yᵀ`` (an ``x.size x y.size`` result).
 
-    y's stored entries are gathered into blocks of at most ``OUTER_BLOCK``
-    indices; blocks without an entry do not exist.  Every stored ``x_i`` is
-    expanded over block ids, joined to the blocks by id and then over a block's
-    entries, so ``nnz(x) * nnz(y)`` pairs are formed, whatever the sizes.  The
-    blocks are broadcast when y's declared size fits, else the join is
-    shuffled with hot block ids split.  No cross product is planned.
+    Both vectors' stored entries are counted and dealt to blocks, so blocks follow
+    the entries whatever the declared sizes.  Every block of x is repeated for y's block
+    numbers, meets y's blocks by an equi-join, and a pair of blocks is expanded in
+    place: ``nnz(x) * nnz(y)`` cells and no other row but one per pair of blocks.
+    y's blocks are broadcast when the counted entries fit, else both sides are
+    shuffled; every block number has as many rows as any other.  No cross product
+    is planned.
     """
-    n_blocks = max(1, -(-y.size // OUTER_BLOCK))
-    block = idiv(F.col("i"), F.lit(OUTER_BLOCK))
-    blocks = y.df.groupBy(block.alias("_b")).agg(F.collect_list(F.struct(F.col("i").alias("j"), F.col("v").alias("yv"))).alias("_ys"))
-    ids = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
-    xs = x.df.select("i", F.col("v").alias("xv"), F.explode(ids).alias("_b"))
-    joined = join_by_bound(xs, blocks, ["_b"], y.size)
-    pairs = joined.select("i", "xv", F.explode("_ys").alias("_y"))
-    return Mat(canon(pairs.select("i", "_y.j", (F.col("xv") * F.col("_y.yv")).alias("v"))), x.size, y.size)
+    xs, _, _ = _outer_blocks(x, ("_a", "_xs", "i", "xv"))
+    ys, blocks, n_y = _outer_blocks(y, ("_b", "_ys", "j", "yv"))
+    ids = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    pairs = xs.select("_xs", F.explode(ids).alias("_b"))
+    pairs = pairs.join(F.broadcast(ys) if fits_broadcast(x.spark, n_y) else ys, "_b")
+    cells = pairs.select("_ys", F.explode("_xs").alias("_x")).select("_x", F.explode("_ys").alias("_y"))
+    return Mat(canon(cells.select("_x.i", "_y.j", (F.col("_x.xv") * F.col("_y.yv")).alias("v"))), x.size, y.size)
 
 
 def outer_product_terms(x: Vec, y: Vec, alpha: float = 1.0) -> DataFrame:

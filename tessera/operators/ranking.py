@@ -2,7 +2,7 @@
 
 Ranks are computed from a pre-aggregated ``(row, value, count)`` table and a
 distributed prefix sum (:mod:`tessera.plans.skew`): ties collapse before any
-shuffle, and a row with a third of all entries is cut into quantile buckets
+shuffle, and a row with a third of all entries is range-partitioned by value
 instead of being sorted by one task.  Ranks are DOUBLE.
 """
 
@@ -52,6 +52,11 @@ def top_k_vector(x: Vec, k: int) -> DataFrame:
     return x.df.orderBy(F.col("v").desc(), F.col("i")).limit(k)
 
 
-def union(a: Mat, b: Mat) -> Mat:
-    """Bag union of entry tables (not canonical until summed, see J1)."""
-    return Mat(a.entries().unionByName(b.entries()), max(a.nrows, b.nrows), max(a.ncols, b.ncols))
+def union(a: Mat, b: Mat) -> DataFrame:
+    """Bag union of entry tables, ``(i, j, v)``.
+
+    A cell may occur twice, so the result is no matrix: its shape bounds nothing, and
+    a product that trusted it could broadcast more than it proves.  ``from_entries``
+    or :func:`tessera.operators.algebra.add` make a matrix of summed cells.
+    """
+    return a.entries().unionByName(b.entries())

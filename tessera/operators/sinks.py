@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import CONF_DENSE_CELLS, Mat, Vec, conf_int, require
+from tessera.core import CONF_DENSE_CELLS, Mat, Vec, conf_int, idiv, require
 
 _SHAPE = "nrows LONG, ncols LONG, size LONG, fmt STRING"
 _TEXT = ("csv", "tsv", "text")  # tab-separated text under any of these names
@@ -42,6 +44,66 @@ def load(spark, path: str) -> Mat | Vec:
     return Mat(df.select("i", "j", "v"), int(shape["nrows"]), int(shape["ncols"]))
 
 
+_LAYOUT = "nrows LONG, ncols LONG, axis STRING, block LONG"
+
+
+@dataclass(frozen=True)
+class StoredBlocks:
+    """A matrix written by :func:`save_blocks`: entries with the block of their row (or column) as the
+    partition column ``blk``, so a filter on blocks reads only their files."""
+
+    table: DataFrame
+    nrows: int
+    ncols: int
+    axis: str
+    block: int
+
+    def matrix(self) -> Mat:
+        return Mat(self.table.select("i", "j", "v"), self.nrows, self.ncols)
+
+    def _of(self, i: int, j: int) -> int:
+        return (i if self.axis == "row" else j) // self.block
+
+    def lookup(self, cells: list[tuple[int, int]]) -> DataFrame:
+        """E9 for several cells, absent = 0: reads the files of the cells' blocks, and in them the row groups whose
+        statistics admit the cells."""
+        from tessera.operators.elementwise import lookup_many
+
+        blocks = sorted({self._of(i, j) for i, j in cells})
+        near = self.table.filter(F.col("blk").isin(blocks)).select("i", "j", "v")
+        return lookup_many(Mat(near, self.nrows, self.ncols), cells)
+
+    def block_nnz_sample(self, block: int, ratio: float) -> DataFrame:
+        """A7 along the stored axis, from the sampled blocks' files alone.  ``block`` is a multiple of the stored one."""
+        from tessera.operators.aggregates import _sampled_blocks
+
+        require(block % self.block == 0, f"blocks of {block} are not made of stored blocks of {self.block}")
+        dim = self.nrows if self.axis == "row" else self.ncols
+        n_sampled, step = _sampled_blocks(-(-dim // block), ratio)
+        b = idiv(F.col("blk"), F.lit(block // self.block))
+        keep = (F.pmod(b, F.lit(step)) == 0) & (idiv(b, F.lit(step)) < F.lit(n_sampled))
+        counts = self.table.filter(keep).groupBy(b.alias("block")).agg(F.count(F.lit(1)).alias("nnz"))
+        return counts.select(F.lit(self.axis).alias("axis"), "block", "nnz")
+
+
+def save_blocks(m: Mat, path: str, block: int, axis: str = "row", mode: str = "overwrite") -> None:
+    """K1 in a layout for lookups and block samples: entries are range-partitioned by (block, i, j), so a block with most
+    of the entries is cut over many files, sorted, and written with the block as partition column."""
+    require(axis in ("row", "col") and block > 0, "a positive block of rows or columns")
+    order = ["i", "j"] if axis == "row" else ["j", "i"]
+    blk: Column = idiv(F.col(order[0]), F.lit(block)).alias("blk")
+    t = m.df.select("i", "j", "v", blk).repartitionByRange("blk", *order).sortWithinPartitions("blk", *order)
+    t.write.mode(mode).partitionBy("blk").parquet(path)
+    m.spark.createDataFrame([(m.nrows, m.ncols, axis, block)], _LAYOUT).write.mode("overwrite").json(path + "/_layout")
+
+
+def load_blocks(spark, path: str) -> StoredBlocks:
+    """A matrix written by :func:`save_blocks`."""
+    shape = spark.read.schema(_LAYOUT).json(path + "/_layout").first()
+    table = spark.read.schema("i LONG, j LONG, v DOUBLE, blk LONG").parquet(path)
+    return StoredBlocks(table, shape["nrows"], shape["ncols"], shape["axis"], shape["block"])
+
+
 def to_local(m: Mat):
     """K2: collect to a numpy array -- debug only, refused above a cell bound."""
     import numpy as np

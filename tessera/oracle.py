@@ -261,6 +261,7 @@ SQL: dict[str, str] = {
            FROM em e JOIN gm ON e.j = gm.sample""",
     ),
     "matmul_salted": with_(["q"], mm("q", "(SELECT j AS i, i AS j, v FROM q)")),
+    "matmul_stationary": with_(["q"], mm("q", "(SELECT j AS i, i AS j, v FROM q)")),
     "running_hot_group": """SELECT g, event_id, CAST(sum(flag) OVER (PARTITION BY g ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum
         FROM (SELECT CASE WHEN user_id % 3 < 2 THEN user_id % 3 END AS g, event_id, CASE WHEN value > 0.5 THEN 1 ELSE 0 END AS flag
               FROM events)""",
@@ -484,6 +485,9 @@ def _chain_bracket_sql() -> str:
     return with_(["dims", "q", "ns", "ps"], ", " + ",\n".join(parts) + "\n" + body)
 
 
+SQL["lookup_stored"] = SQL["lookup"]
+SQL["block_nnz_stored"] = SQL["block_nnz_sample"]
+
 SQL.update(
     {
         "transition_matrix": with_(
@@ -511,6 +515,12 @@ SQL.update(
         "bfgs_step_scaled": _bfgs_sql(scaled=True),
         "chain_fixed": _chain_sql(),
         "chain_cost_ordered": _chain_sql(),
+        "chain_estimated": _chain_sql(),
+        "chain_sizes": with_(
+            ["q", "ps"],
+            f""", ab AS ({mm('q', 'ps')}), abc AS ({mm('ab', '(SELECT j AS i, i AS j, v FROM ps)')})
+            SELECT 'AB' AS chain, count(*) AS nnz, true AS near FROM ab UNION ALL SELECT 'ABC', count(*), true FROM abc""",
+        ),
         **{name: _chain_sql() for name in ("chain_left", "chain_left_inner", "chain_right_inner", "chain_right")},
         "chain_three": with_(["q", "ns", "ps"], f", nq AS ({mm('ns', 'q')})\n" + mm("nq", "ps")),
         "chain_bracket": _chain_bracket_sql(),
@@ -535,7 +545,9 @@ SQL.update(
         "edge_list_text": with_(["d"], "SELECT i, j, v FROM d"),
         "triplets_text": with_(["q"], "SELECT i, j, v FROM q"),
         "dense_text": with_(["em"], "SELECT j AS i, i AS j, v FROM em"),
+        "dense_text_wide": with_(["em"], "SELECT j AS i, i AS j, v FROM em"),
         "genotype_text": with_(["gm"], "SELECT snp, sample, g FROM gm"),
+        "genotype_text_wide": with_(["gm"], "SELECT snp, sample, g FROM gm"),
         "row_layout": with_(
             ["q"],
             "SELECT i, count(*) AS nnz, min(j) AS first_j, max(j) AS last_j, sum(v) AS total FROM q GROUP BY i",
@@ -559,8 +571,8 @@ SQL.update(
         n AS (SELECT i, count(*) AS n FROM q GROUP BY i)
         SELECT coalesce(k, i) AS line, coalesce(c, 0) AS cnt, coalesce(n, 0) AS q_nnz, 0::BIGINT AS out_of_range
         FROM s FULL JOIN n ON s.k = n.i""",
-        "random_scale": with_(["q"], "SELECT i, j, true AS in_range FROM q"),
-        "random_noise": with_(["q"], "SELECT i, j, true AS in_range FROM q"),
+        "random_scale": with_(["q"], "SELECT count(*) AS n, count(*) AS distinct_draws, true AS in_range, true AS mean_fits, true AS variance_fits, true AS half_above FROM q"),
+        "random_noise": with_(["q"], "SELECT count(*) AS n, count(*) AS distinct_draws, true AS in_range, true AS mean_fits, true AS variance_fits, true AS half_above FROM q"),
         "random_mask": with_(
             ["dims", "q"],
             """SELECT kind, (SELECT CAST(ceil(nsupp * npart * 0.125) AS BIGINT) FROM dims) AS mask,

@@ -5,6 +5,10 @@ every two joins), so the bracket is chosen here: either given by the user
 (P9) or greedily from sampled block counts (P10), re-sampling each product
 as it is formed.  The decision needs only small count tables (one row per
 sampled block); the products themselves are ordinary J6 plans.
+
+:func:`chain_estimated` costs every bracket before anything is multiplied:
+ranks of columns, passed down the matrices as minima, estimate how many cells
+each row and column of every partial chain will store.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 from tessera.core import Mat, cut_lineage, idiv, require
 from tessera.operators.aggregates import _sampled_blocks
 from tessera.operators.algebra import matmul
+from tessera.operators.elementwise import transpose
+from tessera.plans.skew import salted_join
 
 
 def parse_bracket(spec: str, n: int):
@@ -130,3 +136,87 @@ def chain_cost_ordered(
             costs[x] = cost
     (a, name_a, _), (b, name_b, _) = items
     return matmul(a, b), name_a + name_b
+
+
+RANKS = 64  # ranks of an index; a row's estimate has a relative error of about 1 / sqrt(RANKS - 2)
+_SEED = 1009
+
+
+def _column_ranks(ranks: int) -> Column:
+    """Exponential ranks of column ``j``: the least of a set of columns tells how many there are."""
+    steps = 1 << 52
+    share = lambda t: (F.pmod(F.xxhash64("j", t, F.lit(_SEED)), F.lit(steps)) + F.lit(0.5)) / F.lit(float(steps))
+    return F.transform(F.sequence(F.lit(0), F.lit(ranks - 1)), lambda t: -F.log(share(t)))
+
+
+def _row_ranks(m: Mat, below: DataFrame | None, ranks: int) -> DataFrame:
+    """``(k, f)``: for every row of ``m`` the least ranks of the columns it reaches, through the rows ``below`` of the product that
+    follows (None: its own columns)."""
+    if below is None:
+        reached = m.df.select("i", _column_ranks(ranks).alias("f"))
+    else:
+        reached = salted_join(m.df.select("i", F.col("j").alias("k")), below, ["k"], split_right=False).select("i", "f")
+    least = [F.min(F.col("f")[t]) for t in range(ranks)]
+    return cut_lineage(reached.groupBy(F.col("i").alias("k")).agg(F.array(*least).alias("f")))
+
+
+def _reached(ranks: int) -> Column:
+    """Estimated number of columns behind the least ranks ``f``."""
+    return F.lit(ranks - 1.0) / F.aggregate("f", F.lit(0.0), lambda s, x: s + x)
+
+
+class ChainSizes:
+    """Estimated stored cells of every row and column of every partial chain, without forming a product.
+
+    A row of ``A B`` reaches the columns that B's rows under its entries reach, so the least rank of its columns is the least
+    of theirs: one pass over a matrix's entries per partial chain.  Columns take the same way through the transposes.
+    """
+
+    def __init__(self, mats: list[Mat], ranks: int = RANKS):
+        self.mats, self.ranks = mats, ranks
+        turned = [transpose(m) for m in mats]
+        self.rows: dict[tuple[int, int], DataFrame] = {}
+        self.cols: dict[tuple[int, int], DataFrame] = {}
+        for q in range(len(mats)):
+            for p in range(q, -1, -1):
+                self.rows[p, q] = _row_ranks(mats[p], self.rows.get((p + 1, q)), ranks)
+        for p in range(len(mats)):
+            for q in range(p, len(mats)):
+                self.cols[p, q] = _row_ranks(turned[q], self.cols.get((p, q - 1)), ranks)
+
+    def nnz(self, p: int, q: int) -> float:
+        """Stored cells of the product of matrices ``p`` to ``q``."""
+        return self.rows[p, q].agg(F.coalesce(F.sum(_reached(self.ranks)), F.lit(0.0))).first()[0]
+
+    def products(self, splits: list[tuple[int, int, int]]) -> list[float]:
+        """Partial products of multiplying ``p..m`` by ``m+1..q`` for each ``(p, m, q)``; a row each reaches the driver."""
+        out = None
+        for n, (p, m, q) in enumerate(splits):
+            left = self.cols[p, m].select("k", _reached(self.ranks).alias("l"))
+            right = self.rows[m + 1, q].select("k", _reached(self.ranks).alias("r"))
+            one = left.join(right, "k").agg(F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0.0)).alias("c")).withColumn("n", F.lit(n))
+            out = one if out is None else out.unionByName(one)
+        return [r["c"] for r in sorted(out.collect(), key=lambda r: r["n"])] if splits else []
+
+
+def estimated_bracket(mats: list[Mat], ranks: int = RANKS) -> tuple[str, float]:
+    """The bracket of least estimated partial products, over all brackets, and their number."""
+    n = len(mats)
+    sizes = ChainSizes(mats, ranks)
+    splits = [(p, m, q) for width in range(1, n) for p in range(n - width) for q in [p + width] for m in range(p, q)]
+    own = dict(zip(splits, sizes.products(splits)))
+    best: dict[tuple[int, int], tuple[float, str]] = {(k, k): (0.0, chr(ord("A") + k)) for k in range(n)}
+    for p, _, q in splits:
+        ways = [(best[p, m][0] + best[m + 1, q][0] + own[p, m, q], f"({best[p, m][1]}{best[m + 1, q][1]})") for m in range(p, q)]
+        best[p, q] = min(ways)
+    cost, bracket = best[0, n - 1]
+    return bracket[1:-1] if n > 1 else bracket, cost
+
+
+def chain_estimated(mats: list[Mat], ranks: int = RANKS) -> tuple[Mat, str]:
+    """P10 with every bracket costed beforehand (:func:`estimated_bracket`).  Returns the product and the bracket used.
+    The inputs are read several times, so each is written once to the checkpoint folder."""
+    require(len(mats) >= 1, "empty chain")
+    inputs = [Mat(cut_lineage(m.df), m.nrows, m.ncols) for m in mats]
+    bracket, _ = estimated_bracket(inputs, ranks)
+    return chain_multiply(inputs, bracket), bracket

@@ -1,87 +1,128 @@
 """Non-negative factorisation, gradient and quasi-Newton step.
 
-All steps are compositions of the entry-table operators: products (join +
-partial aggregate), element-wise multiply/divide (joins on unique keys), and
-scalar maps.  Small factor matrices (``W``: m x r, ``H``: r x n with small
-``r``) are proven small by their shapes, so products against them broadcast
-the factor and stream the data matrix.
+The factorisation keeps its factors as wide rows: one row per index with an array
+of the ``r`` values, so an entry of the data matrix meets a factor once and
+carries ``r`` products into ``r`` sums of one aggregate.  The gradient and the
+quasi-Newton step are compositions of the entry-table operators.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import Mat, Vec, canon, cut_lineage, drop_lineage, fits_broadcast
+from tessera.core import Mat, Vec, canon, cut_lineage, drop_lineage, fits_broadcast, require, ship_package
 from tessera.operators import algebra as J
 from tessera.operators import elementwise as E
 from tessera.operators.reshape import vec, vec_stack
 from tessera.plans.skew import join_prepared, prepare_repeated_join
 
+_WIDE = "x long, f array<double>"
+
+
+def _wide(df: DataFrame, index: str, column: str, r: int) -> DataFrame:
+    """``(x, f)``: the ``r`` values of each index that has one, absent values 0."""
+    value = lambda k: F.coalesce(F.sum(F.when(F.col(column) == k, F.col("v"))), F.lit(0.0))
+    return df.groupBy(F.col(index).alias("x")).agg(F.array(*[value(k) for k in range(r)]).alias("f"))
+
+
+def _entries(wide: DataFrame, index: str, column: str) -> DataFrame:
+    """The stored entries of a wide factor; zeros and NaN are none."""
+    cells = wide.select(F.col("x").alias(index), F.posexplode("f").alias("k", "v"))
+    return canon(cells.select(index, F.col("k").cast("long").alias(column), "v")).select("i", "j", "v")
+
+
+def _values(batch: pa.RecordBatch, column: str, r: int) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy().reshape(-1, r)
+
+
+def _gram(wide: DataFrame, r: int) -> np.ndarray:
+    """``Fᵀ F`` (r x r): a task adds up its rows, Spark the tasks' cells, and r² of them reach the driver."""
+    ship_package(wide.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((r, r))
+        for batch in batches:
+            f = _values(batch, "f", r)
+            total += f.T @ f
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(r * r, dtype=np.int32)), pa.array(total.ravel())], names=["at", "v"])
+
+    cells = wide.select("f").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(r * r)
+    for row in cells:
+        out[row["at"]] = row["v"]
+    return out.reshape(r, r)
+
 
-def _persist(m: Mat) -> Mat:
-    return Mat(m.df.persist(StorageLevel.MEMORY_AND_DISK), m.nrows, m.ncols, m.dense)
+def _updated(factor: DataFrame, sums: DataFrame, gram: np.ndarray, eps: float) -> DataFrame:
+    """``f * s / (f G + eps)`` row by row where all three are stored, else 0."""
+    r = len(gram)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, s = _values(batch, "f", r), _values(batch, "s", r)
+            below = f @ gram
+            stored = (f * s != 0) & (below != 0)
+            with np.errstate(all="ignore"):
+                new = np.where(stored, f * s / (below + eps), 0.0).ravel()
+            lists = pa.ListArray.from_arrays(np.arange(0, len(new) + 1, r, dtype=np.int32), new)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), lists], names=["x", "f"])
 
-class _PreparedV:
-    """A fixed data matrix prepared for products against changing factors.
+    return factor.join(sums, "x").select("x", "f", "s").mapInArrow(run, _WIDE)
 
-    Used when the factors are too large to broadcast: ``V`` is salted on its
-    hot row / column indices and hash-partitioned once by ``i`` and once by
-    ``j`` (both copies persisted), so each iteration shuffles only the
-    factor side and never counts V's keys again.
+
+class _Data:
+    """A fixed data matrix for products with changing wide factors.
+
+    Factors that are small by their shapes are broadcast to the matrix, which is
+    cached once.  Larger ones are shuffled to copies of it that are salted
+    on hot indices, partitioned once by row and once by column, and cached.
+    Either way a product joins each stored entry once.
     """
 
-    def __init__(self, V: Mat, num_partitions: int | None = None):
+    def __init__(self, V: Mat, small: bool, num_partitions: int | None = None):
         base = V.df.select("i", "j", "v")
-        by_i, self.hot_i = prepare_repeated_join(base, ["i"], num_partitions)
-        by_j, self.hot_j = prepare_repeated_join(base, ["j"], num_partitions)
-        self.by_i = by_i.persist(StorageLevel.MEMORY_AND_DISK)
-        self.by_j = by_j.persist(StorageLevel.MEMORY_AND_DISK)
-        self.V = V
-
-    def wt_v(self, W: Mat) -> Mat:
-        """``Wᵀ V`` (r x n): join on the row index of V."""
-        ws = W.df.select("i", F.col("j").alias("_a"), F.col("v").alias("_wv"))
-        jn = join_prepared(self.by_i, self.hot_i, ws, ["i"])
-        out = jn.groupBy(F.col("_a").alias("i"), "j").agg(F.sum(F.col("_wv") * F.col("v")).alias("v"))
-        return Mat(canon(out), W.ncols, self.V.ncols)
-
-    def v_ht(self, H: Mat) -> Mat:
-        """``V Hᵀ`` (m x r): join on the column index of V."""
-        hs = H.df.select("j", F.col("i").alias("_a"), F.col("v").alias("_hv"))
-        jn = join_prepared(self.by_j, self.hot_j, hs, ["j"])
-        out = jn.groupBy("i", F.col("_a").alias("j")).agg(F.sum(F.col("v") * F.col("_hv")).alias("v"))
-        return Mat(canon(out), self.V.nrows, H.nrows)
-
-
-def gnmf_step(
-    V: Mat, W: Mat, H: Mat, eps: float = 1e-8, materialize=None, prepared: _PreparedV | None = None
-) -> tuple[Mat, Mat]:
+        self.small = small
+        self.side = {}
+        if small:
+            cached = base.persist(StorageLevel.MEMORY_AND_DISK)
+            self.side = {"i": (cached, None), "j": (cached, None)}
+        else:
+            for key in ("i", "j"):
+                prepared, hot = prepare_repeated_join(base, [key], num_partitions)
+                self.side[key] = (prepared.persist(StorageLevel.MEMORY_AND_DISK), hot)
+
+    def sums(self, factor: DataFrame, key: str, r: int) -> DataFrame:
+        """``(x, s)``: for every index of the other side the ``r`` sums of ``v * f`` over its entries."""
+        data, hot = self.side[key]
+        f = factor.select(F.col("x").alias(key), "f")
+        joined = data.join(F.broadcast(f), key) if self.small else join_prepared(data, hot, f, [key])
+        other = "j" if key == "i" else "i"
+        total = [F.sum(F.col("v") * F.col("f")[k]) for k in range(r)]
+        return joined.groupBy(F.col(other).alias("x")).agg(F.array(*total).alias("s"))
+
+    def release(self) -> None:
+        for data, _ in self.side.values():
+            data.unpersist()
+
+
+def _step(data: _Data, W: DataFrame, H: DataFrame, r: int, eps: float) -> tuple[DataFrame, DataFrame]:
+    """One update of the wide factors; each is written to the checkpoint folder, since the next one reads it several times."""
+    H = cut_lineage(_updated(H, data.sums(W, "i", r), _gram(W, r), eps))
+    W = cut_lineage(_updated(W, data.sums(H, "j", r), _gram(H, r), eps))
+    return W, H
+
+
+def gnmf_step(V: Mat, W: Mat, H: Mat, eps: float = 1e-8) -> tuple[Mat, Mat]:
     """P6 one step: ``H <- H * (WᵀV) / ((WᵀW)H + eps)``, then
     ``W <- W * (VHᵀ) / (W(HHᵀ) + eps)``; eps is added to stored entries only.
-
-    ``(WᵀW)H`` and ``W(HHᵀ)`` are bracketed so the r x r Gram matrix is
-    formed first (never an m x n intermediate).  The new ``H`` is used three
-    times by the ``W`` update, so it is materialised (``materialize``, by
-    default a reliable checkpoint) before that: the lazy plan would
-    otherwise repeat its whole computation per use.  With ``prepared`` the
-    two products against V use its pre-partitioned copies.
     """
-    mat = materialize or _checkpointed
-    Wt = E.transpose(W)
-    # WᵀW and HHᵀ join rows of at most r entries per key, so no key is counted or split.
-    WtV = prepared.wt_v(W) if prepared else J.matmul(Wt, V)
-    H = J.elementwise_divide(J.elementwise_multiply(H, WtV), E.add_scalar(J.matmul(J.matmul(Wt, W, bounded=True), H), eps))
-    H = mat(H)
-    Ht = E.transpose(H)
-    VHt = prepared.v_ht(H) if prepared else J.matmul(V, Ht)
-    W = J.elementwise_divide(J.elementwise_multiply(W, VHt), E.add_scalar(J.matmul(W, J.matmul(H, Ht, bounded=True)), eps))
-    return mat(W), H
-
-
-def _checkpointed(m: Mat) -> Mat:
-    return Mat(cut_lineage(m.df), m.nrows, m.ncols, m.dense)
+    return gnmf(V, W, H, 1, eps)
 
 
 def gnmf(
@@ -89,33 +130,28 @@ def gnmf(
 ) -> tuple[Mat, Mat]:
     """``iterations`` multiplicative updates.
 
-    Factors that fit the broadcast bound (``m x r`` and ``r x n`` by shape)
-    are broadcast against V, which is persisted once and streamed in place.
-    Otherwise V is prepared once (salted, partitioned by row and by column,
-    persisted) and each iteration shuffles only the factors.  Both factors
+    A product against V is one join of its entries with the wide factor and one
+    aggregate with ``r`` sums, so what is joined are nnz(V) rows and what is
+    shuffled at most one row per index and task.  The r x r Gram matrices are summed in
+    the tasks, and an update is one pass over a factor's rows.  Both factors
     are cut from their lineage after every update with a reliable checkpoint
     in ``spark.checkpoint.dir``, so each step plans against two small tables
     and a lost executor recomputes at most one step."""
+    require(W.ncols == H.nrows and V.shape == (W.nrows, H.ncols), "factor shapes do not match")
+    r = W.ncols
+    if iterations <= 0:
+        return W, H
     spark = V.spark
-    prepared = None
-    if fits_broadcast(spark, W.cell_bound) and fits_broadcast(spark, H.cell_bound):
-        V = _persist(V)
-    else:
-        prepared = _PreparedV(V, num_partitions)
-    for it in range(iterations):
-        before = (W, H) if it else ()
-        W, H = gnmf_step(V, W, H, eps, prepared=prepared)
-        for m in before:
-            drop_lineage(m.df)
-    if iterations > 0:
-        # The returned factors are read back from the checkpoint folder, so
-        # the cached copies of V can be released.
-        if prepared is not None:
-            prepared.by_i.unpersist()
-            prepared.by_j.unpersist()
-        else:
-            V.df.unpersist()
-    return W, H
+    data = _Data(V, fits_broadcast(spark, W.cell_bound) and fits_broadcast(spark, H.cell_bound), num_partitions)
+    w, h = cut_lineage(_wide(W.df, "i", "j", r)), cut_lineage(_wide(H.df, "j", "i", r))
+    for _ in range(iterations):
+        before = w, h
+        w, h = _step(data, w, h, r, eps)
+        for table in before:
+            drop_lineage(table)
+    # The returned factors are read back from the checkpoint folder, so the cached copies of V can be released.
+    data.release()
+    return Mat(_entries(w, "i", "j"), W.nrows, r), Mat(_entries(h, "j", "i"), r, H.ncols)
 
 
 def gradient(V: Mat, W: Mat, H: Mat) -> Vec:

@@ -10,18 +10,15 @@ hot (assume one key may hold a third of all rows):
   split.  Both sides may be split at once (2-D), so a key that is hot on both
   sides is cut into ``sl * sr`` tasks.
 * :func:`prefix_sum` -- an inclusive running sum inside groups, ordered by one
-  column.  Groups larger than the bucket size are cut into quantile buckets
-  (mergeable ``percentile_approx`` sketch, then a binary search written as
-  ``log2(B)`` projections), the running sum is taken per bucket and bucket
-  offsets are added from a broadcast table.
-
-What reaches the driver is bounded by ``maxHotKeys`` at any input size: only the
-``maxHotKeys`` largest keys are split, so a key that is left whole has at most
-``max(hotKeyRows, N / maxHotKeys)`` of the ``N`` rows, and buckets are
-``max(hotKeyRows, N / maxHotKeys)`` rows or more, so there are at most
-``maxHotKeys`` of them besides one per split group.  The hot-key table and the
-bucket bounds are therefore always broadcast, never joined by a shuffle on
-the bare key.
+  column.  With a group larger than the threshold the rows are range-partitioned
+  by (group, order): partitions are even whatever the groups' sizes, each sums
+  its rows in one pass, and only a partition's first group needs an offset, which
+  follows from one row a partition.
+
+What reaches the driver is bounded: only the ``maxHotKeys`` largest keys are split,
+so a key that is left whole has at most ``max(hotKeyRows, N / maxHotKeys)`` of the
+``N`` rows, and offsets are one row a partition.  The hot-key table is therefore
+always broadcast, never joined by a shuffle on the bare key.
 
 Groups are compared null-safely: NULL group values form a group.
 """
@@ -29,12 +26,16 @@ Groups are compared null-safely: NULL group values form a group.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.core import CONF_HOT_KEY_ROWS, CONF_MAX_HOT_KEYS, conf_int
+from tessera.core import CONF_HOT_KEY_ROWS, CONF_MAX_HOT_KEYS, conf_int, cut_lineage, require, ship_package
 
 _SALT_L = "_salt_l"
 _SALT_R = "_salt_r"
@@ -59,6 +60,15 @@ def _hottest(hot: DataFrame, sizes: list[str], max_rows: int) -> DataFrame | Non
     return F.broadcast(hot.sparkSession.createDataFrame(rows, hot.schema)) if rows else None
 
 
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with more rows than the hot-key threshold, at most ``maxHotKeys`` of them, as a table for broadcasting; ``None`` if
+    there is none."""
+    spark = df.sparkSession
+    counts = _hot_counts(df, keys, conf_int(spark, CONF_HOT_KEY_ROWS), "_n")
+    hot = _hottest(counts, ["_n"], conf_int(spark, CONF_MAX_HOT_KEYS))
+    return None if hot is None else F.broadcast(hot.select(*keys))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -127,57 +137,113 @@ def salted_join(
     return lhs.join(rhs, keys + [_SALT_L, _SALT_R], "inner").drop(_SALT_L, _SALT_R)
 
 
-def _bucket_column(order_col: str, n_steps: int):
-    """Lower-bound binary search of ``order_col`` in the sorted array ``_bnd``.
+# Partitions of a ranged pass: as many as keep a partition near the hot-key threshold, within these multiples of the
+# session's shuffle partitions.
+_MOST_PARTS = 32
 
-    Returns the list of (name, expression) projections; the result is ``_b``,
-    the number of bounds strictly below the value (0 when ``_bnd`` is NULL).  An
-    array may be shorter than ``2 ** n_steps - 1``; what is missing counts as greater.
-    """
-    steps = []
-    width = 1 << n_steps
-    steps.append(("_b", F.lit(0).cast("int")))
-    s = width // 2
-    while s >= 1:
-        probe = F.get(F.col("_bnd"), F.col("_b") + F.lit(s - 1))  # NULL past a shorter array's end
-        steps.append(
-            (
-                "_b",
-                F.when(
-                    F.col("_bnd").isNotNull() & (probe < F.col(order_col)),
-                    F.col("_b") + F.lit(s),
-                ).otherwise(F.col("_b")),
-            )
-        )
-        s //= 2
-    return steps
-
-
-def _size_class(rows: int, bucket_rows: int) -> int:
-    """``c`` such that a group of ``rows`` rows is cut into ``2**c`` buckets of at most about half ``bucket_rows``."""
-    return max(1, math.ceil(math.log2(max(2.0, 2.0 * rows / bucket_rows))))
-
-
-def _bounds(df: DataFrame, hot: list, order_col: str, bucket_rows: int) -> tuple[DataFrame, int]:
-    """Ascending bucket bounds ``_bnd`` per hot group, and the number of binary-search steps.
-
-    Groups of one size class share a list of percentiles (it has to be a constant), so
-    there is one aggregate per class, and classes are logarithms of sizes.
+_PART, _FIRST, _ROW = "_part", "_first", "_row"
+
+
+def _same_as_before(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """For every row after the first: whether all ``columns`` equal the row before's; NULLs and NaNs are equal."""
+    same = np.ones(max(0, batch.num_rows - 1), bool)
+    for name in columns:
+        column = batch.column(name)
+        if pa.types.is_nested(column.type):
+            values = column.to_pylist()
+            equal = np.fromiter((x == y for x, y in zip(values[1:], values)), bool, len(same))
+        else:
+            x, y = column.slice(1), column.slice(0, len(same))
+            equal = pc.fill_null(pc.equal(x, y), False).to_numpy(zero_copy_only=False)
+            equal |= (pc.is_null(x, nan_is_null=True).to_numpy(zero_copy_only=False)) & (pc.is_null(y, nan_is_null=True).to_numpy(zero_copy_only=False))
+        same &= equal
+    return same
+
+
+def _running(weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Inclusive running sums that begin anew at every index of ``starts``."""
+    if weights.dtype.kind == "f":  # differences of one long sum would lose digits
+        return np.concatenate([np.cumsum(x) for x in np.split(weights, starts[starts > 0])]) if len(weights) else weights
+    total = np.cumsum(weights)
+    before = np.append(0, total)[starts]
+    return total - np.repeat(before, np.diff(np.append(starts, len(weights))))
+
+
+def _ranged_sums(df: DataFrame, group_cols: list[str], order_col: str, weight_col: str, out_col: str, rows: int) -> DataFrame:
+    """:func:`prefix_sum` for groups of any size.
+
+    Rows are range-partitioned by (group, order) and sorted, so partitions are even whatever the groups' sizes, a group
+    lies in consecutive partitions, and at most the first group of a partition goes on from the one before.  One
+    pass over a partition's sorted rows keeps the running sum of the current group only.  The result is written; what each
+    partition's last group has summed up is one small row a partition, from which follows the offset of the next
+    partition's first group.
     """
     spark = df.sparkSession
-    found = []
-    schema = df.select("_g").schema
-    classes = sorted({_size_class(r["_gn"], bucket_rows) for r in hot})
-    for c in classes:
-        keys = [(r["_g"],) for r in hot if _size_class(r["_gn"], bucket_rows) == c]
-        members = df.join(F.broadcast(spark.createDataFrame(keys, schema)), "_g", "left_semi")
-        width = 1 << c
-        pct = [k / width for k in range(1, width)]
-        value = F.col(order_col).cast("double")
-        found += members.groupBy("_g").agg(F.percentile_approx(value, pct, max(10000, 4 * width)).alias("_bnd")).collect()
-    rows = [(r["_g"], [float(x) for x in r["_bnd"]]) for r in found]
-    bounds = spark.createDataFrame(rows, T.StructType([schema["_g"], T.StructField("_bnd", T.ArrayType(T.DoubleType()))]))
-    return F.broadcast(bounds), classes[-1]
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(session, math.ceil(rows / conf_int(spark, CONF_HOT_KEY_ROWS))), _MOST_PARTS * session)
+    kind = df.select(F.sum(weight_col).alias("s")).schema["s"].dataType
+    require(isinstance(kind, (T.LongType, T.DoubleType)), f"{weight_col} has to be an integer or floating point column")
+    ship_package(spark)
+    ordered = df.withColumn("_w", F.coalesce(F.col(weight_col).cast(kind), F.lit(0).cast(kind)))
+    groups, made = [], []
+    for c in group_cols:  # the fields of a struct compare faster than the struct
+        fields = df.schema[c].dataType.names if isinstance(df.schema[c].dataType, T.StructType) else []
+        for f in fields:
+            made.append(f"_k{len(made)}")
+            ordered = ordered.withColumn(made[-1], F.col(c).getField(f))
+        groups += made[len(made) - len(fields) :] if fields else [c]
+    ordered = ordered.repartitionByRange(parts, *groups, order_col).sortWithinPartitions(*groups, order_col)
+    ordered = ordered.withColumn(_PART, F.spark_partition_id())
+    added = [T.StructField(out_col, kind), T.StructField(_FIRST, T.BooleanType()), T.StructField(_ROW, T.LongType())]
+    schema = T.StructType([f for f in ordered.schema if f.name != "_w"] + added)
+    names = [f.name for f in schema][: -len(added)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, first, row = None, 0, True, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.select(groups) if groups else None
+            same = _same_as_before(batch, groups)
+            starts = np.append(0, np.flatnonzero(~same) + 1)
+            sums = _running(batch.column("_w").to_numpy(), starts)
+            goes_on = last is not None
+            if goes_on and groups:
+                pair = pa.Table.from_batches([last, keys.slice(0, 1)]).combine_chunks().to_batches()[0]
+                goes_on = bool(_same_as_before(pair, groups)[0])
+            end = starts[1] if len(starts) > 1 else n
+            if goes_on:
+                sums[:end] += total
+            if last is not None and not goes_on:
+                first = False
+            flags = np.zeros(n, bool)
+            if first:
+                flags[:end] = True
+                first = len(starts) == 1
+            total, last = sums[-1], (keys.slice(n - 1) if groups else batch.slice(n - 1))
+            columns = [batch.column(c) for c in names] + [pa.array(sums), pa.array(flags), pa.array(np.arange(row, row + n))]
+            row += n
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, out_col, _FIRST, _ROW])
+
+    done = cut_lineage(ordered.mapInArrow(run, schema))
+    at_end = F.struct(*[F.col(c).alias(f"g{k}") for k, c in enumerate(groups)], F.col(out_col).alias("s"), F.col(_FIRST).alias("f"))
+    at_start = F.struct(F.lit(0).alias("z"), *[F.col(c).alias(f"g{k}") for k, c in enumerate(groups)])
+    edges = done.groupBy(_PART).agg(F.min_by(at_start, _ROW).alias("a"), F.max_by(at_end, _ROW).alias("b")).orderBy(_PART).collect()
+    zero = 0.0 if isinstance(kind, T.DoubleType) else 0
+    offsets, carried, group = [], zero, None
+    for e in edges:
+        begins, ends = tuple(e.a)[1:], tuple(e.b)[: len(groups)]
+        offset = carried if group is not None and _equal(group, begins) else zero
+        offsets.append((e[_PART], offset))
+        carried, group = e.b.s + (offset if e.b.f else zero), ends
+    table = F.broadcast(spark.createDataFrame(offsets, T.StructType([T.StructField(_PART, T.IntegerType()), T.StructField("_off", kind)])))
+    out = done.join(table, _PART).withColumn(out_col, F.col(out_col) + F.when(F.col(_FIRST), F.col("_off")).otherwise(F.lit(0).cast(kind)))
+    return out.drop(_PART, _FIRST, _ROW, "_off", *made)
+
+
+def _equal(x: tuple, y: tuple) -> bool:
+    return all(a == b or (a != a and b != b) for a, b in zip(x, y))
 
 
 def prefix_sum(
@@ -188,45 +254,19 @@ def prefix_sum(
     out_col: str,
 ) -> DataFrame:
     """Add ``out_col`` = running sum of ``weight_col`` within ``group_cols`` in
-    ascending ``order_col`` (inclusive).  ``order_col`` must be non-null,
-    numeric and unique within a group.  Without group columns the rows are one
-    group.
+    ascending ``order_col`` (inclusive; a NULL weight adds nothing).  ``order_col`` must be
+    non-null and unique within a group.  Without group columns the rows are one
+    group.  Groups up to the hot-key threshold are summed by a window, as long as
+    there is no larger one; else all rows take the ranged pass (:func:`_ranged_sums`).
     """
     spark = df.sparkSession
-    threshold = conf_int(spark, CONF_HOT_KEY_ROWS)
-    max_hot = conf_int(spark, CONF_MAX_HOT_KEYS)
-    # A struct is never NULL itself and its NULL fields compare equal.
-    df = df.withColumn("_g", F.struct(*group_cols) if group_cols else F.struct(F.lit(0).alias("all")))
-
-    sizes = df.groupBy("_g").agg(F.count(F.lit(1)).alias("_gn"))
-    hot = sizes.filter(F.col("_gn") > threshold).orderBy(F.desc("_gn"), "_g").limit(max_hot).collect()
-    by_group = Window.partitionBy("_g").orderBy(F.col(order_col))
-    if not hot:
-        # No hot group: one window per group, nothing to offset.
-        w = by_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out_col, F.sum(F.col(weight_col)).over(w)).drop("_g")
-
-    bucket_rows = max(threshold, math.ceil(sum(r["_gn"] for r in hot) / max_hot))
-    bounds, n_steps = _bounds(df, hot, order_col, bucket_rows)
-    data = df.join(bounds, "_g", "left")
-    for name, expr in _bucket_column(order_col, n_steps):
-        data = data.withColumn(name, expr)
-    data = data.drop("_bnd")
-
-    w_local = (
-        Window.partitionBy("_g", "_b")
-        .orderBy(F.col(order_col))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    data = data.withColumn("_local", F.sum(F.col(weight_col)).over(w_local))
-    # Only split groups have a bucket after the first, so the offsets have a row per bucket of those.
-    members = data.join(bounds.select("_g"), "_g", "left_semi")
-    totals = members.groupBy("_g", "_b").agg(F.sum(F.col(weight_col)).alias("_bt"))
-    w_off = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_g", "_b", F.sum("_bt").over(w_off).alias("_off")).filter(F.col("_off").isNotNull())
-    out = data.join(F.broadcast(offsets), ["_g", "_b"], "left")
-    running = F.col("_local") + F.coalesce(F.col("_off"), F.lit(0).cast(totals.schema["_bt"].dataType))
-    return out.withColumn(out_col, running).drop("_g", "_b", "_off", "_local")
+    sizes = (df.groupBy(*group_cols) if group_cols else df.groupBy(F.lit(0).alias("_all"))).agg(F.count(F.lit(1)).alias("_gn"))
+    largest, rows = sizes.agg(F.max("_gn"), F.sum("_gn")).first()
+    if (largest or 0) > conf_int(spark, CONF_HOT_KEY_ROWS):
+        return _ranged_sums(df, group_cols, order_col, weight_col, out_col, rows)
+    by_group = Window.partitionBy(*(group_cols or [F.lit(0)])).orderBy(F.col(order_col))
+    w = by_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out_col, F.sum(F.coalesce(F.col(weight_col), F.lit(0))).over(w))
 
 
 def ranks(
@@ -244,7 +284,7 @@ def ranks(
 
     Groups up to the hot-key threshold are ranked with window functions
     (one shuffle on the group key; a group is bounded, so it fits a task).
-    Hot groups -- and a single global group -- take the bucketed path
+    Hot groups -- and a single global group -- take the ranged pass
     (:func:`_ranks_split`), so no group larger than the threshold is ever
     sorted in one task.
     """
@@ -292,7 +332,7 @@ def _ranks_split(
     tiebreak_col: str,
 ) -> DataFrame:
     """:func:`ranks` for hot (or global) groups: ties are pre-aggregated to
-    one row per (group, value), running counts come from the bucketed
+    one row per (group, value), running counts come from
     :func:`prefix_sum`, and ranks are joined back with hot keys split."""
     G = list(group_cols)
     present = df.filter(F.col(value_col).isNotNull())

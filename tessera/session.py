@@ -31,7 +31,7 @@ def session_conf(shuffle_partitions: int = 8) -> dict[str, str]:
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", "16g"),
+        "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", "8g"),
         "spark.sql.files.maxPartitionBytes": "128MB",
     }
 

@@ -7,12 +7,13 @@ matching oracle SQL (:mod:`tessera.oracle`).
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.core import CONF_BROADCAST_ROWS, CONF_HOT_KEY_ROWS, Mat, Vec
+from tessera.core import CONF_BROADCAST_ROWS, CONF_HOT_KEY_ROWS, Mat, Vec, ensure_checkpoint_dir
 from tessera.operators import aggregates as A
 from tessera.operators import algebra as J
 from tessera.operators import elementwise as E
@@ -211,6 +212,26 @@ def block_nnz_sample(spark, d):
     return A.block_nnz_sample(q, 10, 0.3, "row").unionByName(A.block_nnz_sample(q, 100, 0.3, "col"))
 
 
+def _stored(m: Mat, block: int, axis: str):
+    """``m`` in the stored layout, in the checkpoint folder."""
+    from tessera.operators.sinks import load_blocks, save_blocks
+
+    path = f"{ensure_checkpoint_dir(m.spark).rstrip('/')}/tessera-blocks-{uuid.uuid4().hex}"
+    save_blocks(m, path, block, axis)
+    return load_blocks(m.spark, path)
+
+
+def lookup_stored(spark, d):
+    """E9 on the stored layout: only the files of the cells' blocks are read."""
+    return _stored(T.q_matrix(spark, d), 10, "row").lookup([(3, 7), (0, 0), (5, 11)])
+
+
+def block_nnz_stored(spark, d):
+    """A7 on the stored layout, by rows in blocks as stored and by columns in blocks of four stored ones."""
+    q = T.q_matrix(spark, d)
+    return _stored(q, 10, "row").block_nnz_sample(10, 0.3).unionByName(_stored(q, 25, "col").block_nnz_sample(100, 0.3))
+
+
 def product_cost(spark, d):
     q = T.q_matrix(spark, d)
     return A.product_cost(q, q.T, 100)
@@ -322,14 +343,20 @@ def matmul_salted(spark, d):
         return _m(J.matmul(q, q.T))
 
 
+def matmul_stationary(spark, d):
+    """J6 dealt to blocks of the result; no partial product is shuffled."""
+    q = T.q_matrix(spark, d)
+    return _m(J.matmul(q, q.T, strategy="stationary"))
+
+
 def rank_hot_group(spark, d):
-    """W1 with every row hot: quantile buckets, offsets, ranks joined back."""
+    """W1 with every row hot: ranged partitions, offsets, ranks joined back."""
     with _lowered(spark, hot=8):
         return W.rank_rows_average(T.ev_table(spark, d))
 
 
 def running_hot_group(spark, d):
-    """W3 over three groups of events, one of them the events of no group (NULL), all split into buckets."""
+    """W3 over three groups of events, one of them the events of no group (NULL), all cut by ranges."""
     with _lowered(spark, hot=100):
         ev = T.table(spark, d, "events", "event_id", "user_id", "value")
         g = F.col("user_id") % 3
@@ -346,7 +373,7 @@ def topk_vector(spark, d):
 
 
 def union(spark, d):
-    return _m(W.union(T.q_matrix(spark, d), T.d_matrix(spark, d)))
+    return W.union(T.q_matrix(spark, d), T.d_matrix(spark, d))
 
 
 REGISTRY = {
@@ -391,6 +418,8 @@ REGISTRY = {
     "nnz_sparsity": nnz_sparsity,
     "shape": shape,
     "block_nnz_sample": block_nnz_sample,
+    "block_nnz_stored": block_nnz_stored,
+    "lookup_stored": lookup_stored,
     "product_cost": product_cost,
     "out_degree": out_degree,
     "vec_op": vec_op,
@@ -405,6 +434,7 @@ REGISTRY = {
     "rank_expression": rank_expression,
     "running_missing": running_missing,
     "matmul_salted": matmul_salted,
+    "matmul_stationary": matmul_stationary,
     "rank_hot_group": rank_hot_group,
     "running_hot_group": running_hot_group,
     "topk_entries": topk_entries,
@@ -582,6 +612,24 @@ def chain_cost_ordered(spark, d):
     return _m(m)
 
 
+def chain_estimated(spark, d):
+    m, _ = C.chain_estimated(_chain(spark, d))
+    return _m(m)
+
+
+def chain_sizes(spark, d):
+    """The estimated size of a partial chain against its true number of stored cells, for Q·PS and Q·PS·PSᵀ."""
+    mats = _chain(spark, d)[1:]
+    sizes = C.ChainSizes(mats)
+    out = None
+    for name, q in (("AB", 1), ("ABC", 2)):
+        near = sizes.nnz(0, q)
+        true = C.chain_multiply(mats[: q + 1], "ABC"[: q + 1]).df.agg(F.count(F.lit(1)).alias("nnz"))
+        row = true.select(F.lit(name).alias("chain"), "nnz", (F.abs(F.lit(near) - F.col("nnz")) <= 0.2 * F.col("nnz")).alias("near"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 REGISTRY.update(
     {
         "transition_matrix": transition_matrix,
@@ -601,6 +649,8 @@ REGISTRY.update(
         "chain_cost_ordered": chain_cost_ordered,
         "chain_three": chain_three,
         "chain_bracket": chain_bracket,
+        "chain_estimated": chain_estimated,
+        "chain_sizes": chain_sizes,
         **{name: _chain_by(bracket) for name, bracket in CHAIN_BRACKETS.items()},
     }
 )
@@ -641,9 +691,7 @@ def triplets_text(spark, d):
     return _m(from_entries(parse_triplet_lines(lines, one_based=True), dm["supp"], dm["part"]))
 
 
-def dense_text(spark, d):
-    from tessera.sources.text import parse_dense_lines
-
+def _dense_lines(spark, d):
     dm = T.dims(spark, d)
     em = T.table(spark, d, "embeddings", "vec_id", "embedding")
     vals = F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), "\t")
@@ -651,13 +699,17 @@ def dense_text(spark, d):
     header = spark.range(1).select(
         F.concat_ws("\t", F.lit("Sample"), F.array_join(F.sequence(F.lit(1), F.lit(dm["dim"])), "\t")).alias("value")
     )
-    return parse_dense_lines(body.unionByName(header), dm["vec"], dm["dim"]).select("i", "j", "v")
+    return body.unionByName(header)
 
 
-def genotype_text(spark, d):
-    from tessera.sources.text import parse_genotype_lines
+def dense_text(spark, d):
+    from tessera.sources.text import parse_dense_lines
 
     dm = T.dims(spark, d)
+    return parse_dense_lines(_dense_lines(spark, d), dm["vec"], dm["dim"]).select("i", "j", "v")
+
+
+def _genotype_lines(spark, d):
     em = T.table(spark, d, "embeddings", "vec_id", "label", "embedding")
 
     def call(m):
@@ -667,12 +719,40 @@ def genotype_text(spark, d):
         return F.when(miss, code).otherwise(g)
 
     snps = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(T.N_SNPS - 1).cast("long")), call)
-    lines = em.select(F.concat_ws("\t", (F.col("vec_id") + 1).cast("string"), F.array_join(snps, "\t")).alias("value"))
-    t = parse_genotype_lines(lines, dm["vec"], T.N_SNPS, missing="null")
+    return em.select(F.concat_ws("\t", (F.col("vec_id") + 1).cast("string"), F.array_join(snps, "\t")).alias("value"))
+
+
+def genotype_text(spark, d):
+    from tessera.sources.text import parse_genotype_lines
+
+    t = parse_genotype_lines(_genotype_lines(spark, d), T.dims(spark, d)["vec"], T.N_SNPS, missing="null")
     # One line per sample: rows are samples, columns SNPs.
     return t.select(F.col("sample").alias("snp"), F.col("snp").alias("sample"), "g")
 
 
+def _written(lines: DataFrame) -> str:
+    """Lines as text files in the checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(lines.sparkSession).rstrip('/')}/tessera-lines-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+def dense_text_wide(spark, d):
+    """S3 from files, cut between fields instead of lines."""
+    from tessera.sources.text import read_wide_table
+
+    dm = T.dims(spark, d)
+    return read_wide_table(spark, _written(_dense_lines(spark, d)), dm["vec"], dm["dim"])
+
+
+def genotype_text_wide(spark, d):
+    """S4 from files, cut between fields instead of lines."""
+    from tessera.sources.text import read_wide_genotypes
+
+    t = read_wide_genotypes(spark, _written(_genotype_lines(spark, d)), T.dims(spark, d)["vec"], T.N_SNPS, missing="null")
+    return t.select(F.col("sample").alias("snp"), F.col("snp").alias("sample"), "g")
+
+
 # --- S6-S17 layouts and generators -----------------------------------------------
 
 
@@ -788,24 +868,41 @@ def skewed_lines(spark, d):
     return rows.groupBy(F.col("i").alias("line")).agg(F.sum("g").alias("cnt"), F.sum("n").alias("q_nnz"), F.sum("b").alias("out_of_range"))
 
 
+def _spread(draws: DataFrame, lo: float, hi: float, mean: float, variance: float, fourth: float) -> DataFrame:
+    """Whether draws ``x`` look independent and of the given range, mean, variance and fourth central moment: moments and the
+    share above the mean within five standard errors, and as many distinct values as draws."""
+    root = F.sqrt(F.count(F.lit(1)))
+    near = lambda got, want, sd: F.abs(got - F.lit(want)) <= F.lit(5 * sd) / root
+    second = F.avg((F.col("x") - mean) * (F.col("x") - mean))
+    return draws.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("x").alias("distinct_draws"),
+        ((F.min("x") >= lo) & (F.max("x") < hi)).alias("in_range"),
+        near(F.avg("x"), mean, variance**0.5).alias("mean_fits"),
+        near(second, variance, (fourth - variance**2) ** 0.5).alias("variance_fits"),
+        near(F.avg((F.col("x") > mean).cast("double")), 0.5, 0.5).alias("half_above"),
+    )
+
+
 def random_scale(spark, d):
-    """S11 against Q: Q times uniform factors on [1, 2), cell by cell."""
+    """S11 against Q: the factors of Q times uniform draws on [1, 2), cell by cell."""
     from tessera.sources.entries import rand_matrix
 
     q = T.q_matrix(spark, d)
     scaled = J.elementwise_multiply(q, rand_matrix(spark, q.nrows, q.ncols, 1.0, 2.0, seed=3))
     both = scaled.df.join(q.df.select("i", "j", F.col("v").alias("q")), ["i", "j"])
-    return both.select("i", "j", ((F.col("v") >= F.col("q")) & (F.col("v") < 2 * F.col("q"))).alias("in_range"))
+    # A quotient of a rounded product is the draw but for its last digits, which are cut.
+    return _spread(both.select(F.round(F.col("v") / F.col("q"), 12).alias("x")), 1.0, 2.0000001, 1.5, 1 / 12, 1 / 80)
 
 
 def random_noise(spark, d):
-    """S12 against Q: Q plus standard normal noise on every cell has finite noise at every cell of Q."""
+    """S12 against Q: Q plus standard normal noise on every cell, less Q."""
     from tessera.sources.entries import randn_matrix
 
     q = T.q_matrix(spark, d)
     noisy = J.add(q, randn_matrix(spark, q.nrows, q.ncols, seed=5))
     both = noisy.df.join(q.df.select("i", "j", F.col("v").alias("q")), ["i", "j"])
-    return both.select("i", "j", (F.abs(F.col("v") - F.col("q")) < 50).alias("in_range"))
+    return _spread(both.select((F.col("v") - F.col("q")).alias("x")), -50.0, 50.0, 0.0, 1.0, 3.0)
 
 
 def random_mask(spark, d):
@@ -870,6 +967,8 @@ REGISTRY.update(
         "triplets_text": triplets_text,
         "dense_text": dense_text,
         "genotype_text": genotype_text,
+        "dense_text_wide": dense_text_wide,
+        "genotype_text_wide": genotype_text_wide,
         "row_layout": row_layout,
         "column_layout": column_layout,
         "zeros_add": zeros_add,

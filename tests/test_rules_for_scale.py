@@ -71,6 +71,38 @@ def test_ranks_keep_every_group(spark, conf, hot, keys):
             assert got[g, s] == (len(present) + k + 1,) * 2
 
 
+def test_ranged_sums_carry_over_partitions(spark, conf):
+    """Groups over many partitions, groups that end with a partition, struct and text groups, floating point weights."""
+    conf(hot=3)
+    rows = [("a" if k % 3 else None, k % 2, k, (k * 7) % 5, k / 8) for k in range(200)] + [("b", 0, k, 1, 0.5) for k in range(2)] + [("z", None, 0, None, None)]
+    df = spark.createDataFrame(rows, "g STRING, h INT, k LONG, w LONG, x DOUBLE").repartition(5)
+    want, run = {}, {}
+    for g, h, k, w, x in sorted(rows, key=lambda r: r[2]):
+        a, b = run.get((g, h), (0, 0.0))
+        want[g, h, k] = run[g, h] = (a + (w or 0), b + (x or 0.0))
+    by_columns = prefix_sum(prefix_sum(df, ["g", "h"], "k", "w", "c"), ["g", "h"], "k", "x", "d")
+    assert {(r["g"], r["h"], r["k"]): (r["c"], r["d"]) for r in by_columns.collect()} == want
+    packed = df.selectExpr("struct(g, h) AS s", "k", "w")
+    out = prefix_sum(packed, ["s"], "k", "w", "c")
+    assert out.columns == ["s", "k", "w", "c"]
+    assert {(r["s"]["g"], r["s"]["h"], r["k"]): r["c"] for r in out.collect()} == {key: c for key, (c, _) in want.items()}
+
+
+def test_one_group_of_a_million_rows(spark, conf):
+    """A threshold of 100 rows: the work follows the rows, not rows times buckets."""
+    conf(hot=100)
+    n = 1_000_000
+    df = spark.range(n, numPartitions=8).selectExpr("0 AS g", "id * 7919 % 1000003 AS k", "id % 3 AS w", "CAST(id % 50000 AS DOUBLE) AS v")
+    out = prefix_sum(df, ["g"], "k", "w", "c")
+    assert "_bnd" not in plan(out)
+    got = out.agg({"c": "max", "k": "count"}).first()
+    assert (got["max(c)"], got["count(k)"]) == (sum(k % 3 for k in range(n)), n)
+    checked = out.selectExpr("c - w = coalesce(lag(c) OVER (ORDER BY k), 0) AS ok")
+    assert checked.filter("NOT ok").count() == 0
+    r = ranks(df, ["g"], "v", "k").selectExpr("rank_min = v * 20 + 1 AND rank_avg = v * 20 + 10.5 AS ok")
+    assert r.filter("ok").count() == n
+
+
 def test_running_count_with_null_and_hot_groups(spark, conf):
     conf(hot=10)
     rows = [(g, k, k % 2) for k, g in enumerate(GROUPS)]
@@ -177,15 +209,18 @@ def test_incomplete_tables_raise(spark):
             Q.kruskal_wallis(_expression(spark, broken), snps, 2, 2, 4)
 
 
-@pytest.mark.parametrize("tile_cells", [1_000_000, 20, 3])
-def test_missing_pairs_by_tiles_and_rows(spark, tile_cells):
-    """One tile, many tiles and the row plan (fewer cells than samples) agree with a direct count."""
+@pytest.mark.parametrize("tile_cells", [1_000_000, 60, 23, 9, 4, 3])
+@pytest.mark.parametrize("hot", [1_000_000, 10])
+def test_missing_pairs_by_tiles_and_ranges(spark, conf, tile_cells, hot):
+    """One piece a gene, and genes cut by ranges of values (runs of ties longer than a piece among them), agree with a direct count."""
+    conf(hot=hot)
     rng = np.random.default_rng(4)
-    expr = [(g, s, None if rng.random() < 0.2 else float(rng.integers(0, 5))) for g in range(5) for s in range(9)]
-    expr += [(7, s, None) for s in range(9)]
-    geno = [(p, s, None if rng.random() < 0.3 else int(rng.integers(0, 3))) for p in range(6) for s in range(9)]
+    value = lambda g: float(rng.integers(0, 5) if g % 2 else rng.choice([0, 1, 1, 1, 1, 1, 2, 3 + rng.integers(0, 9)]))
+    expr = [(g, s, None if rng.random() < 0.2 else value(g)) for g in range(5) for s in range(23)]
+    expr += [(7, s, None) for s in range(23)] + [(8, s, 1.5) for s in range(23)]
+    geno = [(p, s, None if rng.random() < 0.3 else int(rng.integers(0, 3))) for p in range(6) for s in range(23)]
     out = Q.kruskal_wallis_missing(
-        _expression(spark, expr), spark.createDataFrame(geno, "snp LONG, sample LONG, g INT"), 6, 9, tile_cells=tile_cells
+        _expression(spark, expr), spark.createDataFrame(geno, "snp LONG, sample LONG, g INT"), 6, 23, tile_cells=tile_cells
     )
     import pandas as pd
 
@@ -210,6 +245,63 @@ def test_outer_product_forms_only_stored_pairs(spark, conf):
     assert "Range" not in plan(out) and "Cartesian" not in plan(out)
 
 
+def test_outer_product_follows_entries_not_sizes(spark):
+    n = 10**13
+    x = Vec(spark.createDataFrame([(0, 2.0), (n - 1, 3.0)], "i LONG, v DOUBLE"), n)
+    y = Vec(spark.createDataFrame([(7, 5.0), (n // 2, 1.0)], "i LONG, v DOUBLE"), n)
+    assert sorted(map(tuple, J.outer_product(x, y).df.collect())) == [(0, 7, 10.0), (0, n // 2, 2.0), (n - 1, 7, 15.0), (n - 1, n // 2, 3.0)]
+
+
+def test_outer_product_over_many_blocks(spark, conf, monkeypatch):
+    monkeypatch.setattr(J, "OUTER_BLOCK", 3)
+    x, y = ([(k * 11 + s, float(k + 1)) for k in range(n)] for n, s in ((17, 0), (10, 5)))
+    make = lambda e: Vec(spark.createDataFrame(e, "i LONG, v DOUBLE"), 1000)
+    want = sorted((i, j, a * b) for i, a in x for j, b in y)
+    assert sorted(map(tuple, J.outer_product(make(x), make(y)).df.collect())) == want
+    conf(rows=0)
+    assert sorted(map(tuple, J.outer_product(make(x), make(y)).df.collect())) == want
+    assert J.outer_product(make(x), Vec(make(y).df.filter("false"), 1000)).df.count() == 0
+
+
+def test_union_is_a_bag_and_no_matrix(spark):
+    a = mat_from_dense(spark, np.ones((2, 2)))
+    assert sorted(map(tuple, W.union(a, a).collect())) == sorted([(i, j, 1.0) for i in range(2) for j in range(2)] * 2)
+
+
+@pytest.mark.parametrize("cells", [1 << 18, 12, 1])
+@pytest.mark.parametrize("rows", [None, 0])
+def test_tile_product_equals_numpy(spark, conf, cells, rows):
+    from tessera.plans import tiles
+
+    if rows is not None:
+        conf(rows=rows)
+    rng = np.random.default_rng(2)
+    a, b = ((rng.random(s) < 0.6) * rng.integers(1, 5, s).astype(float) for s in ((5, 11), (4, 11)))
+    side = lambda x: spark.createDataFrame([(int(r), int(k), float(x[r, k])) for r, k in zip(*np.nonzero(x))], "r LONG, k LONG, v DOUBLE")
+    got = np.zeros((5, 4))
+    for r in tiles.product(side(a), side(b), 5, 4, 11, cells).collect():
+        got[r["i"], r["j"]] += r["v"]
+    np.testing.assert_allclose(got, a @ b.T)
+
+
+def test_chain_estimates(spark):
+    """Sizes within a fifth of the truth, and the bracket that multiplies least."""
+    from tessera.plans import chains
+
+    rng = np.random.default_rng(8)
+    mats = [(rng.random(s) < d) * 1.0 for s, d in (((60, 300), 0.05), ((300, 80), 0.03), ((80, 200), 0.05))]
+    sizes = chains.ChainSizes([mat_from_dense(spark, m) for m in mats])
+    for p, q in ((0, 0), (0, 1), (1, 2), (0, 2)):
+        true = np.count_nonzero(np.linalg.multi_dot(mats[p : q + 1]) if q - p > 1 else mats[p] if p == q else mats[p] @ mats[q])
+        assert abs(sizes.nnz(p, q) - true) <= 0.2 * true
+    column = np.zeros((200, 1))
+    column[:20] = 1
+    chain = [mat_from_dense(spark, m) for m in (*mats, column)]
+    product, bracket = chains.chain_estimated(chain)
+    assert bracket == "A(B(CD))"
+    np.testing.assert_allclose(dense(product), np.linalg.multi_dot([*mats, column]))
+
+
 def test_gradient_never_forms_wh(spark):
     """A matrix with one entry: every intermediate has a side of the factors' rank."""
     rng = np.random.default_rng(5)

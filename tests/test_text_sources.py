@@ -1,6 +1,7 @@
 """Text readers (S1-S4) on files written to a fresh temporary folder."""
 
 import numpy as np
+import pytest
 
 from conftest import dense
 from tessera.sources import text as TX
@@ -38,3 +39,48 @@ def test_dense_and_genotypes(spark, tmp_path):
         raise AssertionError("row count check did not fire")
     except ValueError:
         pass
+
+
+@pytest.fixture(params=[64, 1 << 20])
+def byte_ranges(spark, request):
+    """Byte ranges far shorter than a line, and longer than a file."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    spark.conf.set(keys[0], request.param)
+    spark.conf.set(keys[1], 1)
+    spark.conf.set(keys[2], 1)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_wide_lines_equal_short_ones(spark, tmp_path, byte_ranges):
+    rng = np.random.default_rng(1)
+    d = tmp_path / "wide"
+    d.mkdir()
+    for f, (rows, end) in enumerate(((range(0, 5), "\n"), (range(5, 6), ""), (range(6, 40), "\n"))):
+        lines = ["Sample\t" + "\t".join(map(str, range(60)))]
+        lines += ["\t".join([str(r + 1), *("NaN" if x < 0.1 else f"{x:.3f}" for x in rng.random(60))]) for r in rows]
+        lines += ["# comment\tand\tmore", "", "9999\t" + "\t".join(["NA"] * 60)]
+        (d / f"part-{f}.tsv").write_text(("\r\n" if f == 1 else "\n").join(lines) + end)
+    want = sorted(map(tuple, TX.read_dense_table(spark, str(d), 40, 60).collect()), key=str)
+    got = sorted(map(tuple, TX.read_wide_table(spark, str(d), 40, 60).collect()), key=str)
+    assert got == want and len(got) == 2400
+    for rows, cols in ((41, 60), (40, 59)):
+        with pytest.raises(ValueError):
+            TX.read_wide_table(spark, str(d), rows, cols)
+
+
+def test_wide_genotypes(spark, tmp_path, byte_ranges):
+    rng = np.random.default_rng(2)
+    lines = ["Sample\t" + "\t".join(map(str, range(50)))] + ["\t".join([str(r + 1), *rng.choice(["0", "1", "2", "-1", "NaN"], 50)]) for r in range(9)]
+    (tmp_path / "g.tsv").write_text("\n".join(lines) + "\n")
+    for missing in ("zero", "null"):
+        want = sorted(map(tuple, TX.read_genotypes(spark, str(tmp_path / "g.tsv"), 9, 50, missing).collect()), key=str)
+        assert sorted(map(tuple, TX.read_wide_genotypes(spark, str(tmp_path / "g.tsv"), 9, 50, missing).collect()), key=str) == want
+
+
+def test_wide_line_without_an_index_raises(spark, tmp_path):
+    (tmp_path / "d.tsv").write_text("x\t1\t2\n")
+    with pytest.raises(Exception, match="not an index"):
+        TX.read_wide_table(spark, str(tmp_path / "d.tsv"), check=False).collect()
