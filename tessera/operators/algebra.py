@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.core import CONF_HOT_KEY_ROWS, Mat, Vec, canon, conf_int, fits_broadcast, require
+from tessera.core import CONF_HOT_KEY_ROWS, Mat, Vec, canon, conf_int, cut_lineage, fits_broadcast, require
 from tessera.operators.elementwise import transpose
 from tessera.plans.skew import join_by_bound, salted_join
 
@@ -202,8 +202,21 @@ def matmul_stationary(a: Mat, b: Mat, cost: ProductCost | None = None) -> Mat:
     An inner index that a third of all entries share is spread over all places, as its
     entries lie in all row and column blocks.  A hot row of A or column of B is not, so
     ``auto`` leaves such products to the salted join.
+
+    The product is written to the checkpoint folder at once: that a join may use a partitioning
+    on part of its keys is a session setting, which holds for this one plan only.
     """
-    cost = cost or product_counts(a, b)
+    spark, key = a.spark, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return Mat(cut_lineage(stationary_plan(a, b, cost or product_counts(a, b))), a.nrows, b.ncols)
+    finally:
+        spark.conf.set(key, before)
+
+
+def stationary_plan(a: Mat, b: Mat, cost: ProductCost) -> DataFrame:
+    """The plan of :func:`matmul_stationary`: two shuffles, then join and sum in place."""
     rows, cols = cost.grid
     parts = max(1, min(cost.tasks, rows * cols))
     ids = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -212,7 +225,7 @@ def matmul_stationary(a: Mat, b: Mat, cost: ProductCost | None = None) -> Mat:
     # Both sides have one partitioning on (_r, _c), which serves the join and the sum.
     joined = A.repartition(parts, "_r", "_c").join(B.repartition(parts, "_r", "_c"), ["_r", "_c", "k"])
     out = joined.groupBy("_r", "_c", "i", "j").agg(F.sum(F.col("av") * F.col("bv")).alias("v"))
-    return Mat(canon(out.select("i", "j", "v")), a.nrows, b.ncols)
+    return canon(out.select("i", "j", "v"))
 
 
 def gram(a: Mat, strategy: str = "auto") -> Mat:
