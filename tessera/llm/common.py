@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from tessera.core import ensure_checkpoint_dir, ship_package
+from tessera.core import drop_lineage, ensure_checkpoint_dir, ship_package, shuffle_partitions
 
 # Rows that Spark hands to a Python worker at once, and bytes of text that a worker handles at once.
 BATCH_ROWS = 1000
@@ -92,6 +93,18 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind; else these lie on disk until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables in the shared checkpoint folder that cut a plan's lineage.
 
@@ -101,20 +114,27 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, ensure_checkpoint_dir(spark).rstrip("/")
-        self.paths: dict[int, str] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/tessera-llm-{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.parquet(path)
-        self.paths[id(out)] = path
+        out._tessera_path = path
+        return out
+
+    def bucketed(self, df: DataFrame, column: str) -> DataFrame:
+        """As ``cut``, in one bucket a shuffle partition: what is read back is partitioned as by a shuffle on ``column``,
+        so that grouping by it, joining on it and co-grouping move no row.  The catalog's entry goes at once; the files stay."""
+        name = f"tessera_llm_{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}"
+        df.write.format("parquet").option("path", path).bucketBy(shuffle_partitions(self.spark), column).saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        out._tessera_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        if path := self.paths.pop(id(df), None):
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        drop_lineage(df)
 
 
 def is_held_out(id_col: str = "doc_id"):
@@ -122,20 +142,32 @@ def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def hash_share(id_col: str, wanted: int, total: int):
-    """Keeps about ``wanted`` of ``total`` ids, the same ones on any layout; nothing is sorted or gathered."""
+def hash_share(cols: list[str], wanted: int, total: int):
+    """Keeps about ``wanted`` of ``total`` distinct values of ``cols``, the same ones on any layout; nothing is sorted or gathered."""
     steps = 1 << 31
-    return F.pmod(F.xxhash64(id_col), F.lit(steps)) < min(steps, steps * wanted // max(1, total))
+    return F.pmod(F.xxhash64(*cols), F.lit(steps)) < min(steps, steps * wanted // max(1, total))
 
 
-def label_sample(labels: DataFrame, max_rows: int, target: str = "quality") -> DataFrame:
-    """About ``max_rows`` labelled ids outside the held-out fold (all, if there are no more), chosen by hash so that the
-    sample does not depend on the layout.  ``(doc_id, y)``; null ids and labels are left out, repeated ids keep their
-    least label."""
+def labelled_texts(texts: DataFrame, labels: DataFrame, max_rows: int, target: str = "quality") -> DataFrame:
+    """``(doc_id, text_hash, y, text)``: about ``max_rows`` labelled texts outside the held-out fold (all, if there are no
+    more), chosen by the hash of id and text so that the sample does not depend on the layout.
+
+    ``texts``: doc_id, text.  Rows are counted, not ids, so an id with very many rows stays in the bound; equal
+    rows are one example, which the caller sees once for every copy (``distinct_rows``).  Null ids and labels are
+    left out, repeated label ids keep their least label.
+    """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out())
         .groupBy("doc_id")
         .agg(F.min("y").alias("y"))
     )
-    return known.filter(hash_share("doc_id", max_rows, known.count()))
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    pairs = Scratch(texts.sparkSession).cut(hashed.select("doc_id", "text_hash").distinct().join(known, "doc_id"))
+    chosen = pairs.filter(hash_share(["doc_id", "text_hash"], max_rows, pairs.count()))  # bounded, so it may be broadcast
+    return hashed.join(F.broadcast(chosen), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "y", "text")
+
+
+def distinct_rows(rows: DataFrame, values: list[str]) -> DataFrame:
+    """One row for each (doc_id, text_hash, y): copies have the same ``values`` and are dropped before the shuffle."""
+    return rows.groupBy("doc_id", "text_hash", "y").agg(*[F.first(c).alias(c) for c in values])

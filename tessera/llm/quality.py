@@ -5,9 +5,10 @@ tokens, a token equal to its predecessor becomes one fixed token, and an n-gram
 fixed n-gram, so repetition has weights of its own.  A document's value at a weight is its count there times
 ``SCALE / n_grams``, so the score is a sparse dot product that does not grow with the text's length.
 
-Training takes about ``max_rows`` labelled rows at most (chosen by hash, outside the held-out fold), dealt to ``shards`` groups
-by hash.  Each group trains a per-coordinate FTRL-proximal model over ``epochs`` passes in its own task; the model is the
-mean of the groups' weights.
+Training takes about ``max_rows`` labelled rows at most (chosen by the hash of id and text, outside the held-out fold; equal rows
+are one), dealt to ``shards`` groups by hash.  What is dealt are a text's hashed features (at most ``2**bits``), never the text.
+Each group trains a per-coordinate FTRL-proximal model over ``epochs`` passes in its own task; the model is the mean
+of the groups' weights.
 
 Defined cases: null and empty texts have no feature and get the score of the bias; without usable labels every score is
 0.5; repeated rows each get a row; null ids are kept and are not held out.
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, label_sample, limit_batches, map_texts, texts_of
+from .common import distinct_rows, is_held_out, labelled_texts, limit_batches, map_texts, texts_of
 
 BITS = 18
 MAX_ROWS = 16_000
@@ -53,18 +54,22 @@ def dot(weights: np.ndarray, bias: float, index: np.ndarray) -> float:
     return bias + (SCALE * float(weights[index].sum()) / len(index) if len(index) else 0.0)
 
 
+def features(text: bytes | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Weight indices of a text, ascending, and its value at each."""
+    index = gram_indices(text, bits)
+    at, count = np.unique(index, return_counts=True)
+    return at, count * (SCALE / max(1, len(index)))
+
+
 def train(
-    examples: list[tuple[int, bytes]], epochs: int = 3, bits: int = BITS, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5
+    examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 3, bits: int = BITS, alpha: float = 0.2, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5
 ) -> np.ndarray:
-    """FTRL-proximal: per coordinate a sum of adjusted gradients ``z`` and of squares ``n``; the bias is the last weight."""
+    """FTRL-proximal over (label, indices, values): per coordinate a sum of adjusted gradients ``z`` and of squares ``n``; the
+    bias is the last weight."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     weigh = lambda z, n: np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    rows = []
-    for y, text in examples:
-        index = gram_indices(text, bits)
-        at, count = np.unique(index, return_counts=True)
-        rows.append((y, np.append(at, size), np.append(count * (SCALE / max(1, len(index))), 1.0)))
+    rows = [(y, np.append(at, size), np.append(x, 1.0)) for y, at, x in examples]
     for _ in range(epochs):
         for y, at, x in rows:
             w = weigh(z[at], n[at])
@@ -81,21 +86,25 @@ def fit_quality(
 ) -> np.ndarray:
     """Weights (the bias last): the mean of the models of ``shards`` groups of the labelled sample."""
     limit_batches(docs.sparkSession)
-    chosen = F.broadcast(label_sample(labels, max_rows))
-    sample = (
-        texts_of(docs, id_col, text_col)
-        .join(chosen, "doc_id")
-        .select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("doc_id", "text").alias("at"), "y", "text")
-    )
+
+    def hashed(ids, hashes, ys, texts):
+        found = [features(t) for t in texts]
+        return {"doc_id": ids, "text_hash": hashes, "y": ys, "at": [a.astype(np.int32) for a, _ in found], "x": [x for _, x in found]}
+
+    sample = labelled_texts(texts_of(docs, id_col, text_col), labels, max_rows)
+    rows = map_texts(sample, "doc_id long, text_hash long, y int, at array<int>, x array<double>", hashed)
+    rows = distinct_rows(rows.withColumn("f", F.struct("at", "x")), ["f"])
+    order = F.xxhash64("doc_id", "text_hash")
+    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), order.alias("place"), "y", "f.at", "f.x")
 
     def fit(group):
         import pandas as pd
 
-        group = group.sort_values(["at", "y"])
-        w = train([(int(y), None if t is None else bytes(t)) for y, t in zip(group.y, group.text)])
+        group = group.sort_values(["place", "y"])
+        w = train([(int(y), np.asarray(at, np.int64), np.asarray(x, float)) for y, at, x in zip(group.y, group["at"], group.x)])
         return pd.DataFrame({"rows": [len(group)], "w": [w.astype(np.float32).tobytes()]})
 
-    models = sample.groupBy("shard").applyInPandas(fit, "rows long, w binary").collect()
+    models = rows.groupBy("shard").applyInPandas(fit, "rows long, w binary").collect()
     if not models:
         return np.zeros((1 << BITS) + 1)
     models.sort(key=lambda m: bytes(m.w))  # the sum of floats must not depend on the order of tasks

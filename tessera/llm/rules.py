@@ -18,9 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import keep_rows, label_sample, map_texts, texts_of
+from .common import distinct_rows, keep_rows, labelled_texts, map_texts, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\v\f\r"
@@ -190,14 +189,14 @@ def _value(columns, root, x, depth) -> np.ndarray:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Trees:
-    """Trees fitted to the statistics of about ``max_rows`` labelled documents at most."""
-    chosen = F.broadcast(label_sample(labels, max_rows))
-    sample = texts_of(docs, id_col, text_col).join(chosen, "doc_id").select("y", "text")
+    """Trees fitted to the statistics of about ``max_rows`` labelled documents at most; only their features leave the tasks."""
 
-    def measure(ys, texts):
-        return {"y": ys, "x": [statistics(t)[1] for t in texts]}
+    def measure(ids, hashes, ys, texts):
+        return {"doc_id": ids, "text_hash": hashes, "y": ys, "x": [statistics(t)[1] for t in texts]}
 
-    rows = map_texts(sample, "y int, x array<double>", measure).collect()
+    sample = labelled_texts(texts_of(docs, id_col, text_col), labels, max_rows)
+    measured = map_texts(sample, "doc_id long, text_hash long, y int, x array<double>", measure)
+    rows = distinct_rows(measured, ["x"]).select("y", "x").collect()
     rows.sort(key=lambda r: (r.y, r.x))  # the sum of floats must not depend on the order of partitions
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit_trees(x, np.array([r.y for r in rows], float))
