@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -53,22 +54,32 @@ def count_words(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 
 
 def rarest_positions(items: list[list[bytes]], count: dict[bytes, int], window: int) -> dict[bytes, list[tuple[int, int]]]:
-    """For each window the position of its rarest word: word -> (item, position), each pair once."""
+    """For each window the position of its rarest word: word -> (item, position), each pair once.  Of an item's equal windows
+    the first is enough, so an item that repeats itself has few positions."""
     found: dict[bytes, set[tuple[int, int]]] = defaultdict(set)
     for k, words in enumerate(items):
         rank = [(count.get(w, 0), w) for w in words]
+        seen: set[tuple[bytes, ...]] = set()
         for s in range(max(1, len(words) - window + 1) if words else 0):
+            own = tuple(words[s : s + window])
+            if own in seen:
+                continue
+            seen.add(own)
             p = min(range(s, min(len(words), s + window)), key=lambda i: (rank[i], i))
             found[words[p]].add((k, p))
     return {w: sorted(at) for w, at in found.items()}
 
 
 def scan(words: list[bytes], items: list[list[bytes]], index: dict[bytes, list[tuple[int, int]]], window: int):
-    """Runs of document words inside item windows as (first, last), and the items that hit."""
-    runs, hit = [], set()
+    """Maximal runs of document words inside item windows as (first, last), and the items that hit.  What is kept is a mark a
+    word, however many windows cover it."""
+    change, hit = array("q"), set()
     n = len(words)
-    for i in [i for i, w in enumerate(words) if w in index]:
-        for k, p in index[words[i]]:
+    for i, word in enumerate(words):
+        at = index.get(word)
+        if at is None:
+            continue
+        for k, p in at:
             item = items[k]
             size = min(window, len(item))
             left, most = 0, min(i, p, size - 1)
@@ -80,9 +91,16 @@ def scan(words: list[bytes], items: list[list[bytes]], index: dict[bytes, list[t
             while right < most and words[i + right + 1] == item[p + right + 1]:
                 right += 1
             if left + 1 + right >= size:
-                runs.append((i - left, i + right))
+                if not change:
+                    change.extend([0] * (n + 1))
+                change[i - left] += 1
+                change[i + right + 1] -= 1
                 hit.add(k)
-    return runs, hit
+    if not change:
+        return [], hit
+    covered = np.cumsum(np.array(change)) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered[:-1], [False]]).astype(np.int8)))
+    return [(int(a), int(b) - 1) for a, b in zip(edges[0::2], edges[1::2])], hit
 
 
 def hit_words(runs: list[tuple[int, int]], n: int) -> int:

@@ -5,7 +5,8 @@ Fingerprints are distinct before anything is joined, so exact copies cost one ro
 of the 15 cells of a pair of blocks.  A cell of more than ``CELL`` fingerprints is cut into chunks and every pair of chunks
 becomes a cell of its own.  Within a cell the sorted fingerprints are a binary trie: pairs of nodes are walked together
 bit by bit, the differing bits add up, and a pair is dropped as soon as it has more than ``BITS``.  All cells of a slice of
-rows are walked at once in numpy.  A slice gives the links of a spanning forest of what it found, never all pairs.
+rows are walked at once in numpy.  Found pairs are folded into a spanning forest as they come, so a slice holds a bounded number
+of pairs and gives the links of the forest, never all pairs.
 
 Components come from alternating large-star and small-star steps on the links, each cut to the shared folder.
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed, limit_batches, map_texts, texts_of
+from .common import Scratch, limit_batches, map_texts, texts_of
 
 SHINGLE = 4
 BITS = 4
@@ -69,9 +70,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(texts_of(docs, id_col, text_col), "doc_id long, fp long", compute)
 
 
-def trie_pairs(cell: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one cell that differ in at most ``bits`` bits.  Rows are sorted by cell, then by fingerprint
-    (unsigned); the rows of a cell are distinct.
+def trie_pairs(cell: np.ndarray, fp: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell that differ in at most ``bits`` bits, at most ``FRONTIER`` at a time.  Rows are sorted by
+    cell, then by fingerprint (unsigned); the rows of a cell are distinct.
 
     A trie node is a range of rows.  A pair of nodes splits at the next bit into up to four pairs of children; the two
     that take different bits carry one more differing bit.
@@ -87,7 +88,6 @@ def trie_pairs(cell: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.n
             ones[depth] = np.concatenate([[0], np.cumsum((fp >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
         return ones[depth]
 
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     zero = np.zeros(len(starts), np.int64)
     stack = [(0, starts, ends, starts, ends, zero)] if len(starts) else []
     while stack:
@@ -101,7 +101,8 @@ def trie_pairs(cell: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.n
             i, j = a0[single], b0[single]
             i, j = i[i != j], j[i != j]
             near = np.bitwise_count(fp[i] ^ fp[j]) <= bits
-            found.append((i[near], j[near]))
+            if near.any():
+                yield i[near], j[near]
             a0, a1, b0, b1, diff = (x[~single] for x in (a0, a1, b0, b1, diff))
         if not len(a0) or depth == 64:
             continue
@@ -118,14 +119,11 @@ def trie_pairs(cell: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.n
         merged = [np.concatenate([c[k][ok] for c, ok in zip(children, kept)]) for k in range(5)]
         if len(merged[0]):
             stack.append((depth + 1, *merged))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node that each node is connected to."""
-    label = np.arange(nodes)
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each node is connected to, by the links ``a``-``b`` and by those that ``label`` already tells."""
+    a, b = label[a], label[b]
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -135,6 +133,9 @@ def forest(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (new == label).all():
             return label
         label = new
+        a, b = label[a], label[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
 
 
 def links(distinct: DataFrame, bits: int = BITS, cell_rows: int = CELL) -> DataFrame:
@@ -156,9 +157,15 @@ def links(distinct: DataFrame, bits: int = BITS, cell_rows: int = CELL) -> DataF
 
     def find(cell: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
         fp = rank.view(np.uint64) ^ np.uint64(1 << 63)  # in unsigned order, as the rows are
-        i, j = trie_pairs(cell, fp, bits)
         u, back = np.unique(fp, return_inverse=True)
-        root = forest(len(u), back[i], back[j])
+        root = np.arange(len(u))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in trie_pairs(cell, fp, bits):
+            held.append((back[i], back[j]))
+            if sum(len(x) for x, _ in held) >= FRONTIER:
+                root, held = forest(root, *map(np.concatenate, zip(*held))), []
+        if held:
+            root = forest(root, *map(np.concatenate, zip(*held)))
         at = np.flatnonzero(root != np.arange(len(u)))
         return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(u[root[at]].view(np.int64))], names=["u", "v"])
 
@@ -194,7 +201,9 @@ def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter("u != v").distinct()
+    new = scratch.cut(out.filter("u != v").distinct())
+    scratch.drop(least)
+    return new
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,15 +213,23 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch.cut(edges.select("u", "v").distinct())
     mark = now.agg(state).first()[0]
     while mark.n:
-        new = scratch.cut(_star(scratch.cut(_star(now, True, scratch)), False, scratch))
+        half = _star(now, True, scratch)
+        new = _star(half, False, scratch)
         after = new.agg(state).first()[0]
         scratch.drop(now)
+        scratch.drop(half)
         now, before, mark = new, mark, after
         if before == mark:
             break
     return now.select("u", F.col("v").alias("root"))
 
 
+def _placed(distinct: DataFrame, bits: int, cell_rows: int) -> DataFrame:
+    """``distinct`` with ``root``, the name of each fingerprint's component."""
+    roots = components(links(distinct.select("fp"), bits, cell_rows))
+    return distinct.join(roots, distinct.fp == roots.u, "left").withColumn("root", F.coalesce("root", "fp")).drop("u")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, cell_rows: int = CELL
 ) -> DataFrame:
@@ -220,8 +237,7 @@ def near_duplicates(
     scratch = Scratch(docs.sparkSession)
     marked = scratch.cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"), bits, cell_rows))
-    placed = distinct.join(roots, distinct.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(distinct, bits, cell_rows)
     # Written, so that the join can split a component of very many fingerprints (see _star).
     named = scratch.cut(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = placed.join(named, "root").select("fp", "component_id")
@@ -229,7 +245,21 @@ def near_duplicates(
     return marked.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def filter_rows(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that of its least id, with all columns; rows of a null id are kept."""
-    later = near_duplicates(docs, **options).filter("doc_id != component_id").select(F.col("doc_id").alias("later_id")).distinct()
-    return keyed(docs).join(later, F.col("key_id") == F.col("later_id"), "left_anti").select("row.*")
+def filter_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, cell_rows: int = CELL
+) -> DataFrame:
+    """One row of each component, with all its columns: that of the least id (nulls last), among those of one id that of the
+    least text hash, among equal rows the first written.  Every row is judged by its own text, so an id may
+    lose one of its rows and keep another."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.cut(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")))
+    own = rows.select(F.col(f"row.`{id_col}`").cast("long").alias("id"), F.col(f"row.`{text_col}`").cast("string").cast("binary").alias("text"), "n")
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", F.xxhash64("text").alias("hash"), "n").alias("best")
+
+    def mark(best, texts):
+        return {"best": best, "fp": [signed(fingerprint(t, shingle)) for t in texts]}
+
+    marked = map_texts(own.select(order, "text"), "best struct<nameless: boolean, id: long, hash: long, n: long>, fp long", mark)
+    first = scratch.cut(marked.groupBy("fp").agg(F.min("best").alias("best")))
+    kept = _placed(first, bits, cell_rows).groupBy("root").agg(F.min("best").alias("best")).select("best.n")
+    return rows.join(kept, "n", "left_semi").select("row.*")

@@ -130,11 +130,16 @@ def test_links_connect_what_all_pairs_connect(spark, cell_rows):
     assert groups(labels) == groups(want)
 
 
+def all_pairs(cell, fps, bits=4):
+    found = list(simhash.trie_pairs(cell, fps, bits))
+    return [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, int)] * 2
+
+
 def test_trie_pairs_match_all_pairs():
     fps = np.array(close_fingerprints(250, 3), np.uint64)
     cell = np.repeat([0, 1], [150, 100])[: len(fps)]
     cell = np.pad(cell, (0, len(fps) - len(cell)), constant_values=1)
-    a, b = simhash.trie_pairs(cell, fps, 4)
+    a, b = all_pairs(cell, fps)
     want = {
         (i, j)
         for i, j in itertools.combinations(range(len(fps)), 2)
@@ -146,9 +151,21 @@ def test_trie_pairs_match_all_pairs():
 
 def test_trie_frontier_is_bounded(monkeypatch):
     fps = np.array(close_fingerprints(200, 4), np.uint64)
-    want = sorted(zip(*(x.tolist() for x in simhash.trie_pairs(np.zeros(len(fps), int), fps))))
+    want = sorted(zip(*(x.tolist() for x in all_pairs(np.zeros(len(fps), int), fps))))
     monkeypatch.setattr(simhash, "FRONTIER", 16)
-    assert sorted(zip(*(x.tolist() for x in simhash.trie_pairs(np.zeros(len(fps), int), fps)))) == want
+    assert sorted(zip(*(x.tolist() for x in all_pairs(np.zeros(len(fps), int), fps)))) == want
+
+
+def test_dense_cell_is_folded(monkeypatch):
+    """4,048 fingerprints near one another, a million pairs and more: a task folds them a bounded number at a time."""
+    monkeypatch.setattr(simhash, "FRONTIER", 1 << 14)
+    low = [sum(1 << b for b in c) for n in range(4) for c in itertools.combinations(range(29), n)]
+    fps = np.sort(np.array(low, np.uint64))
+    label, pairs, most = np.arange(len(fps)), 0, 0
+    for i, j in simhash.trie_pairs(np.zeros(len(fps), int), fps):
+        label = simhash.forest(label, i, j)
+        pairs, most = pairs + len(i), max(most, len(i))
+    assert pairs > 10**6 and most <= 1 << 14 and not label.any()
 
 
 def test_components_of_a_long_chain(spark):
@@ -276,6 +293,21 @@ def test_contamination_on_table(spark):
     assert any(r[5] for r in want)
 
 
+def test_repetitive_texts_stay_small():
+    """A word repeated a million times against items that repeat it: one look-up an item, one run."""
+    items = [decontam.words_of(b"the " * 200), decontam.words_of(b"the a " * 100)]
+    index = decontam.rarest_positions(items, {}, 13)
+    assert sum(map(len, index.values())) <= 4
+    assert decontam.scan(decontam.words_of(b"the " * 1_000_000), items, index, 13) == ([(0, 999_999)], {0})
+
+
+def test_contamination_of_repetitive_items(spark):
+    items = [(1, "a b " * 20), (2, "a " * 30), (3, "a b c " * 7 + "d " * 20), (4, "b a " * 6 + "b")]
+    rows = [(k, t) for k, t in enumerate(["a b " * 7, "b a " * 7, "a " * 12, "a " * 13, "x " + "a b c " * 5, "d " * 40, "c d d d d d d d d d d d d", "a b " * 6 + "a c", ""])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert got(decontam.decontaminate(H.frame(spark, rows), table), *COLUMNS) == H.sorted_rows(H.brute_contamination(rows, items))
+
+
 def test_contamination_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     rows = [(1, "a b"), (2, None)]

@@ -188,10 +188,42 @@ def test_stages_on_odd_tables(spark, tmp_path):
             docs = out
 
 
-def test_simhash_filter_keeps_one_of_each_group(spark):
-    rows = [(3, H.passage(1, 80)), (1, H.passage(1, 80)), (2, H.passage(2, 80)), (None, H.passage(2, 80))]
-    out = simhash.filter_rows(H.frame(spark, rows)).collect()
-    assert H.sorted_rows((r.doc_id,) for r in out) == [(1,), (2,), (None,)]
+A, B, C = H.passage(1, 80), H.passage(2, 80), H.passage(3, 80)
+
+
+@pytest.mark.parametrize(
+    "rows, want",
+    [
+        ([(3, A), (1, A), (2, B), (None, B)], [(1, A), (2, B)]),
+        ([(1, A), (2, A), (2, B)], [(1, A), (2, B)]),  # an id with two texts keeps the clean one
+        ([(1, A), (1, A), (1, A)], [(1, A)]),  # equal rows are copies
+        ([(None, A), (None, A), (None, C), (5, B)], [(5, B), (None, A), (None, C)]),
+        ([(None, None), (None, ""), (4, None)], [(4, None)]),  # texts without words are one group
+    ],
+)
+def test_simhash_filter_keeps_one_row_of_each_group(spark, rows, want):
+    for parts in (1, 3):
+        df = H.frame(spark, rows).repartition(parts)
+        out = simhash.filter_rows(df)
+        assert out.schema == df.schema
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_with_repeated_ids(spark, tmp_path):
+    """Ids that occur with several texts and rows that are null or equal: every clean text reaches the sequences once."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, A), (2, A), (2, B), (None, C), (None, C), (7, A)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(d, t, "en", "web", len(t)) for d, t in rows], names).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted({str(r.doc_id) for r in out}) == ["1", "2", "None"]
+    from tokenizers import Tokenizer
+
+    size = {t: len(ids_of(Tokenizer.from_file(tokens.default_path()), t)) + 1 for t in (A, B, C)}
+    assert sum(r.length for r in out) == sum(size.values())
 
 
 def test_spans_do_not_change_untouched_texts():
