@@ -1,17 +1,19 @@
 """URL filters: host word segmentation by unigram Viterbi, then multinomial naive Bayes over host and path tokens.
 
-* The unigram model counts the words of the page texts over all pages; a host label such as ``freebets`` is split into
-  the words whose product of probabilities is greatest (characters that no word covers cost a fixed penalty each).
+* The unigram model counts the words (two letters or more, of any length) of the page texts over all pages; a host label
+  such as ``freebets`` is split into the words whose product of probabilities is greatest (characters that no word
+  covers cost a fixed penalty each).
 * The naive Bayes classes come from weak labels: a host with a segmented word of ``SEED_WORDS`` is an example of
-  ``block``, every other host of ``allow``.  Token counts are summed over all pages, so words that keep company with the
-  seeds (``farm``, ``win``, ``cheap``) count against a host without a seed.
+  ``block``, every other host of ``allow``.  The seed words of the host that they label are hidden from that example, so the
+  model learns the words that keep company with seeds (``farm``, ``win``, ``cheap``) and a host is judged by those.
+  Token counts are summed over all pages; the score is the prior log odds of the classes plus those of the tokens.
 * Allow and block rules come first; the longest rule that fits decides.
 
 Both models keep every count as a table.  The distinct URLs' stretches of letters, then their tokens, are joined with the counts,
-so a task holds only what its own URLs need.
+so a task holds only what its own URLs need; a word or token that many URLs have is spread over parts by its count.
 
-Defined cases: a null URL or one without ``://`` has an empty host and path and no token, so the prior decides (allow);
-an empty table gives an empty result; repeated rows each get a row.
+Defined cases: a null URL or one without ``://`` has an empty host and path and no token; a URL without a known token is allowed,
+its score is the prior; an empty table gives an empty result; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +45,13 @@ SEED_WORDS = frozenset(
     "pharmacy ads adserver tracker track malware phishing warez crack torrent loan payday".split()
 )
 
-SHORTEST, LONGEST = 2, 24  # letters of a word of the unigram model
+SHORTEST = 2  # letters of a word of the unigram model
 PIECE = 1000  # letters whose stretches are gathered at once
 FLUSH = 100_000  # stretches sent at once
-SALTS = 16  # parts of a word or token that very many URLs have
+HOT_URLS = 100_000  # a word or token of more URLs is joined in parts
+MOST_HOT = 10_000  # so many of them at most: the bound rises with the number of rows
 UNKNOWN_COST = 12.0  # natural log units per character that no word covers
-_RUN = re.compile(r"[a-z]+")
+_RUN = regex.compile(r"\p{L}+")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -125,26 +129,13 @@ def page_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``(word, n)``: words of two or more letters in the page texts, counted over all pages."""
     text = F.lower(F.regexp_replace(F.col(html_col), r"<[^>]*>", " "))
     return (
-        pages.select(F.explode(F.split(text, "[^a-z]+")).alias("word"))
-        .filter(F.length("word").between(SHORTEST, LONGEST))
+        pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word"))
+        .filter(F.length("word") >= SHORTEST)
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def most_frequent(counted: DataFrame, wanted: int) -> DataFrame:
-    """Rows of ``counted`` whose ``n`` reaches a bound that at most ``wanted`` rows reach.  The bound comes from a histogram
-    of the logarithms of ``n``, so neither the driver nor a task sees more than ``wanted`` rows or sorts all."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    left, bound = wanted, None
-    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r.step):
-        left -= r.rows
-        if left < 0:
-            break
-        bound = r.step
-    return counted.filter(step >= bound) if bound is not None else counted.limit(0)
-
-
 def unigrams(words: DataFrame) -> tuple[DataFrame, int]:
     """``(word, n)`` with a least count for the seed words, and the sum of all counts.  ``words``: see ``page_words``."""
     total = words.agg(F.sum("n")).first()[0] or 0
@@ -158,8 +149,8 @@ def url_key(url: str):
     return F.unhex(F.md5(F.col(url).cast("binary")))
 
 
-def candidates(urls: DataFrame) -> DataFrame:
-    """``(key, word)``: the stretches of letters of each URL that may be words.  ``urls``: key, url."""
+def candidates(urls: DataFrame, lengths: list[int]) -> DataFrame:
+    """``(key, word)``: the stretches of letters of each URL that have the length of a word.  ``urls``: key, url."""
     limit_batches(urls.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,17 +158,16 @@ def candidates(urls: DataFrame) -> DataFrame:
         for batch in batches:
             for key, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for letters in set(runs_of(*split_url(url))):
-                    for lo in range(0, len(letters), PIECE):
-                        found = {
-                            letters[a:b]
-                            for a in range(lo, min(lo + PIECE, len(letters)))
-                            for b in range(a + SHORTEST, min(a + LONGEST, len(letters)) + 1)
-                        }
-                        words += found
-                        keys += [key] * len(found)
-                        if len(words) >= FLUSH:
-                            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words)], names=["key", "word"])
-                            keys, words = [], []
+                    for size in lengths:
+                        if size > len(letters):
+                            break
+                        for lo in range(0, len(letters) - size + 1, PIECE):
+                            found = {letters[a : a + size] for a in range(lo, min(lo + PIECE, len(letters) - size + 1))}
+                            words += found
+                            keys += [key] * len(found)
+                            if len(words) >= FLUSH:
+                                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words)], names=["key", "word"])
+                                keys, words = [], []
         if words:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words)], names=["key", "word"])
 
@@ -185,42 +175,51 @@ def candidates(urls: DataFrame) -> DataFrame:
 
 
 def look_up(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """``rows`` (key, ...) joined with ``table`` on ``name``; a name that very many rows have is spread over ``SALTS`` parts."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    return rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [name, "salt"]).drop("salt")
+    """``rows`` (key, ...) joined with ``table`` on ``name``; ``table`` has each name once and, as ``urls``, the rows that
+    ask for it.  A name with very many is cut into parts in proportion, so no task gets all of them."""
+    total = table.agg(F.sum("urls")).first()[0] or 0
+    most = max(HOT_URLS, math.ceil(total / MOST_HOT))
+    parts = F.ceil(F.col("urls") / most).cast("int")
+    hot = F.broadcast(table.filter(F.col("urls") > most).select(name, parts.alias("parts")))  # at most MOST_HOT rows
+    salt = F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt")
+    salted = rows.join(hot, name, "left").select(*rows.columns, salt)
+    return salted.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("urls"), [name, "salt"]).drop("salt")
 
 
 def url_tokens(urls: DataFrame, pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(key, n, block, tokens)`` per row of ``urls`` (key, url, n): its tokens by the unigram model of all page words, and
-    whether a seed word labels its host."""
+    """``(key, n, block, tokens, learned)`` per row of ``urls`` (key, url, n): its tokens by the unigram model of all page words,
+    whether a seed word labels its host, and the tokens without the seed words that do."""
     words = scratch.cut(page_words(pages))
     model, total = unigrams(words)
-    wanted = candidates(urls)
-    needed = scratch.cut(model.join(wanted.select("word").distinct(), "word"))
+    longest = urls.agg(F.max(F.length("url"))).first()[0] or 0
+    sizes = model.select(F.length("word").alias("size")).distinct().filter(F.col("size") <= longest)
+    wanted = candidates(urls, sorted(r["size"] for r in sizes.collect()))  # no more sizes than a URL has letters
+    needed = scratch.cut(model.join(wanted.groupBy("word").agg(F.count(F.lit(1)).alias("urls")), "word"))
     costs = look_up(wanted, needed, "word").groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("words"))
 
     def cut(keys, urls, n, words):
-        tokens, block = [], []
+        out: dict[str, list] = {"key": keys, "n": n, "block": [], "tokens": [], "learned": []}
         for url, found in zip(urls, words):
             model = Segmenter({w["word"]: w["n"] for w in found or []}, total)
             host, path = split_url(url)
-            in_host = model.host(host) if host else []
-            tokens.append(in_host + model.path(path))
-            block.append(not SEED_WORDS.isdisjoint(in_host))
-        return {"key": keys, "n": n, "block": block, "tokens": tokens}
+            in_host, in_path = model.host(host) if host else [], model.path(path)
+            out["block"].append(not SEED_WORDS.isdisjoint(in_host))
+            out["tokens"].append(in_host + in_path)
+            out["learned"].append([w for w in in_host if w not in SEED_WORDS] + in_path)
+        return out
 
     rows = urls.join(costs, "key", "left").select("key", "url", "n", "words")
-    out = scratch.cut(map_texts(rows, "key binary, n long, block boolean, tokens array<string>", cut, "url"))
+    out = scratch.cut(map_texts(rows, "key binary, n long, block boolean, tokens array<string>, learned array<string>", cut, "url"))
     scratch.drop(words)
     scratch.drop(needed)
     return out
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
-    """``(token, allow, block)``: how often each token is in URLs weakly labelled so, over all pages."""
+    """``(token, allow, block, urls)``: how often each token is in URLs weakly labelled so, over all pages; and in how many rows."""
     n = lambda block: F.sum(F.when(F.col("block") == block, F.col("n")).otherwise(0))
-    each = tokens.select("n", "block", F.explode("tokens").alias("token"))
-    return each.groupBy("token").agg(n(False).alias("allow"), n(True).alias("block"))
+    each = tokens.select("n", "block", F.explode("learned").alias("token"))
+    return each.groupBy("token").agg(n(False).alias("allow"), n(True).alias("block"), F.count(F.lit(1)).alias("urls"))
 
 
 def log_odds(allow: int, block: int, all_allow: int, all_block: int, tokens: int) -> float:
@@ -231,7 +230,7 @@ def log_odds(allow: int, block: int, all_allow: int, all_block: int, tokens: int
 def judge_urls(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] | None = None
 ) -> DataFrame:
-    """Per page: ``page_id, host, path, rule, verdict, score`` (score: log odds of block, null if a rule decides)."""
+    """Per page: ``page_id, host, path, rule, verdict, score`` (score: log odds of block, prior included; null if a rule decides)."""
     rules = RULES if rules is None else rules
     scratch = Scratch(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
@@ -241,6 +240,8 @@ def judge_urls(
     counted = scratch.cut(token_counts(tokens))
     sums = counted.agg(F.sum("allow"), F.sum("block"), F.count(F.lit(1))).first()
     totals = (sums[0] or 0, sums[1] or 0, sums[2])
+    classes = {r.block: r.n for r in tokens.groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    prior = math.log((classes.get(True, 0) + 1) / (classes.get(False, 0) + 1))
     each = look_up(tokens.select("key", F.explode("tokens").alias("token")), counted, "token")
     # One row of counts per token of the URL; their sum does not depend on the order.
     weighed = scratch.cut(each.groupBy("key").agg(F.collect_list(F.struct("allow", "block")).alias("counts")))
@@ -252,8 +253,8 @@ def judge_urls(
             rule = rule_for(host, path, rules)
             score = None
             if rule is None:
-                score = math.fsum(log_odds(c["allow"], c["block"], *totals) for c in found or [])
-            verdict = rules[rule] if rule else "block" if score > 0 else "allow"
+                score = math.fsum([prior, *(log_odds(c["allow"], c["block"], *totals) for c in found or [])])
+            verdict = rules[rule] if rule else "block" if found and score > 0 else "allow"
             rows.append((page_id, host, path, rule, verdict, score))
         names = ("page_id", "host", "path", "rule", "verdict", "score")
         return {n: [r[k] for r in rows] for k, n in enumerate(names)}
