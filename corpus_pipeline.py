@@ -4,8 +4,8 @@
 return the columns of ``documents``.  ``run`` writes each stage as Parquet in the shared checkpoint folder and reads it back
 for the next, so a lost executor never costs more than one stage.
 
-Rows are judged by their own text, so null ids and repeated rows pass like any other; near-duplicate removal keeps rows
-of a null id (no component can name them) and keeps or drops the rows of one id together.
+Rows are judged by their own text, not by their id: an id with several texts may lose one and keep another, rows of a null id
+are treated like any other, and of equal rows near-duplicate removal keeps one.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that of its least id."""
+    """One row of each component: that of its least id."""
     return simhash.filter_rows(docs)
 
 
