@@ -9,7 +9,8 @@ excluded from the counts of the shorter one.  What no context has is uniform ove
 All steps are distributed, and nothing that grows with the corpus is broadcast or reaches the driver:
 
 * Documents are written in *slices* of at most ``slice_bytes`` (a longer text is a slice of its own).  One pass sends every
-  slice's distinct windows (context and symbol as one integer) and words with their counts in training documents.
+  slice's distinct windows (context and symbol as one integer) and words with their counts in training documents; they
+  are shuffled once, to a bucketed table, which is summed and joined in place.
 * Summed, these are the deepest level of the trie and the word counts; each shorter level is a sum over the one below.  A
   context has at most 256 symbols and at most 256 contexts one byte longer, so no join or group of the model has a hot key.
 * A window that training text has costs its count against its context's.  The others, met in held-out text only, walk up
@@ -28,14 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, limit_batches, texts_of
+from tessera.core import shuffle_partitions
+
+from .common import Scratch, limit_batches, shuffles_dropped, texts_of
 
 ORDER = 5  # bytes of context; a window of one byte more has to fit 63 bits
-SLICE_BYTES = 32 << 20
-PIECE_BYTES = 4 << 20  # handled at once
+SLICE_BYTES = 16 << 20
+PIECE_BYTES = 1 << 20  # whose windows are handled at once
+WORDS_BYTES = 4 << 20  # whose words are
 MOST_KEYS = 2_000_000  # distinct windows that a worker gathers before it sends them
 MOST_WORDS = 300_000
 SENT_ROWS = 100_000
@@ -104,10 +109,11 @@ def sliced(docs: DataFrame, id_col: str, text_col: str, slice_bytes: int) -> Dat
 
 
 def gathered(slices: DataFrame, order: int) -> DataFrame:
-    """``(slice, key, word, n)``: each slice's distinct windows (``key``) and words (``word``, ``END`` for a text's end), with their
-    occurrences in training documents.  A slice in two tasks, or with very many of either, sends some of them twice."""
+    """``(slice, word, key, n)``: each slice's distinct windows (``word`` null, ``key`` the window) and words (``END`` for a text's
+    end; ``key`` a hash), with their occurrences in training documents.  A slice in two tasks, or with very many of either,
+    sends some of them twice."""
     limit_batches(slices.sparkSession)
-    schema = pa.schema([("slice", pa.int64()), ("key", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+    schema = pa.schema([("slice", pa.int64()), ("word", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, keys, counts = None, np.empty(0, np.int64), np.empty(0, np.int64)
@@ -117,14 +123,14 @@ def gathered(slices: DataFrame, order: int) -> DataFrame:
             nonlocal keys, counts
             for a in range(0, len(keys), SENT_ROWS):
                 k, n = pa.array(keys[a : a + SENT_ROWS]), pa.array(counts[a : a + SENT_ROWS])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), name)), k, pa.nulls(len(k), pa.binary()), n], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), name)), pa.nulls(len(k), pa.binary()), k, n], schema=schema)
             keys = counts = np.empty(0, np.int64)
 
         def send_words() -> Iterator[pa.RecordBatch]:
             found = list(words.items())
             for a in range(0, len(found), SENT_ROWS):
                 w, n = zip(*found[a : a + SENT_ROWS])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), name)), pa.nulls(len(w), pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), name)), pa.array(w, pa.binary()), pa.nulls(len(w), pa.int64()), pa.array(n, pa.int64())], schema=schema)
             words.clear()
 
         for batch in batches:
@@ -134,7 +140,7 @@ def gathered(slices: DataFrame, order: int) -> DataFrame:
                     yield from send_words()
                     name = now
                 for texts, learned in ((held, 0), (texts, 1)):
-                    for lo, hi in _bounds(texts):
+                    for lo, hi in _bounds(list(map(len, texts)), PIECE_BYTES):
                         k, n = _distinct(windows(texts[lo:hi], order)[0])
                         keys, counts = _merged(keys, counts, k, n * learned)
                         if len(keys) > MOST_KEYS:
@@ -150,7 +156,8 @@ def gathered(slices: DataFrame, order: int) -> DataFrame:
         yield from send_keys()
         yield from send_words()
 
-    return slices.select("slice", "held_out", "text").mapInArrow(run, "slice long, key long, word binary, n long")
+    found = slices.select("slice", "held_out", "text").mapInArrow(run, "slice long, word binary, key long, n long")
+    return found.withColumn("key", F.coalesce("key", F.xxhash64("word")))
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
@@ -162,15 +169,15 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[byte
             part = batch.slice(a, b - a)
             held = part.column(1)
             texts = part.column(2)
-            yield int(names[a]), texts.filter(held).to_pylist(), texts.filter(pa.compute.invert(held)).to_pylist()
+            yield int(names[a]), texts.filter(held).to_pylist(), texts.filter(pc.invert(held)).to_pylist()
 
 
-def _bounds(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``PIECE_BYTES``."""
+def _bounds(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes."""
     size, lo = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= PIECE_BYTES or k + 1 == len(texts):
+    for k, n in enumerate(sizes):
+        size += n + 1
+        if size >= most or k + 1 == len(sizes):
             yield lo, k + 1
             size, lo = 0, k + 1
 
@@ -252,39 +259,49 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document row: ``RESULT``."""
     if not 1 <= order <= 6:
         raise ValueError("a window of order + 1 bytes has to fit a long")
-    scratch = Scratch(docs.sparkSession)
-    slices = scratch.cut(sliced(docs, id_col, text_col, slice_bytes))
-    sent = scratch.cut(gathered(slices, order))
-    key_rows, word_rows = sent.filter("key is not null"), sent.filter("word is not null")
-    counted = scratch.cut(key_rows.groupBy("key").agg(F.sum("n").alias("c")))
-    word_counts = scratch.cut(word_rows.groupBy("word").agg(F.sum("n").alias("c")))
-    total = word_counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    with shuffles_dropped(spark):
+        slices = scratch.bucketed(sliced(docs, id_col, text_col, slice_bytes), "slice")
+        sent = scratch.bucketed(gathered(slices, order).repartition(shuffle_partitions(spark), "key"), "key")
+        key_rows, word_rows = sent.filter("word is null"), sent.filter("word is not null")
+        counted = scratch.cut(key_rows.groupBy("key").agg(F.sum("n").alias("c")))
+        words = word_rows.groupBy("key", "word").agg(F.sum("n").alias("c"))
+        total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+        cost = scratch.cut(code_lengths(counted, order, scratch))
     train_tokens, base_total = total.n, np.log10(total.n + total.v + 1)
 
-    costs = key_rows.select("slice", "key").join(code_lengths(counted, order, scratch), "key")
-    words = word_rows.select("slice", "word").join(word_counts, "word")
-    answers = costs.select("slice", "key", F.lit(None).cast("binary").alias("word"), "cost").unionByName(
-        words.select("slice", F.lit(None).cast("long").alias("key"), "word", F.col("c").cast("double").alias("cost"))
+    known = F.sum("n").over(Window.partitionBy("key", "word"))  # a slice has a word once or a few times
+    hashed = word_rows.select("slice", "word", known.cast("double").alias("cost")).withColumn("key", F.lit(None).cast("long"))
+    answers = hashed.unionByName(
+        key_rows.select("slice", "word", "key").join(cost, "key").select("slice", "word", "key", "cost")
     )
 
     def score(texts: pa.Table, told: pa.Table) -> pa.Table:
-        is_key = told.column("key").is_valid()
-        keys, cost = (told.filter(is_key).column(c).to_numpy() for c in ("key", "cost"))
-        first = np.unique(keys, return_index=True)[1]
-        model = Costs(keys[first], cost[first])
-        rest = told.filter(pa.compute.invert(is_key))
-        count = dict(zip(rest.column("word").to_pylist(), rest.column("cost").to_pylist()))
+        is_word = told.column("word").is_valid()
+        asked, rest = told.filter(pc.invert(is_word)), told.filter(is_word)
+        del told
+        keys, first = np.unique(asked.column("key").to_numpy(), return_index=True)
+        model = Costs(keys, asked.column("cost").to_numpy()[first])
+        vocabulary, count = rest.column("word").combine_chunks(), rest.column("cost").to_numpy()
+        del asked, rest
         out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        rows = texts.column("text").to_pylist()
-        for lo, hi in _bounds(rows):
-            at, start = windows(rows[lo:hi], order)
-            out["score"] += np.add.reduceat(model[at], start).tolist()
-        for t in rows:
-            c = np.array([count[w] for w in t.split()] + [count[END]])
-            out["n_tokens"].append(len(c))
-            out["n_known"].append(int((c > 0).sum()))
-            out["base_score"].append(float(np.log10(c + 1).sum() - len(c) * base_total))
-        columns = {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **out, "train_tokens": pa.array([train_tokens] * len(rows), pa.int64())}
+        for lo, hi in _bounds(pc.binary_length(texts.column("text")).to_pylist(), WORDS_BYTES):
+            rows = texts.column("text").slice(lo, hi - lo).to_pylist()
+            for c, d in _bounds(list(map(len, rows)), PIECE_BYTES):
+                at, start = windows(rows[c:d], order)
+                out["score"] += np.add.reduceat(model[at], start).tolist()
+                del at
+            own = [[*t.split(), END] for t in rows]
+            first = np.cumsum([0, *map(len, own[:-1])])
+            c = count[pc.index_in(pa.array([w for x in own for w in x], pa.binary()), value_set=vocabulary).to_numpy()]
+            out["n_tokens"] += map(len, own)
+            out["n_known"] += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
+            logs = np.log10(c + 1)
+            out["base_score"] += [float(x - len(w) * base_total) for x, w in zip(np.add.reduceat(logs, first), own)]
+        rows = texts.num_rows
+        pa.default_memory_pool().release_unused()
+        columns = {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), **out, "train_tokens": pa.array([train_tokens] * rows, pa.int64())}
         return pa.table({n: columns[n] for n in (x.split()[0] for x in RESULT.split(", "))})
 
     return slices.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, RESULT)
