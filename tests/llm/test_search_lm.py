@@ -151,7 +151,7 @@ def test_ranking_equals_plain_version(spark, monkeypatch, k, head, bucket):
 def test_ranking_in_blocks_of_items(spark):
     docs = H.odd_rows()
     items = spark.createDataFrame([("x%d" % n, t) for n, t in ITEMS if n], "item_id string, text string")
-    out = lexical.rank_documents(H.frame(spark, docs), items, block_bytes=40).collect()
+    out = lexical.rank_documents(H.frame(spark, docs), items, block_bytes=700).collect()
     assert H.sorted_rows(out) == brute_ranking(docs, [("x%d" % n, t) for n, t in ITEMS if n])
 
 
