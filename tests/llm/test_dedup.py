@@ -50,6 +50,16 @@ def test_substrings_keep_text(spark):
     assert kept == {1: rows[0][1].encode(), 2: b"!tail", 3: b""}
 
 
+def test_substrings_of_one_id_with_many_rows(spark, monkeypatch):
+    """The sample that balances the buckets counts different rows, whatever their ids."""
+    monkeypatch.setattr(suffix, "SAMPLE_DOCS", 3)
+    monkeypatch.setattr(suffix, "BUCKET_ROWS", 10)
+    rows = [(7, H.passage(k, 20)) for k in range(30)] + [(9, H.passage(2, 20) + H.passage(5, 20))] * 4
+    df = suffix.substring_digest(H.frame(spark, rows))
+    found = got(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == H.sorted_rows(H.brute_substrings(rows, 50))
+
+
 def test_substrings_empty_table(spark):
     assert suffix.substring_digest(H.frame(spark, [])).collect() == []
 
