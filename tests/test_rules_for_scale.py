@@ -321,3 +321,20 @@ def test_gradient_never_forms_wh(spark):
 def test_skewed_lines_that_run_out_raise(spark):
     with pytest.raises(ValueError):
         S.skew_schedule(2, 3, 100, 0.5)
+
+
+@pytest.mark.parametrize("name", ["random_scale", "random_noise"])
+def test_random_matrices_are_checked_cell_by_cell(spark, tmp_path, name):
+    """One row for every stored cell of Q, beside the draws' moments over all of them."""
+    from tessera import workload as WL
+
+    rows = [(s, p, float(1 + (s * p) % 5)) for s in range(8) for p in range(0, 30, 1 + s % 3)]
+    tables = {"lineitem": (rows + rows[:5], "l_suppkey LONG, l_partkey LONG, l_quantity DOUBLE"),
+              "supplier": ([(s,) for s in range(8)], "s_suppkey LONG"), "part": ([(p,) for p in range(30)], "p_partkey LONG")}
+    for t, (data, kind) in tables.items():
+        spark.createDataFrame(data, kind).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = WL.REGISTRY[name](spark, str(tmp_path))
+    assert got.columns == ["i", "j", "in_range"]
+    assert sorted(map(tuple, got.collect())) == sorted((s, p, True) for s, p, _ in rows)
+    draws = WL.REGISTRY[f"{name}_draws"](spark, str(tmp_path)).first()
+    assert (draws.n, draws.distinct_draws, draws.in_range) == (len(rows), len(rows), True)
