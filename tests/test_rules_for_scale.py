@@ -338,3 +338,11 @@ def test_random_matrices_are_checked_cell_by_cell(spark, tmp_path, name):
     assert sorted(map(tuple, got.collect())) == sorted((s, p, True) for s, p, _ in rows)
     draws = WL.REGISTRY[f"{name}_draws"](spark, str(tmp_path)).first()
     assert (draws.n, draws.distinct_draws, draws.in_range) == (len(rows), len(rows), True)
+
+
+def test_outer_product_spreads_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "OUTER_BLOCK", 4)
+    x = vec_from_dense(spark, np.arange(1, 21))
+    out = J.outer_product(x, x).df
+    np.testing.assert_allclose(sum(r.v for r in out.collect()), 210.0**2)
+    assert out.rdd.getNumPartitions() > 8
