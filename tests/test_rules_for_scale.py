@@ -346,3 +346,12 @@ def test_outer_product_spreads_its_blocks(spark, monkeypatch):
     out = J.outer_product(x, x).df
     np.testing.assert_allclose(sum(r.v for r in out.collect()), 210.0**2)
     assert out.rdd.getNumPartitions() > 8
+
+
+def test_broadcast_in_parts(spark, conf):
+    """A side beyond the broadcast limit by its shape is broadcast whole, or in parts, by its counted entries."""
+    rng = np.random.default_rng(7)
+    a, b = ((rng.random(s) < 0.3) * rng.integers(-4, 5, s).astype(float) for s in ((12, 9), (9, 14)))
+    for limit in (1, 10, 60):
+        conf(rows=limit)
+        np.testing.assert_allclose(dense(J.matmul_broadcast(mat_from_dense(spark, a), mat_from_dense(spark, b))), a @ b)
