@@ -70,3 +70,21 @@ def test_large_updates_are_dealt(spark, packed):
     s, y = -g1, g2 - g1
     got = dense(bfgs_step(mat_from_dense(spark, a), vec_from_dense(spark, g1), vec_from_dense(spark, g2)))
     np.testing.assert_allclose(got, a + np.outer(y, y) - np.outer(a @ s, s @ a))
+
+
+def test_updates_of_a_full_matrix_stay_in_place(spark, packed):
+    rng = np.random.default_rng(7)
+    a = rng.integers(1, 5, (15, 15)).astype(float)
+    x, y = (rng.integers(-2, 3, (2, 15)).astype(float))
+    m, vx, vy = mat_from_dense(spark, a), vec_from_dense(spark, x), vec_from_dense(spark, y)
+    got = J.low_rank_update(m, [(0.5, vx, vy), (-1.0, vy, vx)])
+    np.testing.assert_allclose(dense(got), a + 0.5 * np.outer(x, y) - np.outer(y, x))
+    assert "MapInArrow" not in got.df._jdf.queryExecution().executedPlan().toString()
+    # A cell that A lacks, or a NULL index, is left to the outer products.
+    for other in (vec_from_dense(spark, x), vy):
+        hole = m.df.filter("i != 3 or j != 4")
+        kept = J.low_rank_update(J.Mat(hole, 15, 15), [(1.0, other, vy)])
+        assert "MapInArrow" in kept.df._jdf.queryExecution().executedPlan().toString()
+    null = J.Vec(vx.df.unionByName(spark.createDataFrame([(None, 2.0)], "i LONG, v DOUBLE")), 15)
+    cells = J.low_rank_update(m, [(1.0, null, vy)]).df
+    assert cells.filter("i is null").count() == np.count_nonzero(y)
