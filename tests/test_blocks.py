@@ -88,3 +88,16 @@ def test_updates_of_a_full_matrix_stay_in_place(spark, packed):
     null = J.Vec(vx.df.unionByName(spark.createDataFrame([(None, 2.0)], "i LONG, v DOUBLE")), 15)
     cells = J.low_rank_update(m, [(1.0, null, vy)]).df
     assert cells.filter("i is null").count() == np.count_nonzero(y)
+
+
+def test_skewed_lines_dealt_to_partitions(spark):
+    from tessera.core import joins_in_place
+    from tessera.sources.entries import skewed_sparse
+
+    plain, dealt = (skewed_sparse(spark, 12, 9, 0.4, 0.5, chunk=4, parts=parts) for parts in (None, 5))
+    assert sorted(plain.df.collect()) == sorted(dealt.df.collect())
+    q = spark.range(12).selectExpr("id i", "id % 9 j", "1.0 q").repartition(5, "i").hint("shuffle_hash")
+    with joins_in_place(spark):
+        plan = dealt.df.join(q, ["i", "j"])._jdf.queryExecution().executedPlan().toString()
+    # Lines are shuffled before they are expanded, and Q's entries; nothing is sorted.
+    assert plan.count("Exchange") == 2 and "ShuffledHashJoin" in plan and "Sort " not in plan
