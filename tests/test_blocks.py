@@ -21,6 +21,21 @@ def packed(monkeypatch):
     monkeypatch.setattr(J, "PLACE_ENTRIES", 60)
 
 
+@pytest.fixture
+def conf(spark):
+    """Settings that are unset again."""
+    held = []
+
+    def put(**settings):
+        for k, v in settings.items():
+            spark.conf.set(k, str(v))
+            held.append(k)
+
+    yield put
+    for k in held:
+        spark.conf.unset(k)
+
+
 @pytest.mark.parametrize("slab, sent", [(8, 5), (64, 9), (1 << 22, 1 << 17)])
 def test_slabs_form_every_cell(slab, sent, monkeypatch):
     monkeypatch.setattr(blocks, "SLAB_CELLS", slab)
@@ -101,3 +116,35 @@ def test_skewed_lines_dealt_to_partitions(spark):
         plan = dealt.df.join(q, ["i", "j"])._jdf.queryExecution().executedPlan().toString()
     # Lines are shuffled before they are expanded, and Q's entries; nothing is sorted.
     assert plan.count("Exchange") == 2 and "ShuffledHashJoin" in plan and "Sort " not in plan
+
+
+def test_large_gram_is_dealt_to_half_the_places(spark, packed):
+    rng = np.random.default_rng(8)
+    a = sparse(rng, (31, 20))
+    m = mat_from_dense(spark, a)
+    got = J.gram(m)
+    np.testing.assert_allclose(dense(got), a @ a.T)
+    assert got.df.select("i", "j").distinct().count() == got.df.count()
+    assert "Join" not in got.df._jdf.queryExecution().executedPlan().toString()
+    null = J.Mat(m.df.unionByName(spark.createDataFrame([(None, 1, 2.0)], "i LONG, j LONG, v DOUBLE")), 31, 20)
+    assert sorted(J.gram(null).df.collect()) == sorted(got.df.collect())
+
+
+def test_large_shuffled_and_salted_products_are_dealt(spark, conf, packed):
+    rng = np.random.default_rng(9)
+    a, b = sparse(rng, (31, 20)), sparse(rng, (20, 27))
+    x, y = mat_from_dense(spark, a), mat_from_dense(spark, b)
+    conf(**{"tessera.skew.hotKeyRows": 2, "tessera.broadcast.maxRows": 0})
+    for got in (J.matmul(x, y, strategy="shuffle"), J.matmul(x, y)):
+        np.testing.assert_allclose(dense(got), a @ b)
+        assert "Join" not in got.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_small_side_with_a_large_product_is_dealt(spark, conf, packed):
+    rng = np.random.default_rng(10)
+    a, b = sparse(rng, (31, 4)), sparse(rng, (4, 27), 0.8)
+    x, y = mat_from_dense(spark, a), mat_from_dense(spark, b)
+    conf(**{"tessera.broadcast.maxRows": 125})
+    got = J.matmul(J.matmul(x, y), mat_from_dense(spark, b.T))
+    np.testing.assert_allclose(dense(got), a @ b @ b.T)
+    assert "MapInArrow" in J.matmul(x, y).df._jdf.queryExecution().executedPlan().toString()
