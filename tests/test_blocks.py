@@ -148,3 +148,18 @@ def test_a_small_side_with_a_large_product_is_dealt(spark, conf, packed):
     got = J.matmul(J.matmul(x, y), mat_from_dense(spark, b.T))
     np.testing.assert_allclose(dense(got), a @ b @ b.T)
     assert "MapInArrow" in J.matmul(x, y).df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_are_minima_of_the_columns_reached(spark):
+    import math
+
+    from tessera.plans import chains as C
+
+    m = mat_from_dense(spark, np.array([[1.0, 0, 2, 0], [0, 0, 0, 0], [0, 3, 4, 5]]))
+    shares = spark.range(4).withColumnRenamed("id", "j").select("j", *[C._column_share(t) for t in range(5)]).collect()
+    ranks = {r[0]: [-math.log(x) for x in r[1:]] for r in shares}
+    got = {r.k: r.f for r in C._row_ranks(m, None, 5).collect()}
+    want = {i: [min(ranks[j][t] for j in js) for t in range(5)] for i, js in ((0, (0, 2)), (2, (1, 2, 3)))}
+    assert got.keys() == want.keys()
+    for i in want:
+        np.testing.assert_allclose(got[i], want[i])
