@@ -163,3 +163,37 @@ def test_ranks_are_minima_of_the_columns_reached(spark):
     assert got.keys() == want.keys()
     for i in want:
         np.testing.assert_allclose(got[i], want[i])
+
+
+@pytest.mark.parametrize("bracket", ["(AB)(CD)", "A(B(CD))", "A((BC)D)"])
+def test_a_product_of_a_dealt_product_is_formed_in_its_places(spark, conf, packed, monkeypatch, bracket):
+    from tessera.plans.chains import chain_multiply
+
+    monkeypatch.setattr(blocks, "SLAB_CELLS", 50)
+    monkeypatch.setattr(blocks, "CHAIN_WIDTH", 7)
+    monkeypatch.setattr(J, "PLACE_ENTRIES", 400)
+    rng = np.random.default_rng(11)
+    mats = [sparse(rng, shape, share) for shape, share in (((3, 12), 0.4), ((12, 30), 0.3), ((30, 6), 0.3), ((6, 30), 0.3))]
+    conf(**{"tessera.broadcast.maxRows": 40})
+    got = chain_multiply([mat_from_dense(spark, m) for m in mats], bracket)
+    np.testing.assert_allclose(dense(got), np.linalg.multi_dot(mats))
+    assert got.factors is not None and len(got.factors.mats) == (4 if bracket == "A(B(CD))" else 3)
+    plan = got.df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[0]
+
+
+@pytest.mark.parametrize("grid", [(1, 3), (2, 2)])
+def test_dealt_chain_keeps_null_rows_and_infinite_values(spark, grid):
+    def table(rows):
+        return spark.createDataFrame(rows, "i LONG, j LONG, v DOUBLE")
+
+    inf, nan = float("inf"), float("nan")
+    first = table([(None, 0, 2.0), (1, 0, 3.0), (1, None, 5.0), (2, 1, inf), (3, 2, 1.0), (3, 0, 1.0), (2, 9, 4.0)])
+    left = table([(0, 0, 1.0), (1, 1, 1.0), (None, 0, 7.0), (2, None, 7.0), (2, 2, inf), (2, 3, -inf)])
+    right = table([(0, 7, 1.0), (0, None, 4.0), (None, 7, 9.0), (1, 8, 2.0), (2, 7, 1.0), (3, 7, 1.0), (2, 8, 0.5)])
+    got = {(r.i, r.j): r.v for r in blocks.dealt_chain([first, left, right], grid).collect()}
+    # Cell (2, 7) of the inner product is inf - inf and no cell.
+    assert got == {(None, 7): 2.0, (None, None): 8.0, (1, 7): 3.0, (1, None): 12.0, (2, 8): inf, (3, 8): inf, (3, 7): 1.0, (3, None): 4.0}
+    assert blocks.dealt_chain([first, left.filter("false"), right], grid).collect() == []
+    bad = {(r.i, r.j) for r in blocks.dealt_chain([table([(0, 0, inf), (0, 1, -inf)]), table([(0, 0, 1.0), (1, 0, 1.0)]), right], grid).collect()}
+    assert bad == set()
