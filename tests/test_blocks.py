@@ -197,3 +197,57 @@ def test_dealt_chain_keeps_null_rows_and_infinite_values(spark, grid):
     assert blocks.dealt_chain([first, left.filter("false"), right], grid).collect() == []
     bad = {(r.i, r.j) for r in blocks.dealt_chain([table([(0, 0, inf), (0, 1, -inf)]), table([(0, 0, 1.0), (1, 0, 1.0)]), right], grid).collect()}
     assert bad == set()
+
+
+def test_random_cells_dealt_by_column_are_the_same(spark):
+    from tessera.sources import entries as S
+
+    for shape, density in (((12, 9), 0.4), ((1, 50), 0.3), ((97, 41), 0.125)):
+        for normal in (False, True):
+            plain, dealt = (S.sprand(spark, *shape, density, 9, normal, parts) for parts in (None, 5))
+            assert sorted(plain.df.collect()) == sorted(dealt.df.collect())
+    for make in (S.rand_matrix, S.randn_matrix):
+        assert sorted(make(spark, 12, 9).df.collect()) == sorted(make(spark, 12, 9, parts=5).df.collect())
+    assert S.randn_matrix(spark, 0, 5, parts=3).df.count() == 0
+
+
+def test_generated_cells_are_not_shuffled(spark):
+    """Only columns and Q's entries are; every generated cell is added to, or counted, where it is drawn."""
+    from tessera.core import joins_in_place
+    from tessera.sources.entries import randn_matrix, sprand
+
+    rng = np.random.default_rng(12)
+    a = sparse(rng, (12, 9))
+    m = mat_from_dense(spark, a)
+    null = spark.createDataFrame([(None, 4, 2.0), (3, None, 1.5)], "i LONG, j LONG, v DOUBLE")
+    q = J.Mat(m.df.unionByName(null).repartition(5, "j"), 12, 9)
+    noise = randn_matrix(spark, 12, 9, seed=5, parts=5)
+    with joins_in_place(spark):
+        got = J.add(q, noise, every_cell=True)
+        plan = got.df._jdf.queryExecution().executedPlan().toString()
+        cells = sorted(((r.i is None, r.j is None, r.i, r.j), round(r.v, 9)) for r in got.df.collect())
+    want = sorted(((r.i is None, r.j is None, r.i, r.j), round(r.v, 9)) for r in J.add(q, noise).df.collect())
+    assert cells == want and len(cells) == 110
+    assert "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning(j") == plan.count("Exchange hashpartitioning(j#") and "ENSURE_REQUIREMENTS" not in plan.split("LeftOuter")[0]
+    mask = sprand(spark, 12, 9, 0.4, seed=9, parts=5)
+    counted = mask.df.select("i", "j").unionByName(q.df.select("i", "j")).groupBy("i", "j").count()
+    assert "ENSURE_REQUIREMENTS" not in counted._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+
+
+@pytest.mark.parametrize("axis", ["row", "col"])
+def test_many_stored_blocks_share_folders(spark, tmp_path, monkeypatch, axis):
+    from tessera.operators import aggregates as A
+    from tessera.operators import sinks as K
+
+    monkeypatch.setattr(K, "MOST_FOLDERS", 3)
+    a = sparse(np.random.default_rng(13), (40, 30), 0.5)
+    m = mat_from_dense(spark, a)
+    K.save_blocks(m, str(tmp_path / "m"), 5, axis)
+    assert len(list((tmp_path / "m").glob("blk=*"))) <= 3
+    stored = K.load_blocks(spark, str(tmp_path / "m"))
+    np.testing.assert_allclose(dense(stored.matrix()), a)
+    for block, ratio in ((5, 0.4), (10, 0.5), (5, 0.01), (20, 1.0)):
+        got = sorted(map(tuple, stored.block_nnz_sample(block, ratio).collect()))
+        assert got == sorted(map(tuple, A.block_nnz_sample(m, block, ratio, axis).collect()))
+    cells = [(3, 7), (4, 9), (39, 29)]
+    assert {(r["i"], r["j"]): r["v"] for r in stored.lookup(cells).collect()} == {c: a[c] for c in cells}
