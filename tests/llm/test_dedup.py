@@ -50,6 +50,32 @@ def test_substrings_keep_text(spark):
     assert kept == {1: rows[0][1].encode(), 2: b"!tail", 3: b""}
 
 
+def test_substrings_drop_what_finished_steps_sent(spark):
+    """Of the four steps' shuffles none is left when the spans are there."""
+    import time
+    from pathlib import Path
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def sent():
+        files = [Path(manager.getAllFiles().apply(k).getPath()) for k in range(manager.getAllFiles().size())]
+        return {f.name: f.stat().st_size for f in files if f.name.startswith("shuffle_") and f.suffix == ".data" and f.exists()}
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(3000)]
+    rows = [(k, " ".join(rng.choice(words, 400))) for k in range(60)]
+    rows += [(60 + k, t) for k, (_, t) in enumerate(rows[:30])]
+    before = set(sent())
+    spans = suffix.removed_spans(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+    assert spans.count() == 30
+    for _ in range(100):  # files go in the background
+        left = sum(n for f, n in sent().items() if f not in before)
+        if left < 20_000:
+            break
+        time.sleep(0.2)
+    assert left < 20_000
+
+
 def test_substrings_of_one_id_with_many_rows(spark, monkeypatch):
     """The sample that balances the buckets counts different rows, whatever their ids."""
     monkeypatch.setattr(suffix, "SAMPLE_DOCS", 3)
