@@ -87,6 +87,41 @@ def test_large_updates_are_dealt(spark, packed):
     np.testing.assert_allclose(got, a + np.outer(y, y) - np.outer(a @ s, s @ a))
 
 
+def test_updates_of_a_dealt_product_are_added_where_it_is_formed(spark, packed, monkeypatch):
+    rng = np.random.default_rng(16)
+    a, x, y = sparse(rng, (15, 20)), *rng.integers(-2, 3, (2, 15)).astype(float)
+    m = mat_from_dense(spark, a)
+    product = J.matmul(m, m.T, strategy="stationary")
+    monkeypatch.setattr(J, "cut_lineage", lambda df: pytest.fail("the product is written"))
+    got = J.low_rank_update(product, [(0.5, vec_from_dense(spark, x), vec_from_dense(spark, y)), (1.0, vec_from_dense(spark, x), vec_from_dense(spark, x))])
+    np.testing.assert_allclose(dense(got), a @ a.T + 0.5 * np.outer(x, y) + np.outer(x, x))
+    # A cell whose terms are no number is not stored, so it takes the update alone; an infinite value meets stored ones only.
+    odd = a.copy()
+    odd[2, 3], odd[2, 4], odd[5, 3], odd[5, 4] = np.inf, -np.inf, 1.0, 1.0
+    x[2], x[5], x[7], x[8] = 2.0, 3.0, np.inf, 0.0
+    m, v = mat_from_dense(spark, odd), vec_from_dense(spark, x)
+    with np.errstate(all="ignore"):
+        terms = [[odd[i] * odd[j] for j in range(15)] for i in range(15)]
+        stored = np.array([[np.sum(t[(odd[i] != 0) & (odd[j] != 0)]) for j, t in enumerate(r)] for i, r in enumerate(terms)])
+        want = np.where(np.isnan(stored), 0, stored) + np.where(np.outer(x != 0, x != 0), np.outer(x, x), 0)
+    cells = {(r.i, r.j): r.v for r in J.rank_one_update(J.matmul(m, m.T, strategy="stationary"), v).df.collect()}
+    assert cells == {(i, j): want[i, j] for i in range(15) for j in range(15) if want[i, j] != 0 and not np.isnan(want[i, j])}
+
+
+@pytest.mark.parametrize("grid", [(2, 3), (6, 5)])
+def test_dealt_product_shuffles_each_entry_once(spark, grid):
+    """Places read their blocks from where these lie: what is shuffled does not follow their number."""
+    rng = np.random.default_rng(17)
+    a, b = sparse(rng, (40, 30)), sparse(rng, (30, 50))
+    left = mat_from_dense(spark, a).df.selectExpr("i", "j k", "v")
+    right = mat_from_dense(spark, b).df.selectExpr("i k", "j", "v")
+    out = blocks.dealt_product(left, right, grid)
+    assert {(r.i, r.j): r.v for r in out.collect()} == {(i, j): v for (i, j), v in np.ndenumerate(a @ b) if v}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert out.rdd.getNumPartitions() == grid[0] * grid[1]
+
+
 def test_updates_of_a_full_matrix_stay_in_place(spark, packed):
     rng = np.random.default_rng(7)
     a = rng.integers(1, 5, (15, 15)).astype(float)
