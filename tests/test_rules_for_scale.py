@@ -348,6 +348,19 @@ def test_outer_product_spreads_its_blocks(spark, monkeypatch):
     assert out.rdd.getNumPartitions() > 8
 
 
+def test_outer_product_leaves_out_no_cell_but_zeros(spark, monkeypatch):
+    """Cells are formed by the block, not by a row generator; NULL indices, infinite values and underflow are as for single rows."""
+    monkeypatch.setattr(J, "SENT_ROWS", 5)
+    x = [(None, 2.0), (0, 1.0), (4, 1e-200), (5, np.inf), (7, None), (8, -3.0)]
+    y = [(1, 0.5), (3, 1e-200), (6, 0.0), (None, 4.0)]
+    vx, vy = (Vec(spark.createDataFrame(e, "i LONG, v DOUBLE"), 9) for e in (x, y))
+    out = J.outer_product(vx, vy).df
+    assert "Generate explode(_ys" not in plan(out) and "MapInArrow" in plan(out)
+    want = [(i, j, a * b) for i, a in x for j, b in y if a is not None and a * b != 0 and a * b == a * b]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+
+
 def test_broadcast_in_parts(spark, conf):
     """A side beyond the broadcast limit by its shape is broadcast whole, or in parts, by its counted entries."""
     rng = np.random.default_rng(7)
