@@ -56,6 +56,26 @@ def test_slabs_form_every_cell(slab, sent, monkeypatch):
     assert cells == np.count_nonzero(a @ b + c)
 
 
+@pytest.mark.parametrize("terms", [0, 1 << 20])
+def test_slabs_of_few_inner_indices_are_dense_products(terms, monkeypatch):
+    monkeypatch.setattr(blocks, "SLAB_CELLS", 64)
+    monkeypatch.setattr(blocks, "DENSE_TERMS", terms)
+    rng = np.random.default_rng(21)
+    a, b, c = sparse(rng, (23, 5)), sparse(rng, (5, 19)), sparse(rng, (23, 19), 0.1)
+    for infinite in (False, True):
+        if infinite:
+            a[4, 2], b[2, 3], b[3, 3], a[4, 3] = np.inf, 1.0, np.inf, -1.0  # inf - inf: no cell
+        parts = {side: [(*np.nonzero(m), m[np.nonzero(m)])] for side, m in enumerate((a, b.T, c))}
+        with np.errstate(all="ignore"):
+            want = np.array([[np.sum((a[i] * b[:, j])[(a[i] != 0) & (b[:, j] != 0)]) + c[i, j] for j in range(19)] for i in range(23)])
+        want[np.isnan(want)] = 0
+        got = np.zeros((23, 19))
+        for i, j, v in blocks._Place(dict(parts)).slabs():
+            got[i, j] += v
+        np.testing.assert_allclose(got, want)
+        assert blocks._Place(dict(parts)).count_cells() == np.count_nonzero(want)
+
+
 def test_large_products_are_dealt(spark, packed):
     rng = np.random.default_rng(5)
     a, b = sparse(rng, (31, 20)), sparse(rng, (20, 27))
@@ -122,6 +142,18 @@ def test_dealt_product_shuffles_each_entry_once(spark, grid):
     assert out.rdd.getNumPartitions() == grid[0] * grid[1]
 
 
+def test_cells_of_a_dealt_product_are_counted_in_their_places(spark, packed):
+    rng = np.random.default_rng(18)
+    a, b = sparse(rng, (31, 20)), sparse(rng, (20, 27))
+    m = J.matmul(mat_from_dense(spark, a), mat_from_dense(spark, b), strategy="stationary")
+    got = J.stored_cells(m)
+    assert [tuple(r) for r in got.collect()] == [(np.count_nonzero(a @ b),)] == [(m.df.count(),)] and got.columns == ["nnz"]
+    assert "n#" in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1].split("]")[0]
+    assert J.stored_cells(mat_from_dense(spark, a)).first().nnz == np.count_nonzero(a)
+    none = J.matmul(J.Mat(m.df.filter("false"), 31, 27), mat_from_dense(spark, b.T), strategy="stationary")
+    assert J.stored_cells(none).first().nnz == 0
+
+
 def test_updates_of_a_full_matrix_stay_in_place(spark, packed):
     rng = np.random.default_rng(7)
     a = rng.integers(1, 5, (15, 15)).astype(float)
